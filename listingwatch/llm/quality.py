@@ -1,8 +1,8 @@
 """Operator 8: quality rules as weak supervision.
 
 Each rule votes good (1), bad (0) or abstains. Votes of all documents are counted by vote pattern (at most 3 to the
-number of rules rows, whatever the corpus holds); expectation-maximisation over these counts estimates how
-accurate each rule is on good and on bad documents, and each pattern gets the posterior probability of being good.
+number of rules rows, whatever the corpus holds); expectation-maximisation over these counts estimates what
+each rule says of good and of bad documents, and each pattern gets the posterior probability of being good.
 """
 
 from __future__ import annotations
@@ -21,19 +21,22 @@ RULES = {
     "word_length": ("abs(word_chars / greatest(n_words, 1) - 6.5)", 3.0, 5.0),
     "capitals": ("100.0 * n_capitals / greatest(word_chars, 1)", 15.0, 40.0),
     "stops": ("100.0 * n_stops / greatest(n_words, 1)", 20.0, 40.0),
-    "bars": ("100.0 * n_bars / greatest(n_words, 1)", 5.0, 15.0),
 }
 SYMBOLS = "#*$%&|<>"
 STOPS = "!?"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 ROUNDS = 50
 ABSTAIN = 2
+#: What a rule is believed to say before any document is seen, (bad, good, nothing): of bad and of good documents. The
+#: bounds in RULES are set so that about one clean document in a thousand is called bad.
+BELIEF = ((0.3, 0.68, 0.02), (0.001, 0.984, 0.015))
+PRIOR_GOOD, PRIOR_BAD = 0.9, 5.0
 
 
 def measure(text: str | None) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_stops, n_bars of a whole text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_stops of a whole text."""
     if not text:
-        return (0,) * 9
+        return (0,) * 8
     words = text.encode().split()  # bytes.split() parts at the six ASCII spaces and nothing else
     n = len(words)
     chars = len(text) - sum(map(text.count, SPACES))
@@ -56,10 +59,10 @@ def measure(text: str | None) -> tuple[int, ...]:
             covered[k : n - 2 + k] |= twice
         repeated = int(covered.sum())
     capitals = sum(map(str.isupper, text)) if not text.islower() else 0
-    return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), capitals, sum(map(text.count, STOPS)), text.count("|")
+    return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), capitals, sum(map(text.count, STOPS))
 
 
-COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stops", "n_bars"]
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stops"]
 
 
 def vote(rule: str):
@@ -70,21 +73,23 @@ def vote(rule: str):
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Posterior probability of `good` for each vote pattern (rows of 0, 1, ABSTAIN), by EM over pattern counts.
 
-    Starts from rules that are right nine times in ten; counts are smoothed by one vote, and a rule is never taken
-    to be worse than a coin, so that `good` keeps its meaning.
+    What a rule says (bad, good or nothing) has a distribution for good and one for bad documents. EM starts from BELIEF
+    and keeps it as a prior: for good documents as heavy as all documents, as the rules' bounds are set by how rarely
+    they may err there; for bad ones, which nobody knows beforehand, as heavy as PRIOR_BAD documents.
     """
-    said = np.stack([patterns == 0, patterns == 1]).astype(float)  # value, pattern, rule
-    right = np.full((2, patterns.shape[1]), 0.9)  # class, rule
-    prior = 0.9
+    said = np.stack([patterns == v for v in (0, 1, ABSTAIN)]).astype(float)  # vote, pattern, rule
+    belief = np.repeat(np.array(BELIEF)[:, :, None], patterns.shape[1], 2)  # class, vote, rule
+    chance, share = belief, PRIOR_GOOD
+    weight = np.array([PRIOR_BAD, PRIOR_BAD + counts.sum()])
+    blamed = (patterns == 0).any(1)
     good = np.ones(len(patterns))
     for _ in range(rounds):
-        log_good = np.log(prior) + said[1] @ np.log(right[1]) + said[0] @ np.log(1 - right[1])
-        log_bad = np.log(1 - prior) + said[0] @ np.log(right[0]) + said[1] @ np.log(1 - right[0])
-        good = 1 / (1 + np.exp(np.clip(log_bad - log_good, -500, 500)))
-        for c, weight in ((1, counts * good), (0, counts * (1 - good))):
-            hit, miss = weight @ said[c], weight @ said[1 - c]
-            right[c] = np.clip((hit + 0.9) / (hit + miss + 1), 0.5, 0.999)
-        prior = np.clip((counts @ good + 0.9) / (counts.sum() + 1), 0.05, 0.99)
+        bad_log, good_log = (np.einsum("vpr,vr->p", said, np.log(c)) for c in chance)
+        good = 1 / (1 + np.exp(np.clip(np.log(1 - share) + bad_log - np.log(share) - good_log, -500, 500)))
+        good = np.where(blamed, good, 1.0)
+        votes = np.stack([np.einsum("p,vpr->vr", counts * w, said) for w in (1 - good, good)]) + weight[:, None, None] * belief
+        chance = votes / votes.sum(1, keepdims=True)
+        share = (counts @ good + PRIOR_BAD * PRIOR_GOOD) / (counts.sum() + PRIOR_BAD)
     return good
 
 
@@ -101,8 +106,9 @@ def judge(docs: DataFrame, min_words: int = 50, threshold: float = 0.5) -> DataF
 
     measured = map_rows(docs.select("doc_id", "text"), features, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS))
     measured = cut(measured.withColumn("votes", F.array(*[vote(r) for r in RULES])), "quality")
-    tally = measured.groupBy("votes").count().collect()  # at most 3 ** len(RULES) rows
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # what fails the base rule is decided and would only blur what the rules say of the rest
+    tally = measured.groupBy("votes").agg(F.count(F.when(~failed, 1)).alias("count")).collect()  # at most 3 ** len(RULES) rows
     p_good = F.lit(None).cast("double")
     if tally:
         good = fit(np.array([r["votes"] for r in tally]), np.array([r["count"] for r in tally], float))

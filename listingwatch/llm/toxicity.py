@@ -21,20 +21,22 @@ from .common import add_columns, cut, map_rows
 #: Learning takes at most this many labelled rows, those with the smallest hash of their id.
 FIT_ROWS = 24_000
 LEXICON_SIZE = 2_000
+#: Log odds from which a word counts as strong.
+STRONG = 4.0
 TREES, DEPTH, BINS, RATE = 60, 3, 32, 0.2
 #: Words that address the reader.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer ti tú usted ustedes vosotros vuestro".split())
 #: Signs that stand for letters.
 LEET = str.maketrans("0134578@$!€", "oieastba" + "si" + "e")
 PUNCTUATION = "!?.,;:"
-FEATURES = ("strongest", "total", "hits", "density", "distinct", "obfuscated", "address", "capitals", "shouts", "marks", "symbols", "length")
+FEATURES = ("strongest", "total", "strong", "hits", "density", "distinct", "obfuscated", "address", "capitals", "shouts", "marks", "symbols", "length")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INSIDE = re.compile(r"[\W_]+")
 
 
 def terms_of(word: str) -> tuple[str, ...]:
-    """What the lexicon may hold of a word: itself and its first four and five letters."""
-    return (word, word[:4] + "~", word[:5] + "~") if len(word) > 5 else (word, word[:4] + "~") if len(word) > 4 else (word,)
+    """What the lexicon may hold of a word: itself and its beginnings of four to seven letters."""
+    return (word, *(word[:k] + "~" for k in range(4, min(8, len(word)))))
 
 
 def plain(token: str) -> str:
@@ -77,6 +79,7 @@ def measure(text: str | None, words: Words) -> tuple[float, ...]:
     return (
         max(weights, default=0.0),
         sum(weights) / n,
+        float(sum(w >= STRONG for w in weights)),
         float(len(at)),
         100.0 * len(at) / n,
         float(len({plain(tokens[i])[:4] for i in at})),
@@ -111,7 +114,7 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, floa
     weight = F.log(p_bad) - F.log(p_good)
     chance = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (good + 0.5))
     least = max(3, math.ceil(0.01 * n_bad))
-    best = counted.where((F.col("bad") >= least) & (weight > 2) & (weight / chance > 3)).select("term", weight.alias("weight"))
+    best = counted.where((F.col("bad") >= least) & (weight > 1.5) & (weight / chance > 4)).select("term", weight.alias("weight"))
     rows = best.orderBy(F.desc("weight"), "term").limit(size).collect()
     return {r["term"]: min(6.0, round(r["weight"], 6)) for r in rows}
 

@@ -306,8 +306,9 @@ def test_quality_counts(spark):
 def test_quality_em_and_verdicts(spark):
     rng = np.random.default_rng(0)
     good = rng.random(4000) < 0.7
-    votes = np.where(rng.random((4000, 5)) < 0.85, good[:, None], ~good[:, None]).astype(int)
-    votes[rng.random(votes.shape) < 0.2] = quality.ABSTAIN
+    # rules as they are meant to be: they rarely blame a good document and each see some bad ones
+    votes = (rng.random((4000, 5)) >= np.where(good, 0.005, 0.5)[:, None]).astype(int)
+    votes[rng.random(votes.shape) < 0.02] = quality.ABSTAIN
     patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     assert ((quality.fit(patterns, counts.astype(float))[at.ravel()] > 0.5) == good).mean() > 0.95
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -377,9 +378,9 @@ def test_suffix_odd(spark):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.1"
+    sf = "/root/testdata/check_s"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    out = collect(toxicity.classify(docs, labels))
+    out = collect(toxicity.classify(docs.join(labels.select("doc_id"), "doc_id"), labels).drop("text"))
     toxic = {r.doc_id: r.toxic for r in labels.collect()}
     held = [k for k in toxic if k in out and zlib.crc32(str(k).encode()) % 3 == 1]
     assert all(out[k].held_out for k in held)
