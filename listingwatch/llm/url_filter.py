@@ -14,6 +14,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Host, path, verdict.
 RULES = (
     ("org", "/", "allow"),
@@ -30,6 +32,8 @@ VARIABLE = r"^[0-9]+$|^[0-9a-fA-F]{8,}$|^.{32,}$|^[0-9].*[0-9]$"
 SMOOTHING = 4.0
 #: Standard errors by which a branch must differ to stay apart.
 APART = 1.96
+#: Before a host's name where it names a tree; the tree of all hosts is "*".
+OWN = "host:"
 
 
 def host_of(url: Column) -> Column:
@@ -51,20 +55,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def grow(paths: DataFrame, levels: int = LEVELS, apart: float = APART) -> DataFrame:
-    """(tree, s1..sn, labelled, blocked) -> with `template`: segments kept where the branch stands apart, else `*`."""
-    tree = paths.withColumn("template", F.lit(""))
+    """(tree, s1..sn, labelled, blocked) -> with `template`: segments kept where the branch stands apart, else `*`.
+
+    Each level is written out: it reads the one above twice, and unwritten plans would double with each level.
+    """
+    tree = cut(paths.withColumn("template", F.lit("")), "url-tree")
     for i in range(1, levels + 1):
         seg = f"s{i}"
         branch = tree.groupBy("tree", "template", seg).agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-        siblings = branch.groupBy("tree", "template").agg(F.sum("n").alias("n_all"), F.sum("b").alias("b_all"))
+        siblings = tree.groupBy("tree", "template").agg(F.sum("labelled").alias("n_all"), F.sum("blocked").alias("b_all"))
         both = branch.join(siblings, ["tree", "template"])
         rest_n, rest_b = F.col("n_all") - F.col("n"), F.col("b_all") - F.col("b")
         p, q = (F.col("b") + 1) / (F.col("n") + 2), (rest_b + 1) / (rest_n + 2)
         mean = (F.col("b_all") + 1) / (F.col("n_all") + 2)
         error = F.sqrt(mean * (1 - mean) * (1 / (F.col("n") + 1) + 1 / (rest_n + 1)))
-        name = F.when(F.col(seg) == "", "").when(F.abs(p - q) > apart * error, F.col(seg)).otherwise("*")
-        named = both.select("tree", "template", seg, name.alias("name"))
-        tree = tree.join(named, ["tree", "template", seg]).withColumn("template", F.concat("template", F.when(F.col("name") == "", "").otherwise(F.concat(F.lit("/"), F.col("name"))))).drop("name")
+        step = F.when(F.col(seg) == "", "").when(F.abs(p - q) > apart * error, F.concat(F.lit("/"), seg)).otherwise("/*")
+        named = both.select("tree", "template", seg, step.alias("step"))
+        tree = cut(tree.join(named, ["tree", "template", seg]).withColumn("template", F.concat("template", "step")).drop("step"), "url-tree")
     return tree
 
 
@@ -83,17 +90,17 @@ def judge(pages: DataFrame, rules=RULES, levels: int = LEVELS, smoothing: float
     parsed = parsed.withColumns({f"s{i}": F.coalesce(F.try_element_at(general, F.lit(i)), F.lit("")) for i in range(1, levels + 1)})
     steps = [f"s{i}" for i in range(1, levels + 1)]
     labels = [F.count("said").alias("labelled"), F.count(F.when(F.col("said") == "block", 1)).alias("blocked")]
-    distinct = parsed.groupBy("host", *steps).agg(*labels)
-    own = grow(distinct.withColumnRenamed("host", "tree"), levels)
-    wide = grow(distinct.groupBy(*steps).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).withColumn("tree", F.lit("*")), levels)
-    share = lambda tree: tree.groupBy("tree", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-    prior = distinct.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("prior"))
-    # one row, so every page's estimate may hold it
-    wide_p = wide.join(share(wide), ["tree", "template"]).crossJoin(F.broadcast(prior))
-    wide_p = wide_p.select(*steps, ((F.col("b") + smoothing * F.coalesce("prior", F.lit(0.5))) / (F.col("n") + smoothing)).alias("p_wide"))
-    own_p = own.join(share(own), ["tree", "template"]).join(wide_p, steps)
+    distinct = cut(parsed.groupBy("host", *steps).agg(*labels), "url-paths")
+    all_hosts = distinct.groupBy(*steps).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    own = distinct.select(F.concat(F.lit(OWN), "host").alias("tree"), *steps, "labelled", "blocked")
+    trees = grow(own.unionByName(all_hosts.withColumn("tree", F.lit("*"))), levels)
+    leaves = trees.join(trees.groupBy("tree", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")), ["tree", "template"])
+    blocked, labelled = distinct.agg(F.sum("blocked"), F.sum("labelled")).first()
+    prior = (blocked + 1) / (labelled + 2) if labelled is not None else 0.5
+    wide_p = leaves.where("tree = '*'").select(*steps, ((F.col("b") + smoothing * F.lit(prior)) / (F.col("n") + smoothing)).alias("p_wide"))
+    own_p = leaves.where("tree <> '*'").join(wide_p, steps)
     p = (F.col("b") + smoothing * F.col("p_wide")) / (F.col("n") + smoothing)
-    leaf = own_p.select(F.col("tree").alias("host"), *steps, "template", p.alias("p_block"))
+    leaf = own_p.select(F.substring("tree", len(OWN) + 1, 1 << 30).alias("host"), *steps, "template", p.alias("p_block"))
     judged = parsed.join(leaf, ["host", *steps])
     found = F.coalesce("said", F.when(F.col("p_block") > 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", found.alias("verdict"), "template", "p_block")
