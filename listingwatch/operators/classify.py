@@ -35,11 +35,11 @@ EXCLUSIONS = (
 TERMINAL = "(?i)discontinued|販売終了|終売|廃番|已停產|已停售"
 
 
-def exclusion_reason(title: Column, raw_text: Column) -> Column:
-    """First rule that fits, or null."""
+def exclusion_reason(title: Column, raw_text: Column, rules: tuple = EXCLUSIONS) -> Column:
+    """First rule (reason, pattern) that fits, or null."""
     hay = to_half_width(F.concat_ws(" ", title, raw_text))
     out = F.lit(None).cast("string")
-    for reason, pattern in reversed(EXCLUSIONS):
+    for reason, pattern in reversed(rules):
         out = F.when(hay.rlike(f"(?i){pattern}"), reason).otherwise(out)
     return out
 
@@ -76,3 +76,12 @@ def availability(raw: Column, stated: Column, title: Column, raw_text: Column, b
 
 def is_terminal(*texts: Column) -> Column:
     return F.concat_ws(" ", *texts).rlike(TERMINAL)
+
+
+def candidate_confidence(title: Column, model: Column, hay: Column, structured: Column, words: str, maker: str) -> Column:
+    """How surely a page is a product of the watched kind: model code, its words, its maker, structured data."""
+    points = [(model.isNotNull(), 0.45), (hay.rlike(f"(?i){words}"), 0.40), (hay.rlike(f"(?i){maker}"), 0.10), (structured, 0.15)]
+    score = F.lit(0.0)
+    for hit, p in points:
+        score = score + F.when(hit, p).otherwise(0.0)
+    return F.when(F.coalesce(title, F.lit("")) != "", F.round(F.least(F.lit(0.99), score), 2)).otherwise(0.0)

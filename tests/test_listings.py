@@ -11,6 +11,7 @@ import __spark_entry__
 from listingwatch.functions import text, urls
 from listingwatch.operators import classify, community, matching, timeline
 from listingwatch.plans import queries as core
+from listingwatch.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,15 +115,15 @@ def test_community(spark):
 
 def test_entry(spark):
     assert core.flagship(spark, SF).columns == ["seq", "offer_id", "source_id", "observed_at", "type", "from_state", "to_state", "price"]
-    assert set(core.ORACLE_SQL) <= set(core.QUERIES)
+    assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for name_ in ("events", "lineitem", "part", "pages", "documents", "conversations"):
+    for name_ in ("events", "lineitem", "orders", "supplier", "part", "pages", "documents", "conversations"):
         db.execute(f"create view {name_} as select * from '{SF}/{name_}.parquet'")
-    cursor = db.execute(core.ORACLE_SQL[name])
+    cursor = db.execute(registry.ORACLE_SQL[name])
     columns = [c[0] for c in cursor.description]
     df = __spark_entry__.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(columns)
