@@ -1,6 +1,6 @@
 """Every registered query of the listing pipeline, with its SQL where there is one."""
 
-from . import queries, watching
+from . import queries, streams, watching
 
-QUERIES = queries.QUERIES | watching.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | watching.ORACLE_SQL
+QUERIES = queries.QUERIES | watching.QUERIES | streams.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | watching.ORACLE_SQL | streams.ORACLE_SQL

@@ -10,20 +10,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """events as offer observations: a user is an offer, an event type is an availability."""
+    events = table(spark, sf_dir, "events") if events is None else events
     kind = F.col("event_type")
     state = F.when(kind == "purchase", "in_stock").when(kind == "error", "out_of_stock").when(kind == "click", "preorder").when(kind == "signup", "coming_soon").otherwise("unknown")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("offer_id"), (F.col("user_id") % 10).alias("source_id"), F.col("ts").alias("observed_at"), F.col("value").alias("price"), state.alias("availability")
     )
 
 
-def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def operations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """events as operation events."""
+    events = table(spark, sf_dir, "events") if events is None else events
     names = F.array(*map(F.lit, ("parser", "source", "notification", "discovery", "scheduler", "worker")))
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "skipped").otherwise("success")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"), F.element_at(names, (F.col("user_id") % 6 + 1).cast("int")).alias("component"), F.concat(F.lit("s"), F.col("user_id")).alias("source_key"), status.alias("status"), F.col("ts").alias("created_at")
     )
 
