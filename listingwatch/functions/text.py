@@ -5,8 +5,12 @@ A word boundary is written with look-arounds over ASCII letters and digits, as J
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Full-width forms U+FF01-FF5E stand 0xFEE0 above ASCII; U+3000 is the wide space.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
@@ -42,6 +46,22 @@ TAX_IN = r"(?i)(税込|含稅|含税|tax included|including tax|inc\.? vat)"
 TAX_OUT = r"(?i)(税抜|稅前|未稅|未税|tax excluded|excluding tax|excl\.? vat)"
 
 
+# Dashes and curly quotes with their plain forms.
+FANCY = "‐‑‒–—―−" + "‘’“”"
+PLAIN = "-------" + "''" + '""'
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def normalize_unicode(text: Column) -> Column:
+    """NFKC, which Spark has no function for, then plain dashes and quotes. Texts of ASCII only don't go to Python."""
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.translate(F.when(other, nfkc(F.when(other, text))).otherwise(text), FANCY, PLAIN)
+
+
 def to_half_width(text: Column) -> Column:
     return F.translate(text, WIDE, NARROW)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alias_form
+from ..functions.text import alias_form, model_code
 from ..functions.urls import canonical
+from .matching import match_rules
 
 # Words of each kind of lead.
 LEADS = (
@@ -56,3 +57,35 @@ def first_posts(posts: DataFrame) -> DataFrame:
     """
     order = F.struct("posted_at", "post_id")
     return posts.withColumn("fingerprint", content_fingerprint(F.col("text"))).groupBy("fingerprint").agg(F.min_by("post_id", order).alias("post_id"), (F.count("*") - 1).alias("duplicate_count"))
+
+
+def mentions(text: Column, prefixes: tuple[str, ...] = ("BX", "UX", "CX")) -> Column:
+    """Distinct model codes that a post names; codes of one digit aren't any."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![0-9A-Za-z_])((?:{'|'.join(prefixes)})[\s_-]?[0-9]{{1,3}})(?![0-9A-Za-z_])"))
+    return F.array_distinct(F.array_compact(F.transform(found, lambda m: model_code(m, prefixes))))
+
+
+def hidden(muted: Column, excluded: Column, sensitive: Column, spam: Column, filter_sensitive: Column, filter_spam: Column) -> Column:
+    """A muted author, a term that the source excludes, or sensitive content or spam where the source filters it."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return yes(muted) | yes(excluded) | (yes(sensitive) & yes(filter_sensitive)) | ((F.round(spam, 2) >= 0.7) & yes(filter_spam))
+
+
+def post_matches(posts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule_id, post_id, confidence) where a post names a rule's model or has its keyword; the better of the two counts.
+
+    posts: (post_id, text), rules: (rule_id, keyword, mode, exclude, model). A model is an equi-join on the codes that the
+    post names and counts 0.95; a keyword counts 0.8.
+    """
+    rows = posts.select(F.col("post_id").alias("product_id"), alias_form(F.coalesce("text", F.lit(""))).alias("haystack"), F.coalesce("text", F.lit("")).alias("text"))
+    by_word = match_rules(rows.select("product_id", "haystack"), rules.where("keyword is not null")).select("rule_id", "product_id", F.lit(0.8).alias("confidence"))
+    named = rows.select("product_id", "haystack", F.explode(mentions(F.col("text"))).alias("model"))
+    by_model = named.join(rules.select("rule_id", "model", "exclude"), "model").where(F.col("exclude").isNull() | ~F.expr("contains(haystack, exclude)"))
+    both = by_word.unionByName(by_model.select("rule_id", "product_id", F.lit(0.95).alias("confidence")))
+    return both.groupBy("rule_id", F.col("product_id").alias("post_id")).agg(F.max("confidence").alias("confidence"))
+
+
+def unexpired(posts: DataFrame, now: Column) -> DataFrame:
+    """Posts within their source's retention, which is held between 7 and 365 days. posts: (fetched_at, retention_days, …)."""
+    days = F.least(F.lit(365), F.greatest(F.lit(7), F.col("retention_days")))
+    return posts.where(F.col("fetched_at") + F.make_dt_interval(days) > now)

@@ -121,3 +121,22 @@ def expire(offers: DataFrame, now: Column) -> DataFrame:
     """Fresh offers past their fresh_until (or without one) become stale and not purchasable, as of `now`."""
     over = (F.col("freshness") == "fresh") & (F.col("fresh_until").isNull() | (F.col("fresh_until") <= now))
     return offers.withColumns({"freshness": F.when(over, "stale").otherwise(F.col("freshness")), "purchasable": F.when(over, False).otherwise(F.col("purchasable"))})
+
+
+def discoveries(stable: DataFrame) -> DataFrame:
+    """One `product_discovered` a product: its first observation. stable_states' rows with a product_id."""
+    order = F.struct("observed_at", "seq")
+    first = stable.where("product_id is not null").groupBy("product_id").agg(F.min_by(F.struct("seq", "offer_id", "observed_at", "stable"), order).alias("o"))
+    return first.select("product_id", "o.seq", "o.offer_id", "o.observed_at", F.lit("product_discovered").alias("type"), F.col("o.stable").alias("to_state"))
+
+
+def failed_scan(offers: DataFrame, failures: DataFrame, most_misses: int = 3) -> DataFrame:
+    """Misses after failed scans: only `not_found` of a source with exactly one offer counts, as then the page is the offer.
+
+    offers: (source_id, offer_id, misses, freshness), failures: (source_id, error_class), one row a source.
+    """
+    only = offers.groupBy("source_id").agg((F.count("*") == 1).alias("only"))
+    gone = F.coalesce(F.col("only") & F.col("error_class").isin("not_found", "http_404", "http_410"), F.lit(False))
+    joined = offers.join(only, "source_id").join(failures.select("source_id", "error_class"), "source_id", "left").withColumn("misses", F.col("misses") + gone.cast("int"))
+    state = F.when(gone & (F.col("misses") >= most_misses), "archived").when(gone, "stale").otherwise(F.col("freshness"))
+    return joined.select("source_id", "offer_id", "misses", state.alias("freshness"), F.when(gone & (F.col("misses") >= most_misses), "http_not_found").alias("archive_reason"))

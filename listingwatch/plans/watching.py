@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import catalog, classify, frontier, matching, operations, pages, timeline, watch
+from ..operators import catalog, classify, community, frontier, identity, matching, operations, pages, timeline, watch
 from . import queries as base
 from .oracle import COOLED, EVENTS, FEED, HEALTH, METRICS, OPS, SQL, STABLE, STATE
 from .views import feed, observations, table
@@ -359,6 +359,60 @@ def o5_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).withColumn("nth", newest).where("nth <= 300").select("offer_id", "seq", "observed_at", "price", "availability")
 
 
+# --- identity, posts
+
+
+def i6_batch_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing of the feed in the order of its id; three parts share a SKU, a third of the listings has no barcode."""
+    part = F.col("part")
+    prefix = F.element_at(F.array(*map(F.lit, text.MODEL_PREFIXES)), ((part / 900).cast("int") % len(text.MODEL_PREFIXES)) + 1)
+    rows = feed(spark, sf_dir).select(
+        "listing_id", F.col("listing_id").alias("seq"), text.barcode(F.col("barcode")).alias("barcode"), F.when(F.col("source_id") % 2 == 0, text.sku(F.concat_ws("-", F.lit("P"), (part / 3).cast("long")))).alias("sku"),
+        F.concat_ws("-", prefix, part % 900 + 100).alias("model"), "brand", text.variant_key(F.col("title")).alias("variant"),
+    )
+    return identity.resolve_batch(rows)
+
+
+def i7_split_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feed(spark, sf_dir).select(F.col("listing_id").alias("offer_id"), F.col("part").alias("product_id"), "source_id")
+    splits = rows.where("product_id % 10 = 3 and (source_id % 2 = 0 or product_id % 20 = 3)").select("offer_id", (F.col("product_id") + 10_000_000).alias("new_product_id"))
+    return identity.split_products(rows.drop("source_id"), splits)
+
+
+I7 = f"""WITH {FEED}, c AS (SELECT listing_id AS offer_id, part, part % 10 = 3 AND (source_id % 2 = 0 OR part % 20 = 3) AS chosen FROM feed), p AS (SELECT *, chosen AND NOT bool_and(chosen) OVER (PARTITION BY part) AS moved FROM c)
+    SELECT offer_id, CASE WHEN moved THEN part + 10000000 ELSE part END AS product_id, moved FROM p"""
+
+HAY = r"trim(regexp_replace(replace(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')), ' - ', '-'), '[^\p{L}\p{N}-]+', ' ', 'g'))"
+
+
+def m8_post_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns against rules whose keyword is the first word of a benchmark item."""
+    item = table(spark, sf_dir, "benchmark")
+    word = F.nullif(F.element_at(F.split(text.alias_form(F.col("text")), " "), 1), F.lit(""))
+    rules = item.select(F.col("item_id").alias("rule_id"), word.alias("keyword"), F.when(F.col("item_id") % 2 == 0, "exact").otherwise("contains").alias("mode"), F.lit(None).cast("string").alias("exclude"), F.lit(None).cast("string").alias("model"))
+    posts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), "text")
+    return community.post_matches(posts, rules)
+
+
+M8 = f"""WITH r AS (SELECT item_id, string_split({HAY}, ' ')[1] AS kw FROM benchmark), p AS (SELECT conv_id * 1000 + turn AS post_id, {HAY} AS hay FROM conversations)
+    SELECT DISTINCT item_id AS rule_id, post_id, 0.8::DOUBLE AS confidence FROM p, r WHERE kw <> '' AND CASE WHEN item_id % 2 = 0 THEN list_contains(string_split(hay, ' '), kw) ELSE contains(hay, kw) END"""
+
+
+def n2_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_unicode(F.col("text")), 256).alias("sha256"))
+
+
+N2 = "SELECT doc_id, sha256(translate(nfc_normalize(text), '‐‑‒–—―−‘’“”', repeat('-', 7) || repeat(chr(39), 2) || repeat(chr(34), 2))) AS sha256 FROM documents"
+
+
+def e1_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.discoveries(base.stable(spark, sf_dir).withColumn("product_id", F.col("offer_id") % 40))
+
+
+E1 = """SELECT user_id % 40 AS product_id, arg_min(event_id, (ts, event_id)) AS seq, arg_min(user_id, (ts, event_id)) AS offer_id, min(ts) AS observed_at, 'product_discovered' AS type,
+    arg_min(CASE event_type WHEN 'purchase' THEN 'in_stock' WHEN 'error' THEN 'out_of_stock' WHEN 'click' THEN 'preorder' WHEN 'signup' THEN 'coming_soon' ELSE 'unknown' END, (ts, event_id)) AS to_state FROM events GROUP BY 1"""
+
+
 PAIRS = [
     (w5_match_table, W5), (w7_alerts, W7), (a1_stale_events, A1), (a3_outbox, A3),
     (a3_completed, f"SELECT dedup_key, count(*) FILTER (state IN ('queued', 'retry')) AS open, count(*) FILTER (state IN ('queued', 'retry')) = 0 AS done FROM ({A3}) GROUP BY dedup_key"),
@@ -372,7 +426,8 @@ PAIRS = [
     (r2_product_board, f"WITH {FEED} SELECT part, count(*) AS offers, min(model) AS model, min(price) AS lowest FROM feed GROUP BY part ORDER BY offers DESC, part LIMIT 200"),
     (r4_sources, f"WITH {FEED} SELECT s_suppkey AS source_id, s_name, count(listing_id) AS offers, count(barcode) AS with_barcode FROM supplier LEFT JOIN feed ON source_id = s_suppkey GROUP BY ALL"),
     (r5_product_offers, f"WITH {FEED} SELECT part, listing_id, s_name, price FROM feed JOIN supplier ON s_suppkey = source_id"),
-    (o5_timeline, f"WITH {STABLE.split(', numbered')[0]} SELECT offer_id, seq, observed_at, price, availability FROM obs QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, seq DESC) <= 300"),
+    (i7_split_products, I7), (m8_post_matches, M8), (e1_discoveries, E1), (n2_unicode, N2),
+    (i6_batch_resolution, None), (o5_timeline, f"WITH {STABLE.split(', numbered')[0]} SELECT offer_id, seq, observed_at, price, availability FROM obs QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, seq DESC) <= 300"),
 ]
 QUERIES = {f.__name__: f for f, _ in PAIRS}
-ORACLE_SQL = {f.__name__: sql for f, sql in PAIRS}
+ORACLE_SQL = {f.__name__: sql for f, sql in PAIRS if sql}

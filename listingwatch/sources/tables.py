@@ -40,3 +40,16 @@ def posts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def append_observations(observations: DataFrame, path: str) -> None:
     """Appends raw observations, partitioned by day."""
     observations.withColumn("day", F.to_date("observed_at")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def sync_registry(known: DataFrame, defined: DataFrame) -> DataFrame:
+    """Sources after a new set of definitions: defined ones are set, managed ones that are gone are switched off, others stay.
+
+    known: (source_key, managed, enabled, settings map), defined: (source_key, settings), one row a key. Settings named like
+    secrets are dropped.
+    """
+    new = defined.select("source_key", F.map_filter("settings", lambda k, _: ~F.lower(k).rlike("token|secret|webhook|password|api_?key")).alias("now"), F.lit(True).alias("is_defined"))
+    joined = known.join(new, "source_key", "full")
+    here = F.coalesce("is_defined", F.lit(False))
+    enabled = F.when(here, F.coalesce("enabled", F.lit(True))).otherwise(F.col("enabled") & ~F.col("managed"))
+    return joined.select("source_key", F.when(here, True).otherwise(F.col("managed")).alias("managed"), enabled.alias("enabled"), F.coalesce("now", "settings").alias("settings"))

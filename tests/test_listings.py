@@ -121,7 +121,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for name_ in ("events", "lineitem", "orders", "supplier", "part", "pages", "documents", "conversations"):
+    for name_ in ("events", "lineitem", "orders", "supplier", "part", "pages", "documents", "conversations", "benchmark"):
         db.execute(f"create view {name_} as select * from '{SF}/{name_}.parquet'")
     cursor = db.execute(registry.ORACLE_SQL[name])
     columns = [c[0] for c in cursor.description]

@@ -1,10 +1,12 @@
 """Watching, catalog, pages, frontier and operations on hand-made rows."""
 
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from listingwatch.operators import catalog, frontier, operations, pages, watch
+from listingwatch.functions import text
+from listingwatch.operators import catalog, community, frontier, identity, operations, pages, timeline, watch
 from listingwatch.sources import tables
 
 
@@ -107,3 +109,90 @@ def test_sources(spark, tmp_path):
     for _ in range(2):
         tables.append_observations(obs, str(tmp_path / "obs"))
     assert spark.read.parquet(str(tmp_path / "obs")).count() == 2
+
+
+def fold_globally(listings):
+    """The sequential rule over all listings at once."""
+    products, out = [], {}
+    ok = lambda a, b: a is None or b is None or a.lower() == b.lower()
+    for i, barcode, sku, model, brand, variant in listings:
+        hit = None
+        if barcode:
+            hit = next(((p, "barcode") for p in products if p["barcode"] == barcode), None)
+        if not hit and sku:
+            c = [p for p in products if p["sku"] == sku and ok(p["model"], model) and ok(p["brand"], brand)]
+            hit = (c[0], "sku") if len(c) == 1 else None
+        if not hit and model:
+            c = [p for p in products if p["model"] == model and p["variant"] == variant and ok(p["sku"], sku)]
+            if len(c) == 1:
+                hit = (c[0], "model") if ok(c[0]["brand"], brand) else None
+            elif brand:
+                c = [p for p in c if ok(p["brand"], brand)]
+                hit = (c[0], "model") if len(c) == 1 else None
+        if hit:
+            p, how = hit
+            for field, value in (("barcode", barcode), ("sku", sku), ("model", model), ("brand", brand), ("variant", variant)):
+                if p[field] is None:
+                    p[field] = value
+        else:
+            p, how = {"id": i, "barcode": barcode, "sku": sku, "model": model, "brand": brand, "variant": variant}, None
+            products.append(p)
+        out[i] = (p["id"], how)
+    return out
+
+
+def test_batch_resolution_equals_the_sequence(spark):
+    rng = random.Random(11)
+    pick = lambda values, null: rng.choice(values) if rng.random() > null else None
+    listings = [(i, pick([f"b{k}" for k in range(60)], 0.6), pick([f"s{k}" for k in range(90)], 0.5), pick([f"BX-{k}" for k in range(120)], 0.4), pick(("A", "a", "B"), 0.4), pick(("red", "blue"), 0.6)) for i in range(700)]
+    df = spark.createDataFrame([(r[0], *r) for r in listings], "seq int, listing_id long, barcode string, sku string, model string, brand string, variant string")
+    out = {r.listing_id: (r.product_id, r.matched_by) for r in identity.resolve_batch(df.repartition(5)).collect()}
+    assert out == fold_globally(listings)
+    assert identity.resolve_batch(df.where("false")).count() == 0
+
+
+def test_split(spark):
+    offers = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9)], "offer_id int, product_id int")
+    splits = spark.createDataFrame([(2, 70), (3, 80)], "offer_id int, new_product_id int")
+    assert rows(identity.split_products(offers, splits), "offer_id", "product_id", "moved") == [(1, 7, False), (2, 70, True), (3, 8, False), (4, 9, False)]
+
+
+def test_rules_backfill_boost(spark):
+    rules = spark.createDataFrame([(1, "a", "odd", None, None), (2, "(", "regex", None, None), (3, "x" * 121, "regex", None, None), (4, None, "exact", None, ""), (5, "a+", "regex", None, None), (6, None, None, "BX-01", None)], "rule_id int, keyword string, mode string, model string, barcode string")
+    assert rows(watch.valid_rules(rules), "rule_id", "mode", "valid") == [(1, "exact", True), (2, "regex", False), (3, "regex", False), (4, "exact", False), (5, "regex", True), (6, "exact", True)]
+    offers = spark.createDataFrame([(1, 7, "in_stock", "fresh", 1), (2, 7, "preorder", "fresh", 2), (3, 7, "in_stock", "archived", 3), (4, 8, "in_stock", "stale", 1)], "offer_id int, product_id int, state string, freshness string, last_seen int")
+    matches = spark.createDataFrame([(1, 7), (1, 8), (2, 7)], "rule_id int, product_id int")
+    assert rows(watch.backfill(rules.where("rule_id = 1"), offers, matches), "rule_id", "product_id", "offer_id", "state") == [(1, 7, 2, "preorder")]
+    candidates = spark.createDataFrame([(7, 0.45), (9, 0.9)], "candidate_id int, confidence double")
+    hits = spark.createDataFrame([(5, 7), (3, 7)], "rule_id int, candidate_id int")
+    assert rows(watch.boost(candidates, hits), "candidate_id", "confidence", "rule_id") == [(7, 0.65, 3), (9, 0.9, None)]
+
+
+def test_posts(spark):
+    df = spark.createDataFrame([(1, "BX_38 and ux-01, BX 38"), (2, "CX-1"), (3, None)], "post_id int, text string")
+    assert [r[0] for r in df.orderBy("post_id").select(community.mentions(F.col("text"))).collect()] == [["UX-01", "BX-38"], [], None]
+    rules = spark.createDataFrame([(1, "and", "exact", None, "UX-01"), (2, None, "exact", "bx", "BX-38"), (3, "x-1", "contains", None, None)], "rule_id int, keyword string, mode string, exclude string, model string")
+    assert rows(community.post_matches(df, rules), "rule_id", "post_id", "confidence") == [(1, 1, 0.95), (3, 2, 0.8)]
+    flags = spark.createDataFrame([(True, None, None, 0.0, True, True), (None, False, True, 0.0, False, True), (False, False, True, 0.0, True, True), (False, False, False, 0.7, True, True), (False, False, False, 0.7, True, False)], "m boolean, e boolean, s boolean, p double, fs boolean, fp boolean")
+    assert [r[0] for r in flags.select(community.hidden(*map(F.col, flags.columns))).collect()] == [True, False, True, True, False]
+    posts = spark.createDataFrame([(datetime(2024, 1, 1), 1), (datetime(2024, 1, 1), 30)], "fetched_at timestamp_ntz, retention_days int")
+    assert rows(community.unexpired(posts, F.expr("timestamp_ntz'2024-01-09'")), "retention_days") == [(30,)]
+
+
+def test_unicode(spark):
+    df = spark.createDataFrame([("ﬁ１—“x”",), ("plain",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(text.normalize_unicode(F.col("t"))).collect()] == ['fi1-"x"', "plain", None, ""]
+
+
+def test_failed_scan_and_registry(spark):
+    offers = spark.createDataFrame([(1, 10, 2, "stale"), (2, 20, 0, "fresh"), (2, 21, 0, "fresh"), (3, 30, 0, "fresh"), (4, 40, 0, "fresh")], "source_id int, offer_id int, misses int, freshness string")
+    failures = spark.createDataFrame([(1, "http_404"), (2, "http_404"), (3, "timeout"), (4, "not_found")], "source_id int, error_class string")
+    assert rows(timeline.failed_scan(offers, failures), "offer_id", "misses", "freshness", "archive_reason") == [(10, 3, "archived", "http_not_found"), (20, 0, "fresh", None), (21, 0, "fresh", None), (30, 0, "fresh", None), (40, 1, "stale", None)]
+    known = spark.createDataFrame([("a", True, True, {"x": "1"}), ("b", False, True, {}), ("c", True, True, {})], "source_key string, managed boolean, enabled boolean, settings map<string,string>")
+    defined = spark.createDataFrame([("c", {"ApiKey": "s", "path": "/"}), ("d", {})], "source_key string, settings map<string,string>")
+    assert rows(tables.sync_registry(known, defined), "source_key", "managed", "enabled", "settings") == [("a", True, False, {"x": "1"}), ("b", False, True, {}), ("c", True, True, {"path": "/"}), ("d", True, True, {})]
+
+
+def test_discoveries(spark):
+    df = spark.createDataFrame([(1, 5, 1, datetime(2024, 1, 2), "in_stock"), (2, 6, 1, datetime(2024, 1, 1), "preorder"), (3, 7, None, datetime(2024, 1, 1), "unknown")], "seq int, offer_id int, product_id int, observed_at timestamp_ntz, stable string")
+    assert rows(timeline.discoveries(df), "product_id", "seq", "offer_id", "to_state") == [(1, 2, 6, "preorder")]
