@@ -79,3 +79,24 @@ def latest_decisions(decisions: DataFrame, *keys: str) -> DataFrame:
 def decide(queue: DataFrame, decisions: DataFrame, *keys: str) -> DataFrame:
     """The queue with each row's status: the decision that holds, else pending."""
     return queue.join(latest_decisions(decisions, *keys), list(keys), "left").withColumn("status", F.coalesce("decision", F.lit("pending"))).drop("decision")
+
+
+def backfill(products: DataFrame, links: DataFrame, offers: DataFrame) -> DataFrame:
+    """(product_id, model, offer_id) of products with a model and no link: their newest offer gives the catalog's fields.
+
+    products: (product_id, model), links: (product_id), offers: (offer_id, product_id, last_seen).
+    """
+    newest = offers.groupBy("product_id").agg(F.max_by("offer_id", F.struct("last_seen", "offer_id")).alias("offer_id"))
+    return products.where("model is not null").join(links.select("product_id"), "product_id", "left_anti").join(newest, "product_id").select("product_id", "model", "offer_id")
+
+
+def source_classes(sources: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adds `source_class`: the registry's by site, else retailer. registry: (site, source_class), one row a site."""
+    known = registry.groupBy("site").agg(F.min("source_class").alias("source_class"))
+    return sources.join(known, "site", "left").withColumn("source_class", F.coalesce("source_class", F.lit("retailer")))
+
+
+def unidentified(listings: DataFrame, words: str) -> DataFrame:
+    """Listings whose title has a word of the watched kind but that have no model, as terms for `term_queue`."""
+    rows = listings.where(F.col("model").isNull() & F.col("title").rlike(f"(?iu){words}"))
+    return rows.select("seq", F.lit("catalog_identity").alias("kind"), F.col("title").alias("raw"), "locale", F.lit(None).cast("string").alias("suggestion"))

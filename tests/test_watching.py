@@ -196,3 +196,13 @@ def test_failed_scan_and_registry(spark):
 def test_discoveries(spark):
     df = spark.createDataFrame([(1, 5, 1, datetime(2024, 1, 2), "in_stock"), (2, 6, 1, datetime(2024, 1, 1), "preorder"), (3, 7, None, datetime(2024, 1, 1), "unknown")], "seq int, offer_id int, product_id int, observed_at timestamp_ntz, stable string")
     assert rows(timeline.discoveries(df), "product_id", "seq", "offer_id", "to_state") == [(1, 2, 6, "preorder")]
+
+
+def test_catalog_backfill(spark):
+    products = spark.createDataFrame([(1, "BX-01"), (2, None), (3, "BX-03"), (4, "BX-04")], "product_id int, model string")
+    offers = spark.createDataFrame([(10, 1, 5), (11, 1, 5), (12, 1, 4), (13, 3, 1)], "offer_id int, product_id int, last_seen int")
+    assert rows(catalog.backfill(products, spark.createDataFrame([(3,)], "product_id int"), offers), "product_id", "offer_id") == [(1, 11)]
+    sources = spark.createDataFrame([("a.com",), ("b.com",), (None,)], "site string")
+    assert rows(catalog.source_classes(sources, spark.createDataFrame([("a.com", "official")], "site string, source_class string")), "site", "source_class") == [("a.com", "official"), ("b.com", "retailer"), (None, "retailer")]
+    listings = spark.createDataFrame([(1, None, "Ring  thing", "en"), (2, None, "ring thing", "en"), (3, "BX-01", "ring", "en"), (4, None, "other", "en")], "seq int, model string, title string, locale string")
+    assert rows(catalog.term_queue(catalog.unidentified(listings, "ring")), "kind", "term", "occurrences") == [("catalog_identity", "ring thing", 2)]
