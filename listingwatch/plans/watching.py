@@ -431,3 +431,6 @@ PAIRS = [
 ]
 QUERIES = {f.__name__: f for f, _ in PAIRS}
 ORACLE_SQL = {f.__name__: sql for f, sql in PAIRS if sql}
+
+BARE = r"""regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://[^\s<>"'']+', ' ', 'g'), '^\s*RT\s+@[^:\s]+:\s*', ''), '#[^\s#]+', ' ', 'g')"""
+ORACLE_SQL["m2_first_posts"] = f"SELECT min(doc_id) AS post_id, count(*) - 1 AS duplicate_count FROM documents GROUP BY {HAY.replace("coalesce(text, '')", BARE)}"
