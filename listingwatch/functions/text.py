@@ -142,6 +142,16 @@ def release_date(text: Column) -> Column:
     return F.when(parts[0] != "", F.try_to_date(iso, "yyyy-MM-dd"))
 
 
+def date_time(text: Column, offset: str = "+00:00") -> Column:
+    """A moment written as Y/M/D H:M[:S], with dots or hyphens too, at the given offset; or ISO 8601. Else null."""
+    plain = F.trim(to_half_width(text))
+    local = r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})[ T](\d{1,2}):(\d{2})(?::(\d{2}))?$"
+    part = lambda i: F.lpad(F.coalesce(F.nullif(F.regexp_extract(plain, local, i), F.lit("")), F.lit("0")), 2, "0")
+    written = F.concat(F.regexp_extract(plain, local, 1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), part(4), F.lit(":"), part(5), F.lit(":"), part(6), F.lit(offset))
+    iso = F.when(plain.rlike(local), written).when(plain.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}.*)?$"), plain)
+    return F.to_utc_timestamp(F.try_to_timestamp(iso), F.current_timezone()).cast("timestamp_ntz")
+
+
 def terms(text: Column, most: int = 20) -> Column:
     """Comma-separated terms, squeezed, distinct, at most `most` of them."""
     split = F.transform(F.split(text, ","), squeeze)

@@ -87,3 +87,14 @@ def hint_score(url: Column, text: Column, brand: str, model: str, include: tuple
     for hit, points in rules:
         score = score + F.when(hit, points).otherwise(0)
     return score
+
+
+def source_key(domain: Column) -> Column:
+    """A domain as a key: letters and digits with single hyphens between, at most 60 characters."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(domain), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 60)
+
+
+def display_name(domain: Column) -> Column:
+    """A domain's first label with a capital; the domain itself if that label is empty."""
+    label = F.coalesce(F.nullif(F.substring_index(domain, ".", 1), F.lit("")), domain)
+    return F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 2**31 - 1))

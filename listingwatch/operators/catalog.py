@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alias_form
+from ..functions.text import alias_form, squeeze
 
 # Model prefixes of the newest generation.
 GENERATION_X = ("BX", "UX", "CX")
@@ -100,3 +100,66 @@ def unidentified(listings: DataFrame, words: str) -> DataFrame:
     """Listings whose title has a word of the watched kind but that have no model, as terms for `term_queue`."""
     rows = listings.where(F.col("model").isNull() & F.col("title").rlike(f"(?iu){words}"))
     return rows.select("seq", F.lit("catalog_identity").alias("kind"), F.col("title").alias("raw"), "locale", F.lit(None).cast("string").alias("suggestion"))
+
+
+# How sure a shop's and a maker's own page make an entry.
+SHOP_CONFIDENCE = 0.85
+MAKER_CONFIDENCE = 0.98
+
+
+def sticky_verified(status: str) -> Column:
+    """verified once any row said so; else what the newest row says. Within a groupBy of rows with seq."""
+    return F.when(F.bool_or(F.col(status) == "verified"), "verified").otherwise(F.max_by(status, "seq")).alias(status)
+
+
+def evidence(rows: DataFrame) -> DataFrame:
+    """One row a model and url: newest class and locale, highest confidence, sticky verification.
+
+    rows: (seq, model, url, source_class, locale, verification).
+    """
+    sure = F.when(F.col("source_class") == "official_store", MAKER_CONFIDENCE).otherwise(SHOP_CONFIDENCE)
+    return rows.where("model is not null and url is not null").groupBy("model", "url").agg(
+        F.max_by("source_class", "seq").alias("source_class"), F.max_by("locale", "seq").alias("locale"), F.max(sure).alias("confidence"), sticky_verified("verification")
+    )
+
+
+def parts(rows: DataFrame, part_types: tuple[str, ...]) -> DataFrame:
+    """One row a part: (part_type, code, name) with its verification. rows: (seq, part_type, code, name, verification).
+
+    Rows of another type or with a blank name aren't parts. A blank code is none, and parts without a code are one by name.
+    """
+    named = rows.withColumns({"name": squeeze(F.col("name")), "code": F.nullif(squeeze(F.col("code")), F.lit(""))})
+    return named.where(F.col("part_type").isin(*part_types) & (F.col("name") != "")).groupBy("part_type", "code", "name").agg(sticky_verified("verification"))
+
+
+def product_parts(links: DataFrame) -> DataFrame:
+    """One row a (model, part_id): newest quantity, at least 1, and position. links: (seq, model, part_id, quantity, position)."""
+    newest = links.groupBy("model", "part_id").agg(F.max_by(F.struct("quantity", "position"), "seq").alias("l"))
+    return newest.select("model", "part_id", F.greatest(F.lit(1), F.coalesce("l.quantity", F.lit(1))).alias("quantity"), "l.position")
+
+
+def announcements(items: DataFrame) -> DataFrame:
+    """One row a (source_id, url, event_type) of official items with a code: as last told, but published when first told.
+
+    items: (seq, source_id, url, model, title, event_type, published_at, msrp). An item without a type is `announced`.
+    """
+    rows = items.where("model is not null and trim(title) <> ''").withColumn("event_type", F.coalesce("event_type", F.lit("announced")))
+    last = F.max_by(F.struct("model", "title", "msrp"), "seq").alias("last")
+    found = rows.groupBy("source_id", "url", "event_type").agg(F.min("seq").alias("announcement_id"), last, F.min_by("published_at", "seq").alias("published_at"))
+    return found.select("announcement_id", "source_id", "url", "event_type", "last.*", "published_at")
+
+
+def exclusions_listed(log: DataFrame, decisions: DataFrame, sources: DataFrame, status: str | None = None, n: int = 200) -> DataFrame:
+    """The n exclusions seen last, with their decision and the source's name; all, or those of one status.
+
+    log: `exclusion_log`'s rows, decisions: (source_id, url, reason, decision, seq), sources: (source_id, source_name).
+    """
+    rows = decide(log, decisions, "source_id", "url", "reason")
+    rows = rows if status is None else rows.where(F.col("status") == status)
+    return rows.join(sources, "source_id").orderBy(F.desc("last_seen"), "source_id", "url", "reason").limit(n)
+
+
+def official_sources_listed(sources: DataFrame, found: DataFrame) -> DataFrame:
+    """Official sources with the number of their announcements."""
+    counts = found.groupBy("source_id").agg(F.count("*").alias("announcements"))
+    return sources.join(counts, "source_id", "left").withColumn("announcements", F.coalesce("announcements", F.lit(0)))

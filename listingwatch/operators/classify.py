@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import AFTER, BEFORE, locale_of, to_half_width
+from ..functions.text import AFTER, BEFORE, alias_form, locale_of, to_half_width
 
 # Schema.org availability, terms by state and language in the order they are tried, exclusions.
 SCHEMA = {
@@ -85,3 +85,23 @@ def candidate_confidence(title: Column, model: Column, hay: Column, structured:
     for hit, p in points:
         score = score + F.when(hit, p).otherwise(0.0)
     return F.when(F.coalesce(title, F.lit("")) != "", F.round(F.least(F.lit(0.99), score), 2)).otherwise(0.0)
+
+
+def with_allowed(listings: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Adds `is_allowed`: the exclusion rules don't hold for this (source_id, url), as a reviewer said."""
+    known = allowed.select("source_id", "url").distinct().withColumn("is_allowed", F.lit(True))
+    return listings.join(known, ["source_id", "url"], "left").withColumn("is_allowed", F.coalesce("is_allowed", F.lit(False)))
+
+
+def reviewed_states(listings: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Adds `override_state` and `override_term`: the longest reviewed term that the folded text holds, ties by term.
+
+    listings: (listing_id, stated, …), overrides: (term, state), folded. Each distinct text is compared once. Spark broadcasts
+    the terms only if their size allows; the terms of a text are aggregated as they come, so none are gathered.
+    """
+    folded = alias_form(F.col("stated"))
+    texts = listings.select("stated").where("stated is not null").distinct().withColumn("hay", folded)
+    terms = overrides.where("term <> ''").groupBy("term").agg(F.max("state").alias("override_state"))
+    longest = F.max_by(F.struct("override_state", "term"), F.struct(F.length("term"), "term"))
+    hits = texts.join(terms, F.col("hay").contains(F.col("term"))).groupBy("stated").agg(longest.alias("o")).select("stated", "o.override_state", F.col("o.term").alias("override_term"))
+    return listings.join(hits, "stated", "left")

@@ -89,3 +89,19 @@ def unexpired(posts: DataFrame, now: Column) -> DataFrame:
     """Posts within their source's retention, which is held between 7 and 365 days. posts: (fetched_at, retention_days, …)."""
     days = F.least(F.lit(365), F.greatest(F.lit(7), F.col("retention_days")))
     return posts.where(F.col("fetched_at") + F.make_dt_interval(days) > now)
+
+
+def source_counts(sources: DataFrame, posts: DataFrame) -> DataFrame:
+    """Sources with the number of their posts and of hidden ones. posts: (source_id, hidden)."""
+    counts = posts.groupBy("source_id").agg(F.count("*").alias("posts"), F.count_if("hidden").alias("hidden_posts"))
+    return sources.join(counts, "source_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("posts", "hidden_posts")})
+
+
+def visible_posts(posts: DataFrame, matches: DataFrame, n: int = 100) -> DataFrame:
+    """The newest n (500 at most) posts that aren't hidden, with links and the rules they match, sorted.
+
+    posts: (post_id, posted_at, text, hidden), matches: (rule_id, post_id). Only the rows of the report meet the matches.
+    """
+    shown = posts.where(~F.coalesce("hidden", F.lit(False))).orderBy(F.desc("posted_at"), F.desc("post_id")).limit(min(500, max(1, n)))
+    rules = matches.join(F.broadcast(shown.select("post_id")), "post_id").groupBy("post_id").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))  # at most 500 ids
+    return shown.join(rules, "post_id", "left").select("post_id", "posted_at", links(F.col("text")).alias("links"), F.coalesce("rules", F.array().cast("array<bigint>")).alias("rules"))

@@ -56,3 +56,35 @@ def merge_products(products: DataFrame, merges: DataFrame, columns: list[str]) -
     best = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
     rows = placed.withColumn("kept_id", F.coalesce("target", "product_id"))
     return rows.groupBy("kept_id").agg(*map(best, columns), F.count("*").alias("merged")).withColumnRenamed("kept_id", "product_id")
+
+
+def merge_audit(products: DataFrame, merges: DataFrame, columns: list[str]) -> DataFrame:
+    """One audit row a merged product: its target, its fields as they were, and the target's before and after."""
+    targets = merge_targets(merges).withColumnRenamed("target", "target_id")
+    was = products.select(F.col("product_id").alias("source"), F.struct(*columns).alias("source_before"))
+    had = products.select(F.col("product_id").alias("target_id"), F.struct(*columns).alias("target_before"))
+    has = merge_products(products, merges, columns).select(F.col("product_id").alias("target_id"), F.struct(*columns).alias("target_after"))
+    return targets.join(was, "source").join(had, "target_id", "left").join(has, "target_id").select(F.lit("merge").alias("action"), "source", "target_id", "source_before", "target_before", "target_after")
+
+
+def walk(seeds: DataFrame, links: DataFrame, sitemaps: DataFrame, most_depth: int) -> DataFrame:
+    """(page_id, depth, method, priority) of a walk that also reads sitemaps: each page as it was first found, and best.
+
+    seeds: (page_id), links: (page_id, target, score), sitemaps: (page_id, score) of the pages that sitemaps name. A sitemap's
+    page counts if its score is 20 or more, at depth 1 as if a seed linked to it. A page found in more than one way at its
+    smallest depth takes the highest priority, and its method. Seeds have priority 100. Links of 10 or more are followed.
+    """
+    best = lambda rows: rows.groupBy("page_id").agg(F.max_by("method", F.struct("priority", "method")).alias("method"), F.max("priority").cast("int").alias("priority"))
+    start = seeds.select("page_id").distinct().withColumns({"depth": F.lit(0), "method": F.lit("seed"), "priority": F.lit(100)})
+    visited = newest = cut(start, "walk")
+    good = links.where("score >= 10").groupBy("page_id", "target").agg(F.max("score").alias("score"))
+    for depth in range(1, most_depth + 1):
+        found = newest.select("page_id").join(good, "page_id").select(F.col("target").alias("page_id"), "score", F.lit("link").alias("method"))
+        if depth == 1:
+            found = found.unionByName(sitemaps.where("score >= 20").select("page_id", "score", F.lit("sitemap").alias("method")))
+        fresh = best(priorities(found)).join(visited.select("page_id"), "page_id", "left_anti")
+        newest = cut(fresh.select("page_id", F.lit(depth).alias("depth"), "method", "priority"), "walk")
+        if newest.isEmpty():
+            break
+        visited = visited.unionByName(newest)
+    return visited

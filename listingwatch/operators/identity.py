@@ -115,3 +115,23 @@ def split_products(offers: DataFrame, splits: DataFrame) -> DataFrame:
     proper = chosen.groupBy("product_id").agg((F.count_if(F.col("new_product_id").isNull()) > 0).alias("proper"))
     joined = chosen.join(proper, "product_id")
     return joined.select("offer_id", F.when(F.col("proper"), F.coalesce("new_product_id", "product_id")).otherwise(F.col("product_id")).alias("product_id"), (F.col("proper") & F.col("new_product_id").isNotNull()).alias("moved"))
+
+
+def split_audit(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One audit row a (product, new product) of a split: how many offers the old one had and has, how many went.
+
+    before: (offer_id, product_id), after: `split_products`' rows. The ids themselves are the rows of `after` that moved; a
+    product may have any number of them, so they are counted, not gathered.
+    """
+    had = before.groupBy("product_id").agg(F.count("*").alias("offers_before"))
+    went = after.where("moved").withColumnRenamed("product_id", "new_product_id").join(before, "offer_id")
+    went = went.groupBy("product_id", "new_product_id").agg(F.count("*").alias("moved_offers"), F.min("offer_id").alias("first_offer"), F.max("offer_id").alias("last_offer"))
+    total = went.groupBy("product_id").agg(F.sum("moved_offers").alias("all_moved"))
+    joined = went.join(had, "product_id").join(total, "product_id")
+    return joined.select(F.lit("split").alias("action"), "product_id", "new_product_id", "offers_before", (F.col("offers_before") - F.col("all_moved")).alias("offers_after"), "moved_offers", "first_offer", "last_offer")
+
+
+def catalog_links_after(links: DataFrame, audit: DataFrame) -> DataFrame:
+    """Catalog links with copies for the products that splits made. links: (product_id, model)."""
+    copies = links.join(audit.select("product_id", "new_product_id").distinct(), "product_id").select(F.col("new_product_id").alias("product_id"), "model")
+    return links.select("product_id", "model").unionByName(copies)

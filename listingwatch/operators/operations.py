@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ERROR_CLASSES, error_class
+
 
 def parser_outcomes(scans: DataFrame) -> DataFrame:
     """status and error_class of each scan. scans: (source_id, scan_id, pages, parsed, valid, invalid, bad_pages, maintenance).
@@ -85,3 +87,50 @@ def safe_diagnostics(ops: DataFrame, redact, n: int = 50) -> DataFrame:
     """The newest n failures with their free text redacted. ops: (seq, component, source_key, created_at, detail, status)."""
     failed = ops.where("status = 'failed'").orderBy(F.desc("created_at"), F.desc("seq")).limit(n)
     return failed.select("seq", "component", "source_key", "created_at", redact(F.col("detail")).alias("detail"))
+
+
+# Parts of the system and what they do; outcomes; error labels that aren't derived from a text.
+ACTIONS = {
+    "source": ("monitor", "crawl", "refresh"),
+    "parser": ("extract",),
+    "notification": ("send",),
+    "update": ("check", "check_available", "defer", "resume", "apply", "install", "rollback_accepted", "rollback_running", "rollback_succeeded", "rollback_failed"),
+    "discovery": ("scan", "candidate"),
+    "monitor": ("run", "enqueue"),
+}
+STATUSES = ("success", "failed", "skipped")
+LABELS = ("unknown", "no_url", "maintenance", "empty", "partial", "error", *(label for _, label in ERROR_CLASSES))
+COUNTS = ("valid_count", "invalid_count", "failed_count", "page_count", "page_failed_count")
+MOST_COUNT = 1_000_000
+DAY_MS = 86_400_000
+
+
+def one_of(value: Column, allowed: tuple[str, ...], otherwise: str) -> Column:
+    return F.when(value.isin(*allowed), value).otherwise(otherwise)
+
+
+def operation_events(raw: DataFrame) -> DataFrame:
+    """Operation events of which nothing is left that could carry a secret: every text is a known label or null.
+
+    raw: (seq, component, operation, source_key, status, error, duration_ms, created_at and COUNTS). An unknown component
+    is `monitor`, an unknown status `skipped`, an operation that its component doesn't have `other`. An error that is a
+    known label stays, any other text becomes its class; a failure without one is `error`. Counts and durations are clamped.
+    """
+    component, status = one_of(F.col("component"), tuple(ACTIONS), "monitor"), one_of(F.col("status"), STATUSES, "skipped")
+    operation = F.lit("other")
+    for name, actions in ACTIONS.items():
+        operation = F.when((component == name) & F.col("operation").isin(*actions), F.col("operation")).otherwise(operation)
+    opaque = F.col("source_key").rlike("^[A-Za-z0-9][A-Za-z0-9_.:-]{0,63}$") & ~F.col("source_key").rlike("(?i)^(https?|ftp):|token|secret|password|credential|api[_-]?key")
+    said = F.nullif("error", F.lit(""))
+    label = F.when(said.isNull(), None).when(said.isin(*LABELS) | said.rlike(r"^http_\d{3}$"), said).otherwise(error_class(said))
+    clamp = lambda c, most: F.least(F.lit(most), F.greatest(F.lit(0), F.col(c)))
+    return raw.select(
+        "seq", component.alias("component"), operation.alias("operation"), F.when(opaque, F.col("source_key")).alias("source_key"), status.alias("status"),
+        F.coalesce(label, F.when(status == "failed", "error")).alias("error_class"), F.when(F.col("duration_ms").isNotNull(), clamp("duration_ms", DAY_MS)).alias("duration_ms"),
+        *[F.coalesce(F.when(F.col(c).isNotNull(), clamp(c, MOST_COUNT)), F.lit(0)).alias(c) for c in COUNTS], "created_at",
+    )
+
+
+def recent_events(events: DataFrame, n: int = 50) -> DataFrame:
+    """The newest n (500 at most) operation events."""
+    return keep_newest(events, min(500, max(1, n)), "seq")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls
 
-PRODUCT = ("title", "brand", "barcode", "sku", "release_date", "price", "currency", "availability_raw")
+PRODUCT = ("title", "brand", "barcode", "sku", "release_date", "price", "currency", "availability_raw", "description")
 BLOCK = re.compile(r"<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>", re.I | re.S)
 # Barcode fields, best first; what an outage page says; search fields.
 BARCODES = ("gtin13", "gtin", "gtin12", "gtin14", "gtin8")
@@ -62,7 +63,7 @@ def product_of(html: str | None) -> tuple:
         if found:
             brand = found.get("brand")
             brand = brand.get("name") if isinstance(brand, dict) else brand
-            fields = (found.get("name"), brand, pick(found, *BARCODES), pick(found, "sku", "mpn"), found.get("releaseDate"), *offer_fields(found.get("offers")))
+            fields = (found.get("name"), brand, pick(found, *BARCODES), pick(found, "sku", "mpn"), found.get("releaseDate"), *offer_fields(found.get("offers")), found.get("description"))
             return tuple(None if f is None else f if isinstance(f, str) else json.dumps(f, ensure_ascii=False) for f in fields)
     return (None,) * len(PRODUCT)
 
@@ -167,3 +168,104 @@ def robots_allowed(links: DataFrame, rules: DataFrame) -> DataFrame:
     hits = asked.join(rated, "host").where(F.expr("path rlike regex"))
     verdict = hits.groupBy("url").agg(F.max_by("allow", F.struct("length", "allow")).alias("allow"))
     return links.join(verdict, "url", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+
+
+# Elements without an end.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+STEP = re.compile(r"([#.]?[\w-]+)|\[\s*([\w-]+)\s*(?:=\s*[\"']?([^\]\"']*)[\"']?\s*)?\]")
+SELECTED = ("title", "price", "currency", "availability_text", "image", "buy_button")
+
+
+def fits(step: str, tag: str, attrs: dict) -> bool:
+    """Whether an element fits one step of a selector: tag, #id, .class, [attribute] and [attribute=value], in any mix."""
+    for name, attribute, value in STEP.findall(step):
+        if attribute:
+            if attribute not in attrs or (value and attrs[attribute] != value):
+                return False
+        elif name[0] == "#" and attrs.get("id") != name[1:] or name[0] == "." and name[1:] not in (attrs.get("class") or "").split() or name[0] not in "#." and name.lower() != tag:
+            return False
+    return True
+
+
+class Selected(HTMLParser):
+    """The text or address of the first element that each selector of a recipe fits; for buttons, whether one is enabled."""
+
+    def __init__(self, recipe: dict):
+        super().__init__(convert_charrefs=True)
+        self.recipe = {n: [one.split() for one in s.split(",") if one.strip()] for n, s in recipe.items() if s and n in SELECTED}
+        self.open, self.found, self.reading = [], {}, {}
+
+    def chosen(self, paths: list) -> bool:
+        """Whether the innermost open element ends a path whose other steps fit elements around it, in order."""
+        for path in paths:
+            *outer, last = path
+            around = iter(self.open[:-1])
+            if fits(last, *self.open[-1]) and all(any(fits(step, *e) for e in around) for step in outer):
+                return True
+        return False
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        self.open.append((tag, attrs))
+        for name, paths in self.recipe.items():
+            if name == "buy_button":
+                off = "disabled" in attrs or (attrs.get("aria-disabled") or "").strip().lower() == "true"
+                if not off and self.chosen(paths):
+                    self.found[name] = "true"
+            elif name not in self.found and self.chosen(paths):
+                self.found[name] = (attrs.get("src") or attrs.get("content") or "") if name == "image" else ""
+                if name != "image" and tag not in VOID:
+                    self.reading[name] = len(self.open)
+        if tag in VOID:
+            self.open.pop()
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        depth = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if depth is not None:
+            del self.open[depth:]
+            self.reading = {n: d for n, d in self.reading.items() if d <= depth}
+
+    def handle_data(self, data):
+        for name in self.reading:
+            self.found[name] += data
+
+
+def selected(html: str | None, recipe: str | None) -> tuple:
+    if not html or not recipe:
+        return (None,) * len(SELECTED)
+    reader = Selected(json.loads(recipe))
+    reader.feed(html)
+    reader.close()
+    button = reader.found.get("buy_button", "false") if "buy_button" in reader.recipe else None
+    return (*[(reader.found.get(n) or "").strip() or None for n in SELECTED[:-1]], button)
+
+
+@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in SELECTED]))
+def selected_fields(html: pd.Series, recipe: pd.Series) -> pd.DataFrame:
+    """What a recipe (JSON of field to selector) finds on a page: steps of `fits`, descendants by spaces, choices by commas."""
+    return pd.DataFrame([selected(h, r) for h, r in zip(html, recipe)], columns=list(SELECTED))
+
+
+def parsed_pages(pages: DataFrame, recipes: DataFrame) -> DataFrame:
+    """(page_id, fields of a listing, raw_text): structured data first, then the source's recipe for what is missing.
+
+    pages: (page_id, source_id, html), recipes: (source_id, recipe). The recipe is asked only where there is no product or it
+    lacks title, price or availability; it fills blanks, but its availability text and button are always taken. raw_text is
+    the product's title and the beginning of its description, without a product the page's title.
+    """
+    joined = pages.join(recipes.select("source_id", "recipe"), "source_id", "left").withColumn("p", structured_product("html"))
+    lacking = F.col("p.title").isNull() | F.col("p.price").isNull() | F.coalesce(F.col("p.availability_raw") == "", F.lit(True))
+    rows = joined.withColumn("c", selected_fields(F.when(lacking, F.col("html")), F.col("recipe")))
+    filled = lambda c: F.coalesce(F.nullif(F.col(f"p.{c}"), F.lit("")), F.col(f"c.{c}")).alias(c)
+    is_product = F.coalesce(*[F.col(f"p.{c}") for c in PRODUCT]).isNotNull()
+    title = F.coalesce(F.nullif("p.title", F.lit("")), "c.title")
+    about = F.trim(F.concat_ws(" ", title, F.substring("p.description", 1, 300)))
+    return rows.select(
+        "page_id", "source_id", filled("title"), F.coalesce("p.price", "c.price").alias("price"), filled("currency"), F.col("p.availability_raw").alias("availability_raw"), F.col("c.availability_text").alias("availability_text"),
+        F.col("c.buy_button").cast("boolean").alias("has_buy_button"), "p.brand", "p.barcode", "p.sku", F.when(is_product, about).otherwise(title_of(F.col("html"))).alias("raw_text"),
+    )

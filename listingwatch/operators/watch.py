@@ -112,3 +112,32 @@ def boost(candidates: DataFrame, matches: DataFrame, points: float = 0.2) -> Dat
     first = matches.groupBy("candidate_id").agg(F.min("rule_id").alias("rule_id"))
     joined = candidates.join(first, "candidate_id", "left")
     return joined.withColumn("confidence", F.round(F.least(F.lit(0.99), F.col("confidence") + F.when(F.col("rule_id").isNotNull(), points).otherwise(0.0)), 2))
+
+
+# What an official announcement is to a watcher.
+ANNOUNCED = {"announced": "official_announcement", "preorder": "preorder_open", "released": "release", "restock": "in_stock"}
+
+
+def announcement_alerts(announcements: DataFrame, matches: DataFrame, preferences: DataFrame, known: DataFrame) -> DataFrame:
+    """New alerts of official announcements: one a rule and announcement, for rules that match its model and want the type.
+
+    announcements: (announcement_id, model, event_type), matches: (rule_id, model), preferences and known as in `alerts`.
+    """
+    kinds = F.create_map(*[F.lit(x) for kv in ANNOUNCED.items() for x in kv])
+    typed = announcements.where("model is not null").withColumn("alert_type", F.coalesce(kinds[F.col("event_type")], F.lit("official_announcement")))
+    wanted = matches.select("rule_id", "model").distinct().join(preferences.select("rule_id", "alert_type").distinct(), "rule_id")
+    key = F.concat_ws(":", F.lit("watch"), "rule_id", F.lit("official"), "announcement_id", "alert_type")
+    found = typed.join(wanted, ["model", "alert_type"]).select(key.alias("dedup_key"), "rule_id", "announcement_id", "model", "alert_type")
+    return found.dropDuplicates(["dedup_key"]).join(known.select("dedup_key"), "dedup_key", "left_anti")
+
+
+def rules_listed(rules: DataFrame, preferences: DataFrame) -> DataFrame:
+    """Rules with the alert types they want, sorted. preferences: (rule_id, alert_type) that are switched on."""
+    wanted = preferences.groupBy("rule_id").agg(F.array_sort(F.collect_set("alert_type")).alias("alert_types"))  # a handful of types by definition
+    return rules.join(wanted, "rule_id", "left").withColumn("alert_types", F.coalesce("alert_types", F.array().cast("array<string>")))
+
+
+def alerts_listed(found: DataFrame, rules: DataFrame, n: int = 100) -> DataFrame:
+    """The newest n (500 at most) alerts with their rule's name. rules: (rule_id, rule_name). The names join after the top-k."""
+    newest = found.orderBy(F.desc("event_id"), "dedup_key").limit(min(500, max(1, n)))
+    return newest.join(rules.select("rule_id", "rule_name"), "rule_id")

@@ -1,6 +1,7 @@
 """Every registered query of the listing pipeline, with its SQL where there is one."""
 
-from . import queries, streams, watching
+from . import queries, reviewing, streams, watching
 
-QUERIES = queries.QUERIES | watching.QUERIES | streams.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | watching.ORACLE_SQL | streams.ORACLE_SQL
+MODULES = (queries, watching, reviewing, streams)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -269,7 +269,7 @@ def s2_structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = F.to_json(F.struct(F.array(F.struct(product.alias("mainEntity"))).alias("@graph")))
     html = F.concat(F.lit("<html><script type='application/ld+json'>{broken</script><script type=\"application/ld+json\">"), graph, F.lit("</script></html>"))
     rows = feed(spark, sf_dir).select("listing_id", pages.structured_product(html).alias("p"))
-    return rows.select("listing_id", "p.*").drop("release_date")
+    return rows.select("listing_id", "p.*").drop("release_date", "description")
 
 
 S2 = f"""WITH {FEED} SELECT listing_id, title, brand, barcode, p_type_size AS sku, printf('%.2f', price) AS price, 'TWD' AS currency, ['https://schema.org/InStock', 'http://schema.org/OutOfStock', 'PreOrder', ''][1 + part % 4] AS availability_raw

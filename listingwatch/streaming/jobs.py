@@ -90,6 +90,45 @@ def offer_events(observations: DataFrame, confirmations: int = 2, threshold: flo
     return found.withColumn("observed_at", F.timestamp_micros("at").cast("timestamp_ntz")).drop("at")
 
 
+FRESHNESS = "offer_id long, at long, freshness string"
+
+
+def freshness_changes(sightings: DataFrame, seconds: int, delay: str = "1 hour") -> DataFrame:
+    """(offer_id, at, freshness): when offers become fresh, and when they expire for want of a sighting.
+
+    sightings: (offer_id, observed_at). State is one time an offer: until when it is fresh. A timer on event time lets it
+    expire once the watermark has passed that time, without any further row; a gap within a micro-batch shows as well.
+    Rows older than the watermark don't count. Times are taken to the millisecond, as timers are.
+    """
+    length = seconds * 1000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until = state.get[0] if state.exists else None
+        out = []
+        if not state.hasTimedOut:
+            for at in sorted(int(t) for frame in frames for t in frame["ms"]):
+                if until is not None and at > until:
+                    out.append((key[0], until, "stale"))
+                    until = None
+                if until is None:
+                    out.append((key[0], at, "fresh"))
+                until = max(until or 0, at + length)
+        if until is not None and until < state.getCurrentWatermarkMs():
+            out.append((key[0], until, "stale"))
+            until = None
+        if until is not None:
+            state.update((until,))
+            state.setTimeoutTimestamp(until)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["offer_id", "at", "freshness"])
+
+    rows = sightings.where("offer_id is not null and observed_at is not null").select(F.col("offer_id").cast("long"), F.col("observed_at").cast("timestamp").alias("seen"))
+    rows = rows.withWatermark("seen", delay).withColumn("ms", F.unix_millis("seen"))
+    found = rows.groupBy("offer_id").applyInPandasWithState(step, FRESHNESS, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn("at", F.timestamp_millis("at").cast("timestamp_ntz"))
+
+
 def component_windows(ops: DataFrame, delay: str = "1 hour", size: str = "7 days", slide: str = "1 day") -> DataFrame:
     """Totals by component and sliding window; a window comes out once the watermark has passed its end."""
     rows = ops.withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", delay)
