@@ -108,8 +108,8 @@ MAKER_CONFIDENCE = 0.98
 
 
 def sticky_verified(status: str) -> Column:
-    """verified once any row said so; else what the newest row says. Within a groupBy of rows with seq."""
-    return F.when(F.bool_or(F.col(status) == "verified"), "verified").otherwise(F.max_by(status, "seq")).alias(status)
+    """verified once any row said so; else what the newest row says, pending if it says nothing. Within a groupBy of rows with seq."""
+    return F.when(F.bool_or(F.col(status) == "verified"), "verified").otherwise(F.coalesce(F.max_by(status, "seq"), F.lit("pending"))).alias(status)
 
 
 def evidence(rows: DataFrame) -> DataFrame:
@@ -133,8 +133,11 @@ def parts(rows: DataFrame, part_types: tuple[str, ...]) -> DataFrame:
 
 
 def product_parts(links: DataFrame) -> DataFrame:
-    """One row a (model, part_id): newest quantity, at least 1, and position. links: (seq, model, part_id, quantity, position)."""
-    newest = links.groupBy("model", "part_id").agg(F.max_by(F.struct("quantity", "position"), "seq").alias("l"))
+    """One row a (model, part_id): newest quantity, at least 1, and position; of equal seq the greatest of both.
+
+    links: (seq, model, part_id, quantity, position).
+    """
+    newest = links.groupBy("model", "part_id").agg(F.max(F.struct("seq", "quantity", "position")).alias("l"))
     return newest.select("model", "part_id", F.greatest(F.lit(1), F.coalesce("l.quantity", F.lit(1))).alias("quantity"), "l.position")
 
 

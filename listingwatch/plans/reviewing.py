@@ -182,7 +182,7 @@ def k5_product_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.product_parts(line.select(seq.alias("seq"), F.concat(F.lit("M-"), F.col("l_suppkey")).alias("model"), F.col("l_partkey").alias("part_id"), (F.col("l_quantity").cast("int") - 5).alias("quantity"), F.col("l_linenumber").alias("position")))
 
 
-K5B = """WITH n AS (SELECT l_suppkey, l_partkey, arg_max({'q': CAST(l_quantity AS INTEGER) - 5, 'p': l_linenumber}, l_orderkey * 10 + l_linenumber) AS l FROM lineitem GROUP BY ALL)
+K5B = """WITH n AS (SELECT l_suppkey, l_partkey, max({'s': l_orderkey * 10 + l_linenumber, 'q': CAST(l_quantity AS INTEGER) - 5, 'p': l_linenumber}) AS l FROM lineitem GROUP BY ALL)
     SELECT 'M-' || l_suppkey AS model, l_partkey AS part_id, greatest(1, l.q) AS quantity, l.p AS position FROM n"""
 
 

@@ -38,8 +38,8 @@ ORACLE_SQL = {
     "st_component_windows": f"""WITH {OPS}, w AS (SELECT *, unnest(range(7)) AS back FROM ops)
         SELECT component, date_trunc('day', created_at) - to_days(CAST(back AS INTEGER)) AS since, count(*) AS total, count(*) FILTER (status = 'failed') AS failed
         FROM w GROUP BY component, since HAVING since + INTERVAL 7 DAY <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM ops)""",
-    "st_freshness": f"""WITH s AS (SELECT DISTINCT user_id AS offer_id, date_trunc('second', ts) AS at FROM events), w AS (SELECT *, lag(at) OVER o AS before, lead(at) OVER o AS later FROM s WINDOW o AS (PARTITION BY offer_id ORDER BY at)),
-        u AS (SELECT *, at + INTERVAL {FRESH_SECONDS} SECOND AS until FROM w)
-        SELECT offer_id, at, 'fresh' AS freshness FROM u WHERE before IS NULL OR at - before > INTERVAL {FRESH_SECONDS} SECOND
-        UNION ALL SELECT offer_id, until, 'stale' FROM u WHERE later > until OR (later IS NULL AND until < (SELECT max(at) - INTERVAL 1 HOUR FROM s))""",
+    "st_freshness": f"""WITH s AS (SELECT DISTINCT user_id AS offer_id, date_trunc('second', ts) AS t FROM events), w AS (SELECT *, lag(t) OVER o AS before, lead(t) OVER o AS later FROM s WINDOW o AS (PARTITION BY offer_id ORDER BY t)),
+        u AS (SELECT *, t + INTERVAL {FRESH_SECONDS} SECOND AS until FROM w)
+        SELECT offer_id, t AS "at", 'fresh' AS freshness FROM u WHERE before IS NULL OR t - before > INTERVAL {FRESH_SECONDS} SECOND
+        UNION ALL SELECT offer_id, until, 'stale' FROM u WHERE later > until OR (later IS NULL AND until < (SELECT max(t) - INTERVAL 1 HOUR FROM s))""",
 }
