@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from html.parser import HTMLParser
@@ -176,9 +177,15 @@ STEP = re.compile(r"([#.]?[\w-]+)|\[\s*([\w-]+)\s*(?:=\s*[\"']?([^\]\"']*)[\"']?
 SELECTED = ("title", "price", "currency", "availability_text", "image", "buy_button")
 
 
-def fits(step: str, tag: str, attrs: dict) -> bool:
+@functools.lru_cache(maxsize=4096)
+def recipe_paths(recipe: str) -> dict[str, list]:
+    """Fields of a recipe with their choices of paths; a path is its steps, a step its (name, attribute, value) conditions."""
+    return {n: [[STEP.findall(step) for step in choice.split()] for choice in s.split(",") if choice.strip()] for n, s in json.loads(recipe).items() if s and n in SELECTED}
+
+
+def fits(step: list, tag: str, attrs: dict) -> bool:
     """Whether an element fits one step of a selector: tag, #id, .class, [attribute] and [attribute=value], in any mix."""
-    for name, attribute, value in STEP.findall(step):
+    for name, attribute, value in step:
         if attribute:
             if attribute not in attrs or (value and attrs[attribute] != value):
                 return False
@@ -190,9 +197,9 @@ def fits(step: str, tag: str, attrs: dict) -> bool:
 class Selected(HTMLParser):
     """The text or address of the first element that each selector of a recipe fits; for buttons, whether one is enabled."""
 
-    def __init__(self, recipe: dict):
+    def __init__(self, paths: dict):
         super().__init__(convert_charrefs=True)
-        self.recipe = {n: [one.split() for one in s.split(",") if one.strip()] for n, s in recipe.items() if s and n in SELECTED}
+        self.recipe = paths
         self.open, self.found, self.reading = [], {}, {}
 
     def chosen(self, paths: list) -> bool:
@@ -238,7 +245,7 @@ class Selected(HTMLParser):
 def selected(html: str | None, recipe: str | None) -> tuple:
     if not html or not recipe:
         return (None,) * len(SELECTED)
-    reader = Selected(json.loads(recipe))
+    reader = Selected(recipe_paths(recipe))
     reader.feed(html)
     reader.close()
     button = reader.found.get("buy_button", "false") if "buy_button" in reader.recipe else None
