@@ -28,18 +28,45 @@ def match_products(listings: DataFrame, products: DataFrame) -> DataFrame:
     return joined.select("listing_id", F.coalesce("by_barcode", "by_sku", "by_model").alias("product_id"), how.alias("matched_by"))
 
 
+#: What may narrow a rule besides its keyword; columns that are absent count as null.
+CRITERIA = {"model": "string", "barcode": "string", "catalog_product_id": "long", "catalog_part_id": "long", "locale": "string"}
+
+
 def match_rules(products: DataFrame, rules: DataFrame) -> DataFrame:
-    """products (product_id, haystack) against rules (rule_id, keyword, mode, exclude): keyword and no exclusion.
+    """products (product_id, haystack) against rules (rule_id, keyword, mode, exclude): all criteria of a rule and no exclusion.
+
+    Optional columns of rules are those of CRITERIA; of products: arrays models, barcodes, catalog_part_ids and aliases (whole
+    normalised values: title, models, aliases), catalog_product_id and locale. A rule without any criterion but a locale matches nothing.
 
-    Exact keywords of one word are an equi-join on the haystack's words. Contained and regular expressions cannot be
-    keys; those rules are joined by condition (Spark broadcasts the rules if they are small).
+    Each rule is joined by its strongest key: barcode, model, catalog product, catalog part, exact keyword (a word of the haystack or
+    a whole alias), then the first three characters of a contained keyword (or regular expression of letters only); the
+    rest of its criteria are a filter. Only shorter contained keywords and real regular expressions are joined by condition.
     """
-    words = products.select("product_id", "haystack", F.explode(F.array_distinct(F.split("haystack", " "))).alias("word"))
-    exact = words.join(rules.where("mode = 'exact'"), F.col("word") == F.col("keyword")).drop("word")
-    loose = products.join(rules.where("mode <> 'exact'"), F.expr("case when mode = 'contains' then contains(haystack, keyword) else haystack rlike keyword end"))
-    kept = exact.unionByName(loose).where(F.col("exclude").isNull() | ~F.expr("contains(haystack, exclude)"))
-    confidence = F.when(F.col("mode") == "exact", 0.99).otherwise(0.85)
-    return kept.groupBy("rule_id", "product_id").agg(F.max(confidence).alias("confidence"))
+    for c, t in CRITERIA.items():
+        rules = rules if c in rules.columns else rules.withColumn(c, F.lit(None).cast(t))
+    for c, t in {"models": "array<string>", "barcodes": "array<string>", "catalog_product_id": "long", "catalog_part_ids": "array<long>", "aliases": "array<string>", "locale": "string"}.items():
+        products = products if c in products.columns else products.withColumn(c, F.lit(None).cast(t))
+    products = products.withColumnsRenamed({"catalog_product_id": "of_catalog", "locale": "of_locale"})
+    for c in ("keyword", "model", "barcode"):
+        rules = rules.withColumn(c, F.nullif(F.col(c), F.lit("")))
+    literal = (F.col("mode") == "contains") | F.col("keyword").rlike("^[A-Za-z0-9 ]+$")
+    rules = rules.withColumn("by", F.expr("case when barcode is not null then 'barcode' when model is not null then 'model' when catalog_product_id is not null then 'catalog' when catalog_part_id is not null then 'part' end"))
+    rules = rules.withColumn("by", F.coalesce("by", F.when(F.col("keyword").isNotNull(), F.when(F.col("mode") == "exact", "exact").when(literal & (F.length("keyword") >= 3), "letters").otherwise("loose"))))
+    exact_values = F.array_distinct(F.concat(F.split("haystack", " "), F.coalesce("aliases", F.array().cast("array<string>"))))
+    letters = F.expr("case when length(haystack) >= 3 then array_distinct(transform(sequence(1, length(haystack) - 2), i -> substring(haystack, i, 3))) end")
+    keys = {"barcode": (F.col("barcodes"), F.col("barcode")), "model": (F.col("models"), F.col("model")), "catalog": (F.array("of_catalog"), F.col("catalog_product_id")), "part": (F.col("catalog_part_ids"), F.col("catalog_part_id")), "exact": (exact_values, F.col("keyword")), "letters": (letters, F.substring("keyword", 1, 3))}
+    joined = products.join(rules.where("by = 'loose'").withColumn("key", F.lit(None).cast("string")), F.expr("case when mode = 'contains' then contains(haystack, keyword) else haystack rlike keyword end"))
+    for by, (values, key) in keys.items():
+        some = rules.where(F.col("by") == by).withColumn("key", key.cast("string"))
+        met = products.withColumn("value", F.explode(F.array_distinct(values))).withColumn("value", F.col("value").cast("string"))
+        joined = joined.unionByName(met.join(some, F.col("value") == F.col("key")).drop("value"))
+    fits = lambda wanted, values: F.col(wanted).isNull() | F.coalesce(F.array_contains(F.col(values), F.col(wanted)), F.lit(False))
+    spoken = F.expr("keyword is null or coalesce(case mode when 'exact' then array_contains(split(haystack, ' '), keyword) or coalesce(array_contains(aliases, keyword), false) when 'contains' then contains(haystack, keyword) else haystack rlike keyword end, false)")
+    narrowed = fits("model", "models") & fits("barcode", "barcodes") & fits("catalog_part_id", "catalog_part_ids") & F.expr("(catalog_product_id is null or coalesce(catalog_product_id = of_catalog, false)) and (locale is null or locale = 'any' or coalesce(locale = of_locale, false))")
+    kept = joined.where(narrowed & spoken).where(F.col("exclude").isNull() | ~F.expr("contains(haystack, exclude)"))
+    # As in the reference, a catalog part alone is no exact reason.
+    exact = F.expr("barcode is not null or model is not null or catalog_product_id is not null or (keyword is not null and mode = 'exact')")
+    return kept.groupBy("rule_id", "product_id").agg(F.max(F.when(exact, 0.99).otherwise(0.85)).alias("confidence"))
 
 
 RULES = {
