@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cut, map_rows
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -82,13 +82,16 @@ def boundaries(text: str, pattern: str, last: bool) -> np.ndarray:
     return starts if last else starts[starts <= len(text) - UNSURE]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids: binary).
+def encode(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids: binary), and the
+    columns of docs that `carry` names.
 
     Null and empty texts give no tokens and the hashes of no bytes. A null or repeated doc_id is kept: one row
-    out for each row in. Other columns of docs are not read.
+    out for each row in. Other columns of docs are not read. Long texts are written out with a row number first, as their
+    chunks and seams must agree on it even if an executor is lost and its rows are read again.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("none"), *carry).alias("kept"))
+    kept_type = texts.schema["kept"].dataType.simpleString()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def digest(doc_ids, all_ids):
@@ -100,7 +103,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False, ch
         }
         return out | {"ids": all_ids} if keep_ids else out
 
-    short = map_rows(texts.where(F.length("text") <= chunk), lambda b: digest(b["doc_id"], [encode_text(t, ranks, pattern) for t in b["text"]]), schema)
+    def encode_short(b):
+        return digest(b["doc_id"], [encode_text(t, ranks, pattern) for t in b["text"]]) | {"kept": b["kept"]}
+
+    short = map_rows(texts.where(F.length("text") <= chunk), encode_short, f"{schema}, kept {kept_type}")
 
     def chunks(b):
         out = {"row": [], "doc_id": [], "no": [], "last": [], "text": []}
@@ -110,8 +116,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False, ch
                     out[k].append(v)
         return out
 
-    long = texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    parts = map_rows(long, chunks, "row long, doc_id long, no int, last boolean, text string", 16).repartition("row", "no")
+    long = cut(texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "bpe-long")
+    parts = map_rows(long.select("row", "doc_id", "text"), chunks, "row long, doc_id long, no int, last boolean, text string", 16).repartition("row", "no")
 
     def ends(b):
         found = [boundaries(t, pattern, last) for t, last in zip(b["text"], b["last"], strict=True)]
@@ -139,11 +145,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False, ch
 
     def join_segments(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["segment"])
-        out = digest([rows[0]["doc_id"]], [b"".join(r["ids"] for r in rows)])
-        return pa.table({k: pa.array(v, pa.int64()) if k in ("doc_id", "n_tokens") else pa.array(v) for k, v in out.items()})
+        out = digest([rows[0]["doc_id"]], [b"".join(r["ids"] for r in rows)]) | {"row": [rows[0]["row"]]}
+        return pa.table({k: pa.array(v, pa.int64()) if k in ("doc_id", "n_tokens", "row") else pa.array(v) for k, v in out.items()})
 
     encoded = segments.groupBy("row", "segment").applyInArrow(encode_segment, "row long, doc_id long, segment long, ids binary")
-    return short.union(encoded.groupBy("row").applyInArrow(join_segments, schema))
+    joined = encoded.groupBy("row").applyInArrow(join_segments, f"{schema}, row long").join(long.select("row", "kept"), "row").drop("row")
+    return short.unionByName(joined).select("*", *[F.col(f"kept.{c}").alias(c) for c in carry]).drop("kept")
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:

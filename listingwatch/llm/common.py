@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+import warnings
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Paths of the tables that cut() has written and nothing has removed yet.
+_WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: spark.checkpoint.dir, or the warehouse where that is unset."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        warnings.warn("spark.checkpoint.dir is unset: tables between steps go to the warehouse, which all executors must share", stacklevel=2)
     return at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
 
 
@@ -25,16 +33,45 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: ends the lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for at in paths:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a cut table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    names = {f.rpartition("/")[2] for f in folders}
+    _WRITTEN[:] = [p for p in _WRITTEN if p.rpartition("/")[2] not in names]
+    _delete(df.sparkSession, sorted(folders))
+
+
+@contextmanager
+def only(spark: SparkSession):
+    """Yields a function that cuts a result; when the block ends, all other tables that were cut in it are deleted."""
+    before, results = len(_WRITTEN), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = cut(df, name)
+        results.append(_WRITTEN[-1])
+        return out
+
+    yield keep
+    inside = [p for p in _WRITTEN[before:] if p not in results]
+    _WRITTEN[:] = [p for p in _WRITTEN if p not in inside]
+    _delete(spark, inside)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this session's operators have cut; call it when their results are written."""
+    _delete(spark, _WRITTEN)
+    _WRITTEN.clear()
 
 
 def map_rows(df: DataFrame, fn, schema: str, step: int = 256) -> DataFrame:
@@ -72,21 +109,25 @@ def add_columns(df: DataFrame, inputs: list[str], fn, schema: str, step: int = 2
 
 def key_groups(batches, keys: list[str]):
     """Whole key groups of a partition that is sorted by keys: tables of one or more complete groups, with the
-    start of each group. A group that goes on in the next batch is carried over."""
-    rest = None
+    start of each group. A group that goes on in the next batches is carried over, and looked at once it is whole."""
+    carried: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
+        last = [batch.column(k)[batch.num_rows - 1] for k in keys]
+        if carried and all(carried[0].column(k)[0] == x for k, x in zip(keys, last, strict=True)):
+            carried.append(batch)
+            continue
+        table = pa.Table.from_batches([*carried, batch])
         starts = group_starts(table, keys)
-        last = int(starts[-1])
-        if last:
-            yield table.slice(0, last), starts[:-1]
-        rest = table.slice(last)
-    if rest is not None and rest.num_rows:
-        yield rest, group_starts(rest, keys)
+        at = int(starts[-1])
+        if at:
+            yield table.slice(0, at), starts[:-1]
+        # rows before the last group's start all lie in the new batch or are done
+        carried = table.slice(at).combine_chunks().to_batches()
+    if carried:
+        table = pa.Table.from_batches(carried)
+        yield table, group_starts(table, keys)
 
 
 def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -114,22 +155,39 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+#: A node with at least this many links is a hub; of more links, this share of all. So there are never more than 2 / SHARE hubs.
+HUB, SHARE = 1_024, 1 / 50_000
+
+
+def with_lowest(links: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """links (u, v) with u's row of low (u, m, degree). A hub's links stay where they are: as n links have at most
+    2 / SHARE hubs, those are broadcast; the links of all other nodes are joined by a shuffle that no node weighs down."""
+    hub = max(HUB, int(n * SHARE))
+    hubs = F.broadcast(low.where(F.col("degree") >= hub).select("u", "m"))
+    rest = links.join(hubs.select("u"), "u", "left_anti").join(low.where(F.col("degree") < hub).select("u", "m"), "u")
+    return rest.unionByName(links.join(hubs, "u"))
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """Connected components of links (u, v: long), distributed: rows (node, root) with root the smallest node.
 
     Alternates large-star and small-star steps, each a join on the smallest neighbour, until the links are
     stars. Nodes without links have no row. Nothing but a count and a checksum comes to the driver; each round
-    is written to the shared folder, so a lost executor costs at most one round.
+    is written to the shared folder, so a lost executor costs at most one round. A star's centre is a hub, whose links
+    are joined where they are (with_lowest).
     """
 
-    def large_star(e):
+    def lowest(e):
+        return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+
+    def large_star(e, n):
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = lowest(both).withColumn("m", F.least("u", "m"))
+        return with_lowest(both, low, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
-    def small_star(e):
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        inner = e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    def small_star(e, n):
+        low = lowest(e)
+        inner = with_lowest(e, low, n).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return inner.union(low.select("u", F.col("m").alias("v"))).distinct()
 
     def checksum(e):
@@ -139,8 +197,10 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     edges = cut(edges, name)
     seen = checksum(edges)
     while seen[0]:
-        after = cut(small_star(large_star(edges)), name)
+        large = cut(large_star(edges, seen[0]), name)
+        after = cut(small_star(large, seen[0]), name)
         now = checksum(after)
+        drop(large)
         drop(edges)
         edges = after
         if now == seen:

@@ -98,8 +98,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, bits: int = BITS, t
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("long"))
     described = cut(map_rows(rows, describe(bits, tables, seed), "vec_id long, label long, dim int, digest binary, buckets array<int>, vector array<double>", 1024), "vectors")
     same = ["label", "dim", "digest"]
-    classes = described.where("digest is not null and vec_id is not null").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("buckets").alias("buckets"), F.first("vector").alias("vector"))
-    classes = cut(classes, "vector-classes")
+    classes = described.where("digest is not null").groupBy(*same).agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("buckets").alias("buckets"), F.first("vector").alias("vector"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
 
     where = ["label", "dim", "t", "bucket"]
     entries = classes.select("rep", "label", "dim", F.posexplode("buckets").alias("t", "bucket"))
@@ -114,9 +114,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, bits: int = BITS, t
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     member = components(found.where("rep != root").select(F.col("rep").alias("u"), F.col("root").alias("v")), "vector-stars")
-    known = classes.select(*same, "rep", "weight").join(links, "rep", "left").join(member, F.col("rep") == F.col("node"), "left")
-    known = cut(known.select(*same, (F.coalesce("links", F.lit(0)) + F.col("weight")).alias("near"), F.coalesce("root", "rep").alias("component")), "vector-known")
+    known = classes.select(*same, "rep", "first", "weight").join(links, "rep", "left").join(member, F.col("rep") == F.col("node"), "left")
+    known = cut(known.select(*same, "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("near"), F.coalesce("root", "rep").alias("root")), "vector-known")
+    smallest = cut(known.groupBy("root").agg(F.min("first").alias("component")), "vector-components")
+    known = cut(known.join(smallest, "root").select(*same, "near", "component"), "vector-of")
     out = described.select("vec_id", *same).join(known, same, "left")
-    n_links = F.coalesce(F.col("near") - F.when(F.col("vec_id").isNull(), 0).otherwise(1), F.lit(0))
+    n_links = F.coalesce("near", F.lit(0))
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -5,8 +5,9 @@ steps. Its integral is the source's cumulative demand for tokens, scaled so that
 target. A document copy's tokens take up a stretch of its source's cumulative tokens; inverting the demand at the
 stretch's middle gives the copy's training position, and documents are range-sorted by position.
 
-Within a source documents come in the order of a hash of their id. Running sums split a source by the hash's
-leading digits, so that a source with a third of all rows is spread over 4,096 keys.
+Within a source documents come in the order of a hash of id and text. Running sums split a source by the hash's
+leading digits, so that a source with a third of all rows is spread over 4,096 keys. Texts stay out of all this: rows
+are numbered, sizes and hashes move, and a text is joined to its positions once, if it is wanted at all.
 """
 
 from __future__ import annotations
@@ -88,8 +89,8 @@ def position(share: Column, place: Column, schedules=SCHEDULES) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, schedules=SCHEDULES, columns: list[str] | None = None) -> DataFrame:
-    """For each row of docs: doc_id, size, source_size, target, taken, repeats, position (of the first copy),
-    place and middle (of its source, of its stretch) and `columns`.
+    """For each row of docs: doc_id, size, source_size, target, taken, repeats, position (of the first copy; null if the
+    mix takes none), place and middle (of its source, of its stretch) and `columns`.
 
     A source whose target is r times its size takes every document floor(r) times, and once more those that come first in
     hash order until their sizes fill what is left of the target; the document on the edge is taken if its middle lies
@@ -97,44 +98,55 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, schedules=SC
     any other. The result is not sorted; order by position for training order.
     """
     columns = columns or []
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
     kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(columns)]
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("key"), *kept).withColumn("part", F.substring("key", 1, 3))
-    sized = cut(sized, "mixing") if not columns else sized
-    sums = cut(sized.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mixing-parts")
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("key"), *kept)
+    # the number of a row must not change when it is read again
+    sized = cut(sized.withColumn("part", F.substring("key", 1, 3)).withColumn("row", F.monotonically_increasing_id()), "mixing")
+    ids = sized.select("row", "doc_id", "source", "size", "key", "part")
+    sums = cut(ids.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mixing-parts")
     targets = source_targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, most)
     targets = cut(targets, "mixing-targets")
     before = F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     parts = parts.select(F.col("source").alias("of"), F.col("part").alias("of_part"), "before", "source_size", "target", "place")
-    # a part is a key of its own: at most 1 in 4,096 of a source's documents
-    run = F.sum("size").over(Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    summed = sized.withColumn("run", run).join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
+    # a part is a key of its own: at most 1 in 4,096 of a source's documents, equal rows aside
+    run = F.sum("size").over(Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
+    summed = ids.withColumn("run", run).join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     left = F.col("target") - F.col("full") * F.col("source_size")
     middle = F.col("before") + F.col("run") - F.col("size") / 2
     out = summed.withColumn("full", full).withColumn("repeats", (F.col("full") + F.when(middle < left, 1).otherwise(0)).cast("int"))
     share = F.when(F.col("target") > 0, F.least(F.lit(1.0), middle / F.col("target"))).otherwise(F.lit(0.0))
-    return out.select(
+    mixed = out.select(
+        "row",
         "doc_id",
         "size",
         F.coalesce("source_size", F.lit(0)).alias("source_size"),
         F.col("target"),
         (F.col("size") * F.col("repeats")).alias("taken"),
         "repeats",
-        position(share, F.col("place"), schedules).alias("position"),
+        F.when(F.col("repeats") > 0, position(share, F.col("place"), schedules)).alias("position"),
         "place",
         middle.alias("middle"),
-        *[F.col(f"kept_{i}").alias(c if c not in OWN else f"doc_{c}") for i, c in enumerate(columns)],
     )
+    if not columns:
+        return mixed.drop("row")
+    names = {f"kept_{i}": c if c not in OWN else f"doc_{c}" for i, c in enumerate(columns)}
+    return mixed.join(sized.select("row", *names), "row").drop("row").withColumnsRenamed(names)
 
 
 OWN = ("doc_id", "size", "source_size", "target", "taken", "repeats", "position", "place", "middle")
 
 
+def in_training_order(mixed: DataFrame, *ties: str) -> DataFrame:
+    """Range-sorted by position, rows that the mix takes not at all last; ties by doc_id and the columns named."""
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), *map(F.col, ties)]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def training_order(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
     """A row for each copy that the mix takes, with the copy's own position, range-sorted by position."""
     copies = mixed.where("repeats > 0").withColumn("copy", F.explode(F.expr("sequence(0, repeats - 1)")))
     share = F.when(F.col("target") > 0, F.least(F.lit(1.0), (F.col("middle") + F.col("copy") * F.col("source_size")) / F.col("target"))).otherwise(F.lit(0.0))
-    placed = copies.withColumn("position", position(share, F.col("place"), schedules))
-    return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
+    return in_training_order(copies.withColumn("position", position(share, F.col("place"), schedules)), "copy")

@@ -1,13 +1,14 @@
 """Operator 2: SimHash near-dedup over a byte-position inverted index with count filtering.
 
-Fingerprints of 64 bits that differ in at most 4 bits have at least 8 - 4 = 4 of their 8 positional bytes in common.
-Tallying shared bytes over lists of single bytes would visit nearly all pairs, so the index holds what the tally must
-reach: an entry for each choice of 4 positions with the bytes there (70 entries a fingerprint). Two fingerprints
-meet in an entry exactly if they share the guaranteed minimum of bytes; those pairs are verified on all bits.
-
-Only distinct fingerprints are indexed. A task links the fingerprints of its entries among themselves and returns a
-spanning forest, not pairs; entries of more than BLOCK fingerprints are cut into blocks that are compared pairwise in
-tasks of their own. The forests' components are found with distributed star contraction.
+Fingerprints of 64 bits that differ in at most 4 bits have at least 8 - 4 = 4 of their 8 positional bytes in common: the
+guaranteed minimum. The inverted index lists fingerprints by the bytes at some positions. Lists of one byte would make a
+pair of every 32nd, so a list here goes by three positional bytes (GRAM), and by as few choices of positions as hold one
+inside every choice of four (20 of the 56): no pair with the minimum is missed. In each list the shared positional
+bytes of its pairs are tallied, pairs that reach the minimum are retained, and those are verified on all bits.
+
+Only distinct fingerprints are indexed. A task links the fingerprints of its lists among themselves and returns a
+spanning forest, not pairs. Lists of more than BLOCK fingerprints are counted beforehand and dealt out as pairs of
+blocks. The forests' components are found with distributed star contraction.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, group_starts, key_groups, map_rows, roots
 
 BLOCK = 4_096
+#: Positional bytes in a key of the index; up to the guaranteed minimum of shared bytes.
+GRAM = 3
 #: Entries up to this size are compared for all entries at once, offset by offset.
 SMALL = 32
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -47,14 +50,41 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def masks(same_bytes: int) -> list[int]:
-    """Every choice of byte positions, as a signed 64-bit mask."""
-    chosen = [sum(0xFF << 8 * p for p in c) for c in combinations(range(8), same_bytes)]
-    return [m - (1 << 64) if m >> 63 else m for m in chosen]
+def choices(size: int, within: int, positions: int = 8) -> list[tuple[int, ...]]:
+    """Choices of `size` byte positions of which every choice of `within` positions contains one, few of them.
+
+    Positions are dealt into groups; for three of four, Turan's construction (three in one group, or two in a group and one in
+    the next of a ring of three); for fewer, choices inside one of as many groups as leave none of them empty; else all.
+    """
+    if (size, within) == (3, 4):
+        of = [p % 3 for p in range(positions)]
+        fits = lambda c: len({of[p] for p in c}) == 1 or any(sorted(of[p] for p in c) == sorted((g, g, (g + 1) % 3)) for g in range(3))
+        return [c for c in combinations(range(positions), 3) if fits(c)]
+    groups = (within - 1) // (size - 1) if size > 1 else 0
+    if size > 1 and groups * (size - 1) < within:  # of `within` positions, `size` lie in one group
+        return [c for c in combinations(range(positions), size) if len({p % groups for p in c}) == 1]
+    if size == 1:
+        return [(p,) for p in range(positions - within + 1)]
+    return list(combinations(range(positions), size))
+
+
+def masks(chosen: list[tuple[int, ...]]) -> list[int]:
+    """Choices of byte positions as signed 64-bit masks."""
+    found = [sum(0xFF << 8 * p for p in c) for c in chosen]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Tally of the positions at which two fingerprints have the same byte."""
+    return (np.ascontiguousarray(a ^ b)[..., None].view(np.uint8) == 0).sum(-1)
 
 
 def close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= most  # of signed numbers it would count the absolute value's bits
+    """Which pairs reach the guaranteed minimum of shared bytes and, verified, differ in at most `most` bits."""
+    a, b = np.broadcast_arrays(a, b)
+    hit = shared_bytes(a, b) >= 8 - most
+    hit[hit] = np.bitwise_count((a[hit] ^ b[hit]).view(np.uint64)) <= most  # of signed numbers it would count the absolute value's bits
+    return hit
 
 
 def forest(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +95,9 @@ def forest(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return nodes[moved], nodes[root[moved]]
 
 
-def link_entries(most: int, block: int):
-    """Sorted index entries -> links (u, v), and blocks of the large entries."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("mask", pa.int32()), ("key", pa.int64()), ("no", pa.int32()), ("block", pa.list_(pa.int64()))])
+def link_lists(most: int):
+    """Sorted index entries -> links (u, v)."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
         for table, starts in key_groups(batches, ["mask", "key"]):
@@ -75,7 +105,7 @@ def link_entries(most: int, block: int):
             sizes = np.diff(np.append(starts, len(fp)))
             entry = np.repeat(np.arange(len(starts)), sizes)
             small = sizes <= SMALL
-            a_all, b_all = [], []
+            a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             inside = small[entry]
             for d in range(1, min(SMALL, int(sizes.max()))):
                 a = np.flatnonzero(inside[:-d] & (entry[:-d] == entry[d:]))
@@ -84,18 +114,12 @@ def link_entries(most: int, block: int):
                 hit = close(fp[a], fp[a + d], most)
                 a_all.append(a[hit])
                 b_all.append(a[hit] + d)
-            for e in np.flatnonzero(~small & (sizes <= block)):
+            for e in np.flatnonzero(~small):
                 a, b = pairs_within(fp[starts[e] : starts[e] + sizes[e]], most)
                 a_all.append(a + starts[e])
                 b_all.append(b + starts[e])
-            if a_all:
-                u, v = forest(fp, np.concatenate(a_all), np.concatenate(b_all))
-                yield pa.RecordBatch.from_pydict({"u": u, "v": v, "mask": [None] * len(u), "key": [None] * len(u), "no": [None] * len(u), "block": [None] * len(u)}, schema=schema)
-            for e in np.flatnonzero(sizes > block):
-                for no, at in enumerate(range(0, int(sizes[e]), block)):
-                    values = fp[starts[e] + at : starts[e] + min(at + block, int(sizes[e]))]
-                    row = {"u": [None], "v": [None], "mask": [table.column("mask")[int(starts[e])].as_py()], "key": [table.column("key")[int(starts[e])].as_py()], "no": [no], "block": [values.tolist()]}
-                    yield pa.RecordBatch.from_pydict(row, schema=schema)
+            u, v = forest(fp, np.concatenate(a_all), np.concatenate(b_all))
+            yield pa.RecordBatch.from_pydict({"u": u, "v": v}, schema=schema)
 
     return run
 
@@ -119,26 +143,36 @@ def _thin(n: int, found: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def link_blocks(most: int):
+    """Rows sorted by pairs of blocks (mask, key, lo, hi) -> links; a pair of one block twice is linked within it."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                values = np.unique(np.array(row["block"] + row["other"], np.int64))
-                a, b = pairs_within(values, most)
-                yield pa.RecordBatch.from_pydict({"u": values[b], "v": values[a]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        for table, starts in key_groups(batches, ["mask", "key", "lo", "hi"]):
+            fp = table.column("fp").to_numpy()
+            for a, z in zip(starts, np.append(starts[1:], len(fp)), strict=True):
+                i, j = pairs_within(fp[a:z], most)
+                yield pa.RecordBatch.from_pydict({"u": fp[a:z][j], "v": fp[a:z][i]}, schema=schema)
 
     return run
 
 
-def link_fingerprints(distinct: DataFrame, most: int = 4, block: int = BLOCK) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, most: int = 4, block: int = BLOCK, gram: int = GRAM) -> DataFrame:
     """Distinct fingerprints (fp long) -> links (u, v) with the same components as all pairs of at most `most` bits."""
-    chosen = F.array(*[F.lit(m) for m in masks(8 - most)])
-    index = distinct.select("fp", F.posexplode(chosen).alias("mask", "m")).select("mask", F.expr("fp & m").alias("key"), "fp")
-    entries = index.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    found = cut(entries.mapInArrow(link_entries(most, block), "u long, v long, mask int, key long, no int, block array<long>"), "simhash-links")
-    blocks = found.where("block is not null").select("mask", "key", "no", "block")
-    others = blocks.select("mask", "key", F.col("no").alias("other_no"), F.col("block").alias("other"))
-    paired = blocks.join(others, ["mask", "key"]).where("no < other_no").select("block", "other")
-    return found.where("u is not null").select("u", "v").union(paired.mapInArrow(link_blocks(most), "u long, v long")).distinct()
+    if not 0 <= most < 8:
+        raise ValueError("fingerprints of 8 bytes share one for certain if at most 7 bits differ")
+    chosen = masks(choices(min(gram, 8 - most), 8 - most))
+    index = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in chosen])).alias("mask", "m")).select("mask", F.expr("fp & m").alias("key"), "fp")
+    long = cut(index.groupBy("mask", "key").count().where(F.col("count") > block), "simhash-long")
+    has_long = bool(long.limit(1).count())
+    short = index.join(long.select("mask", "key"), ["mask", "key"], "left_anti") if has_long else index
+    links = short.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(link_lists(most), "u long, v long")
+    if has_long:
+        dealt = index.join(long, ["mask", "key"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        pairs = ["mask", "key", "lo", "hi"]
+        dealt = dealt.select("mask", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp")
+        links = links.union(dealt.repartition(*pairs).sortWithinPartitions(*pairs).mapInArrow(link_blocks(most), "u long, v long"))
+    return cut(links, "simhash-links").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, seed: int = 42) -> DataFrame:
@@ -157,6 +191,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, seed: int
     member = components(link_fingerprints(distinct.select("fp"), most), "simhash-stars")
     rooted = distinct.join(member, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "simhash-roots")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-smallest")
     of = cut(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-of")
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

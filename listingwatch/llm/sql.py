@@ -25,7 +25,7 @@ LEFT JOIN (SELECT u, min(w) AS low FROM reach GROUP BY u) m ON m.u = v.vec_id
 
 MIXING_SQL = r"""
 WITH RECURSIVE d AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents
 ), s AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1 AS place FROM d GROUP BY source
 ), w AS (
@@ -43,13 +43,20 @@ WITH RECURSIVE d AS (
 ), t AS (
     SELECT w.*, CASE WHEN source_size * 3 * shared <= weight * rest THEN source_size * 3.0 ELSE weight * rest / shared END::DOUBLE AS target FROM w, share
 ), c AS (
-    SELECT d.*, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2 AS middle,
+    SELECT d.*, t.source_size, t.target, t.place, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2 AS middle,
            CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS full_passes
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), r AS (
+    SELECT *, full_passes + CASE WHEN middle < target - full_passes * source_size THEN 1 ELSE 0 END AS repeats,
+           CASE WHEN target > 0 THEN least(1.0, middle / target) ELSE 0.0 END::DOUBLE AS share
+    FROM c
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (full_passes + CASE WHEN middle < target - full_passes * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM c
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * repeats AS BIGINT) AS taken,
+       CASE WHEN repeats > 0 THEN least(1.0, CASE place % 3 -- where the integral of the source's weight over time reaches the share
+           WHEN 0 THEN share
+           WHEN 1 THEN share * 2 / (0.5 + sqrt(0.25 + share * 2))
+           ELSE share * 2 / (1.5 + sqrt(greatest(0.0, 2.25 - share * 2))) END) END AS position
+FROM r
 """
 
 

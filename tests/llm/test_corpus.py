@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from listingwatch.llm import bpe, common, embedding_dedup, langid, mixing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from listingwatch.llm import bpe, common, embedding_dedup, langid, mixing, quality, queries, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,6 +75,15 @@ def test_bpe_documents_and_decode(spark):
     assert {r.doc_id: bytes(r.bytes).decode() for r in bpe.decode(ids, RANKS).collect()} == texts
 
 
+def test_bpe_letter_runs_and_empty(spark):
+    lib = library()
+    docs = spark.createDataFrame([(1, "x" * 3000), (1, "x" * 3000), (2, "a b " + "é" * 2600 + " c"), (None, "z" * 800)], "doc_id long, text string")
+    out = bpe.encode(docs.withColumn("ids", F.lit("own")), RANKS, public_tokenizers.PATTERN, chunk=500, overlap=40, carry=("ids",))
+    assert Counter((r.doc_id, *r[1:4]) for r in out.collect()) == Counter((r.doc_id, *bpe_expected(r.text, lib)) for r in docs.collect())
+    assert {r.ids for r in out.collect()} == {"own"}
+    assert bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 # 2 -- SimHash
 
 
@@ -129,6 +139,15 @@ def test_simhash_links_of_random_fingerprints(spark, block):
     assert {x: spread.get(x, x) for x in signed} == found
 
 
+@pytest.mark.parametrize("gram", [1, 2, 3, 4])
+def test_simhash_choices_miss_no_minimum(gram):
+    for within in range(gram, 9):
+        chosen = [set(c) for c in simhash.choices(gram, within)]
+        assert all(any(c <= set(shared) for c in chosen) for shared in combinations(range(8), within))
+    a, b = np.array([0x0102030405060708, -1]), np.array([0x0102FF0405060709, 255])
+    assert simhash.shared_bytes(a, b).tolist() == [6, 1]
+
+
 def test_simhash_odd(spark):
     docs = odd_docs(spark)
     out = simhash.near_duplicates(docs).collect()
@@ -172,6 +191,13 @@ def test_embeddings(spark, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_null_and_repeated_ids(spark):
+    near = [[1.0, 0.0, 0.01 * i] for i in range(5)]
+    rows = [(None, near[0], 1), (None, near[1], 1), (7, near[2], 1), (7, near[2], 1), (9, near[3], 1), (None, [0.0, 1.0, 0.0], 1), (None, [0.0, 1.0, 0.01], 1), (3, [0.0, 0.0, 1.0], 1)]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()
+    assert Counter(map(tuple, out)) == Counter([(None, 4, 7, False)] * 2 + [(7, 4, 7, True)] * 2 + [(9, 4, 7, False)] + [(None, 1, None, False)] * 2 + [(3, 0, 3, True)])
+
+
 # 4 -- token counts
 
 
@@ -179,17 +205,36 @@ def test_token_counts_equal_library(spark):
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    machine = token_counts.transducer(MODEL)
+    machine = token_counts.Transducer(MODEL)
     texts = [t or "" for t in odd_texts()] + [r.text for r in documents(spark).collect()]
+    rng = random.Random(4)
+    letters = ["a", "e", "t", "h", "in", "ing", " ", "  ", "\u2581", "\n", "é", "日", "本", "の", "😀", "x" * 30, " " * 9, "0", "1234", "_", "--", "==", "...", "ß", "\u00a0", "<s>", "и"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     for text in texts:
         n = len(lib.encode(text, num_threads=1))
         assert machine.count(text) == n
-        assert machine.count(text, chunk=7) == n
-        assert machine.count(text, chunk=301) == n
+        for chunk in (7, 301):
+            marked = token_counts.marked(text)
+            maps = [machine.state_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)] if text else []
+            while len(maps) > 1:  # any order of composing gives the same
+                maps = [machine.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            assert not text or machine.total(maps[0]) == n
     docs = odd_docs(spark)
-    out = token_counts.count_tokens(docs, MODEL).collect()
     expected = Counter((r.doc_id, len((r.text or "").encode()), k := len(lib.encode(r.text or "", num_threads=1)), k > 4096) for r in docs.collect())
-    assert Counter(map(tuple, out)) == expected
+    for chunk, fan in ((token_counts.CHUNK, token_counts.FAN), (900, 3)):
+        out = token_counts.count_tokens(docs, MODEL, chunk=chunk, fan=fan).collect()
+        assert Counter(map(tuple, out)) == expected
+    assert token_counts.count_tokens(docs.limit(0), MODEL).count() == 0
+
+
+def test_transducer_forgets_and_goes_in_circles(monkeypatch):
+    machine = token_counts.Transducer(MODEL)
+    n = machine.count("x" * 50_000)
+    assert len(machine.states) < 200
+    monkeypatch.setattr(token_counts, "REMEMBERED", 20)
+    words = [f"word{i} other{i * 7}" for i in range(200)]
+    assert [machine.count(w) for w in words] == [token_counts.Transducer(MODEL).count(w) for w in words]
+    assert machine.count("x" * 50_000) == n
 
 
 # 5 -- mixing
@@ -226,6 +271,50 @@ def test_mixing_positions_follow_schedules(spark):
     assert first == pytest.approx(0.5)
 
 
+def test_mixing_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(200)]), " ".join(["w"] * rng.randint(0, 30)) if rng.random() < 0.9 else None, rng.choice("abcde") if rng.random() < 0.9 else None) for _ in range(500)]
+    rows += rows[:40]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), columns=["source"]).collect()
+    size = Counter()
+    for _, text, source in rows:
+        size[source] += len((text or "").split())
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
+    target, free = {}, set(size)
+    while True:
+        rest, shared = sum(size.values()) - sum(target.values()), sum(weight[s] for s in free)
+        over = {s for s in free if 3 * size[s] <= weight[s] * rest / shared}
+        if not over:
+            break
+        target |= {s: 3.0 * size[s] for s in over}
+        free -= over
+    target |= {s: weight[s] * rest / shared for s in free}
+    # the order within a source, and from it each row's stretch, its copies and the time at which the integral meets it
+    keyed = sorted((hashlib.md5(f"{'' if d is None else d}:{t or ''}".encode()).hexdigest(), d or 0, len((t or "").split()), s or "", d, s) for d, t, s in rows)
+    run, expected = Counter(), []
+    for _, _, n, _, doc_id, source in keyed:
+        middle = run[source] + n / 2
+        run[source] += n
+        full = target[source] // size[source] if size[source] else 0
+        repeats = int(full + (middle < target[source] - full * size[source]))
+        share = min(1.0, middle / target[source]) if target[source] else 0.0
+        start, end = mixing.SCHEDULES[sorted(size, key=lambda s: (s is None, s)).index(source) % 3]
+        low, high = 0.0, 1.0
+        for _ in range(60):  # bisection: the weight's integral up to x is start x + (end - start) x^2 / 2
+            x = (low + high) / 2
+            low, high = (x, high) if start * x + (end - start) * x * x / 2 < share else (low, x)
+        expected.append((doc_id, source, n, n * repeats, round(high, 6) if repeats else None))
+    found = [(r.doc_id, r.source, r["size"], r.taken, None if r.position is None else round(r.position, 6)) for r in out]
+    assert Counter(found) == Counter(expected)
+    assert {r.source: r.target for r in out} == pytest.approx(target)
+
+
+def test_mixing_query_is_range_sorted(spark):
+    rows = [r.position for r in queries.op5_mixing(spark, SF).collect()]
+    taken = [p for p in rows if p is not None]
+    assert taken == sorted(taken) and rows[: len(taken)] == taken
+
+
 def test_mixing_odd(spark):
     docs = odd_docs(spark)
     out = mixing.mix(docs, columns=["text", "size"]).collect()
