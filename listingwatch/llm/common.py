@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 import warnings
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,26 +51,21 @@ def drop(df: DataFrame) -> None:
     _delete(df.sparkSession, sorted(folders))
 
 
-@contextmanager
-def only(spark: SparkSession):
-    """Yields a function that cuts a result; when the block ends, all other tables that were cut in it are deleted."""
-    before, results = len(_WRITTEN), []
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        out = cut(df, name)
-        results.append(_WRITTEN[-1])
-        return out
-
-    yield keep
-    inside = [p for p in _WRITTEN[before:] if p not in results]
-    _WRITTEN[:] = [p for p in _WRITTEN if p not in inside]
-    _delete(spark, inside)
+def keep(df: DataFrame) -> DataFrame:
+    """df, a cut table, which clear() will not delete."""
+    names = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    _WRITTEN[:] = [p for p in _WRITTEN if p.rpartition("/")[2] not in names]
+    return df
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every table that this session's operators have cut; call it when their results are written."""
-    _delete(spark, _WRITTEN)
-    _WRITTEN.clear()
+def clear(spark: SparkSession, *but: DataFrame) -> None:
+    """Delete every table that this session's operators have cut, apart from those that `but` reads; for use when results
+    that read them are written. The collection lets Spark remove the shuffle files of what nobody holds any more."""
+    names = {f.rpartition("/")[0].rpartition("/")[2] for df in but for f in df.inputFiles()}
+    gone = [p for p in _WRITTEN if p.rpartition("/")[2] not in names]
+    _WRITTEN[:] = [p for p in _WRITTEN if p not in gone]
+    _delete(spark, gone)
+    spark._jvm.System.gc()
 
 
 def map_rows(df: DataFrame, fn, schema: str, step: int = 256) -> DataFrame:

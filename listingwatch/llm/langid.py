@@ -3,7 +3,8 @@
 The kernel of two texts is the cosine of their blended-spectrum presence vectors: which letter n-grams of 1 to ORDER
 characters occur at all, hashed to GRAMS places. Kernel ridge regression, one language against the rest, is fitted in
 the Nyström space of LANDMARKS training texts. As the kernel is a product of presence vectors, landmarks, Nyström
-map and ridge weights multiply out to one matrix (gram, language), and texts are scored by batched products with it.
+map and ridge weights multiply out to one matrix (gram, language; 128 kB a language), and texts are scored by batched
+products with it.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cut, map_rows
 
 ORDER = 4
 GRAMS = 1 << 15
+#: Landmark texts; one of each language at least.
 LANDMARKS = 160
 RIDGE = 1e-2
-#: The fit takes about this many rows of each language (bounded, chosen by a hash of id and text).
-FIT_ROWS = 400
-#: Languages that the classifier can hold, the most frequent ones.
-LANGUAGES = 1_000
+#: The fit takes about this many different texts of each language, chosen by a hash of the text, and MOST_ROWS in all
+#: (4 kB each on the driver); where languages are so many that their share is less than one, one of each.
+FIT_ROWS, MOST_ROWS = 400, 20_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,19 +57,26 @@ def fit(samples: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: flo
         return [], np.zeros((GRAMS, 0))
     dense = lambda rows: np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in rows]), axis=1, count=GRAMS).astype(np.float32)
     unit = lambda x: x / np.sqrt(x.sum(1, keepdims=True))
-    by_lang = [[s for s in samples if s[0] == lang] for lang in languages]
-    chosen = [s for i in range(landmarks) for rows in by_lang for s in rows[i : i + 1]][:landmarks]
+    by_lang: list[list[tuple[str, bytes]]] = [[] for _ in languages]
+    place = {lang: i for i, lang in enumerate(languages)}
+    for s in samples:
+        by_lang[place[s[0]]].append(s)
+    landmarks = max(landmarks, len(languages))
+    chosen = [s for i in range(max(map(len, by_lang))) for rows in by_lang for s in rows[i : i + 1]][:landmarks]
     marks = unit(dense(chosen))
     kernel = np.concatenate([unit(dense(samples[i : i + 128])) @ marks.T for i in range(0, len(samples), 128)]).astype(float)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     strong = values > 1e-6 * values[-1]
     root = vectors[:, strong] / np.sqrt(values[strong])  # Nyström map
     z = np.hstack([kernel @ root, np.ones((len(samples), 1))])
-    y = np.array([[1.0 if lang == s[0] else -1.0 for lang in languages] for s in samples])
-    share = np.array([1 / len(by_lang[languages.index(s[0])]) for s in samples])[:, None]  # languages weigh the same
-    weights = np.linalg.solve(z.T @ (z * share) + ridge * np.eye(z.shape[1]) / len(languages), z.T @ (y * share))
+    of = np.array([place[s[0]] for s in samples])
+    weighed = z / np.array([len(rows) for rows in by_lang])[of][:, None]  # languages weigh the same
+    # targets are 1 for a row's own language and -1 for the others
+    own = np.zeros((len(languages), z.shape[1]))
+    np.add.at(own, of, weighed)
+    weights = np.linalg.solve(z.T @ weighed + ridge * np.eye(z.shape[1]) / len(languages), (2 * own - weighed.sum(0)).T)
     matrix = marks.T.astype(float) @ (root @ weights[:-1])
-    return languages, np.vstack([matrix, weights[-1:]])
+    return languages, np.vstack([matrix, weights[-1:]]).astype(np.float32)
 
 
 def predict(texts: list[str | None], languages: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
@@ -79,7 +87,7 @@ def predict(texts: list[str | None], languages: list[str], matrix: np.ndarray) -
     if have and languages:
         places = [found[i] for i in have]
         starts = np.cumsum([0, *map(len, places[:-1])])
-        product = np.add.reduceat(matrix[np.concatenate(places)], starts) / np.sqrt([len(x) for x in places])[:, None] + matrix[-1]
+        product = np.add.reduceat(matrix[np.concatenate(places)], starts, dtype=float) / np.sqrt([len(x) for x in places])[:, None] + matrix[-1]
         for i, row in zip(have, product, strict=True):
             k = int(row.argmax())
             best[i], score[i] = languages[k], float(np.clip((row[k] + 1) / 2, 0, 1))
@@ -90,16 +98,22 @@ def held_out(fold: int = 2, folds: int = 4):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def identify(docs: DataFrame, fit_rows: int = FIT_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang).
 
-    Learns from rows that are not held out and have a text with a letter and a language. A null or empty text, or one
+    Learns from rows that are not held out and have a text with a letter and a language: all languages, and of each about
+    fit_rows different texts (less if they would be more than most_rows in all, but one at least). A null or empty text, or one
     without a letter, is `und` with score 0; so is every text if there is nothing to learn from. A null doc_id counts
-    as an empty one. Repeated rows are rows like any other; other columns are not read.
+    as an empty one. Repeated rows are rows like any other and are learnt once; other columns are not read.
     """
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("draw"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    drawn = known.join(F.broadcast(counts), "lang").where(F.col("draw") * F.col("count") < fit_rows * (1 << 30))
+    lettered = F.col("text").rlike(r"\p{L}")
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & lettered).select("text", "lang", F.xxhash64("text").alias("draw"))
+    # a language's texts with the smallest hash: one is kept of each language, so none is lost
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("count"), F.min("draw").alias("least")), "languages")
+    each = max(1, min(fit_rows, most_rows // max(1, counts.count())))
+    reach = F.least(F.lit(1.0), F.lit(float(each)) / F.col("count")) * float(2**64) - float(2**63)
+    drawn = known.join(counts, "lang").where((F.col("draw") == F.col("least")) | (F.col("draw") < reach))
+    drawn = drawn.select("lang", "draw", "text").dropDuplicates(["lang", "draw"])
 
     def bits(b):
         found = [(lang, presence(t)) for lang, t in zip(b["lang"], b["text"], strict=True)]

@@ -7,6 +7,8 @@ each rule says of good and of bad documents, and each pattern gets the posterior
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,25 +20,32 @@ RULES = {
     "repeats": ("100.0 * n_repeat_words / greatest(n_words, 1)", 20.0, 35.0),
     "symbols": ("100.0 * n_symbols / greatest(n_words, 1)", 5.0, 10.0),
     "dup_lines": ("100.0 * n_dup_lines / greatest(n_lines, 1)", 20.0, 30.0),
+    "letters": ("100.0 - 100.0 * n_lettered / greatest(n_words, 1)", 10.0, 20.0),
     "word_length": ("abs(word_chars / greatest(n_words, 1) - 6.5)", 3.0, 5.0),
     "capitals": ("100.0 * n_capitals / greatest(word_chars, 1)", 15.0, 40.0),
     "stops": ("100.0 * n_stops / greatest(n_words, 1)", 20.0, 40.0),
 }
+_LETTER = re.compile(rb"[A-Za-z]")
 SYMBOLS = "#*$%&|<>"
 STOPS = "!?"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 ROUNDS = 50
 ABSTAIN = 2
-#: What a rule is believed to say before any document is seen, (bad, good, nothing): of bad and of good documents. The
-#: bounds in RULES are set so that about one clean document in a thousand is called bad.
-BELIEF = ((0.3, 0.68, 0.02), (0.001, 0.984, 0.015))
-PRIOR_GOOD, PRIOR_BAD = 0.9, 5.0
+#: What a rule is believed to say before any document is seen, (bad, good, nothing): of bad and of good documents. A bad
+#: document is blamed by some rules only; a good one hardly by any, as the bounds in RULES are set for that.
+BELIEF = ((0.15, 0.82, 0.03), (0.001, 0.979, 0.02))
+#: Share of good documents before any is seen; how many documents the belief is worth; and how many more, as a share of all,
+#: where it says what good documents look like.
+PRIOR_GOOD, PRIOR_WEIGHT, GOOD_SHARE = 0.9, 20.0, 0.1
+#: Without it, two rules that never agree could make EM call most documents bad and hold that the rules mostly miss it.
+LEAST_GOOD = 0.7
 
 
 def measure(text: str | None) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_stops of a whole text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_stops, n_lettered (words with a
+    letter) of a whole text."""
     if not text:
-        return (0,) * 8
+        return (0,) * 9
     words = text.encode().split()  # bytes.split() parts at the six ASCII spaces and nothing else
     n = len(words)
     chars = len(text) - sum(map(text.count, SPACES))
@@ -59,10 +68,12 @@ def measure(text: str | None) -> tuple[int, ...]:
             covered[k : n - 2 + k] |= twice
         repeated = int(covered.sum())
     capitals = sum(map(str.isupper, text)) if not text.islower() else 0
-    return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), capitals, sum(map(text.count, STOPS))
+    # a word without an ASCII letter is looked at again for other letters
+    bare = sum(not any(map(str.isalpha, w.decode())) for w in words if not w.isalpha() and not _LETTER.search(w))
+    return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), capitals, sum(map(text.count, STOPS)), n - bare
 
 
-COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stops"]
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stops", "n_lettered"]
 
 
 def vote(rule: str):
@@ -73,23 +84,20 @@ def vote(rule: str):
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Posterior probability of `good` for each vote pattern (rows of 0, 1, ABSTAIN), by EM over pattern counts.
 
-    What a rule says (bad, good or nothing) has a distribution for good and one for bad documents. EM starts from BELIEF
-    and keeps it as a prior: for good documents as heavy as all documents, as the rules' bounds are set by how rarely
-    they may err there; for bad ones, which nobody knows beforehand, as heavy as PRIOR_BAD documents.
+    What a rule says (bad, good or nothing) has a distribution for good and one for bad documents: its accuracies. EM
+    starts from BELIEF and estimates them from how the rules agree over all documents; BELIEF stays in as so many documents
+    of either kind as PRIOR_WEIGHT and GOOD_SHARE say, so that it decides a small table and much less a large one.
     """
     said = np.stack([patterns == v for v in (0, 1, ABSTAIN)]).astype(float)  # vote, pattern, rule
     belief = np.repeat(np.array(BELIEF)[:, :, None], patterns.shape[1], 2)  # class, vote, rule
     chance, share = belief, PRIOR_GOOD
-    weight = np.array([PRIOR_BAD, PRIOR_BAD + counts.sum()])
-    blamed = (patterns == 0).any(1)
-    good = np.ones(len(patterns))
+    weight = PRIOR_WEIGHT + np.array([0, GOOD_SHARE * counts.sum()])[:, None, None]
     for _ in range(rounds):
         bad_log, good_log = (np.einsum("vpr,vr->p", said, np.log(c)) for c in chance)
         good = 1 / (1 + np.exp(np.clip(np.log(1 - share) + bad_log - np.log(share) - good_log, -500, 500)))
-        good = np.where(blamed, good, 1.0)
-        votes = np.stack([np.einsum("p,vpr->vr", counts * w, said) for w in (1 - good, good)]) + weight[:, None, None] * belief
+        votes = np.stack([np.einsum("p,vpr->vr", counts * w, said) for w in (1 - good, good)]) + weight * belief
         chance = votes / votes.sum(1, keepdims=True)
-        share = (counts @ good + PRIOR_BAD * PRIOR_GOOD) / (counts.sum() + PRIOR_BAD)
+        share = max(LEAST_GOOD, (counts @ good + PRIOR_WEIGHT * PRIOR_GOOD) / (counts.sum() + PRIOR_WEIGHT))
     return good
 
 

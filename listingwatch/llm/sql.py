@@ -60,21 +60,34 @@ FROM r
 """
 
 
+#: Levels of the template tree in SQL; the operator goes as deep as the paths differ, the given tables' have fewer segments.
+LEVELS = 5
+
+
+def _differ(n1: str, b1: str, n2: str, b2: str) -> str:
+    mean = f"(({b1} + {b2} + 1) / ({n1} + {n2} + 2))"
+    return f"abs(({b1} + 1) / ({n1} + 2) - ({b2} + 1) / ({n2} + 2)) > 1.96 * sqrt({mean} * (1 - {mean}) * (1 / ({n1} + 1) + 1 / ({n2} + 1)))"
+
+
 def _level(i: int, before: str) -> str:
-    """One level of the template tree (see the operator): branches that do not stand apart become wildcards."""
+    """One level of the template tree (see the operator): branches that do not stand apart become wildcards, and of the
+    others neighbours in the order of their shares are merged where they do not differ."""
     return f"""
-b{i} AS (SELECT tree, template, s{i}, sum(labelled) AS n, sum(blocked) AS b FROM {before} GROUP BY ALL),
+b{i} AS (SELECT tree, template, coalesce(seg[{i}], '') AS s, sum(labelled) AS n, sum(blocked) AS b FROM {before} GROUP BY ALL),
 n{i} AS (
     SELECT *, sum(n) OVER (PARTITION BY tree, template) AS n_all, sum(b) OVER (PARTITION BY tree, template) AS b_all FROM b{i}
 ),
-k{i} AS (
-    SELECT tree, template, s{i}, CASE WHEN s{i} = '' THEN ''
-        WHEN abs((b + 1) / (n + 2) - (b_all - b + 1) / (n_all - n + 2))
-             > 1.96 * sqrt((b_all + 1) / (n_all + 2) * (1 - (b_all + 1) / (n_all + 2)) * (1 / (n + 1) + 1 / (n_all - n + 1))) THEN '/' || s{i}
-        ELSE '/*' END AS step
-    FROM n{i}
+t{i} AS (SELECT *, s <> '' AND n > 0 AND {_differ("n", "b", "(n_all - n)", "(b_all - b)")} AS strong FROM n{i}),
+l{i} AS (SELECT *, lag(n) OVER w AS n_last, lag(b) OVER w AS b_last FROM t{i} WHERE strong WINDOW w AS (PARTITION BY tree, template ORDER BY (b + 1) / (n + 2), n, b, s)),
+c{i} AS (
+    SELECT *, sum(CASE WHEN n_last IS NULL OR {_differ("n", "b", "n_last", "b_last")} THEN 1 ELSE 0 END)
+        OVER (PARTITION BY tree, template ORDER BY (b + 1) / (n + 2), n, b, s ROWS UNBOUNDED PRECEDING) AS grp FROM l{i}
+),
+m{i} AS (
+    SELECT tree, template, s, CASE WHEN count(*) OVER g = 1 THEN '/' || s ELSE '//' || min(s) OVER g END AS name FROM c{i} WINDOW g AS (PARTITION BY tree, template, grp)
 ),
-g{i} AS (SELECT g.* REPLACE (g.template || k.step AS template) FROM {before} g JOIN k{i} k USING (tree, template, s{i}))"""
+k{i} AS (SELECT b.tree, b.template, b.s, CASE WHEN b.s = '' THEN '' ELSE coalesce(m.name, '/*') END AS step FROM b{i} b LEFT JOIN m{i} m USING (tree, template, s)),
+g{i} AS (SELECT g.* REPLACE (g.template || k.step AS template) FROM {before} g JOIN k{i} k ON g.tree = k.tree AND g.template = k.template AND coalesce(g.seg[{i}], '') = k.s)"""
 
 
 URL_SQL = f"""
@@ -90,21 +103,19 @@ WITH u AS (
     SELECT u.*, rule, said, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
            lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$|^[0-9a-fA-F]{{8,}}$|^.{{32,}}$|^[0-9].*[0-9]$') THEN '*' ELSE x END) AS seg
     FROM u LEFT JOIN hosts USING (host, path)
-), steps AS (
-    SELECT *, coalesce(seg[1], '') AS s1, coalesce(seg[2], '') AS s2, coalesce(seg[3], '') AS s3 FROM parsed
 ), paths AS (
-    SELECT host, s1, s2, s3, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked FROM steps GROUP BY ALL
+    SELECT host, seg, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked FROM parsed GROUP BY ALL
 ), g0 AS (
-    SELECT host AS tree, '' AS template, s1, s2, s3, CAST(labelled AS DOUBLE) AS labelled, CAST(blocked AS DOUBLE) AS blocked FROM paths
+    SELECT 'host:' || host AS tree, '' AS template, seg, CAST(labelled AS DOUBLE) AS labelled, CAST(blocked AS DOUBLE) AS blocked FROM paths
     UNION ALL
-    SELECT '*', '', s1, s2, s3, sum(labelled)::DOUBLE, sum(blocked)::DOUBLE FROM paths GROUP BY ALL
-),{_level(1, "g0")},{_level(2, "g1")},{_level(3, "g2")},
-leaf AS (SELECT tree, s1, s2, s3, sum(labelled) OVER (PARTITION BY tree, template) AS n, sum(blocked) OVER (PARTITION BY tree, template) AS b FROM g3),
+    SELECT '*', '', seg, sum(labelled)::DOUBLE, sum(blocked)::DOUBLE FROM paths GROUP BY ALL
+),{",".join(_level(i, f"g{i - 1}") for i in range(1, LEVELS + 1))},
+leaf AS (SELECT tree, seg, sum(labelled) OVER (PARTITION BY tree, template) AS n, sum(blocked) OVER (PARTITION BY tree, template) AS b FROM g{LEVELS}),
 prior AS (SELECT coalesce((sum(blocked) + 1) / (sum(labelled) + 2), 0.5) AS prior FROM paths),
-wide AS (SELECT s1, s2, s3, (b + 4.0 * prior) / (n + 4.0) AS p_wide FROM leaf, prior WHERE tree = '*'),
-own AS (SELECT tree AS host, s1, s2, s3, (b + 4.0 * p_wide) / (n + 4.0) AS p FROM leaf JOIN wide USING (s1, s2, s3) WHERE tree <> '*')
+wide AS (SELECT seg, (b + 4.0 * prior) / (n + 4.0) AS p_wide FROM leaf, prior WHERE tree = '*'),
+own AS (SELECT substr(tree, 6) AS host, seg, (b + 4.0 * p_wide) / (n + 4.0) AS p FROM leaf JOIN wide USING (seg) WHERE tree <> '*')
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN p > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM steps JOIN own USING (host, s1, s2, s3)
+FROM parsed JOIN own USING (host, seg)
 """
 
 SUFFIX_SQL = """

@@ -14,7 +14,9 @@ windows that name it.
    left. Neighbours' common prefixes give, for each place in a window, the ranges of suffixes that agree on all LENGTH
    bytes; all but the earliest are removed. Splitters never part equal leading bytes, so no match crosses a boundary.
 3. A leading string with more than CROWD different regions (the edge of a passage that many documents share) would fill
-   one bucket; its windows become suffixes of their own, which the splitters part by all LENGTH bytes.
+   one bucket; its windows become suffixes of their own, which the splitters part by all LENGTH bytes. The most frequent
+   of them are found beforehand in one text of SAMPLED, so that their regions are not dealt out by the leading bytes at
+   all but by the whole content. That only decides the way: either way gives the same result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ from .common import add_columns, cut, key_groups
 LENGTH = 100
 GRAM = 24
 CROWD = 2_048
+SAMPLED = 64
+#: Leading strings that are known as crowded beforehand, the most frequent ones: what each task is sent is bounded by it.
+KNOWN = 50_000
 _BLOCK = 1 << 16
 _INDEX = np.uint64((1 << 17) - 1)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -110,10 +115,11 @@ def merge_ranges(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], np.append(end[:-1][new[1:]], end[-1])
 
 
-def read_anchors(length: int):
-    """Texts -> (k, ctx, doc, at): a region by the hash of its leading bytes and of its content; or, with ctx null, a
-    range to remove that the task has found itself (k then only spreads the rows)."""
-    schema = pa.schema([("k", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
+def read_anchors(length: int, crowded=None):
+    """Texts -> (k, ctx, doc, at, crowd): a region by the hash of its leading bytes and of its content; or, with ctx null, a
+    range to remove that the task has found itself (k then only spreads the rows). Where the leading bytes are known as
+    crowded (a broadcast array of their hashes), crowd is set and k is a hash of all the content."""
+    schema = pa.schema([("k", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("crowd", pa.bool_())])
 
     def run(batches):
         for batch in batches:
@@ -138,12 +144,14 @@ def read_anchors(length: int):
             order = np.argsort(both, kind="stable")  # rows stand in the order of (doc, place)
             k, ctx, doc, span = k[order], ctx[order], doc[order], span[order]
             again = np.append(False, (k[1:] == k[:-1]) & (ctx[1:] == ctx[:-1]))
-            yield pa.RecordBatch.from_pydict({"k": k[~again], "ctx": ctx[~again], "doc": doc[~again], "at": span[~again]}, schema=schema)
+            crowd = np.isin(k, crowded.value) if crowded is not None else np.zeros(len(k), bool)
+            route = np.where(crowd, mix_words(both[order].copy()).view(np.int64), k)
+            yield pa.RecordBatch.from_pydict({"k": route[~again], "ctx": ctx[~again], "doc": doc[~again], "at": span[~again], "crowd": crowd[~again]}, schema=schema)
             if again.any():
                 _, first, last = unpack_span(span[again])
                 owner, ranges = merge_by_doc(doc[again], pack_range(first, last + length))
                 spread = (owner.view(np.uint64) * _A).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"k": spread, "ctx": pa.nulls(len(owner), pa.int64()), "doc": owner, "at": ranges}, schema=schema)
+                yield pa.RecordBatch.from_pydict({"k": spread, "ctx": pa.nulls(len(owner), pa.int64()), "doc": owner, "at": ranges, "crowd": np.zeros(len(owner), bool)}, schema=schema)
 
     return run
 
@@ -174,10 +182,11 @@ def compare_regions(length: int, crowd: int):
             table = table.filter(pa.array(~found))
             if not table.num_rows:
                 continue
-            k, ctx, doc, at = (table.column(c).to_numpy() for c in ("k", "ctx", "doc", "at"))
+            k, ctx, doc, at, known = (table.column(c).to_numpy() for c in ("k", "ctx", "doc", "at", "crowd"))
             new_key = np.append(True, k[1:] != k[:-1])
             earliest = new_key | np.append(True, ctx[1:] != ctx[:-1])
             regions = np.add.reduceat(earliest, np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
+            regions = np.where(known, crowd + 1, regions)
             compared = earliest & (regions > 1)
             _, first, last = unpack_span(at)
             out = np.where(earliest, at, pack_range(first, last + length))
@@ -306,9 +315,18 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return keyed.join(index, F.col("doc_id").eqNullSafe(F.col("number_id")) & (F.col("text_hash") == F.col("number_hash"))).drop("number_id", "number_hash", "text_hash"), False
 
 
-def find_repeats(texts: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+def crowded_leads(texts: DataFrame, length: int, crowd: int, sampled: int = SAMPLED) -> np.ndarray:
+    """Hashes of the leading bytes that have the most different regions in one text of `sampled`, KNOWN at most."""
+    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(sampled)) == 0).mapInArrow(read_anchors(length), "k long, ctx long, doc long, at long, crowd boolean")
+    regions = some.where("ctx is not null").select("k", "ctx").distinct().groupBy("k").count()
+    most = regions.where(F.col("count") > max(1, crowd // sampled)).orderBy(F.desc("count"), "k").limit(KNOWN)
+    return np.sort(np.array([r["k"] for r in most.collect()], np.int64))
+
+
+def find_repeats(texts: DataFrame, length: int = LENGTH, crowd: int = CROWD, sampled: int = SAMPLED) -> DataFrame:
     """(doc: unique long, text) -> (doc, ranges: array of packed ranges to remove), for the documents that have any."""
-    regions = texts.mapInArrow(read_anchors(length), "k long, ctx long, doc long, at long")
+    crowded = texts.sparkSession.sparkContext.broadcast(crowded_leads(texts, length, crowd, sampled))
+    regions = texts.mapInArrow(read_anchors(length, crowded), "k long, ctx long, doc long, at long, crowd boolean")
     sorted_regions = regions.repartition("k").sortWithinPartitions("k", "ctx", "doc", "at")
     found = cut(sorted_regions.mapInArrow(compare_regions(length, crowd), "doc long, at long, kind byte"), "repeats")
     chosen = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("at")))
@@ -321,7 +339,7 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     return ranges.groupBy("doc").agg(F.collect_list("at").alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, sampled: int = SAMPLED) -> DataFrame:
     """All columns of docs (doc_id, text, ...) and n_bytes, n_removed, n_spans, kept_sha256, kept_text (what is
     left; half characters at a cut are left out of kept_text, not of the hash).
 
@@ -337,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     texts = all_docs.select("doc", "text").where(F.octet_length("text") >= length)
     if not unique:
         texts = texts.dropDuplicates(["doc"])
-    with_ranges = all_docs.join(find_repeats(texts, length, crowd), "doc", "left")
+    with_ranges = all_docs.join(find_repeats(texts, length, crowd, sampled), "doc", "left")
 
     def remove(b):
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}

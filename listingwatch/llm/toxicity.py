@@ -1,8 +1,9 @@
 """Operator 10: toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-The labelled rows in use are dealt into three parts by a hash: a lexicon (words and word beginnings that stand out in
-toxic texts), the trees, and the calibration each learn from a part of their own, so that a word that is only toxic by
-chance in one part is not believed in the next.
+Features count words of two lexicons: INSULTS, common insults of four languages, which need no labels, and a learned one
+(words and word beginnings that stand out in toxic texts). The labelled rows in use are dealt into two halves by a
+hash: for the trees, each half is measured by the lexicon that the other half taught, so that a word that is only toxic
+by chance is not believed. Calibration is by margins that each row gets from trees fitted without it.
 """
 
 from __future__ import annotations
@@ -21,15 +22,32 @@ from .common import add_columns, cut, map_rows
 #: Learning takes at most this many labelled rows, those with the smallest hash of their id.
 FIT_ROWS = 24_000
 LEXICON_SIZE = 2_000
+#: Log-likelihood ratio from which a word's share of toxic texts is no chance, though thousands of words are tried.
+CERTAIN = 18.0
 #: Log odds from which a word counts as strong.
 STRONG = 4.0
 TREES, DEPTH, BINS, RATE = 60, 3, 32, 0.2
+#: A lexicon to begin with: fixed values, common insults in English, French, German and Spanish that are no ordinary word
+#: in another of them.
+INSULTS = frozenset("""
+    idiot idiots idiotic stupid moron morons moronic imbecile dumb dumbass dimwit loser losers pathetic worthless scum trash garbage filth filthy vermin
+    pig pigs bastard bastards bitch bitches asshole assholes jerk jerks cretin freak freaks retard retarded disgusting despicable coward cowards
+    shit shitty crap fuck fucking fucker ugly useless creep creeps parasite parasites subhuman
+    imbécile crétin crétins débile débiles connard connards connasse salaud salope ordure ordures pourriture abruti abrutis minable minables merde putain
+    idiote idiotes stupide stupides bouffon lâche parasites racaille
+    idioten dummkopf dumme trottel depp deppen vollidiot abschaum versager arschloch schwein schweine dreck dreckig scheiße scheisse wichser hure
+    schwachkopf widerlich ekelhaft wertlos nutzlos ungeziefer feigling mistkerl hass
+    idiota idiotas estúpido estúpida estúpidos imbécil imbéciles tonto perdedor perdedora basura escoria asqueroso asquerosa inútil mierda puta puto
+    cabrón gilipollas cerdo cobarde patético patética despreciable maldito maldita
+    """.split())
 #: Words that address the reader.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer ti tú usted ustedes vosotros vuestro".split())
 #: Signs that stand for letters.
 LEET = str.maketrans("0134578@$!€", "oieastba" + "si" + "e")
 PUNCTUATION = "!?.,;:"
-FEATURES = ("strongest", "total", "strong", "hits", "density", "distinct", "obfuscated", "address", "capitals", "shouts", "marks", "symbols", "length")
+FEATURES = ("insults", "insult_density", "strongest", "total", "strong", "hits", "density", "distinct", "obfuscated", "address", "capitals", "shouts", "marks", "symbols", "length")
+#: Folds in which margins for the calibration are made.
+FOLDS = 5
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INSIDE = re.compile(r"[\W_]+")
 
@@ -44,7 +62,7 @@ def plain(token: str) -> str:
 
 
 class Words(dict):
-    """Token -> (lexicon weight, whether only its plain spelling is in the lexicon)."""
+    """Token -> (lexicon weight, whether only its plain spelling is in a lexicon, whether it is one of INSULTS)."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
@@ -52,11 +70,12 @@ class Words(dict):
     def weigh(self, word: str) -> float:
         return max((self.lexicon.get(t, 0.0) for t in terms_of(word)), default=0.0)
 
-    def __missing__(self, token: str) -> tuple[float, bool]:
+    def __missing__(self, token: str) -> tuple[float, bool, bool]:
         word = plain(token)
-        found = (self.weigh(word), False)
-        if not found[0] and word and not word.isalpha():
-            found = (self.weigh(_INSIDE.sub("", word.translate(LEET))), True)
+        found = (self.weigh(word), False, word in INSULTS)
+        if not found[0] and not found[2] and word and not word.isalpha():
+            spelt = _INSIDE.sub("", word.translate(LEET))
+            found = (self.weigh(spelt), True, spelt in INSULTS)
         if len(self) > 300_000:
             self.clear()
         self[token] = found
@@ -69,14 +88,18 @@ def measure(text: str | None, words: Words) -> tuple[float, ...]:
         return (0.0,) * len(FEATURES)
     tokens = text.lower().split()
     n = max(1, len(tokens))
-    weights = [words[t][0] for t in tokens]
-    at = [i for i, w in enumerate(weights) if w]
+    found = [words[t] for t in tokens]
+    weights = [w for w, _, _ in found]
+    insults = sum(x for _, _, x in found)
+    at = [i for i, (w, _, insult) in enumerate(found) if w or insult]
     hidden = sum(words[tokens[i]][1] for i in at)
     address = 0
     for i in at:
         address += any(plain(t) in SECOND_PERSON for t in tokens[max(0, i - 5) : i + 6])
     size = len(text)
     return (
+        float(insults),
+        100.0 * insults / n,
         max(weights, default=0.0),
         sum(weights) / n,
         float(sum(w >= STRONG for w in weights)),
@@ -112,9 +135,10 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, floa
     good = F.col("all") - F.col("bad")
     p_bad, p_good = (F.col("bad") + 0.5) / (n_bad + 1), (good + 0.5) / (n_good + 1)
     weight = F.log(p_bad) - F.log(p_good)
-    chance = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (good + 0.5))
+    far = lambda n, p: F.when(n > 0, n * F.log(n / (F.col("all") * p))).otherwise(0.0)
+    ratio = 2 * (far(F.col("bad"), n_bad / n_all) + far(good, n_good / n_all))
     least = max(3, math.ceil(0.01 * n_bad))
-    best = counted.where((F.col("bad") >= least) & (weight > 1.5) & (weight / chance > 4)).select("term", weight.alias("weight"))
+    best = counted.where((F.col("bad") >= least) & (weight > 1.5) & (ratio >= CERTAIN)).select("term", weight.alias("weight"))
     rows = best.orderBy(F.desc("weight"), "term").limit(size).collect()
     return {r["term"]: min(6.0, round(r["weight"], 6)) for r in rows}
 
@@ -205,8 +229,6 @@ class Model:
             return np.full(len(texts), self.prior)
         words = words if words is not None else Words(self.lexicon)
         margin = self.trees.predict(np.array([measure(t, words) for t in texts]).reshape(-1, len(FEATURES)))
-        if self.curve is None:
-            return 1 / (1 + np.exp(-margin))
         return np.clip(np.interp(margin, *self.curve), 0.0, 1.0)
 
 
@@ -225,24 +247,33 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     known = docs.where(~held_out() & F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(marks), "doc_id")
     known = known.withColumn("key", F.xxhash64("text"))
     one = known.groupBy("key").agg(F.first("text").alias("text"), F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
-    sample = cut(one.select("text", "toxic", F.pmod(F.xxhash64("key"), F.lit(10)).alias("part")), "toxicity-fit")
+    sample = cut(one.select("text", "toxic", F.pmod(F.xxhash64("key"), F.lit(2 * FOLDS)).alias("part")), "toxicity-fit")
     prior = float(sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0])
-    lexicon = learn_lexicon(sample.where("part < 5").select("text", "toxic"))
+    halves = [F.col("part") < FOLDS, F.col("part") >= FOLDS]
+    # what a half's texts are measured by, the other half has taught
+    taught = [learn_lexicon(sample.where(half).select("text", "toxic")) for half in reversed(halves)]
 
-    def features(b):
-        words = Words(lexicon)
-        return {"toxic": b["toxic"], "part": b["part"], "x": [list(measure(t, words)) for t in b["text"]]}
+    def features(lexicon):
+        def measured(b):
+            words = Words(lexicon)
+            return {"toxic": b["toxic"], "part": b["part"], "x": [list(measure(t, words)) for t in b["text"]]}
 
-    rows = map_rows(sample.where("part >= 5"), features, "toxic int, part int, x array<double>", 2048).collect()  # at most fit_rows
+        return measured
+
+    measured = [map_rows(sample.where(half), features(lexicon), "toxic int, part int, x array<double>", 2048) for half, lexicon in zip(halves, taught, strict=True)]
+    rows = measured[0].union(measured[1]).collect()  # at most fit_rows
+    lexicon = learn_lexicon(sample.select("text", "toxic"))
     rows.sort(key=lambda r: (r["part"], r["x"], r["toxic"]))
     x, y, part = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["toxic"] for r in rows], float), np.array([r["part"] for r in rows])
-    for_trees = part < 8
-    if not lexicon or len(set(y[for_trees])) < 2:
+    if len(set(y)) < 2:
         return Model(lexicon, None, None, prior)
-    trees = Trees().fit(x[for_trees], y[for_trees])
-    rest = ~for_trees
-    curve = isotonic(trees.predict(x[rest]), y[rest]) if y[rest].sum() >= 20 and (1 - y[rest]).sum() >= 20 else None
-    return Model(lexicon, trees, curve, prior)
+    margins = np.empty(len(y))
+    for fold in range(FOLDS):
+        mine = part % FOLDS == fold
+        others = y[~mine]
+        # a fold whose rest has one label says nothing of its own rows but the share
+        margins[mine] = Trees().fit(x[~mine], others).predict(x[mine]) if len(set(others)) == 2 else 0.0
+    return Model(lexicon, Trees().fit(x, y), isotonic(margins, y), prior)
 
 
 @lru_cache(maxsize=2)

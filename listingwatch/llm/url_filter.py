@@ -1,17 +1,22 @@
 """Operator 6: URL filter with a path-template tree.
 
 Rules decide first. For the other URLs a tree of path templates is grown per host, and one over all hosts ("*"):
-variable segments become wildcards, and a branch whose share of blocked pages does not differ from its siblings' is
-merged into the wildcard branch. Labels are the rules' own verdicts. A template's blocked share is smoothed towards the
-same path's share over all hosts, and that towards the share of all labelled pages; templates above one half
-are rejected. All steps are DataFrame operations; the tree is grown over distinct paths, not over pages.
+variable segments become wildcards; at each node a branch whose share of blocked pages does not differ from its siblings'
+is merged into the wildcard branch, and of the branches that stand apart those whose shares do not differ from
+each other are merged too, neighbour by neighbour in the order of their shares. Labels are the rules' own verdicts. A
+template's blocked share is smoothed towards the same path's share over all hosts, and that towards the share of all
+labelled pages; templates above one half are rejected.
+
+The tree grows level by level, as deep as labelled paths of one template still differ. All steps are aggregates and
+joins over distinct paths, not over pages; what a step joins to is written out first, so that Spark knows its size and
+splits a hot tree or path in the join.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -24,8 +29,6 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Levels of the tree; what lies deeper shares its ancestor's template.
-LEVELS = 3
 #: Segments that name one page: numbers, or long or mixed keys.
 VARIABLE = r"^[0-9]+$|^[0-9a-fA-F]{8,}$|^.{32,}$|^[0-9].*[0-9]$"
 #: Pages' worth of the wider estimate in a narrower one.
@@ -54,28 +57,58 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def grow(paths: DataFrame, levels: int = LEVELS, apart: float = APART) -> DataFrame:
-    """(tree, s1..sn, labelled, blocked) -> with `template`: segments kept where the branch stands apart, else `*`.
-
-    Each level is written out: it reads the one above twice, and unwritten plans would double with each level.
-    """
-    tree = cut(paths.withColumn("template", F.lit("")), "url-tree")
-    for i in range(1, levels + 1):
-        seg = f"s{i}"
-        branch = tree.groupBy("tree", "template", seg).agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-        siblings = tree.groupBy("tree", "template").agg(F.sum("labelled").alias("n_all"), F.sum("blocked").alias("b_all"))
-        both = branch.join(siblings, ["tree", "template"])
-        rest_n, rest_b = F.col("n_all") - F.col("n"), F.col("b_all") - F.col("b")
-        p, q = (F.col("b") + 1) / (F.col("n") + 2), (rest_b + 1) / (rest_n + 2)
-        mean = (F.col("b_all") + 1) / (F.col("n_all") + 2)
-        error = F.sqrt(mean * (1 - mean) * (1 / (F.col("n") + 1) + 1 / (rest_n + 1)))
-        step = F.when(F.col(seg) == "", "").when(F.abs(p - q) > apart * error, F.concat(F.lit("/"), seg)).otherwise("/*")
-        named = both.select("tree", "template", seg, step.alias("step"))
-        tree = cut(tree.join(named, ["tree", "template", seg]).withColumn("template", F.concat("template", "step")).drop("step"), "url-tree")
-    return tree
-
-
-def judge(pages: DataFrame, rules=RULES, levels: int = LEVELS, smoothing: float = SMOOTHING) -> DataFrame:
+def differ(n1: Column, b1: Column, n2: Column, b2: Column, apart: float) -> Column:
+    """Whether two blocked shares (b of n pages, each taken with one page of either kind more) differ by `apart` errors."""
+    mean = (b1 + b2 + 1) / (n1 + n2 + 2)
+    error = F.sqrt(mean * (1 - mean) * (1 / (n1 + 1) + 1 / (n2 + 1)))
+    return F.abs((b1 + 1) / (n1 + 2) - (b2 + 1) / (n2 + 2)) > apart * error
+
+
+def steps_of(rows: DataFrame, apart: float) -> DataFrame:
+    """Rows (tree, template, segment, labelled, blocked) of one level -> what each branch adds to the template."""
+    node = ["tree", "template"]
+    branch = rows.groupBy(*node, "segment").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
+    siblings = cut(branch.groupBy(*node).agg(F.sum("n").alias("n_all"), F.sum("b").alias("b_all")), "url-nodes")
+    n, b = F.col("n"), F.col("b")
+    strong = (F.col("segment") != "") & (n > 0) & differ(n, b, F.col("n_all") - n, F.col("b_all") - b, apart)
+    branch = cut(branch.join(siblings, node).select(*node, "segment", "n", "b", strong.alias("strong")), "url-branches")
+    # branches with the same counts are one point, so a node has far fewer points than branches
+    points = branch.where("strong").groupBy(*node, "n", "b").agg(F.count("*").alias("members"), F.min("segment").alias("first"))
+    by_share = Window.partitionBy(*node).orderBy((b + 1) / (n + 2), "n", "b")
+    new = F.coalesce(differ(n, b, F.lag("n").over(by_share), F.lag("b").over(by_share), apart), F.lit(True))
+    points = points.withColumn("new", new.cast("int")).withColumn("group", F.sum("new").over(by_share))
+    group = Window.partitionBy(*node, "group")
+    name = F.when(F.sum("members").over(group) == 1, F.concat(F.lit("/"), "first")).otherwise(F.concat(F.lit("//"), F.min("first").over(group)))
+    points = cut(points.select(*node, "n", "b", name.alias("name")), "url-points")
+    named = branch.join(points.withColumn("strong", F.lit(True)), [*node, "n", "b", "strong"], "left")
+    step = F.when(F.col("segment") == "", "").otherwise(F.coalesce("name", F.lit("/*")))
+    return cut(named.select(*node, "segment", step.alias("step")), "url-steps")
+
+
+def grow(paths: DataFrame, apart: float = APART) -> DataFrame:
+    """(tree, segments, labelled, blocked) -> with `template`: a step for each segment: `/segment` where its branch stands
+    apart, `//segment` (the first of those merged) where several do together, else `/*`; `/**` for all that follows
+    where no labelled path differs any more."""
+    node = ["tree", "template"]
+    rows, done, level = cut(paths.withColumn("template", F.lit("")), "url-tree"), None, 0
+    while True:
+        level += 1
+        open_ = rows.groupBy(*node).agg((F.count("*") > 1).alias("several"), F.sum("labelled").alias("all_labelled")).where("several and all_labelled > 0")
+        open_ = cut(open_.select(*node, F.lit(True).alias("open")), "url-open")
+        rows = rows.join(open_, node, "left")
+        rest = rows.where("open is null").drop("open").withColumn("template", F.concat("template", F.when(F.size("segments") >= level, "/**").otherwise("")))
+        done = rest if done is None else done.unionByName(rest)
+        growing = rows.where("open").drop("open").withColumn("segment", F.coalesce(F.try_element_at("segments", F.lit(level)), F.lit("")))
+        growing = cut(growing, "url-level")
+        if not growing.limit(1).count():
+            return cut(done, "url-tree")
+        stepped = growing.join(steps_of(growing, apart), [*node, "segment"]).withColumn("template", F.concat("template", "step")).drop("step")
+        stepped = cut(stepped, "url-tree")
+        done = done.unionByName(stepped.where("segment = ''").drop("segment"))
+        rows = stepped.where("segment <> ''").drop("segment")
+
+
+def judge(pages: DataFrame, rules=RULES, smoothing: float = SMOOTHING, apart: float = APART) -> DataFrame:
     """page_id, host, path, rule, verdict, template, p_block for each row of pages (page_id, url).
 
     A null URL or one without `://` has an empty host and path. Repeated rows and null ids are rows like any other;
@@ -86,21 +119,20 @@ def judge(pages: DataFrame, rules=RULES, levels: int = LEVELS, smoothing: float
     rule, verdict = rule_of(host, path, rules)
     parsed = parsed.withColumns({"rule": rule, "said": verdict})
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    general = F.transform(segments, lambda x: F.when(x.rlike(VARIABLE), "*").otherwise(x))
-    parsed = parsed.withColumns({f"s{i}": F.coalesce(F.try_element_at(general, F.lit(i)), F.lit("")) for i in range(1, levels + 1)})
-    steps = [f"s{i}" for i in range(1, levels + 1)]
+    parsed = parsed.withColumn("segments", F.transform(segments, lambda x: F.when(x.rlike(VARIABLE), "*").otherwise(x)))
     labels = [F.count("said").alias("labelled"), F.count(F.when(F.col("said") == "block", 1)).alias("blocked")]
-    distinct = cut(parsed.groupBy("host", *steps).agg(*labels), "url-paths")
-    all_hosts = distinct.groupBy(*steps).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    own = distinct.select(F.concat(F.lit(OWN), "host").alias("tree"), *steps, "labelled", "blocked")
-    trees = grow(own.unionByName(all_hosts.withColumn("tree", F.lit("*"))), levels)
-    leaves = trees.join(trees.groupBy("tree", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")), ["tree", "template"])
+    distinct = cut(parsed.groupBy("host", "segments").agg(*labels), "url-paths")
+    all_hosts = distinct.groupBy("segments").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    own = distinct.select(F.concat(F.lit(OWN), "host").alias("tree"), "segments", "labelled", "blocked")
+    trees = grow(own.unionByName(all_hosts.withColumn("tree", F.lit("*"))), apart)
+    shares = cut(trees.groupBy("tree", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")), "url-shares")
+    leaves = trees.join(shares, ["tree", "template"])
     blocked, labelled = distinct.agg(F.sum("blocked"), F.sum("labelled")).first()
     prior = (blocked + 1) / (labelled + 2) if labelled is not None else 0.5
-    wide_p = leaves.where("tree = '*'").select(*steps, ((F.col("b") + smoothing * F.lit(prior)) / (F.col("n") + smoothing)).alias("p_wide"))
-    own_p = leaves.where("tree <> '*'").join(wide_p, steps)
+    wide_p = cut(leaves.where("tree = '*'").select("segments", ((F.col("b") + smoothing * F.lit(prior)) / (F.col("n") + smoothing)).alias("p_wide")), "url-wide")
+    own_p = leaves.where("tree <> '*'").join(wide_p, "segments")
     p = (F.col("b") + smoothing * F.col("p_wide")) / (F.col("n") + smoothing)
-    leaf = own_p.select(F.substring("tree", len(OWN) + 1, 1 << 30).alias("host"), *steps, "template", p.alias("p_block"))
-    judged = parsed.join(leaf, ["host", *steps])
+    leaf = cut(own_p.select(F.substring("tree", len(OWN) + 1, 1 << 30).alias("host"), "segments", "template", p.alias("p_block")), "url-leaves")
+    judged = parsed.join(leaf, ["host", "segments"])
     found = F.coalesce("said", F.when(F.col("p_block") > 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", found.alias("verdict"), "template", "p_block")

@@ -14,6 +14,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from test_near_copies import kept_plain
+
 from listingwatch.llm import bpe, common, embedding_dedup, langid, mixing, quality, queries, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -348,6 +350,76 @@ def test_url_templates_learn_from_labels(spark):
     assert (out[120].verdict, out[121].verdict) == ("block", "allow")
 
 
+def url_tree_plain(pages):
+    """Verdicts by growing each tree node by node, as deep as it goes."""
+    split = lambda path: tuple("*" if re.search(url_filter.VARIABLE, x) else x for x in path.split("/") if x)
+
+    def differ(n1, b1, n2, b2):
+        mean = (b1 + b2 + 1) / (n1 + n2 + 2)
+        return abs((b1 + 1) / (n1 + 2) - (b2 + 1) / (n2 + 2)) > url_filter.APART * (mean * (1 - mean) * (1 / (n1 + 1) + 1 / (n2 + 1))) ** 0.5
+
+    def leaves(paths, depth):
+        """paths: segments -> (n, b); lists of paths that share a template."""
+        if len(paths) < 2 or not sum(n for n, _ in paths.values()):
+            return [list(paths)]
+        branches = {}
+        for p, (n, b) in paths.items():
+            old = branches.get(p[depth : depth + 1], (0, 0))
+            branches[p[depth : depth + 1]] = (old[0] + n, old[1] + b)
+        n_all, b_all = (sum(x) for x in zip(*branches.values(), strict=True))
+        strong = sorted(((b + 1) / (n + 2), n, b, s) for s, (n, b) in branches.items() if s and n and differ(n, b, n_all - n, b_all - b))
+        groups = {s: "weak" if s else "end" for s in branches}
+        for i, (_, n, b, s) in enumerate(strong):
+            groups[s] = groups[strong[i - 1][3]] if i and not differ(n, b, *strong[i - 1][1:3]) else s
+        out = []
+        for g in set(groups.values()):
+            inside = {p: x for p, x in paths.items() if groups[p[depth : depth + 1]] == g}
+            out += [list(inside)] if g == "end" else leaves(inside, depth + 1)
+        return out
+
+    hosts = {}
+    for host, path, said in pages:
+        at = hosts.setdefault(host, {}).setdefault(split(path), [0, 0])
+        at[0] += said is not None
+        at[1] += said == "block"
+    wide = {}
+    for paths in hosts.values():
+        for p, (n, b) in paths.items():
+            old = wide.get(p, (0, 0))
+            wide[p] = (old[0] + n, old[1] + b)
+    total = [sum(x) for x in zip(*wide.values(), strict=True)]
+    prior = (total[1] + 1) / (total[0] + 2)
+
+    def shares(paths, towards):
+        out = {}
+        for leaf in leaves(dict(paths), 0):
+            n, b = (sum(paths[p][i] for p in leaf) for i in (0, 1))
+            out |= {p: (b + 4.0 * towards(p)) / (n + 4.0) for p in leaf}
+        return out
+
+    all_shares = shares(wide, lambda p: prior)
+    own = {host: shares(paths, all_shares.get) for host, paths in hosts.items()}
+    return [own[host][split(path)] for host, path, _ in pages]
+
+
+def test_url_tree_equals_brute_force(spark):
+    rng = random.Random(9)
+    names = ["de", "fr", "es", "news", "shop", "x7", "a", "b", "2041"]
+    weights = [9, 9, 1, 3, 2, 1, 1, 1, 4]
+    urls = []
+    for _ in range(700):
+        depth = rng.choice([0, 1, 2, 3, 6])
+        urls.append(f"http://s{rng.randint(0, 5)}.{rng.choice(['com', 'org', 'net'])}/" + "/".join(rng.choices(names, weights, k=depth)))
+    urls += urls[:100] + [f"http://s1.com/fr/deep/er/and/er/{'y' if i % 2 else 'z'}/{'de' if i % 3 else 'fr'}" for i in range(40)]
+    # labels that follow deep segments
+    rules = (("com", "/fr/deep/er/and/er/y", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("org", "/news/de", "block"), ("org", "/news/", "allow"))
+    out = collect(url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules), "page_id")
+    assert len(out) == len(urls)
+    pages = [(out[i].host, out[i].path, out[i].verdict if out[i].rule else None) for i in range(len(urls))]
+    assert [out[i].p_block for i in range(len(urls))] == pytest.approx(url_tree_plain(pages))
+    assert len({out[i].template for i in range(len(urls)) if "/deep/er/and/er/" in urls[i]}) > 1
+
+
 # 7 -- language
 
 
@@ -360,6 +432,33 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_language_equals_kernel_ridge():
+    texts = {"en": ["the cat and the hat", "then that other thing", "with this and that"], "de": ["der hund und die katze", "nicht das andere ding"], "fr": ["le chat et le chien", "pas cette autre chose là"]}
+    rows = [(lang, t) for lang, ts in texts.items() for t in ts]
+    grams = [set(langid.presence(t).tolist()) for _, t in rows]
+    pack = lambda g: np.packbits(np.bincount(sorted(g), minlength=langid.GRAMS) > 0).tobytes()
+    languages, matrix = langid.fit([(lang, pack(g)) for (lang, _), g in zip(rows, grams, strict=True)], landmarks=len(rows))
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5 + 1  # presence cosine; 1 for the constant
+    k = np.array([[kernel(a, b) for b in grams] for a in grams])
+    weight = np.array([1 / len(texts[lang]) for lang, _ in rows])
+    y = np.array([[1.0 if lang == own else -1.0 for lang in languages] for own, _ in rows])
+    alpha = np.linalg.solve(k + langid.RIDGE / len(languages) * np.diag(1 / weight), y)
+    new = ["that was the thing", "das ist nicht der hund", "cette chose et le chat", "xyz"]
+    expected = np.array([[kernel(set(langid.presence(t).tolist()), g) for g in grams] for t in new]) @ alpha
+    best, score = langid.predict(new, languages, matrix)
+    assert best == [languages[i] for i in expected.argmax(1)]
+    assert score == pytest.approx(np.clip((expected.max(1) + 1) / 2, 0, 1), abs=2e-3)
+
+
+def test_language_learns_every_language(spark):
+    letters = "abcdefghijklmnopqrst"
+    rows = [(3 * i + j, " ".join(f"{x}{y}{x}{z}" for z in letters[:9]), f"l{x}{y}") for i, (x, y) in enumerate((x, y) for x in letters for y in letters[:10]) for j in range(3)]
+    rows = [(d, t, lang) for d, t, lang in rows if zlib.crc32(str(d).encode()) % 4 != 2]
+    docs = spark.createDataFrame(rows + [(10_000 + i, *rows[0][1:]) for i in range(500)], "doc_id long, text string, lang string")
+    out = collect(langid.identify(docs, most_rows=100))
+    assert sum(out[d].lang_pred == lang for d, _, lang in rows) / len(rows) > 0.95
+
+
 def test_language_odd(spark):
     docs = odd_docs(spark)
     out = langid.identify(docs).collect()
@@ -409,6 +508,46 @@ def test_quality_em_and_verdicts(spark):
     assert sum(not k for k, q in judged if not q) / sum(not q for _, q in judged) > 0.6
 
 
+def test_quality_em_equals_brute_force():
+    rng = np.random.default_rng(4)
+    votes = rng.choice([0, 1, 2], (300, 3), p=[0.1, 0.8, 0.1])
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    fast = quality.fit(patterns, counts.astype(float), rounds=7)[at.ravel()]
+    chance, share = [[list(quality.BELIEF[c]) for _ in range(3)] for c in (0, 1)], quality.PRIOR_GOOD
+    for _ in range(7):  # document by document
+        good = []
+        for row in votes:
+            p = [1 - share, share]
+            for c in (0, 1):
+                for rule, v in enumerate(row):
+                    p[c] *= chance[c][rule][v]
+            good.append(p[1] / sum(p))
+        for c, weight in ((0, quality.PRIOR_WEIGHT), (1, quality.PRIOR_WEIGHT + quality.GOOD_SHARE * len(votes))):
+            for rule in range(3):
+                said = [sum((g if c else 1 - g) for g, row in zip(good, votes, strict=True) if row[rule] == v) + weight * quality.BELIEF[c][v] for v in (0, 1, 2)]
+                chance[c][rule] = [x / sum(said) for x in said]
+        share = max(quality.LEAST_GOOD, (sum(good) + quality.PRIOR_WEIGHT * quality.PRIOR_GOOD) / (len(votes) + quality.PRIOR_WEIGHT))
+    assert fast == pytest.approx(good)
+
+
+def test_quality_second_rule_changes_the_verdict():
+    names = list(quality.RULES)
+    first, second = names.index("symbols"), names.index("dup_lines")
+
+    def posterior(together, alone):
+        """Where `second` blames `together` documents with `first` and `alone` without it, while `first` alone blames 300."""
+        clean = [1] * len(names)
+        both, one, other = clean.copy(), clean.copy(), clean.copy()
+        both[first] = both[second] = one[first] = other[second] = 0
+        patterns = np.array([clean, one, both, other])
+        return quality.fit(patterns, np.array([10_000.0, 300, together, alone]))
+
+    agreeing, unrelated = posterior(400, 40), posterior(45, 3000)
+    assert agreeing[1] < 0.5 < unrelated[1]
+    assert agreeing[2] < 0.01 and unrelated[2] < 0.5
+    assert agreeing[0] > 0.95 and unrelated[0] > 0.8
+
+
 def test_quality_odd(spark):
     docs = odd_docs(spark)
     assert quality.judge(docs).count() == docs.count()
@@ -445,10 +584,10 @@ def passages(seed):
     return rows + [(60 + i, t) for i, (_, t) in enumerate(rows[:5])]
 
 
-@pytest.mark.parametrize("seed, crowd", [(1, 2048), (2, 2048), (3, 3), (4, 3)])
-def test_suffix_random(spark, seed, crowd):
+@pytest.mark.parametrize("seed, crowd, sampled", [(1, 2048, 64), (2, 2048, 64), (3, 3, 64), (4, 3, 64), (5, 3, 1), (6, 2, 1)])
+def test_suffix_random(spark, seed, crowd, sampled):
     rows = passages(seed)
-    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crowd=crowd).collect()
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crowd=crowd, sampled=sampled).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == suffix_plain(rows)
 
 
@@ -466,8 +605,9 @@ def test_suffix_odd(spark):
 # 10 -- toxicity
 
 
-def test_toxicity_held_out(spark):
-    sf = "/root/testdata/check_s"
+@pytest.mark.parametrize("scale, least_found, most_blamed", [("0.01", 0.7, 0.02), ("0.1", 0.9, 0.01)])
+def test_toxicity_held_out(spark, scale, least_found, most_blamed):
+    sf = f"/root/testdata/sf{scale}"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = collect(toxicity.classify(docs.join(labels.select("doc_id"), "doc_id"), labels).drop("text"))
     toxic = {r.doc_id: r.toxic for r in labels.collect()}
@@ -476,8 +616,32 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out.values())
     hit = [out[k].predicted for k in held if toxic[k]]
     wrong = [out[k].predicted for k in held if not toxic[k]]
-    assert sum(hit) / len(hit) > 0.9
-    assert sum(wrong) / len(wrong) < 0.02
+    assert sum(hit) / len(hit) > least_found
+    assert sum(wrong) / len(wrong) < most_blamed
+
+
+def test_trees_split_where_brute_force_does():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, (60, 3)).astype(float)
+    y = (x[:, 1] + rng.random(60) * 3 > 4).astype(float)
+    tree = toxicity.Trees(trees=1, depth=1, rate=1.0).fit(x, y)
+    p = y.mean()
+    gain = lambda inside: (y[inside] - p).sum() ** 2 / ((p * (1 - p)) * inside.sum() + 1)
+    best = max((gain(x[:, f] <= e) + gain(x[:, f] > e), -f, -e) for f in range(3) for e in range(5))
+    assert (tree.feature[0][0][0], tree.edge[0][0][0]) == (-best[1], -best[2])
+    left = x[:, -best[1]] <= -best[2]
+    step = [(y[inside] - p).sum() / ((p * (1 - p)) * inside.sum() + 1) for inside in (left, ~left)]
+    assert tree.predict(x) == pytest.approx(np.log(p / (1 - p)) + np.where(left, *step))
+
+
+def test_lexicon_equals_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(8)) + (" wretch" if toxic and rng.random() < 0.8 else ""), int(toxic)) for toxic in [True] * 20 + [False] * 80]
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    bad = sum("wretch" in t for t, _ in rows)
+    weight = min(6.0, np.log((bad + 0.5) / 21) - np.log(0.5 / 81))
+    assert set(found) == {"wretch", "wret~", "wretc~"}
+    assert all(w == pytest.approx(weight, abs=1e-6) for w in found.values())
 
 
 def test_toxicity_odd(spark):
@@ -495,6 +659,11 @@ def test_isotonic_is_monotone():
     x = rng.random(500)
     points, p = toxicity.isotonic(x, (rng.random(500) < x).astype(float))
     assert (np.diff(points) > 0).all() and (np.diff(p) >= 0).all()
+    x = rng.integers(0, 12, 40).astype(float)
+    y = (rng.random(40) * 12 < x).astype(float)
+    at, ones, rows = np.unique(x), np.array([y[x == v].sum() for v in np.unique(x)]), np.array([(x == v).sum() for v in np.unique(x)])
+    brute = [max(min(ones[j : k + 1].sum() / rows[j : k + 1].sum() for k in range(i, len(at))) for j in range(i + 1)) for i in range(len(at))]
+    assert np.interp(at, *toxicity.isotonic(x, y)) == pytest.approx(brute)
 
 
 # pipeline
@@ -506,20 +675,39 @@ def test_pipeline(spark):
     docs = documents(spark)
     kept = [docs]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        kept.append(common.cut(stage(spark, kept[-1], SF), "test"))
+        kept.append(common.keep(common.cut(stage(spark, kept[-1], SF), "test")))
         assert kept[-1].columns == corpus_pipeline.COLUMNS
-    fp = {r.doc_id: simhash_plain(r.text) for r in kept[1].collect()}
-    low = plain_components(sorted(fp), [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4])
-    assert {r.doc_id for r in kept[2].collect()} == {i for i in fp if low[i] == i}
+    texts = {r.doc_id: r.text for r in kept[1].collect()}
+    assert {r.doc_id for r in kept[2].collect()} == kept_plain(texts)
     texts = {r.doc_id: r.text for r in kept[2].collect()}
     plain = suffix_plain(texts.items())
     assert {r.doc_id: len(r.text.encode()) for r in kept[3].collect() if r.text.isascii()} == {k: n - gone for k, (n, gone, *_) in plain.items() if n - gone and k in {r.doc_id for r in kept[3].collect() if r.text.isascii()}}
-    taken = Counter(r.doc_id for r in mixing.mix(kept[3]).where("repeats > 0").selectExpr("doc_id", "explode(sequence(1, repeats))").collect())
-    assert Counter(r.doc_id for r in kept[4].collect()) == taken
+    order = mixing.training_order(mixing.mix(kept[3])).select("doc_id", "position", "copy").collect()
+    assert Counter(r.doc_id for r in kept[4].collect()) == Counter(r.doc_id for r in order)
     lib = library()
-    final = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.STAGES[-1][1](spark, kept[4], SF).collect())
-    assert final == Counter((r.doc_id, *bpe_expected(r.text, lib)[:2]) for r in kept[4].collect())
+    final = corpus_pipeline.STAGES[-1][1](spark, kept[4], SF).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in final) == Counter((r.doc_id, *bpe_expected(r.text, lib)[:2]) for r in kept[4].collect())
+    assert [r.doc_id for r in sorted(final, key=lambda r: (r.file, r.row))] == [r.doc_id for r in sorted(order, key=lambda r: (r.position, r.doc_id, r.copy))]
     odd = odd_docs(spark)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, SF).count() <= 3 * odd.count()
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_tables_between_steps_are_deleted(spark):
+    a, b = common.cut(spark.range(3), "a"), common.cut(spark.range(4), "b")
+    derived = b.where("id > 1")
+    common.clear(spark, derived)
+    assert derived.count() == 2
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        a.count()
+    common.clear(spark)
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 5)
+    rng = random.Random(2)
+    pairs = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(59, 139)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)]
+    low = plain_components({x for p in pairs for x in p}, pairs)
+    found = {r.node: r.root for r in common.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert {x: found.get(x, x) for x in low} == low
