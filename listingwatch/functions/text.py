@@ -24,6 +24,7 @@ CURRENCIES = {
     "€": "EUR", "£": "GBP", "₩": "KRW", "RM": "MYR", "S$": "SGD", "฿": "THB", "₫": "VND", "₱": "PHP",
 }
 CURRENCY_IN_TEXT = r"US\$|NT\$|HK\$|A\$|S\$|RM|[A-Z]{3}|[$¥￥€£₩฿₫₱]|円"
+# Model prefixes, words of editions, colours and taxes, as shops write them.
 MODEL_PREFIXES = ("BX", "CX", "UX", "B", "CB", "SB", "BB", "BBG", "WBBA", "GT", "SL")
 EDITIONS = {
     "limited": r"限定|limited(?: edition)?|exclusive|イベント限定|會場限定|会場限定",
@@ -67,16 +68,26 @@ def to_half_width(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Half width, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(to_half_width(text), SPACES, " "))
+    """NFKC and half width, runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(to_half_width(normalize_unicode(text)), SPACES, " "))
 
 
-def alias_form(text: Column) -> Column:
-    """Lower case; all but letters, digits and hyphens becomes a space."""
-    joined = F.regexp_replace(F.lower(squeeze(text)), " - ", "-")
+def fold(text: Column) -> Column:
+    """Lower case without spaces around hyphens; all but letters, digits and hyphens becomes a space."""
+    joined = F.regexp_replace(F.lower(F.regexp_replace(text, SPACES, " ")), " *- *", "-")
     return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}-]+", " "))
 
 
+def alias_form(text: Column) -> Column:
+    """The folded form by which names are compared, of the text in NFKC."""
+    return fold(squeeze(text))
+
+
+def grams(text: Column, n: int) -> Column:
+    """The different runs of n characters; null if the text is shorter."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
+
+
 def locale_of(text: Column) -> Column:
     return F.when(text.rlike("[぀-ヿ]"), "ja").when(text.rlike(r"\p{IsHan}"), "zh-TW").otherwise("en")
 
@@ -107,17 +118,24 @@ def model_code(text: Column, prefixes=MODEL_PREFIXES) -> Column:
     return F.nullif(code, F.lit("-"))
 
 
+def listing_model(model: Column, code: Column, title: Column) -> Column:
+    """A listing's model: the one it states (as a code if it is one, else in upper case), else a code in its SKU or title."""
+    stated = F.nullif(F.trim(model), F.lit(""))
+    return F.when(stated.isNotNull(), F.coalesce(model_code(stated), F.upper(stated))).otherwise(F.coalesce(model_code(code), model_code(title)))
+
+
 def barcode(text: Column) -> Column:
     digits = F.regexp_replace(text, "[^0-9]", "")
     return F.when(F.length(digits).between(8, 14), digits)
 
 
 def sku(text: Column) -> Column:
-    return F.nullif(F.regexp_replace(F.upper(to_half_width(text)), r"[^\p{L}\p{N}-]+", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.upper(normalize_unicode(text)), r"[^\p{L}\p{N}-]+", ""), F.lit(""))
 
 
 def variant_key(text: Column) -> Column:
     """Edition marks, and colours where the text speaks of an edition or a colour or ends with the colour."""
+    text = normalize_unicode(text)
     editions = [F.when(text.rlike(f"(?iu)(?:{p})"), k) for k, p in EDITIONS.items()]
     context = text.rlike(f"(?iu)(?:{COLOUR_CONTEXT})")
     for p in EDITIONS.values():
@@ -131,12 +149,13 @@ def variant_key(text: Column) -> Column:
 
 
 def tax_included(text: Column) -> Column:
+    text = normalize_unicode(text)
     return F.when(text.rlike(TAX_IN), True).when(text.rlike(TAX_OUT), False)
 
 
 def release_date(text: Column) -> Column:
     """A date written with 年月日, slashes, dots or hyphens; null if there is no such day."""
-    plain = F.regexp_replace(F.trim(to_half_width(text)), r"(\d{4})年(\d{1,2})月(\d{1,2})日", "$1-$2-$3")
+    plain = F.regexp_replace(F.trim(normalize_unicode(text)), r"(\d{4})年(\d{1,2})月(\d{1,2})日", "$1-$2-$3")
     parts = [F.regexp_extract(plain, r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$", i) for i in (1, 3, 4)]
     iso = F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))
     return F.when(parts[0] != "", F.try_to_date(iso, "yyyy-MM-dd"))
@@ -144,7 +163,8 @@ def release_date(text: Column) -> Column:
 
 def date_time(text: Column, offset: str = "+00:00") -> Column:
     """A moment written as Y/M/D H:M[:S], with dots or hyphens too, at the given offset; or ISO 8601. Else null."""
-    plain = F.trim(to_half_width(text))
+    plain = F.trim(normalize_unicode(text))
+    # Fixed value: how shops write a date with a time.
     local = r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})[ T](\d{1,2}):(\d{2})(?::(\d{2}))?$"
     part = lambda i: F.lpad(F.coalesce(F.nullif(F.regexp_extract(plain, local, i), F.lit("")), F.lit("0")), 2, "0")
     written = F.concat(F.regexp_extract(plain, local, 1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), part(4), F.lit(":"), part(5), F.lit(":"), part(6), F.lit(offset))
@@ -160,9 +180,11 @@ def terms(text: Column, most: int = 20) -> Column:
 
 def redact(text: Column, most: int = 2000) -> Column:
     """Bot tokens, URLs, key=value secrets and long tokens become marks."""
-    out = F.regexp_replace(text, r"\b\d{6,}:[A-Za-z0-9_-]{20,}", "[token]")
-    out = F.regexp_replace(out, r"https?://[^\s]+", "[url]")
-    out = F.regexp_replace(out, r"(?i)\b(token|secret|password|api[_-]?key|webhook)\b\s*[=:]\s*[^\s,;]+", "$1=[secret]")
+    out = F.regexp_replace(text, r"bot\d+:[A-Za-z0-9_-]+", "bot[token]")
+    out = F.regexp_replace(out, r"\b\d{6,}:[A-Za-z0-9_-]{20,}", "[token]")
+    out = F.regexp_replace(out, r"(?i)https?://[^\s'\"<>]+", "[url]")
+    secret = r"(?i)\b(token|secret|password|api[_-]?key|authorization|webhook)\s*[=:]\s*(?:(?:bearer|basic)\s+)?[^\s,;&]+"
+    out = F.regexp_replace(out, secret, "$1=[secret]")
     out = F.regexp_replace(out, r"[A-Za-z0-9_-]{24,}", "[token]")
     return F.substring(out, 1, most)
 
@@ -182,6 +204,7 @@ ERROR_CLASSES = (
     (r"找不到|not found|見つかり", "not_found"),
     (r"invalid|格式|validation|無效|schema", "validation"),
 )
+# Fixed value: how a message states an HTTP status.
 HTTP_STATUS = r"(?i)\b(?:HTTP\s*|status\s*|status[_-]?code[=:\s]*)(\d{3})\b"
 
 

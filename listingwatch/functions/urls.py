@@ -40,27 +40,46 @@ def normalized(url: Column) -> Column:
     return F.when(scheme == "", F.trim(url)).otherwise(F.concat(scheme, F.lit("://"), host, path, query_without(piece(url, 4), TRACKING)))
 
 
-def canonical(url: Column) -> Column:
-    """Identity of a page: https, host without www and port, no fragment, tracking or display parameters, no trailing
-    slashes. Null if it is not http(s) or names a user."""
-    fits = F.lower(piece(url, 1)).isin("http", "https") & (bare_host(url) != "") & ~piece(url, 2).contains("@")
-    host = F.regexp_replace(bare_host(url), r"^www\.", "")
+def refused(url: Column) -> Column:
+    """Why an address can't be watched: unsupported_protocol, credentials_not_allowed, invalid_url; or null."""
+    scheme = F.lower(piece(url, 1))
+    no_url = F.coalesce((scheme == "") | (bare_host(url) == ""), F.lit(True))
+    return F.when(no_url, "invalid_url").when(~scheme.isin("http", "https"), "unsupported_protocol").when(piece(url, 2).contains("@"), "credentials_not_allowed")
+
+
+def _seed(url: Column, host: Column, dropped: tuple[str, ...]) -> Column:
     path = F.regexp_replace(piece(url, 3), "/+$", "")
     path = F.when(path == "", "/").otherwise(path)
-    return F.when(fits, F.concat(F.lit("https://"), host, path, query_without(piece(url, 4), TRACKING + MAILING + DISPLAY)))
+    return F.when(refused(url).isNull(), F.concat(F.lit("https://"), host, path, query_without(piece(url, 4), dropped)))
+
+
+def canonical(url: Column) -> Column:
+    """Identity of a page: https, host without www and port, no fragment, tracking or display parameters, no trailing
+    slashes. Null if it is refused."""
+    return _seed(url, F.regexp_replace(bare_host(url), r"^www\.", ""), TRACKING + MAILING + DISPLAY)
+
+
+def fetchable(url: Column) -> Column:
+    """The address to fetch a page by: as its identity, but with www and display parameters."""
+    return _seed(url, bare_host(url), TRACKING + MAILING)
 
 
 def fingerprint(url: Column) -> Column:
     return F.sha2(canonical(url), 256)
 
 
-def registrable_domain(host: Column) -> Column:
-    labels = F.split(F.regexp_replace(F.lower(host), r"^www\.", ""), r"\.")
+def registrable_domain(host: Column, overrides: dict[str, str] | None = None) -> Column:
+    """The domain that a host belongs to; `overrides` names it for hosts that the suffix rule gets wrong."""
+    host = F.regexp_replace(F.regexp_replace(F.lower(host), r"^www\.", ""), r"\.$", "")
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
     two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")
     three = F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), 3), ".")
     address = host.rlike(r"^\d+\.\d+\.\d+\.\d+$") | host.contains(":") | (host == "localhost")
-    return F.when(address, host).when(two.isin(*SUFFIXES), three).otherwise(two)
+    found = F.when(address, host).when(two.isin(*SUFFIXES), three).otherwise(two)
+    if not overrides:
+        return found
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])[host], found)
 
 
 def is_public(host: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import AFTER, BEFORE, alias_form, locale_of, to_half_width
+from ..functions.text import AFTER, BEFORE, alias_form, grams, locale_of, normalize_unicode, to_half_width
 
 # Schema.org availability, terms by state and language in the order they are tried, exclusions.
 SCHEMA = {
@@ -51,7 +51,7 @@ def schema_state(raw: Column) -> Column:
 
 def text_match(text: Column) -> Column:
     """struct<state, locale, term> of the first term, in the order of TERMS; null if none occurs."""
-    low = F.lower(text)
+    low = F.lower(normalize_unicode(text))
     out = F.lit(None).cast("struct<state:string,locale:string,term:string>")
     for state, locale, terms in reversed(TERMS):
         for term in reversed(terms):
@@ -93,15 +93,33 @@ def with_allowed(listings: DataFrame, allowed: DataFrame) -> DataFrame:
     return listings.join(known, ["source_id", "url"], "left").withColumn("is_allowed", F.coalesce("is_allowed", F.lit(False)))
 
 
+#: How sure a state is that a reviewer gave to a term.
+REVIEWED = 0.75
+
+
 def reviewed_states(listings: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Adds `override_state` and `override_term`: the longest reviewed term that the folded text holds, ties by term.
+    """Adds `override_state` and `override_term`: the longest reviewed term that the folded text holds, ties by term. Where
+    listings have a state and a confidence, an override replaces both (confidence REVIEWED).
 
-    listings: (listing_id, stated, …), overrides: (term, state), folded. Each distinct text is compared once. Spark broadcasts
-    the terms only if their size allows; the terms of a text are aggregated as they come, so none are gathered.
+    listings: (listing_id, stated, raw_text if there is one, …), overrides: (term, state), folded. Terms are looked up by the
+    rarest three characters that they have, shorter ones by themselves; each distinct text is folded and compared once.
     """
-    folded = alias_form(F.col("stated"))
-    texts = listings.select("stated").where("stated is not null").distinct().withColumn("hay", folded)
+    said = F.nullif(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("stated", "raw_text") if c in listings.columns]), F.lit(""))
+    listings = listings.withColumn("said", said)
+    texts = listings.select("said").where("said is not null").distinct().withColumn("hay", alias_form(F.col("said")))
     terms = overrides.where("term <> ''").groupBy("term").agg(F.max("state").alias("override_state"))
     longest = F.max_by(F.struct("override_state", "term"), F.struct(F.length("term"), "term"))
-    hits = texts.join(terms, F.col("hay").contains(F.col("term"))).groupBy("stated").agg(longest.alias("o")).select("stated", "o.override_state", F.col("o.term").alias("override_term"))
-    return listings.join(hits, "stated", "left")
+    hits = None
+    for n in (1, 2, 3):
+        some = terms.where(F.length("term") == n) if n < 3 else terms.where(F.length("term") >= 3)
+        held = texts.select("said", "hay", F.explode(grams(F.col("hay"), n)).alias("gram"))
+        counts = held.groupBy("gram").count()
+        rarest = some.withColumn("gram", F.explode(grams(F.col("term"), n))).join(counts, "gram").groupBy("term", "override_state").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+        met = held.join(rarest, "gram").where(F.col("hay").contains(F.col("term"))).select("said", "term", "override_state")
+        hits = met if hits is None else hits.union(met)
+    found = hits.groupBy("said").agg(longest.alias("o")).select("said", "o.override_state", F.col("o.term").alias("override_term"))
+    out = listings.join(found, "said", "left").drop("said")
+    if {"state", "confidence"} <= set(listings.columns):
+        over = F.col("override_state").isNotNull()
+        out = out.withColumns({"state": F.coalesce("override_state", "state"), "confidence": F.when(over, REVIEWED).otherwise(F.col("confidence"))})
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alias_form, model_code
 from ..functions.urls import canonical
-from .matching import match_rules
+from .rules import RULE_COLUMNS, complete, match_rules, with_lists
 
 # Words of each kind of lead.
 LEADS = (
@@ -72,17 +72,22 @@ def hidden(muted: Column, excluded: Column, sensitive: Column, spam: Column, fil
 
 
 def post_matches(posts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_id, post_id, confidence) where a post names a rule's model or has its keyword; the better of the two counts.
+    """(rule_id, post_id, confidence) where a post names a rule's model or has one of its keywords; the better of the two counts.
 
-    posts: (post_id, text), rules: (rule_id, keyword, mode, exclude, model). A model is an equi-join on the codes that the
-    post names and counts 0.95; a keyword counts 0.8.
+    posts: (post_id, text, locale), rules: (rule_id and RULE_COLUMNS of the rules module). A model is one of those that the
+    post names and counts 0.95; a keyword counts 0.8: a whole word, a part of the folded text or an expression, as the mode
+    says. Exclude terms and a rule's language hold for both.
     """
-    rows = posts.select(F.col("post_id").alias("product_id"), alias_form(F.coalesce("text", F.lit(""))).alias("haystack"), F.coalesce("text", F.lit("")).alias("text"))
-    by_word = match_rules(rows.select("product_id", "haystack"), rules.where("keyword is not null")).select("rule_id", "product_id", F.lit(0.8).alias("confidence"))
-    named = rows.select("product_id", "haystack", F.explode(mentions(F.col("text"))).alias("model"))
-    by_model = named.join(rules.select("rule_id", "model", "exclude"), "model").where(F.col("exclude").isNull() | ~F.expr("contains(haystack, exclude)"))
-    both = by_word.unionByName(by_model.select("rule_id", "product_id", F.lit(0.95).alias("confidence")))
-    return both.groupBy("rule_id", F.col("product_id").alias("post_id")).agg(F.max("confidence").alias("confidence"))
+    text = F.coalesce("text", F.lit(""))
+    named = mentions(text)
+    context = complete(posts, {"locale": "string"}).select(
+        F.col("post_id").alias("product_id"), F.concat(text, F.lit(" "), F.array_join(named, " ")).alias("raw_text"), F.split(text, r"[\s、，。,:：/]+").alias("base_values"), named.alias("models"), "locale"
+    )
+    asked = with_lists(rules).select("rule_id", *RULE_COLUMNS).withColumns({c: F.lit(None).cast(RULE_COLUMNS[c]) for c in ("barcode", "catalog_product_id", "catalog_part_id")})
+    no_words, no_model = F.array().cast("array<string>"), F.lit(None).cast("string")
+    by_model = match_rules(context, asked.withColumn("keywords", no_words)).select("rule_id", "product_id", F.lit(0.95).alias("confidence"))
+    by_word = match_rules(context, asked.withColumn("model", no_model)).select("rule_id", "product_id", F.lit(0.8).alias("confidence"))
+    return by_model.unionByName(by_word).groupBy("rule_id", F.col("product_id").alias("post_id")).agg(F.max("confidence").alias("confidence"))
 
 
 def unexpired(posts: DataFrame, now: Column) -> DataFrame:

@@ -10,63 +10,39 @@ def match_products(listings: DataFrame, products: DataFrame) -> DataFrame:
     """Listings against a frozen product snapshot: barcode first, then SKU, then model with variant.
 
     listings: (listing_id, barcode, sku, model, brand, variant), products: the same with product_id. A barcode takes the
-    first product; SKU and model need exactly one candidate. Each key is an equi-join of its own.
+    first product; SKU and model need exactly one candidate. Each key is an equi-join of its own, with products that agree in
+    all that is compared counted beforehand, so that a common key doesn't multiply listings by products.
     """
-    p = products.select(*[F.col(c).alias(f"p_{c}") for c in ("barcode", "sku", "model", "brand", "variant")], "product_id")
+    columns = ("sku", "model", "brand", "variant")
+    p = products.select(*[F.col(c).alias(f"p_{c}") for c in ("barcode", *columns)], "product_id").withColumn("p_brand", F.lower("p_brand"))
     agrees = lambda c: F.col(c).isNull() | F.col(f"p_{c}").isNull() | (F.lower(c) == F.lower(f"p_{c}"))
-    same = lambda on, *also: listings.join(p, on).where(F.expr("true") if not also else also[0])
+
+    def counted(*names: str) -> DataFrame:
+        return p.where(F.col(f"p_{names[0]}").isNotNull()).groupBy(*[f"p_{c}" for c in names]).agg(F.count("*").alias("n"), F.min("product_id").alias("first"))
+
     barcode = listings.join(p.groupBy("p_barcode").agg(F.min("product_id").alias("by_barcode")), F.col("barcode") == F.col("p_barcode"))
     barcode = barcode.select("listing_id", "by_barcode")
-    only = lambda df, name: df.groupBy("listing_id").agg(F.count("*").alias("n"), F.min("product_id").alias(name)).where("n = 1").drop("n")
-    sku = only(same(F.col("sku") == F.col("p_sku"), agrees("model") & agrees("brand")), "by_sku")
-    candidates = same(F.col("model") == F.col("p_model"), F.col("variant").eqNullSafe(F.col("p_variant")) & agrees("sku"))
-    fits = F.col("product_id").isNotNull() & agrees("brand")
-    model = candidates.groupBy("listing_id").agg(F.count("*").alias("n"), F.count_if(fits).alias("n_fit"), F.min(F.when(fits, F.col("product_id"))).alias("by_model"), F.max("brand").alias("brand"))
+    sku = listings.join(counted("sku", "model", "brand"), F.col("sku") == F.col("p_sku")).where(agrees("model") & agrees("brand"))
+    sku = sku.groupBy("listing_id").agg(F.sum("n").alias("n"), F.min("first").alias("by_sku")).where("n = 1").drop("n")
+    same = (F.col("model") == F.col("p_model")) & F.col("variant").eqNullSafe(F.col("p_variant"))
+    candidates = listings.join(counted("model", "variant", "sku", "brand"), same).where(agrees("sku"))
+    fits = agrees("brand")
+    model = candidates.groupBy("listing_id").agg(F.sum("n").alias("n"), F.sum(F.when(fits, F.col("n"))).alias("n_fit"), F.min(F.when(fits, F.col("first"))).alias("by_model"), F.max("brand").alias("brand"))
     model = model.where("n_fit = 1 and (n = 1 or brand is not null)").select("listing_id", "by_model")
     joined = listings.select("listing_id").join(barcode, "listing_id", "left").join(sku, "listing_id", "left").join(model, "listing_id", "left")
     how = F.when(F.col("by_barcode").isNotNull(), "barcode").when(F.col("by_sku").isNotNull(), "sku").when(F.col("by_model").isNotNull(), "model")
     return joined.select("listing_id", F.coalesce("by_barcode", "by_sku", "by_model").alias("product_id"), how.alias("matched_by"))
 
 
-#: What may narrow a rule besides its keyword; columns that are absent count as null.
-CRITERIA = {"model": "string", "barcode": "string", "catalog_product_id": "long", "catalog_part_id": "long", "locale": "string"}
-
-
-def match_rules(products: DataFrame, rules: DataFrame) -> DataFrame:
-    """products (product_id, haystack) against rules (rule_id, keyword, mode, exclude): all criteria of a rule and no exclusion.
-
-    Optional columns of rules are those of CRITERIA; of products: arrays models, barcodes, catalog_part_ids and aliases (whole
-    normalised values: title, models, aliases), catalog_product_id and locale. A rule without any criterion but a locale matches nothing.
+def resolve_known(listings: DataFrame, offers: DataFrame, products: DataFrame) -> DataFrame:
+    """match_products for listings that are no offer yet; a known offer keeps its product (matched_by `offer`), so that
+    what a reviewer split or merged outlasts the next scan.
 
-    Each rule is joined by its strongest key: barcode, model, catalog product, catalog part, exact keyword (a word of the haystack or
-    a whole alias), then the first three characters of a contained keyword (or regular expression of letters only); the
-    rest of its criteria are a filter. Only shorter contained keywords and real regular expressions are joined by condition.
+    listings: as in match_products, with (source_id, url); offers: (source_id, url, product_id), one row an offer.
     """
-    for c, t in CRITERIA.items():
-        rules = rules if c in rules.columns else rules.withColumn(c, F.lit(None).cast(t))
-    for c, t in {"models": "array<string>", "barcodes": "array<string>", "catalog_product_id": "long", "catalog_part_ids": "array<long>", "aliases": "array<string>", "locale": "string"}.items():
-        products = products if c in products.columns else products.withColumn(c, F.lit(None).cast(t))
-    products = products.withColumnsRenamed({"catalog_product_id": "of_catalog", "locale": "of_locale"})
-    for c in ("keyword", "model", "barcode"):
-        rules = rules.withColumn(c, F.nullif(F.col(c), F.lit("")))
-    literal = (F.col("mode") == "contains") | F.col("keyword").rlike("^[A-Za-z0-9 ]+$")
-    rules = rules.withColumn("by", F.expr("case when barcode is not null then 'barcode' when model is not null then 'model' when catalog_product_id is not null then 'catalog' when catalog_part_id is not null then 'part' end"))
-    rules = rules.withColumn("by", F.coalesce("by", F.when(F.col("keyword").isNotNull(), F.when(F.col("mode") == "exact", "exact").when(literal & (F.length("keyword") >= 3), "letters").otherwise("loose"))))
-    exact_values = F.array_distinct(F.concat(F.split("haystack", " "), F.coalesce("aliases", F.array().cast("array<string>"))))
-    letters = F.expr("case when length(haystack) >= 3 then array_distinct(transform(sequence(1, length(haystack) - 2), i -> substring(haystack, i, 3))) end")
-    keys = {"barcode": (F.col("barcodes"), F.col("barcode")), "model": (F.col("models"), F.col("model")), "catalog": (F.array("of_catalog"), F.col("catalog_product_id")), "part": (F.col("catalog_part_ids"), F.col("catalog_part_id")), "exact": (exact_values, F.col("keyword")), "letters": (letters, F.substring("keyword", 1, 3))}
-    joined = products.join(rules.where("by = 'loose'").withColumn("key", F.lit(None).cast("string")), F.expr("case when mode = 'contains' then contains(haystack, keyword) else haystack rlike keyword end"))
-    for by, (values, key) in keys.items():
-        some = rules.where(F.col("by") == by).withColumn("key", key.cast("string"))
-        met = products.withColumn("value", F.explode(F.array_distinct(values))).withColumn("value", F.col("value").cast("string"))
-        joined = joined.unionByName(met.join(some, F.col("value") == F.col("key")).drop("value"))
-    fits = lambda wanted, values: F.col(wanted).isNull() | F.coalesce(F.array_contains(F.col(values), F.col(wanted)), F.lit(False))
-    spoken = F.expr("keyword is null or coalesce(case mode when 'exact' then array_contains(split(haystack, ' '), keyword) or coalesce(array_contains(aliases, keyword), false) when 'contains' then contains(haystack, keyword) else haystack rlike keyword end, false)")
-    narrowed = fits("model", "models") & fits("barcode", "barcodes") & fits("catalog_part_id", "catalog_part_ids") & F.expr("(catalog_product_id is null or coalesce(catalog_product_id = of_catalog, false)) and (locale is null or locale = 'any' or coalesce(locale = of_locale, false))")
-    kept = joined.where(narrowed & spoken).where(F.col("exclude").isNull() | ~F.expr("contains(haystack, exclude)"))
-    # As in the reference, a catalog part alone is no exact reason.
-    exact = F.expr("barcode is not null or model is not null or catalog_product_id is not null or (keyword is not null and mode = 'exact')")
-    return kept.groupBy("rule_id", "product_id").agg(F.max(F.when(exact, 0.99).otherwise(0.85)).alias("confidence"))
+    known = listings.select("listing_id", "source_id", "url").join(offers.select("source_id", "url", F.col("product_id").alias("by_offer")), ["source_id", "url"])
+    rest = listings.join(known.select("listing_id"), "listing_id", "left_anti")
+    return known.select("listing_id", F.col("by_offer").alias("product_id"), F.lit("offer").alias("matched_by")).unionByName(match_products(rest, products))
 
 
 RULES = {

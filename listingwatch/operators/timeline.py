@@ -7,6 +7,7 @@ bounded by how often a shop is scanned, so an offer is never a hot key in the wa
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,10 @@ def price_moved(price: Column, before: Column, threshold: float) -> Column:
 
 
 def events(stable: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """Change events of stable_states' rows: first sight, transitions, price changes; at most two a row."""
+    """Change events of stable_states' rows: first sight, transitions, price changes; at most two a row.
+
+    Where rows have a product_id, the observation that created its product is a discovery (`discoveries`) and no first sight.
+    """
     w = history()
     before = F.lag("stable").over(w)
     seen = stable.withColumns({"from_state": before, "price_before": F.lag("price").over(w)})
@@ -56,7 +60,12 @@ def events(stable: DataFrame, threshold: float = 0.05) -> DataFrame:
         .when(to == "coming_soon", "coming_soon")
         .when((to == "out_of_stock") & F.col("from_state").isin(*BUYABLE), "out_of_stock")
     )
-    change = F.when(F.col("nth") == 1, first).when(F.col("from_state") != to, moved)
+    created = F.lit(False)
+    if "product_id" in stable.columns:
+        creators = discoveries(stable.where("nth = 1")).select(F.col("product_id").alias("of_product"), F.col("seq").alias("created_by"))
+        seen = seen.join(creators, F.col("product_id") == F.col("of_product"), "left")
+        created = F.col("seq").eqNullSafe(F.col("created_by"))
+    change = F.when(F.col("nth") == 1, F.when(~created, first)).when(F.col("from_state") != to, moved)
     price = F.when((F.col("nth") > 1) & to.isin(*BUYABLE) & price_moved(F.col("price"), F.col("price_before"), threshold), "price_change")
     kinds = F.array_compact(F.array(change, price))
     return seen.withColumn("type", F.explode(kinds)).select("seq", "offer_id", "source_id", "observed_at", "type", "from_state", F.col("stable").alias("to_state"), "price")
@@ -64,12 +73,25 @@ def events(stable: DataFrame, threshold: float = 0.05) -> DataFrame:
 
 def cooled(found: DataFrame, hours: int = 6) -> DataFrame:
     """Events that no emitted event of the same offer and type precedes within the cooldown; suppressed ones do not
-    extend it, so this is a fold over an offer's events of a type, in order."""
-    rows = found.groupBy("offer_id", "type").agg(F.array_sort(F.collect_list(F.struct("observed_at", "seq", "source_id", "from_state", "to_state", "price"))).alias("list"))
-    kept = F.expr(f"""aggregate(list, slice(list, 1, 0), (done, x) ->
-        case when size(done) > 0 and x.observed_at <= element_at(done, -1).observed_at + interval {hours} hours then done else concat(done, array(x)) end)""")
-    out = rows.select("offer_id", "type", F.explode(kept).alias("e"))
-    return out.select("e.seq", "offer_id", "e.source_id", "e.observed_at", "type", "e.from_state", "e.to_state", "e.price")
+    extend it, so this is a fold over an offer's events of a type, in order. It keeps the time of one event as it streams
+    through sorted partitions; equal times are in the order of seq."""
+    pause = hours * 3_600_000_000
+
+    def run(batches):
+        key, last = None, None
+        for batch in batches:
+            kept = []
+            times = batch.column("observed_at").cast(pa.timestamp("us")).cast(pa.int64())
+            for offer, kind, at in zip(batch.column("offer_id").to_pylist(), batch.column("type").to_pylist(), times.to_pylist(), strict=True):
+                emit = (offer, kind) != key or at is None or last is None or at > last + pause
+                if emit:
+                    key, last = (offer, kind), at
+                kept.append(emit)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    columns = ["seq", "offer_id", "source_id", "observed_at", "type", "from_state", "to_state", "price"]
+    rows = found.select(*columns).repartition("offer_id", "type").sortWithinPartitions("offer_id", "type", "observed_at", "seq")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def latest_offers(stable: DataFrame) -> DataFrame:

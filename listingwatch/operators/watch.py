@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .matching import upsert
+from .rules import valid_rules  # noqa: F401 (a watch operator that lives with the matching)
 
 
 def match_table(known: DataFrame, found: DataFrame, at: Column) -> DataFrame:
@@ -74,29 +71,6 @@ def completed(outbox_rows: DataFrame) -> DataFrame:
     return outbox_rows.groupBy("dedup_key").agg(open_.alias("open"), (open_ == 0).alias("done"))
 
 
-@F.pandas_udf(T.BooleanType())
-def compiles(pattern: pd.Series) -> pd.Series:
-    def fits(p):
-        try:
-            return p is not None and re.compile(p) is not None
-        except re.error:
-            return False
-
-    return pattern.map(fits)
-
-
-def valid_rules(rules: DataFrame) -> DataFrame:
-    """Adds `valid`, and mode `exact` where it is none of the three: a rule needs a criterion, and a regular expression
-    of at most 120 characters that compiles. rules: (rule_id, keyword, mode, model, barcode).
-
-    One bad rule must not fail the matching of all, so invalid ones are marked and not raised.
-    """
-    mode = F.when(F.col("mode").isin("exact", "contains", "regex"), F.col("mode")).otherwise("exact")
-    some = F.coalesce(F.nullif("keyword", F.lit("")), F.nullif("model", F.lit("")), F.nullif("barcode", F.lit(""))).isNotNull()
-    regex = F.col("keyword").isNull() | (F.col("mode") != "regex") | ((F.length("keyword") <= 120) & compiles("keyword"))
-    return rules.withColumn("mode", mode).withColumn("valid", some & regex)
-
-
 def backfill(rules: DataFrame, offers: DataFrame, matches: DataFrame) -> DataFrame:
     """What a new rule's owner hears at once: of each matched product its newest offer that isn't archived, if buyable.
 

@@ -85,6 +85,19 @@ STATE = """states AS (
            round(CAST(least(0.98, 0.05 + CASE WHEN button AND s = 'unknown' THEN greatest(c, 0.5) WHEN button AND s = 'in_stock' THEN least(0.98, c + 0.05) ELSE c END) AS DOUBLE), 2) AS confidence FROM states
 )"""
 
+# Parts as watched products, and a rule for each part.
+CONTEXT = """numbered AS (SELECT *, p_partkey % 900 + 100 AS num, p_name || ' ' || p_type || ' CX-' || (p_partkey % 900 + 100) AS own_title FROM part), entries AS (
+    SELECT num, list_sort(list(DISTINCT 'Line ' || p_brand)) AS aliases, list_sort(list(DISTINCT p_size)) AS sizes, list_sort(list(DISTINCT 'P' || p_size)) AS codes, list_sort(list(DISTINCT 'size ' || p_size)) AS names FROM numbered GROUP BY num
+), titled AS (
+    SELECT p_partkey AS product_id, num, CASE WHEN p_partkey % 10 < 9 THEN own_title ELSE aliases[1] END AS title, CASE WHEN p_partkey % 4 = 0 THEN 'B-' || (p_partkey % 50 + 10) END AS model,
+           CAST(4900000000000 + p_partkey AS VARCHAR) AS barcode, aliases, sizes, codes, names FROM numbered JOIN entries USING (num)
+), ctx AS (
+    SELECT *, list_filter([title, model, 'CX-' || num, barcode], lambda x: x IS NOT NULL) AS base, aliases || codes || names AS syn,
+           list_filter([CASE WHEN product_id % 10 < 9 THEN 'CX-' || num END, model, 'CX-' || num], lambda x: x IS NOT NULL) AS models, array_to_string(base || syn, ' ') AS txt,
+           trim(regexp_replace(lower(txt), '[^a-z0-9-]+', ' ', 'g')) AS hay, list_transform(base || syn, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9-]+', ' ', 'g'))) AS folded FROM titled
+)"""
+RULES = "rules AS (SELECT p_partkey AS rule_id, p_partkey % 7 AS k, num AS r_num, own_title AS r_title, p_type AS r_type, p_name AS r_name, p_size AS r_size FROM numbered)"
+
 SQL = {
     "o1_latest_offer": f"""WITH RECURSIVE {STABLE}
         SELECT offer_id, source_id, arg_max(price, (observed_at, seq)) AS price, arg_max(availability, (observed_at, seq)) AS availability, arg_max(stable, (observed_at, seq)) AS stable,
@@ -126,18 +139,24 @@ SQL = {
     "i3_product_match": f"""WITH {FEED}, v AS (SELECT *, {VARIANT} AS variant FROM feed), p AS (
             SELECT part AS product_id, r.barcode, r.sku, r.model, r.brand, r.variant FROM (
                 SELECT part, arg_min(struct_pack(barcode := barcode, sku := sku, model := model, brand := brand, variant := variant), listing_id) AS r
-                FROM v WHERE source_id % 2 = 0 AND part % 3 = 0 GROUP BY part)
-        ), l AS (SELECT * FROM v WHERE source_id % 2 = 1),
+                FROM v GROUP BY part)
+        ), l AS (SELECT * FROM v),
         b AS (SELECT listing_id, min(product_id) AS id FROM l JOIN p ON l.barcode = p.barcode GROUP BY ALL),
         s AS (SELECT listing_id, min(product_id) AS id FROM l JOIN p ON l.sku = p.sku AND l.model = p.model AND lower(l.brand) = lower(p.brand) GROUP BY ALL HAVING count(*) = 1),
         m AS (SELECT listing_id, min(product_id) FILTER (lower(l.brand) = lower(p.brand)) AS id FROM l JOIN p ON l.model = p.model AND l.variant IS NOT DISTINCT FROM p.variant AND l.sku = p.sku
               GROUP BY ALL HAVING count(*) FILTER (lower(l.brand) = lower(p.brand)) = 1)
         SELECT l.listing_id, coalesce(b.id, s.id, m.id) AS product_id, CASE WHEN b.id IS NOT NULL THEN 'barcode' WHEN s.id IS NOT NULL THEN 'sku' WHEN m.id IS NOT NULL THEN 'model' END AS matched_by
         FROM l LEFT JOIN b USING (listing_id) LEFT JOIN s USING (listing_id) LEFT JOIN m USING (listing_id)""",
-    "w3_rule_matches": """WITH h AS (SELECT p_partkey AS product_id, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9-]+', ' ', 'g')) AS hay FROM part),
-        r AS (SELECT p_partkey AS rule_id, split_part(lower(p_name), ' ', 2) AS kw, ['exact', 'contains', 'regex'][1 + p_partkey % 3] AS mode, p_partkey % 2 = 0 AS no_red FROM part WHERE p_partkey % 97 = 0)
-        SELECT rule_id, product_id, CASE mode WHEN 'exact' THEN 0.99 ELSE 0.85 END::DOUBLE AS confidence FROM h, r
-        WHERE CASE mode WHEN 'exact' THEN list_contains(string_split(hay, ' '), kw) ELSE contains(hay, kw) END AND NOT (no_red AND contains(hay, 'red'))""",
+    "w1_match_context": f"WITH {CONTEXT} SELECT product_id, num AS catalog_product_id, 'en' AS locale, array_to_string(base, '|') AS base_values, array_to_string(syn, '|') AS synonym_values, array_to_string(models, '|') AS models, barcode AS barcodes, array_to_string(sizes, '|') AS catalog_part_ids FROM ctx",
+    "w3_rule_matches": f"""WITH {CONTEXT}, {RULES}, hit AS (
+            SELECT rule_id, product_id, k FROM ctx, rules WHERE NOT (rule_id % 2 = 0 AND contains(hay, 'red')) AND CASE k
+                WHEN 0 THEN list_contains(folded, lower(r_title)) WHEN 1 THEN contains(hay, lower(r_type) || ' cx-' || r_num)
+                WHEN 2 THEN rule_id % 35 <> 2 AND regexp_matches(txt, '(?i)' || split_part(r_name, ' ', 2) || ' \\w+ cx-' || (r_num // 10) || '[0-4]')
+                WHEN 3 THEN product_id = rule_id WHEN 4 THEN list_contains(list_transform(models, lambda m: lower(m)), 'cx-' || r_num)
+                WHEN 5 THEN list_contains(sizes, r_size) AND contains(hay, 'cx-' || r_num) ELSE num = r_num AND rule_id % 3 <> 2 END)
+        SELECT rule_id, product_id, CASE WHEN k IN (1, 2, 5) THEN 0.85 ELSE 0.99 END::DOUBLE AS confidence, ['keyword_exact', 'keyword_contains', 'regex', 'barcode_exact', 'model_exact', 'catalog_part_contains', 'catalog_product_exact'][1 + k] AS match_type,
+            ['keyword_exact', 'keyword_contains', 'regex', 'barcode_exact', 'model_exact', 'catalog_part_contains|keyword_contains', 'catalog_product_exact'][1 + k] AS reasons FROM hit""",
+    "w11_rule_checks": "SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 7 IN (1, 5) THEN 'contains' WHEN p_partkey % 7 = 2 THEN 'regex' ELSE 'exact' END AS mode, p_partkey % 35 <> 2 AS valid FROM part",
     "s14_snapshot_upsert": f"""WITH {OBS}, used AS (SELECT * FROM obs WHERE seq % 2 = 0 OR offer_id % 3 <> 0), late AS (SELECT * FROM used QUALIFY (seq % 2) = max(seq % 2) OVER (PARTITION BY offer_id))
         SELECT offer_id, p.price, first_seen, last_seen, seen FROM (SELECT offer_id, min(observed_at) AS first_seen, max(observed_at) AS last_seen, count(*) AS seen FROM used GROUP BY offer_id)
         JOIN (SELECT offer_id, arg_max(price, (observed_at, seq)) AS price FROM late GROUP BY offer_id) p USING (offer_id)""",

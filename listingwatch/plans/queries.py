@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import classify, community, matching, timeline
+from ..operators import classify, community, matching, rules, timeline
 from . import oracle
 from .views import feed, observations, operations, table
 
@@ -114,19 +114,57 @@ def i3_product_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = feed(spark, sf_dir).select(
         "listing_id", "source_id", "part", text.barcode(F.col("barcode")).alias("barcode"), text.sku(F.col("sku")).alias("sku"), text.model_code(F.col("model_text")).alias("model"), "brand", text.variant_key(F.col("title")).alias("variant")
     )
-    known = found.where("source_id % 2 = 0 and part % 3 = 0").withColumn("row", F.struct("listing_id", "barcode", "sku", "model", "brand", "variant"))
+    known = found.withColumn("row", F.struct("listing_id", "barcode", "sku", "model", "brand", "variant"))
     products = known.groupBy("part").agg(F.min("row").alias("row")).select(F.col("part").alias("product_id"), "row.barcode", "row.sku", "row.model", "row.brand", "row.variant")
-    return matching.match_products(found.where("source_id % 2 = 1"), products)
+    return matching.match_products(found, products)
+
+
+def watched_context(spark, sf_dir):
+    """Each part as a product with a catalog entry of its number: brands are the entry's other names, sizes its parts."""
+    part = table(spark, sf_dir, "part").withColumn("number", F.col("p_partkey") % 900 + 100)
+    number = F.col("number").alias("catalog_product_id")
+    code = F.concat(F.lit("CX-"), "number")
+    products = part.select(
+        F.col("p_partkey").alias("product_id"), F.when(F.col("p_partkey") % 10 < 9, F.concat_ws(" ", "p_name", "p_type", code)).alias("title"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("B-"), F.col("p_partkey") % 50 + 10)).alias("model"),
+        (F.lit(4900000000000) + F.col("p_partkey")).cast("string").alias("barcode"), F.lit(None).cast("string").alias("listing_model"), F.lit(None).cast("string").alias("listing_barcode"), number,
+    )
+    catalog = part.select(number, code.alias("product_code"), F.lit(None).cast("string").alias("barcode")).distinct()
+    aliases = part.select(number, F.concat(F.lit("Line "), "p_brand").alias("alias")).distinct()
+    parts = part.select(number, F.col("p_size").cast("long").alias("catalog_part_id"), F.concat(F.lit("P"), "p_size").alias("code"), F.concat(F.lit("size "), "p_size").alias("name")).distinct()
+    return rules.product_context(products, catalog, aliases, parts)
+
+
+def w1_match_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return watched_context(spark, sf_dir).select("product_id", "catalog_product_id", "locale", *map(joined, ("base_values", "synonym_values", "models", "barcodes")), F.array_join(F.col("catalog_part_ids").cast("array<string>"), "|").alias("catalog_part_ids"))
+
+
+def watch_rules(spark, sf_dir):
+    """A rule for each part, of seven kinds: a whole title, a part of one, an expression (some of them invalid), a barcode, a
+    model, a catalog part with a keyword, a catalog product with a language; every other one excludes `red`."""
+    part = table(spark, sf_dir, "part").withColumn("number", F.col("p_partkey") % 900 + 100)
+    key, code = F.col("p_partkey"), F.concat(F.lit("CX-"), "number")
+    kind = key % 7
+    expression = F.when(key % 35 == 2, "(").otherwise(F.concat(F.element_at(F.split("p_name", " "), 2), F.lit(r" \w+ cx-"), (F.col("number") / 10).cast("int"), F.lit("[0-4]")))
+    word = F.when(kind == 0, F.upper(F.concat_ws(" ", "p_name", "p_type", code))).when(kind == 1, F.concat("p_type", F.lit(" CX - "), "number")).when(kind == 2, expression).when(kind == 5, code)
+    return part.select(
+        key.alias("rule_id"), F.array_compact(F.array(F.lit("no such thing"), word)).alias("keywords"), F.when(kind.isin(1, 5), "contains").when(kind == 2, "regex").otherwise("exact").alias("mode"),
+        F.when(key % 2 == 0, F.array(F.lit("RED "))).alias("exclude_terms"), F.when(kind == 3, (F.lit(4900000000000) + key).cast("string")).alias("barcode"), F.when(kind == 4, F.lower(code)).alias("model"),
+        F.when(kind == 5, F.col("p_size").cast("long")).alias("catalog_part_id"), F.when(kind == 6, F.col("number")).alias("catalog_product_id"),
+        F.when(kind == 6, F.element_at(F.array(*map(F.lit, ("any", "en", "ja"))), (key % 3 + 1).cast("int"))).alias("locale"), kind.alias("kind"),
+    ).withColumn("keywords", F.when(kind_has_words(), F.col("keywords"))).drop("kind")
+
+
+def kind_has_words():
+    return F.col("kind").isin(0, 1, 2, 5)
 
 
 def w3_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    products = part.select(F.col("p_partkey").alias("product_id"), text.alias_form(F.concat_ws(" ", "p_name", "p_type")).alias("haystack"))
-    second = F.element_at(F.split(F.lower("p_name"), " "), 2)
-    rules = part.where("p_partkey % 97 = 0").select(
-        F.col("p_partkey").alias("rule_id"), second.alias("keyword"), F.element_at(F.array(*map(F.lit, ("exact", "contains", "regex"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("mode"), F.when(F.col("p_partkey") % 2 == 0, "red").alias("exclude")
-    )
-    return matching.match_rules(products, rules)
+    return rules.match_rules(watched_context(spark, sf_dir), watch_rules(spark, sf_dir)).select("rule_id", "product_id", "confidence", "match_type", F.array_join("reasons", "|").alias("reasons"))
+
+
+def w11_rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.valid_rules(watch_rules(spark, sf_dir)).select("rule_id", "mode", "valid")
 
 
 def s14_snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         o1_latest_offer, o2_stable_state, e4_events, e5_cooldown, e6_event_feed, f1_scan_presence, f8_source_health, q3_component_metrics, q6_top_error_sources, q7_slo_alerts, n6_page_urls,
-        n15_listing_fields, n14_prices, c7_availability, i3_product_match, w3_rule_matches, s14_snapshot_upsert, a2_product_digest, r3_offer_board, k4_catalog_listing, m2_first_posts, m6_post_signals, d5_budgeted_pick,
+        n15_listing_fields, n14_prices, c7_availability, i3_product_match, w1_match_context, w3_rule_matches, w11_rule_checks, s14_snapshot_upsert, a2_product_digest, r3_offer_board, k4_catalog_listing, m2_first_posts, m6_post_signals, d5_budgeted_pick,
     )
 }
 ORACLE_SQL = oracle.SQL

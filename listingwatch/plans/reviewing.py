@@ -207,7 +207,7 @@ def k8_newest_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w8_announcement_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = announced(spark, sf_dir)
-    matches = watching.catalog_rows(spark, sf_dir).where("part % 97 = 0").select(F.col("part").alias("rule_id"), "model")
+    matches = watching.catalog_rows(spark, sf_dir).select(F.col("part").alias("rule_id"), "model")
     wanted = matches.select("rule_id").distinct().select("rule_id", F.explode(F.array(*map(F.lit, ALERTS))).alias("alert_type")).where("rule_id % 2 = 1 or alert_type <> 'release'")
     none = spark.createDataFrame([], "dedup_key string")
     known = watch.announcement_alerts(told.where("announcement_id % 7 = 0"), matches, wanted, none)
@@ -215,12 +215,12 @@ def w8_announcement_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 W8 = f"""WITH a AS (SELECT *, CASE event_type WHEN 'preorder' THEN 'preorder_open' WHEN 'released' THEN 'release' WHEN 'restock' THEN 'in_stock' ELSE 'official_announcement' END AS alert_type FROM ({K7}) WHERE announcement_id % 7 <> 0),
-    m AS (SELECT DISTINCT p_partkey AS rule_id, 'CX-' || (p_partkey % 900 + 100) AS model FROM part WHERE p_partkey % 97 = 0 AND p_partkey IN (SELECT l_partkey FROM lineitem))
+    m AS (SELECT DISTINCT p_partkey AS rule_id, 'CX-' || (p_partkey % 900 + 100) AS model FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem))
     SELECT 'watch:' || rule_id || ':official:' || announcement_id || ':' || alert_type AS dedup_key, rule_id, announcement_id, model, alert_type FROM a JOIN m USING (model) WHERE rule_id % 2 = 1 OR alert_type <> 'release'"""
 
 
 def w12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = table(spark, sf_dir, "part").where("p_partkey % 97 = 0").select(F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("rule_name"))
+    rules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("rule_name"))
     wanted = rules.where("rule_id % 3 <> 0").select("rule_id", F.explode(F.array(*map(F.lit, reversed(ALERTS)))).alias("alert_type"))
     return watch.rules_listed(rules, wanted).select("rule_id", "rule_name", F.array_join("alert_types", ",").alias("alert_types"))
 
@@ -355,7 +355,7 @@ def r6_recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = [
     (d7_candidates, D7), (d9_run_summaries, D9), (d10_sites, D10), (x2_candidate_queue, X2), (d4_walk, D4), (s4_selected_fields, S4), (n12_site_names, N12), (n22_moments, N22), (k2_evidence, K2), (k5_parts, K5), (k5_product_parts, K5B),
     (k7_announcements, K7), (k8_newest_announcements, f"SELECT announcement_id, event_type, published_at FROM ({K7}) ORDER BY published_at DESC, announcement_id DESC, event_type LIMIT 100"), (w8_announcement_alerts, W8),
-    (w12_rules, "SELECT p_partkey AS rule_id, p_name AS rule_name, CASE WHEN p_partkey % 3 <> 0 THEN 'in_stock,official_announcement,preorder_open,release' ELSE '' END AS alert_types FROM part WHERE p_partkey % 97 = 0"),
+    (w12_rules, "SELECT p_partkey AS rule_id, p_name AS rule_name, CASE WHEN p_partkey % 3 <> 0 THEN 'in_stock,official_announcement,preorder_open,release' ELSE '' END AS alert_types FROM part"),
     (w12_alerts, f"SELECT a.*, p_name AS rule_name FROM (SELECT * FROM ({watching.W7}) ORDER BY event_id DESC, dedup_key LIMIT 500) a JOIN part ON p_partkey = rule_id"),
     (r7_exclusions, R7), (r7_official_sources, f"SELECT s_suppkey AS source_id, s_name, count(announcement_id) AS announcements FROM supplier LEFT JOIN ({K7}) k ON k.source_id = s_suppkey GROUP BY ALL"), (c2_allowed, C2), (c6_reviewed_states, C6),
     (i7_split_audit, I7), (i8_merge_audit, I8), (m10_sources, "SELECT s_suppkey AS source_id, s_name, count(conv_id) AS posts, count(conv_id) FILTER (turn % 4 = 3) AS hidden_posts FROM supplier LEFT JOIN conversations ON conv_id % 10 = s_suppkey GROUP BY ALL"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import catalog, classify, community, frontier, identity, matching, operations, pages, timeline, watch
+from ..sources.tables import cut
 from . import queries as base
 from .oracle import COOLED, EVENTS, FEED, HEALTH, METRICS, OPS, SQL, STABLE, STATE
 from .views import feed, observations, table
@@ -28,7 +29,7 @@ def named(rows: DataFrame, **columns) -> DataFrame:
 
 
 def w5_match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = base.w3_rule_matches(spark, sf_dir)
+    found = base.w3_rule_matches(spark, sf_dir).select("rule_id", "product_id", "confidence")
     known = found.where("product_id % 3 <> 0").select("*", at("2024-01-01").alias("first_matched"), at("2024-01-01").alias("last_matched"))
     return watch.match_table(known, found.where("product_id % 5 <> 0"), at("2024-01-02"))
 
@@ -43,7 +44,7 @@ def product_events(spark, sf_dir):
 
 
 def w7_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = base.w3_rule_matches(spark, sf_dir)
+    matches = cut(base.w3_rule_matches(spark, sf_dir).select("rule_id", "product_id"), "matches")
     wanted = matches.select("rule_id").distinct().select("rule_id", F.explode(F.array(*map(F.lit, TYPES))).alias("alert_type")).where("rule_id % 2 = 1 or alert_type <> 'price_anomaly'")
     events = product_events(spark, sf_dir)
     none = spark.createDataFrame([], "dedup_key string")
@@ -206,11 +207,11 @@ def f9_run_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f6_recrawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") % 7 * 600).cast("int").alias("base_seconds"), (F.col("s_suppkey") % 12).cast("int").alias("failures"))
     item = table(spark, sf_dir, "lineitem")
-    offers = item.where("l_suppkey % 2 = 0").select(F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") % 97 == 0).alias("watched"), (F.col("l_quantity") > 49).alias("buyable"), F.col("l_shipdate").alias("released"))
+    offers = item.select(F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") % 97 == 0).alias("watched"), (F.col("l_quantity") > 49).alias("buyable"), F.col("l_shipdate").alias("released"))
     return operations.recrawl_plan(supplier, offers, at("1996-06-01")).select("source_id", F.col("seconds").cast("long").alias("seconds"), F.col("freshness_seconds").cast("long").alias("freshness_seconds"))
 
 
-F6 = """WITH o AS (SELECT l_suppkey AS k, bool_or(l_partkey % 97 = 0) AS w, bool_or(l_quantity > 49 OR l_shipdate BETWEEN TIMESTAMP '1996-05-31' AND TIMESTAMP '1996-06-08') AS b FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY ALL),
+F6 = """WITH o AS (SELECT l_suppkey AS k, bool_or(l_partkey % 97 = 0) AS w, bool_or(l_quantity > 49 OR l_shipdate BETWEEN TIMESTAMP '1996-05-31' AND TIMESTAMP '1996-06-08') AS b FROM lineitem GROUP BY ALL),
     s AS (SELECT s_suppkey, greatest(60, s_suppkey % 7 * 600) AS base, s_suppkey % 12 AS f, coalesce(w, false) AS w, coalesce(b, false) AS b FROM supplier LEFT JOIN o ON k = s_suppkey),
     i AS (SELECT *, least(base, CASE WHEN w THEN 300 WHEN b THEN 900 ELSE base END) AS soon FROM s)
     SELECT s_suppkey AS source_id, CAST(greatest(30, soon, least(base, 300), CASE WHEN f > 0 THEN least(21600, 60 * pow(2, f - 1)) ELSE 0 END) AS BIGINT) AS seconds, CAST(greatest(2 * base, 1800) AS BIGINT) AS freshness_seconds FROM i"""
@@ -242,11 +243,11 @@ Q5 = f"SELECT count(*) FILTER (freshness = 'fresh') AS fresh, count(*) FILTER (f
 
 
 def q8_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    detail = F.concat(F.lit("HTTP 503 at https://shop.example/"), "source_key", F.lit(" token=abc"), "seq")
+    detail = F.concat(F.lit("HTTP 503 at https://shop.example/"), "source_key", F.lit(" token=abc"), "seq", F.lit(" bot12345:AA-b"), "seq", F.lit(" Authorization: Bearer abc"), "seq", F.lit(", password=x;y"))
     return operations.safe_diagnostics(ops_view(spark, sf_dir).withColumn("detail", detail), text.redact)
 
 
-Q8 = f"WITH {OPS} SELECT seq, component, source_key, created_at, 'HTTP 503 at [url] token=[secret]' AS detail FROM ops WHERE status = 'failed' ORDER BY created_at DESC, seq DESC LIMIT 50"
+Q8 = f"WITH {OPS} SELECT seq, component, source_key, created_at, 'HTTP 503 at [url] token=[secret] bot[token] Authorization=[secret], password=[secret];y' AS detail FROM ops WHERE status = 'failed' ORDER BY created_at DESC, seq DESC LIMIT 50"
 
 
 def t1_keep_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,8 +395,8 @@ def m8_post_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.post_matches(posts, rules)
 
 
-M8 = f"""WITH r AS (SELECT item_id, string_split({HAY}, ' ')[1] AS kw FROM benchmark), p AS (SELECT conv_id * 1000 + turn AS post_id, {HAY} AS hay FROM conversations)
-    SELECT DISTINCT item_id AS rule_id, post_id, 0.8::DOUBLE AS confidence FROM p, r WHERE kw <> '' AND CASE WHEN item_id % 2 = 0 THEN list_contains(string_split(hay, ' '), kw) ELSE contains(hay, kw) END"""
+M8 = f"""WITH r AS (SELECT item_id, string_split({HAY}, ' ')[1] AS kw FROM benchmark), p AS (SELECT conv_id * 1000 + turn AS post_id, {HAY} AS hay, list_transform(regexp_split_to_array(coalesce(text, ''), '[\\s、，。,:：/]+'), lambda x: trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}-]+', ' ', 'g'))) AS words FROM conversations)
+    SELECT DISTINCT item_id AS rule_id, post_id, 0.8::DOUBLE AS confidence FROM p, r WHERE kw <> '' AND CASE WHEN item_id % 2 = 0 THEN list_contains(words, kw) ELSE contains(hay, kw) END"""
 
 
 def n2_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:

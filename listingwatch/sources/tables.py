@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,10 @@ POST = "id string, text string, created_at timestamp, author string, url string,
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        warnings.warn("spark.checkpoint.dir is unset: tables between steps go to the warehouse, which all executors must share", stacklevel=2)
+    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
