@@ -174,7 +174,9 @@ def date_time(text: Column, offset: str = "+00:00") -> Column:
 
 def terms(text: Column, most: int = 20) -> Column:
     """Comma-separated terms, squeezed, distinct, at most `most` of them."""
-    split = F.transform(F.split(text, ","), squeeze)
+    # NFKC must not see the commas, as it makes others of wide ones; and a lambda can't call Python
+    plain = F.split(to_half_width(normalize_unicode(F.translate(text, ",", "\x01"))), "\x01")
+    split = F.transform(plain, lambda x: F.trim(F.regexp_replace(x, SPACES, " ")))
     return F.slice(F.array_distinct(F.filter(split, lambda x: x != "")), 1, most)
 
 

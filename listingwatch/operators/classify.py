@@ -51,12 +51,16 @@ def schema_state(raw: Column) -> Column:
 
 def text_match(text: Column) -> Column:
     """struct<state, locale, term> of the first term, in the order of TERMS; null if none occurs."""
-    low = F.lower(normalize_unicode(text))
-    out = F.lit(None).cast("struct<state:string,locale:string,term:string>")
-    for state, locale, terms in reversed(TERMS):
-        for term in reversed(terms):
-            out = F.when(low.contains(term), F.struct(F.lit(state).alias("state"), F.lit(locale).alias("locale"), F.lit(term).alias("term"))).otherwise(out)
-    return out
+
+    def first(low: Column) -> Column:
+        out = F.lit(None).cast("struct<state:string,locale:string,term:string>")
+        for state, locale, terms in reversed(TERMS):
+            for term in reversed(terms):
+                out = F.when(low.contains(term), F.struct(F.lit(state).alias("state"), F.lit(locale).alias("locale"), F.lit(term).alias("term"))).otherwise(out)
+        return out
+
+    # a lambda's argument is computed once, not again in each of the terms' conditions
+    return F.transform(F.array(F.lower(normalize_unicode(text))), first)[0]
 
 
 def availability(raw: Column, stated: Column, title: Column, raw_text: Column, buy_button: Column, price: Column) -> Column:

@@ -81,27 +81,81 @@ def digests(offers: DataFrame) -> DataFrame:
     return offers.groupBy("product_id").agg(F.max("name").alias("title"), F.array_sort(F.collect_list(entry)).alias("rows")).select("product_id", "title", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("body"))
 
 
+#: Counts of an operation event, and the largest that is believed.
+EVENT_COUNTS = ("valid_count", "invalid_count", "failed_count", "page_count", "page_failed_count")
+MOST_COUNT = 1_000_000
+
+
+def rate_of(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, F.least(F.lit(1.0), part / whole)).otherwise(0.0)
+
+
 def component_metrics(ops: DataFrame, since: Column) -> DataFrame:
-    """Per component within the window: totals by status, failure rate; and last success and failure of all time."""
+    """Per component within the window: totals by status, sums of the five counts (each if it is 0 to MOST_COUNT), rates of failed
+    events, items and pages; and of all time the last success, and when, where and of what class the last failure was.
+
+    ops: (seq, component, source_key, status, created_at), and error_class and EVENT_COUNTS, which count as null if absent.
+    """
+    optional = {"error_class": "string"} | dict.fromkeys(EVENT_COUNTS, "long")
+    ops = ops.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in ops.columns})
     inside = F.col("created_at") >= since
     status = lambda s: F.count_if(inside & (F.col("status") == s)).alias(s)
     order = F.struct("created_at", "seq")
     failed = F.col("status") == "failed"
+    last = lambda c: F.max_by(F.when(failed, F.col(c)), F.when(failed, order))
+    sums = [F.coalesce(F.sum(F.when(inside & F.col(c).between(0, MOST_COUNT), F.col(c))), F.lit(0)).cast("long").alias(c) for c in EVENT_COUNTS]
     out = ops.groupBy("component").agg(
-        F.count_if(inside).alias("total"), status("success"), status("failed"), status("skipped"),
+        F.count_if(inside).alias("total"), status("success"), status("failed"), status("skipped"), *sums,
         F.max(F.when(F.col("status") == "success", F.col("created_at"))).alias("latest_success"),
-        F.max_by(F.when(failed, F.col("source_key")), F.when(failed, order)).alias("last_failed_source"),
+        last("source_key").alias("last_failed_source"), last("error_class").alias("last_error_class"), F.max(F.when(failed, F.col("created_at"))).alias("last_failure"),
     )
-    rate = F.when(F.col("total") > 0, F.least(F.lit(1.0), F.col("failed") / F.col("total"))).otherwise(0.0)
-    return out.withColumn("failure_rate", rate)
+    bad = F.col("invalid_count") + F.col("failed_count")
+    return out.withColumns({"failure_rate": rate_of(F.col("failed"), F.col("total")), "item_failure_rate": rate_of(bad, bad + F.col("valid_count")), "page_failure_rate": rate_of(F.col("page_failed_count"), F.col("page_count"))})
+
 
+def top_error_classes(ops: DataFrame, since: Column, n: int = 20) -> DataFrame:
+    """The n most frequent (component, error_class) of failures in the window."""
+    found = ops.where((F.col("status") == "failed") & F.col("error_class").isNotNull() & (F.col("created_at") >= since)).groupBy("component", "error_class").agg(F.count("*").alias("failures"))
+    return newest(found, n, F.desc("failures"), F.col("component"), F.col("error_class"))
 
-def slo_alerts(metrics: DataFrame, health: DataFrame, parser: float = 0.10, streak: int = 3) -> DataFrame:
-    """One row: names of the limits that are passed, and ok or degraded."""
-    worst = metrics.agg(F.max(F.when(F.col("component") == "parser", F.col("failure_rate"))).alias("parser_rate"))
-    longest = health.agg(F.max("failures").alias("longest"))
-    named = F.array_compact(F.array(F.when(F.col("longest") >= streak, "source_failure_streak"), F.when(F.col("parser_rate") >= parser, "parser_failure_rate")))
-    return worst.crossJoin(longest).select(F.array_join(named, ",").alias("alerts"), F.when(F.size(named) > 0, "degraded").otherwise("ok").alias("status"))
+
+def queue_counts(events: DataFrame, notifications: DataFrame, requests: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: what waits. events: (notified), the others: (status)."""
+    one = lambda df, name, hit: df.agg(F.count_if(F.coalesce(hit, F.lit(False))).alias(name))
+    status = F.col("status")
+    busy = requests.agg(F.count_if(status == "queued").alias("monitor_queued"), F.count_if(status == "running").alias("monitor_running"))
+    rows = [one(events, "pending_notifications", ~F.col("notified")), one(notifications, "failed_notifications", status == "failed"), busy, one(candidates, "pending_candidates", status == "pending")]
+    return rows[0].crossJoin(rows[1]).crossJoin(rows[2]).crossJoin(rows[3])  # one row each
+
+
+# Limits beyond which operation is degraded.
+LIMITS = {"streak": 3, "parser": 0.10, "notification": 0.10, "failed_notifications": 1, "monitor_queue": 50, "stale": 0.20}
+
+
+def slo_alerts(metrics: DataFrame, health: DataFrame, queues: DataFrame | None = None, freshness: DataFrame | None = None, limits: dict | None = None) -> DataFrame:
+    """One row: names of the limits that are passed, in a fixed order, and ok or degraded.
+
+    metrics: component_metrics, health: (failures, and enabled if sources can be switched off), queues: queue_counts, freshness:
+    freshness_counts. The parser's rate is the worst of events, items and pages; the stale rate leaves archived offers out.
+    """
+    limit = LIMITS | (limits or {})
+    has_rates = {"item_failure_rate", "page_failure_rate"} <= set(metrics.columns)
+    worst = F.greatest("failure_rate", "item_failure_rate", "page_failure_rate") if has_rates else F.col("failure_rate")
+    of = lambda name, value: F.max(F.when((F.col("component") == name) & (F.col("total") > 0), value))
+    row = metrics.agg(of("parser", worst).alias("parser_rate"), of("notification", F.col("failure_rate")).alias("notification_rate"))
+    enabled = health.where("enabled") if "enabled" in health.columns else health
+    row = row.crossJoin(enabled.agg(F.max("failures").alias("longest")))
+    rules = [("source_failure_streak", F.col("longest") >= limit["streak"]), ("parser_failure_rate", F.col("parser_rate") >= limit["parser"]), ("notification_failure_rate", F.col("notification_rate") >= limit["notification"])]
+    if queues is not None:
+        row = row.crossJoin(queues)
+        waiting = F.col("monitor_queued") + F.col("monitor_running")
+        rules += [("notification_queue_failed", F.col("failed_notifications") >= limit["failed_notifications"]), ("monitor_queue_backlog", waiting >= limit["monitor_queue"])]
+    if freshness is not None:
+        row = row.crossJoin(freshness)
+        live = F.col("fresh") + F.col("stale") + F.col("unknown")
+        rules.append(("stale_offer_rate", (live > 0) & (F.col("stale") / F.greatest(live, F.lit(1)) >= limit["stale"])))
+    named = F.array_compact(F.array(*[F.when(passed, name) for name, passed in rules]))
+    return row.select(F.array_join(named, ",").alias("alerts"), F.when(F.size(named) > 0, "degraded").otherwise("ok").alias("status"))
 
 
 def newest(df: DataFrame, n: int, *order: Column) -> DataFrame:

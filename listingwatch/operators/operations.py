@@ -21,9 +21,22 @@ def parser_outcomes(scans: DataFrame) -> DataFrame:
     return scans.withColumns({"status": status, "error_class": error})
 
 
-def run_accounts(items: DataFrame) -> DataFrame:
-    """Per scan: listings seen, excluded, with events. items: (source_id, scan_id, excluded, n_events)."""
-    return items.groupBy("source_id", "scan_id").agg(F.count("*").alias("seen"), F.count_if("excluded").alias("excluded"), F.sum("n_events").alias("events"))
+def run_accounts(items: DataFrame, runs: DataFrame | None = None, restarted: Column | None = None) -> DataFrame:
+    """Per scan: listings seen, excluded, with events; with runs also status, finished_at and error.
+
+    items: (source_id, scan_id, excluded, n_events), runs: (source_id, scan_id, status, finished_at, error). A run that was still
+    running when the service came up again (`restarted`) was abandoned: it failed then, as `interrupted`. Errors keep 500 characters.
+    """
+    counts = items.groupBy("source_id", "scan_id").agg(F.count("*").alias("seen"), F.count_if("excluded").alias("excluded"), F.sum("n_events").alias("events"))
+    if runs is None:
+        return counts
+    abandoned = (F.col("status") == "running") & F.col("finished_at").isNull() & F.lit(restarted is not None)
+    at = F.lit(None) if restarted is None else restarted
+    accounts = runs.select(
+        "source_id", "scan_id", F.when(abandoned, "failed").otherwise(F.col("status")).alias("status"), F.when(abandoned, at).otherwise(F.col("finished_at")).alias("finished_at"),
+        F.when(abandoned, "interrupted").otherwise(F.substring("error", 1, 500)).alias("error"),
+    )
+    return accounts.join(counts, ["source_id", "scan_id"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("seen", "excluded", "events")})
 
 
 def jitter(key: Column, ratio: float) -> Column:

@@ -90,9 +90,9 @@ def outcome(html: Column, usable: Column) -> Column:
     return F.when(usable, "ok").when(head.rlike(MAINTENANCE), "maintenance").otherwise("empty")
 
 
-def is_usable(*fields: Column) -> Column:
-    """Some field has a value; an empty text has none."""
-    out = F.lit(False)
+def is_usable(*fields: Column, price: Column | None = None) -> Column:
+    """Some field has a value: an empty text is none, but a price is one unless it is null."""
+    out = F.lit(False) if price is None else price.isNotNull()
     for f in fields:
         out = out | F.coalesce(f.cast("string") != "", F.lit(False))
     return out

@@ -48,15 +48,23 @@ COOLED = f"""{EVENTS}, ordered AS (
 
 OPS = """ops AS (
     SELECT event_id AS seq, ['parser', 'source', 'notification', 'discovery', 'scheduler', 'worker'][1 + user_id % 6] AS component, 's' || user_id AS source_key,
-           CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'success' END AS status, ts AS created_at FROM events
+           CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'success' END AS status, ts AS created_at, CASE WHEN event_type = 'error' THEN 'http_' || (user_id % 7 + 400) END AS error_class,
+           event_id % 50 AS valid_count, event_id % 7 AS invalid_count, CASE WHEN event_id % 5 > 0 THEN event_id % 3 END AS failed_count, event_id % 10 + 1 AS page_count,
+           CASE WHEN event_id % 1001 = 7 THEN -1 WHEN event_id % 11 = 0 THEN 1 ELSE 0 END::BIGINT AS page_failed_count FROM events
 )"""
 
 METRICS = f"""{OPS}, since AS (SELECT max(created_at) - INTERVAL 7 DAY AS since FROM ops), m AS (
     SELECT component, count(*) FILTER (created_at >= since) AS total, count(*) FILTER (created_at >= since AND status = 'success') AS success,
            count(*) FILTER (created_at >= since AND status = 'failed') AS failed, count(*) FILTER (created_at >= since AND status = 'skipped') AS skipped,
-           max(created_at) FILTER (status = 'success') AS latest_success, arg_max(source_key, (created_at, seq)) FILTER (status = 'failed') AS last_failed_source
+           max(created_at) FILTER (status = 'success') AS latest_success, arg_max(source_key, (created_at, seq)) FILTER (status = 'failed') AS last_failed_source,
+           arg_max(error_class, (created_at, seq)) FILTER (status = 'failed') AS last_error_class, max(created_at) FILTER (status = 'failed') AS last_failure,
+           coalesce(sum(valid_count) FILTER (created_at >= since), 0)::BIGINT AS valid_count, coalesce(sum(invalid_count) FILTER (created_at >= since), 0)::BIGINT AS invalid_count,
+           coalesce(sum(failed_count) FILTER (created_at >= since), 0)::BIGINT AS failed_count, coalesce(sum(page_count) FILTER (created_at >= since), 0)::BIGINT AS page_count,
+           coalesce(sum(page_failed_count) FILTER (created_at >= since AND page_failed_count >= 0), 0)::BIGINT AS page_failed_count
     FROM ops, since GROUP BY component
-), metrics AS (SELECT *, CASE WHEN total > 0 THEN least(1.0, failed / total) ELSE 0.0 END::DOUBLE AS failure_rate FROM m)"""
+), metrics AS (SELECT *, CASE WHEN total > 0 THEN least(1.0, failed / total) ELSE 0.0 END::DOUBLE AS failure_rate,
+    CASE WHEN valid_count + invalid_count + failed_count > 0 THEN (invalid_count + failed_count) / (valid_count + invalid_count + failed_count) ELSE 0.0 END::DOUBLE AS item_failure_rate,
+    CASE WHEN page_count > 0 THEN least(1.0, page_failed_count / page_count) ELSE 0.0 END::DOUBLE AS page_failure_rate FROM m)"""
 
 HEALTH = """health AS (
     SELECT source_key AS source, count(*) FILTER (status = 'failed' AND (ok_at IS NULL OR (created_at, seq) > (ok_at, ok_seq))) AS failures, min(ok_at) AS last_success
@@ -121,7 +129,8 @@ SQL = {
     "q6_top_error_sources": f"WITH {OPS} SELECT component, source_key, count(*) AS failures FROM ops WHERE status = 'failed' GROUP BY ALL ORDER BY failures DESC, component, source_key LIMIT 20",
     "q7_slo_alerts": f"""WITH {METRICS}, {HEALTH}, a AS (
             SELECT concat_ws(',', CASE WHEN (SELECT max(failures) FROM health) >= 3 THEN 'source_failure_streak' END,
-                   CASE WHEN (SELECT failure_rate FROM metrics WHERE component = 'parser') >= 0.1 THEN 'parser_failure_rate' END) AS alerts)
+                   CASE WHEN (SELECT greatest(failure_rate, item_failure_rate, page_failure_rate) FROM metrics WHERE component = 'parser') >= 0.1 THEN 'parser_failure_rate' END,
+                   CASE WHEN (SELECT failure_rate FROM metrics WHERE component = 'notification') >= 0.1 THEN 'notification_failure_rate' END) AS alerts)
         SELECT alerts, CASE WHEN alerts = '' THEN 'ok' ELSE 'degraded' END AS status FROM a""",
     "n6_page_urls": r"""WITH u AS (
             SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,

@@ -25,9 +25,12 @@ def operations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None
     events = table(spark, sf_dir, "events") if events is None else events
     names = F.array(*map(F.lit, ("parser", "source", "notification", "discovery", "scheduler", "worker")))
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "skipped").otherwise("success")
+    n = F.col("event_id")
+    counts = {"valid_count": n % 50, "invalid_count": n % 7, "failed_count": F.when(n % 5 > 0, n % 3), "page_count": n % 10 + 1, "page_failed_count": F.when(n % 1001 == 7, -1).otherwise((n % 11 == 0).cast("int"))}
     return events.select(
-        F.col("event_id").alias("seq"), F.element_at(names, (F.col("user_id") % 6 + 1).cast("int")).alias("component"), F.concat(F.lit("s"), F.col("user_id")).alias("source_key"), status.alias("status"), F.col("ts").alias("created_at")
-    )
+        F.col("event_id").alias("seq"), F.element_at(names, (F.col("user_id") % 6 + 1).cast("int")).alias("component"), F.concat(F.lit("s"), F.col("user_id")).alias("source_key"), status.alias("status"), F.col("ts").alias("created_at"),
+        F.when(status == "failed", F.concat(F.lit("http_"), F.col("user_id") % 7 + 400)).alias("error_class"), *[count.cast("long").alias(c) for c, count in counts.items()],
+    )
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 LISTING = """source_id string, scan_id long, seq int, url string, title string, brand string, series string, model string,
     barcode string, sku string, price string, currency string, price_text string, availability_raw string,
     availability_text string, has_buy_button boolean, price_tax_included boolean, image string, release_date string, raw_text string"""
+ITEM = """externalId: string, url: string, title: string, productCode: string, brand: string, series: string, barcode: string, locale: string, eventType: string,
+    publishedAt: string, updatedAt: string, releaseDate: string, msrp: double, currency: string, image: string, summary: string"""
 POST = "id string, text string, created_at timestamp, author string, url string, lang string, repost boolean, sensitive boolean"
 
 
@@ -41,6 +43,12 @@ def posts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(fits), rows.where(~fits)
 
 
+def official_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Items of an official feed's JSON documents ({source, items: []}; one a file, or one a line), numbered in the order of the list."""
+    rows = spark.read.schema(f"source string, items array<struct<{ITEM}>>").option("multiLine", not lines).json(path)
+    return rows.select("source", F.posexplode("items").alias("seq", "item")).select("source", "seq", "item.*")
+
+
 def append_observations(observations: DataFrame, path: str) -> None:
     """Appends raw observations, partitioned by day."""
     observations.withColumn("day", F.to_date("observed_at")).write.mode("append").partitionBy("day").parquet(path)
