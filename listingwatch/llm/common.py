@@ -149,8 +149,9 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-#: A node with at least this many links is a hub; of more links, this share of all. So there are never more than 2 / SHARE hubs.
-HUB, SHARE = 1_024, 1 / 50_000
+#: A node with at least this many links is a hub; of many links, this share of all. So there are never more than 2 / SHARE hubs,
+#: and a key that is joined by a shuffle has fewer rows than that.
+HUB, SHARE = 128, 1 / 50_000
 
 
 def with_lowest(links: DataFrame, low: DataFrame, n: int) -> DataFrame:
