@@ -32,7 +32,7 @@ CHUNK = 65_536
 #: 2 ** 32 characters, more than a text can have.
 FAN = 256
 #: States, and counts of short units, that each Python worker keeps.
-REMEMBERED = 250_000
+REMEMBERED, UNITS = 250_000, 500_000
 SHORT = 40
 MARK = "▁"
 
@@ -69,52 +69,70 @@ class Transducer:
         #: A unit: one character that stands alone, or marks and then what follows up to the next boundary.
         self.unit = re.compile((f"[{alone}]|" if alone else "") + f"{MARK}*[^{MARK}{alone}]+|{MARK}+")
         self.neighbours: dict[tuple[str, str], bool] = {}
+        self.units: dict[str, int] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.units: dict[str, int] = {}
-        self.known = {(("",), (0,)): 0}
-        #: Of each state: last tokens and token differences at the last places, the last characters, transitions.
-        self.states: list[tuple] = [(("",), (0,), "")]
+        """Back to the first state alone."""
+        self.known = {("", ("",), (0,)): 0}
+        #: Of each state: what has been read of open pieces, at which places before here they start, with the last token
+        #: and the difference in tokens there; and its transitions.
+        self.states: list[tuple] = [("", (0,), ("",), (0,))]
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
 
-    def merge(self, text: str) -> list[str]:
-        """Tokens of a few characters: always merges the best pair, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best = max(((self.pieces[x], -i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in self.pieces), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
     def follows(self, before: str, token: str) -> bool:
-        """Whether the tokenizer leaves two neighbouring tokens as they are."""
+        """Whether the tokenizer leaves two neighbouring tokens as they are: it always merges the best pair, the leftmost
+        of equals, and no merge crosses from one into the other."""
         key = (before, token)
         found = self.neighbours.get(key)
         if found is None:
-            found = self.merge(before + token) == [x for x in key if x]
             if len(self.neighbours) > 4 * REMEMBERED:
                 self.neighbours.clear()
-            self.neighbours[key] = found
+            found = self.neighbours[key] = self.apart(before, token)
         return found
 
+    def apart(self, before: str, token: str) -> bool:
+        parts, left, score = [*before, *token], len(before), self.pieces.get
+        pairs = [score(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        while True:
+            best, at = None, -1
+            for i, x in enumerate(pairs):
+                if x is not None and (best is None or x > best):
+                    best, at = x, i
+            if best is None:
+                return len(parts) == (left > 0) + 1 and left <= 1
+            if at == left - 1:
+                return False
+            left -= at < left
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1])
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at])
+
     def compile(self, state: int, char: str) -> tuple[int, int]:
         """The transition of a state over a character: next state and emitted tokens."""
-        lasts, ahead, tail = self.states[state]
-        tail += char
-        for length in range(len(tail), 0, -1):
-            token = tail[-length:]
-            if (length == 1 or token in self.pieces) and self.follows(lasts[length - 1], token):
+        tail, places, lasts, ahead = self.states[state]
+        size, pieces = len(tail), self.pieces
+        for place, last, before in zip(places, lasts, ahead, strict=True):  # the longest token first
+            token = tail[size - place :] + char
+            if (not place or token in pieces) and self.follows(last, token):
                 break
-        emitted = ahead[length - 1] + (1 if token in self.pieces else len(token.encode()))
-        while tail and tail not in self.begun:
-            tail = tail[1:]
-        lasts = (token, *lasts[: len(tail)])
-        ahead = (0, *[x - emitted for x in ahead[: len(tail)]])
-        after = self.known.setdefault((lasts, ahead), len(self.states))
+        emitted = before + (1 if token in pieces else len(token.encode()))
+        tail += char
+        after_places, after_lasts, after_ahead = [], [], []
+        for place, last, before in zip(places, lasts, ahead, strict=True):
+            if tail[size - place :] in self.begun:
+                after_places.append(place + 1)
+                after_lasts.append(last)
+                after_ahead.append(before - emitted)
+        tail = tail[size + 1 - after_places[0] :] if after_places else ""
+        new = (tail, (*after_places, 0), (*after_lasts, token), (*after_ahead, 0))
+        key = (tail, new[2], new[3])  # the places follow from what is read
+        after = self.known.setdefault(key, len(self.states))
         if after == len(self.states):
-            self.states.append((lasts, ahead, tail))
+            self.states.append(new)
             self.moves.append({})
         self.moves[state][char] = (after, emitted)
         return after, emitted
@@ -132,9 +150,10 @@ class Transducer:
         for unit in units:
             found = known.get(unit)
             if found is None:
-                if len(self.states) > REMEMBERED or len(known) > REMEMBERED:
+                if len(self.states) > REMEMBERED:
                     self.forget()
-                    known = self.units
+                if len(known) > UNITS:
+                    known.clear()
                 found = self.run(unit)
                 if len(unit) <= SHORT:
                     known[unit] = found
