@@ -15,6 +15,10 @@ from ..functions.text import alias_form, squeeze
 GENERATION_X = ("BX", "UX", "CX")
 
 
+# Fixed value: the maker that official items are by if they don't say.
+MAKER = "Takara Tomy"
+
+
 def first_known(value: str, order: Column) -> Column:
     """The value of the first row, in this order, that has one."""
     return F.min_by(value, F.when(F.col(value).isNotNull(), order)).alias(value)
@@ -25,12 +29,14 @@ def last_known(value: str, order: Column) -> Column:
 
 
 def link_listings(listings: DataFrame) -> DataFrame:
-    """One catalog row a model code: what was known first stays. listings: (seq, model, brand, barcode, official)."""
+    """One catalog row a model code: what was known first stays. listings: (seq, model, brand, barcode, official), and series and
+    release_date where there are such columns."""
     system = F.substring_index("model", "-", 1)
     order = F.col("seq")
     out = listings.where("model is not null").groupBy("model").agg(
-        first_known("brand", order), first_known("barcode", order), F.when(F.bool_or("official"), "verified").otherwise("pending").alias("verification"), F.count("*").alias("listings")
-    )
+        first_known("brand", order), first_known("barcode", order), F.when(F.bool_or("official"), "verified").otherwise("pending").alias("verification"), F.count("*").alias("listings"),
+        *[first_known(c, order) for c in ("series", "release_date") if c in listings.columns],
+    )
     return out.withColumns({"system": system, "generation": F.when(system.isin(*GENERATION_X), "X")})
 
 
@@ -43,14 +49,18 @@ def aliases(listings: DataFrame) -> DataFrame:
 def official_items(items: DataFrame) -> DataFrame:
     """One row a code of an official feed: newest known values, the first barcode, and whether barcodes disagree.
 
-    items: (seq, model, title, barcode, msrp). Rows without code or title are not taken; see `review_items`.
+    items: (seq, model, title, barcode, msrp), and brand, series, release_date, image, currency where there are such columns:
+    the newest known ones count, but a brand that the newest item doesn't state is MAKER. Rows without code or title are
+    not taken; see `review_items`.
     """
     order = F.col("seq")
     rows = items.where("model is not null and trim(title) <> ''")
     differ = F.min("barcode") != F.max("barcode")
     return rows.groupBy("model").agg(
-        first_known("barcode", order), last_known("msrp", order), F.max_by("title", "seq").alias("title"), F.when(F.coalesce(differ, F.lit(False)), "conflict").otherwise("verified").alias("verification")
-    )
+        first_known("barcode", order), last_known("msrp", order), F.max_by("title", "seq").alias("title"), F.when(F.coalesce(differ, F.lit(False)), "conflict").otherwise("verified").alias("verification"),
+        *[last_known(c, order) for c in ("series", "release_date", "image", "currency") if c in items.columns],
+        *([F.coalesce(F.max_by("brand", order), F.lit(MAKER)).alias("brand")] if "brand" in items.columns else []),
+    )
 
 
 def review_items(items: DataFrame) -> DataFrame:
@@ -166,3 +176,19 @@ def official_sources_listed(sources: DataFrame, found: DataFrame) -> DataFrame:
     """Official sources with the number of their announcements."""
     counts = found.groupBy("source_id").agg(F.count("*").alias("announcements"))
     return sources.join(counts, "source_id", "left").withColumn("announcements", F.coalesce("announcements", F.lit(0)))
+
+
+def catalog_listing(products: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+    """Catalog rows with how many names and pieces of evidence each has, and the names as `locale:alias`, sorted.
+
+    products: (model, …) as of link_listings, names: (model, locale, alias), known: (model, url).
+    """
+    spelt = names.groupBy("model").agg(F.count("*").alias("aliases"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "locale", "alias"))), " | ").alias("alias_list"))  # names of one model
+    counted = known.groupBy("model").agg(F.count("*").alias("evidence"))
+    out = products.join(spelt, "model", "left").join(counted, "model", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("aliases", "evidence")})
+
+
+def approved(queue: DataFrame, decisions: DataFrame, *keys: str) -> DataFrame:
+    """The queue's rows that a reviewer let in, as listings: they take part in matching like any other."""
+    return decide(queue, decisions, *keys).where("status = 'approve'").drop("status")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alias_form, model_code
 from ..functions.urls import canonical
+from ..sources.tables import cut
 from .rules import RULE_COLUMNS, complete, match_rules, with_lists
 
 # Words of each kind of lead.
@@ -59,6 +60,20 @@ def first_posts(posts: DataFrame) -> DataFrame:
     return posts.withColumn("fingerprint", content_fingerprint(F.col("text"))).groupBy("fingerprint").agg(F.min_by("post_id", order).alias("post_id"), (F.count("*") - 1).alias("duplicate_count"))
 
 
+def post_origins(posts: DataFrame) -> DataFrame:
+    """(first_id, post_id, source_id, external_id): where each post that repeats another's text came from; first_id is the
+    earliest post with that text.
+
+    posts: (post_id, source_id, external_id, posted_at, text). A source's post that comes again under its own id is the same
+    post and no origin: of equal (source_id, external_id) only the earliest counts.
+    """
+    order = F.struct("posted_at", "post_id")
+    same = posts.groupBy("source_id", "external_id").agg(F.min(F.struct("posted_at", "post_id", "text")).alias("p")).select("source_id", "external_id", "p.*")
+    marked = cut(same.select("post_id", "source_id", "external_id", "posted_at", content_fingerprint(F.col("text")).alias("fingerprint")), "posts")
+    first = cut(marked.groupBy("fingerprint").agg(F.min_by("post_id", order).alias("first_id")), "first-posts")
+    return marked.join(first, "fingerprint").where("post_id <> first_id").select("first_id", "post_id", "source_id", "external_id")
+
+
 def mentions(text: Column, prefixes: tuple[str, ...] = ("BX", "UX", "CX")) -> Column:
     """Distinct model codes that a post names; codes of one digit aren't any."""
     found = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![0-9A-Za-z_])((?:{'|'.join(prefixes)})[\s_-]?[0-9]{{1,3}})(?![0-9A-Za-z_])"))

@@ -135,3 +135,23 @@ def catalog_links_after(links: DataFrame, audit: DataFrame) -> DataFrame:
     """Catalog links with copies for the products that splits made. links: (product_id, model)."""
     copies = links.join(audit.select("product_id", "new_product_id").distinct(), "product_id").select(F.col("new_product_id").alias("product_id"), "model")
     return links.select("product_id", "model").unionByName(copies)
+
+
+def facts_after_split(facts: DataFrame, after: DataFrame) -> DataFrame:
+    """Events, matches or alerts (offer_id, product_id, …) after splits: those of an offer that moved go with it.
+
+    after: `split_products`' rows.
+    """
+    moved = after.where("moved").select("offer_id", F.col("product_id").alias("new_product_id"))
+    return facts.join(moved, "offer_id", "left").withColumn("product_id", F.coalesce("new_product_id", "product_id")).drop("new_product_id")
+
+
+def facts_after_merge(facts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Events, matches, alerts, candidates or offers (product_id, …) after merges. targets: (source, target), one row a source."""
+    return facts.join(targets.select(F.col("source").alias("product_id"), "target"), "product_id", "left").withColumn("product_id", F.coalesce("target", "product_id")).drop("target")
+
+
+def links_after_merge(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """Catalog links (product_id, model) after merges: a target keeps its own link, else it takes the one of its lowest source."""
+    placed = links.join(targets.select(F.col("source").alias("product_id"), "target"), "product_id", "left")
+    return placed.groupBy(F.coalesce("target", "product_id").alias("product_id")).agg(F.min_by("model", F.struct(F.col("target").isNotNull(), F.col("product_id"))).alias("model"))

@@ -81,6 +81,33 @@ def digests(offers: DataFrame) -> DataFrame:
     return offers.groupBy("product_id").agg(F.max("name").alias("title"), F.array_sort(F.collect_list(entry)).alias("rows")).select("product_id", "title", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("body"))
 
 
+# How a digest names an event.
+EVENT_LABELS = {
+    "product_discovered": "🆕 New product", "became_available": "✅ Available", "back_in_stock": "🔁 Back in stock", "preorder_open": "📦 Pre-order open",
+    "coming_soon": "🔜 Coming soon", "out_of_stock": "⛔ Out of stock", "price_change": "💲 Price change",
+}
+
+
+def event_digests(events: DataFrame, offers: DataFrame, products: DataFrame, sources: DataFrame) -> DataFrame:
+    """(product_id, title, body): one text a product of its pending events: buyable ones first, then by price (null last) and
+    source. The title has the model; a line has the event's label, the source, price with currency, and the address below.
+
+    events: (product_id, offer_id, source_id, type, to_state), offers: (offer_id, price, currency, url), products: (product_id,
+    name, model), sources: (source_id, source_name).
+    """
+    events = events.select("product_id", "offer_id", "source_id", "type", "to_state")
+    rows = events.join(offers.select("offer_id", "price", "currency", "url"), "offer_id", "left").join(sources.select("source_id", "source_name"), "source_id", "left")
+    label = F.coalesce(F.create_map(*[F.lit(x) for kv in EVENT_LABELS.items() for x in kv])[F.col("type")], F.col("type"))
+    price = F.when(F.col("price").isNotNull(), F.concat(F.lit(" — "), F.rtrim(F.concat_ws(" ", F.format_string("%.2f", "price"), "currency")))).otherwise("")
+    line = F.concat(label, F.lit(" @ "), F.coalesce("source_name", F.lit("unknown store")), price, F.coalesce(F.concat(F.lit("\n    "), "url"), F.lit("")))
+    rank = F.array_position(F.array(*map(F.lit, ("in_stock", "preorder", "coming_soon"))), F.coalesce("to_state", F.lit("")))
+    entry = F.struct(F.when(rank == 0, 4).otherwise(rank).alias("rank"), F.col("price").isNull().alias("unpriced"), "price", F.coalesce("source_name", F.lit("")).alias("source"), line.alias("line"))
+    bodies = rows.groupBy("product_id").agg(F.array_sort(F.collect_list(entry)).alias("rows"))  # one product's pending events
+    title = F.concat(F.coalesce(F.nullif("name", F.lit("")), F.lit("Product")), F.coalesce(F.concat(F.lit(" ("), F.nullif("model", F.lit("")), F.lit(")")), F.lit("")))
+    named = bodies.join(products.select("product_id", title.alias("title")), "product_id", "left")
+    return named.select("product_id", F.coalesce("title", F.lit("Product")).alias("title"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("body"))
+
+
 #: Counts of an operation event, and the largest that is believed.
 EVENT_COUNTS = ("valid_count", "invalid_count", "failed_count", "page_count", "page_failed_count")
 MOST_COUNT = 1_000_000

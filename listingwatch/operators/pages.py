@@ -117,8 +117,11 @@ def resolve(href: Column, base: Column) -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Distinct (page_id, target) of a[href] that stay on the page's site, as identities. pages: (page_id, url, html)."""
-    hrefs = F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"))
+    # quoted or bare; entities in an address stand for their characters
+    hrefs = F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"))
     found = pages.select("page_id", "url", F.explode(F.array_distinct(hrefs)).alias("href"))
+    bare = F.regexp_replace("href", "^[\"']|[\"']$", "")
+    found = found.withColumn("href", F.regexp_replace(F.regexp_replace(bare, "(?i)&(amp|#38|#x26);", "&"), "(?i)&(quot|#34);", "\""))
     found = found.withColumn("target", urls.canonical(resolve(F.col("href"), F.col("url"))))
     site = lambda c: urls.registrable_domain(urls.bare_host(F.col(c)))
     return found.where(F.col("target").isNotNull() & (site("target") == site("url"))).select("page_id", "target").distinct()

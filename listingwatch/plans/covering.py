@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import catalog, classify, community, matching, operations, pages, timeline, watch
+from ..operators import catalog, classify, community, frontier, identity, matching, operations, pages, timeline, watch
 from ..sources import tables
 from . import queries as base
 from . import watching
-from .oracle import FEED, METRICS, OPS, SQL, STABLE, STATE
+from .oracle import COOLED, EVENTS, FEED, METRICS, OPS, SQL, STABLE, STATE
 from .views import feed, observations, table
 from .views import operations as ops_view
 
@@ -264,9 +264,101 @@ def a4_alert_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 A4 = f"SELECT dedup_key, channel, CASE WHEN channel = 'mail' THEN 'unconfigured' ELSE ['queued', 'skipped', 'retry'][1 + rule_id % 3] END AS state FROM ({watching.W7}), (VALUES ('chat'), ('mail')) AS t(channel)"
 
 
+def a2_event_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending events of forty products with offers of ten shops, some unpriced, some without an address."""
+    found = base.e5_cooldown(spark, sf_dir).withColumn("product_id", F.col("offer_id") % 40)
+    offers = timeline.latest_offers(base.stable(spark, sf_dir)).select("offer_id", F.when(F.col("offer_id") % 7 > 0, F.col("price")).alias("price"), F.when(F.col("offer_id") % 3 > 0, "JPY").alias("currency"), F.when(F.col("offer_id") % 2 == 0, F.concat(F.lit("https://shop.example/"), "offer_id")).alias("url"))
+    products = spark.range(40).select(F.col("id").alias("product_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("Item "), "id")).alias("name"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("BX-"), F.col("id") + 10)).alias("model"))
+    sources = spark.range(9).select(F.col("id").alias("source_id"), F.concat(F.lit("shop"), "id").alias("source_name"))
+    return matching.event_digests(found, offers, products, sources)
+
+
+A2 = f"""WITH RECURSIVE {COOLED}, last AS (SELECT offer_id, arg_max(price, (observed_at, seq)) AS last_price FROM obs GROUP BY offer_id),
+    r AS (SELECT offer_id % 40 AS product_id, CASE WHEN offer_id % 7 > 0 THEN last_price END AS p, CASE WHEN source_id < 9 THEN 'shop' || source_id ELSE 'unknown store' END AS shop, coalesce(list_position(['in_stock', 'preorder', 'coming_soon'], to_state), 4) AS rank,
+        CASE type WHEN 'became_available' THEN '✅ Available' WHEN 'back_in_stock' THEN '🔁 Back in stock' WHEN 'preorder_open' THEN '📦 Pre-order open' WHEN 'coming_soon' THEN '🔜 Coming soon' WHEN 'out_of_stock' THEN '⛔ Out of stock' ELSE '💲 Price change' END AS label, offer_id
+        FROM ordered o JOIN cool c USING (offer_id, type, k) JOIN last USING (offer_id) WHERE c.kept),
+    l AS (SELECT *, label || ' @ ' || shop || CASE WHEN p IS NULL THEN '' ELSE ' — ' || printf('%.2f', p) || CASE WHEN offer_id % 3 > 0 THEN ' JPY' ELSE '' END END || CASE WHEN offer_id % 2 = 0 THEN chr(10) || '    https://shop.example/' || offer_id ELSE '' END AS line FROM r)
+    SELECT product_id, CASE WHEN product_id % 5 > 0 THEN 'Item ' || product_id ELSE 'Product' END || CASE WHEN product_id % 2 = 0 THEN ' (BX-' || (product_id + 10) || ')' ELSE '' END AS title,
+        string_agg(line, chr(10) ORDER BY rank, p IS NULL, p, CASE WHEN shop = 'unknown store' THEN '' ELSE shop END, line COLLATE "binary") AS body FROM l GROUP BY product_id"""
+
+
 # --- catalog and review
 
 
+def k1_series_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog entries of the feed with the first series and release date that a listing states."""
+    part = F.col("part")
+    rows = watching.catalog_rows(spark, sf_dir).withColumns({"series": F.when(F.col("seq") % 3 == 1, F.concat(F.lit("S"), part % 7)), "release_date": F.when(F.col("source_id") % 2 == 1, F.concat(F.lit("2024-01-"), F.lpad((part % 28 + 1).cast("string"), 2, "0")))})
+    return catalog.link_listings(rows).select("model", "series", "release_date", "listings")
+
+
+K1 = f"""WITH {FEED} SELECT model, arg_min('S' || (part % 7), listing_id) FILTER (listing_id % 3 = 1) AS series, arg_min('2024-01-' || lpad(CAST(part % 28 + 1 AS VARCHAR), 2, '0'), listing_id) FILTER (source_id % 2 = 1) AS release_date, count(*) AS listings
+    FROM feed GROUP BY model"""
+
+
+def k4_catalog_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = watching.catalog_rows(spark, sf_dir)
+    known = rows.withColumns({"url": F.concat(F.lit("https://shop.example/"), F.col("source_id") % 7), "source_class": F.lit("retailer"), "verification": F.lit("pending")})
+    return catalog.catalog_listing(catalog.link_listings(rows).select("model", "listings"), catalog.aliases(rows), catalog.evidence(known))
+
+
+K4 = f"""WITH {FEED}, n AS (SELECT model, trim(regexp_replace(lower(title), '[^a-z0-9-]+', ' ', 'g')) AS key, arg_max(title, listing_id) AS alias FROM feed GROUP BY ALL)
+    SELECT f.model, f.listings, f.evidence, n.aliases, n.alias_list FROM (SELECT model, count(*) AS listings, count(DISTINCT source_id % 7) AS evidence FROM feed GROUP BY model) f
+    JOIN (SELECT model, count(*) AS aliases, string_agg(DISTINCT 'en:' || alias, ' | ' ORDER BY 'en:' || alias) AS alias_list FROM n GROUP BY model) n USING (model)"""
+
+
+def k6_official_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("seq")
+    rows = watching.official(spark, sf_dir).withColumns({"brand": F.when(n % 4 > 0, F.col("brand")), "series": F.when(n % 3 == 0, F.concat(F.lit("S"), n % 11)), "release_date": F.when(n % 5 == 0, "2024-05-01"), "image": F.when(n % 2 == 0, F.concat(F.lit("i"), n % 13)), "currency": F.when(n % 6 == 0, "USD").when(n % 6 == 1, "JPY")})
+    return catalog.official_items(rows).select("model", "brand", "series", "release_date", "image", "currency", "verification")
+
+
+K6 = f"""WITH {FEED} SELECT model, coalesce(arg_max_null(CASE WHEN listing_id % 4 > 0 THEN brand END, listing_id), 'Takara Tomy') AS brand, arg_max('S' || (listing_id % 11), listing_id) FILTER (listing_id % 3 = 0) AS series,
+    max('2024-05-01') FILTER (listing_id % 5 = 0) AS release_date, arg_max('i' || (listing_id % 13), listing_id) FILTER (listing_id % 2 = 0) AS image, arg_max(CASE WHEN listing_id % 6 = 0 THEN 'USD' ELSE 'JPY' END, listing_id) FILTER (listing_id % 6 < 2) AS currency,
+    CASE WHEN count(DISTINCT barcode) > 1 THEN 'conflict' ELSE 'verified' END AS verification FROM feed WHERE part % 11 <> 0 GROUP BY model"""
+
+
+def i7_moved_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of forty products after every third offer of the even ones was split off."""
+    found = base.e4_events(spark, sf_dir).withColumn("product_id", F.col("offer_id") % 40).select("seq", "type", "offer_id", "product_id")
+    offers = timeline.latest_offers(base.stable(spark, sf_dir)).select("offer_id", (F.col("offer_id") % 40).alias("product_id"))
+    splits = offers.where("product_id % 2 = 0 and offer_id % 3 = 0").select("offer_id", (F.col("product_id") + 1000).alias("new_product_id"))
+    return identity.facts_after_split(found, identity.split_products(offers, splits))
+
+
+I7 = f"""WITH RECURSIVE {EVENTS}, o AS (SELECT DISTINCT offer_id, offer_id % 40 AS p, offer_id % 2 = 0 AND offer_id % 3 = 0 AS chosen FROM obs), m AS (SELECT *, chosen AND NOT bool_and(chosen) OVER (PARTITION BY p) AS moved FROM o)
+    SELECT seq, type, e.offer_id, CASE WHEN moved THEN p + 1000 ELSE p END AS product_id FROM emitted e JOIN m USING (offer_id)"""
+
+
+def i8_merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers of the feed after merges of their products, with each target's catalog link."""
+    part = table(spark, sf_dir, "part")
+    merges = part.where("p_size % 3 = 0 and p_partkey > 0").select(F.col("p_partkey").alias("source"), F.expr("p_partkey & (p_partkey - 1)").alias("target"))
+    targets = frontier.merge_targets(merges)
+    links = part.where("p_partkey % 5 > 0").select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("CX-"), F.col("p_partkey") % 900 + 100).alias("model"))
+    offers = feed(spark, sf_dir).select("listing_id", F.col("part").alias("product_id"))
+    return identity.facts_after_merge(offers, targets).join(identity.links_after_merge(links, targets), "product_id", "left")
+
+
+I8 = f"""WITH RECURSIVE {FEED}, m AS (SELECT p_partkey AS s, p_partkey & (p_partkey - 1) AS t FROM part WHERE p_size % 3 = 0 AND p_partkey > 0),
+    chain AS (SELECT p_partkey AS id, p_partkey AS now FROM part UNION ALL SELECT id, t FROM chain JOIN m ON s = now), kept AS (SELECT id, min(now) AS product_id FROM chain GROUP BY id),
+    link AS (SELECT product_id, arg_min('CX-' || (id % 900 + 100), (id <> product_id, id)) AS model FROM kept WHERE id % 5 > 0 GROUP BY product_id)
+    SELECT listing_id, k.product_id, link.model FROM feed JOIN kept k ON id = part LEFT JOIN link USING (product_id)"""
+
+
+def x1_approved_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that a reviewer let in, resolved against the products of the other parts like any listing."""
+    rows = feed(spark, sf_dir).select("listing_id", "part", text.barcode(F.col("barcode")).alias("barcode"), text.sku(F.col("sku")).alias("sku"), text.model_code(F.col("model_text")).alias("model"), "brand", text.variant_key(F.col("title")).alias("variant"))
+    n = F.col("listing_id")
+    decisions = rows.select("listing_id", F.when(n % 3 == 0, "exclude").otherwise("approve").alias("decision"), F.lit(1).alias("seq")).unionByName(rows.where("listing_id % 4 = 0").select("listing_id", F.lit("reopen").alias("decision"), F.lit(2).alias("seq")))
+    first = rows.groupBy("part").agg(F.min(F.struct("listing_id", "barcode", "sku", "model", "brand", "variant")).alias("row"))
+    products = first.select(F.col("part").alias("product_id"), "row.barcode", "row.sku", "row.model", "row.brand", "row.variant")
+    return matching.match_products(catalog.approved(rows, decisions, "listing_id"), products)
+
+
+X1 = f"SELECT * FROM ({SQL['i3_product_match']}) WHERE listing_id % 3 <> 0 AND listing_id % 4 <> 0"
+
+
 def k9_source_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = table(spark, sf_dir, "pages").select("page_id", urls.registrable_domain(urls.bare_host(F.col("url"))).alias("site"))
     registry = sites.select("site").distinct().where(F.length("site") % 2 == 0).withColumn("source_class", F.when(F.length("site") % 4 == 0, "official_store").otherwise("maker"))
@@ -312,6 +404,17 @@ X4 = f"SELECT kind, term, locale, occurrences, CASE WHEN occurrences % 3 = 1 THE
 # --- posts
 
 
+def m2_post_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts of their sources; the id is the source's own, and every tenth comes a second time."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.col("source").alias("source_id"), F.col("doc_id").alias("external_id"), F.col("doc_id").alias("posted_at"), F.coalesce("text", F.lit("")).alias("text"))
+    again = rows.where("post_id % 10 = 0").withColumns({"post_id": F.col("post_id") + 10_000_000, "posted_at": F.col("posted_at") + 10_000_000})
+    return community.post_origins(rows.unionByName(again))
+
+
+M2 = f"""WITH f AS (SELECT doc_id, source, {watching.HAY.replace("coalesce(text, '')", watching.BARE)} AS form FROM documents), g AS (SELECT *, min(doc_id) OVER (PARTITION BY form) AS first_id FROM f)
+    SELECT first_id, doc_id AS post_id, source AS source_id, doc_id AS external_id FROM g WHERE doc_id <> first_id"""
+
+
 def m7_hidden_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     spam = community.spam_score(F.col("text"), F.size(community.links(F.col("text")))) + F.when(F.col("turn") % 4 == 3, 0.7).otherwise(0.0)
@@ -392,7 +495,7 @@ PAIRS = [
     (s8_sitemap_urls, S8), (s10_search_urls, S10), (n8_fetchable_urls, N8), (n16_listing_models, N16), (n20_tax_notes, N20), (n21_release_dates, N21),
     (n23_terms, "SELECT p_partkey, p_name || '|' || p_type || '|' || p_name || ' x' AS terms FROM part"),
     (c9_terminal, f"WITH {FEED} SELECT listing_id, part % 5 <> 2 AS terminal FROM feed"),
-    (e2_first_sights, E2), (f3_failed_scans, F3), (i1_known_offers, I1), (w9_backfill, W9), (w10_boost, W10), (a4_alert_outbox, A4), (k9_source_classes, K9), (k10_backfill, K10), (k11_unidentified, K11), (x4_term_decisions, X4),
+    (e2_first_sights, E2), (f3_failed_scans, F3), (i1_known_offers, I1), (w9_backfill, W9), (w10_boost, W10), (a4_alert_outbox, A4), (a2_event_digests, A2), (k1_series_dates, K1), (k4_catalog_products, K4), (k6_official_details, K6), (i7_moved_events, I7), (i8_merged_facts, I8), (x1_approved_listings, X1), (m2_post_origins, M2), (k9_source_classes, K9), (k10_backfill, K10), (k11_unidentified, K11), (x4_term_decisions, X4),
     (m7_hidden_posts, M7), (m9_unexpired, M9), (q5_queue_counts, Q5), (q6_top_error_classes, Q6), (q7_all_limits, Q7), (f9_runs, F9),
 ]
 QUERIES = {f.__name__: f for f, _ in PAIRS}
