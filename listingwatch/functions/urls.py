@@ -89,25 +89,34 @@ def is_public(host: Column) -> Column:
     return ~(host.rlike(private) | host.rlike(named)) & (host != "")
 
 
-def hint_score(url: Column, text: Column, brand: str, model: str, include: tuple = (), exclude: tuple = ()) -> Column:
-    """How likely a link leads to a product: brand and model words, product and category paths, account pages."""
+def hints(url: Column, text: Column, brand: str, model: str, include: tuple = (), exclude: tuple = ()) -> list[tuple[Column, int, str]]:
+    """What a link's address and text say of where it leads, with points and a name."""
     hay = F.lower(F.concat_ws(" ", piece(url, 3), F.when(piece(url, 4) != "", F.concat(F.lit("?"), piece(url, 4))).otherwise(""), text))
     anyone = lambda ts: F.exists(F.array(*map(F.lit, ts)), lambda t: hay.contains(t)) if ts else F.lit(False)
-    rules = [
-        (hay.rlike(brand), 45),
-        (hay.rlike(model), 45),
-        (hay.rlike(r"/g/g|/product|/products|/item|/goods|/p/"), 20),
-        (hay.rlike(r"category|collection|search|catalog|c/c|page=|pageno="), 10),
-        (hay.rlike(r"login|signin|account|cart|checkout|privacy|terms|contact|javascript:|mailto:"), -100),
-        (anyone(exclude), -100),
-        (anyone(include), 30),
+    return [
+        (hay.rlike(brand), 45, "brand"),
+        (hay.rlike(model), 45, "model"),
+        (hay.rlike(r"/g/g|/product|/products|/item|/goods|/p/"), 20, "product_path"),
+        (hay.rlike(r"category|collection|search|catalog|c/c|page=|pageno="), 10, "listing_path"),
+        (hay.rlike(r"login|signin|account|cart|checkout|privacy|terms|contact|javascript:|mailto:"), -100, ""),
+        (anyone(exclude), -100, "excluded"),
+        (anyone(include), 30, "included"),
     ]
+
+
+def hint_score(url: Column, text: Column, brand: str, model: str, include: tuple = (), exclude: tuple = ()) -> Column:
+    """How likely a link leads to a product: brand and model words, product and category paths, account pages."""
     score = F.lit(0)
-    for hit, points in rules:
+    for hit, points, _ in hints(url, text, brand, model, include, exclude):
         score = score + F.when(hit, points).otherwise(0)
     return score
 
 
+def hint_reasons(url: Column, text: Column, brand: str, model: str, include: tuple = (), exclude: tuple = ()) -> Column:
+    """Names of the hints that hold."""
+    return F.array_compact(F.array(*[F.when(hit, name) for hit, _, name in hints(url, text, brand, model, include, exclude) if name]))
+
+
 def source_key(domain: Column) -> Column:
     """A domain as a key: letters and digits with single hyphens between, at most 60 characters."""
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(domain), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 60)

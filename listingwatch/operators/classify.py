@@ -64,7 +64,8 @@ def text_match(text: Column) -> Column:
 
 
 def availability(raw: Column, stated: Column, title: Column, raw_text: Column, buy_button: Column, price: Column) -> Column:
-    """struct<state, confidence, locale>: schema.org data counts most, then the text, a buy button and a price."""
+    """struct<state, confidence, locale, signals, term>: schema.org data counts most, then the text, a buy button and a price;
+    the signals in that order, and the term that the text was known by."""
     text = to_half_width(F.concat_ws(" ", stated, title, raw_text))
     schema, found = schema_state(raw), text_match(text)
     said = found["state"]
@@ -75,22 +76,39 @@ def availability(raw: Column, stated: Column, title: Column, raw_text: Column, b
     with_button = F.when(button & (state == "unknown"), F.greatest(base, F.lit(0.5))).when(button & (state == "in_stock"), F.least(F.lit(0.98), base + 0.05)).otherwise(base)
     confidence = F.when(price.isNotNull(), F.least(F.lit(0.98), with_button + 0.05)).otherwise(with_button)
     final = F.when(button & (state == "unknown"), "in_stock").otherwise(state)
-    return F.struct(final.alias("state"), F.round(confidence, 2).alias("confidence"), F.coalesce(found["locale"], locale_of(text)).alias("locale"))
+    of_text = F.when(said.isNotNull(), F.when(schema.isNull(), "text").when(said == schema, "text-agree").otherwise("text-conflict"))
+    signals = F.array_compact(F.array(F.when(schema.isNotNull(), "schema"), of_text, F.when(button, "buy-button"), F.when(price.isNotNull(), "price")))
+    return F.struct(final.alias("state"), F.round(confidence, 2).alias("confidence"), F.coalesce(found["locale"], locale_of(text)).alias("locale"), signals.alias("signals"), found["term"].alias("term"))
 
 
 def is_terminal(*texts: Column) -> Column:
     return F.concat_ws(" ", *texts).rlike(TERMINAL)
 
 
+def candidate_evidence(title: Column, model: Column, hay: Column, structured: Column, words: str, maker: str) -> list[tuple[Column, float, str]]:
+    """What speaks for a page being a product of the watched kind, with its points and name."""
+    return [(model.isNotNull(), 0.45, "model"), (hay.rlike(f"(?i){words}"), 0.40, "words"), (hay.rlike(f"(?i){maker}"), 0.10, "maker"), (structured, 0.15, "structured")]
+
+
 def candidate_confidence(title: Column, model: Column, hay: Column, structured: Column, words: str, maker: str) -> Column:
     """How surely a page is a product of the watched kind: model code, its words, its maker, structured data."""
-    points = [(model.isNotNull(), 0.45), (hay.rlike(f"(?i){words}"), 0.40), (hay.rlike(f"(?i){maker}"), 0.10), (structured, 0.15)]
     score = F.lit(0.0)
-    for hit, p in points:
+    for hit, p, _ in candidate_evidence(title, model, hay, structured, words, maker):
         score = score + F.when(hit, p).otherwise(0.0)
     return F.when(F.coalesce(title, F.lit("")) != "", F.round(F.least(F.lit(0.99), score), 2)).otherwise(0.0)
 
 
+def candidate_reasons(title: Column, model: Column, hay: Column, structured: Column, words: str, maker: str, raw_text: Column, rules: tuple = EXCLUSIONS) -> Column:
+    """Names of what speaks for a candidate, and `excluded:` with the exclusion rule that speaks against it."""
+    named = [F.when(hit, name) for hit, _, name in candidate_evidence(title, model, hay, structured, words, maker)]
+    return F.array_compact(F.array(*named, F.concat(F.lit("excluded:"), exclusion_reason(title, raw_text, rules))))
+
+
+def is_purchasable(state: Column, preorder: bool = False) -> Column:
+    """In stock, and preorders where they count."""
+    return F.coalesce(state.isin("in_stock", *(["preorder"] if preorder else [])), F.lit(False))
+
+
 def with_allowed(listings: DataFrame, allowed: DataFrame) -> DataFrame:
     """Adds `is_allowed`: the exclusion rules don't hold for this (source_id, url), as a reviewer said."""
     known = allowed.select("source_id", "url").distinct().withColumn("is_allowed", F.lit(True))

@@ -184,6 +184,42 @@ def n23_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- listings
 
 
+def c7_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each listing's state rests on, and whether it can be bought if preorders count."""
+    none = F.lit(None).cast("string")
+    found = classify.availability(F.col("availability_raw"), F.col("availability_text"), F.col("title"), none, F.col("has_buy_button"), F.when(F.col("part") % 3 > 0, F.col("price")))
+    rows = feed(spark, sf_dir).select("listing_id", found.alias("a"))
+    return rows.select("listing_id", F.array_join("a.signals", ",").alias("signals"), "a.term", classify.is_purchasable(F.col("a.state"), True).alias("purchasable"))
+
+
+C7 = f"""WITH {FEED}, {STATE} SELECT listing_id, concat_ws(',', CASE WHEN schema_state IS NOT NULL THEN 'schema' END, CASE WHEN text_state IS NULL THEN NULL WHEN schema_state IS NULL THEN 'text' WHEN schema_state = text_state THEN 'text-agree' ELSE 'text-conflict' END,
+    CASE WHEN button THEN 'buy-button' END, CASE WHEN part % 3 > 0 THEN 'price' END) AS signals, [ 'in stock', 'sold out', '予約受付中', 'coming soon', NULL][1 + source_id % 5] AS term, state IN ('in_stock', 'preorder') AS purchasable FROM judged"""
+
+
+def d2_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.regexp_replace("url", "[?#].*$", ""), one(("", "/item/7", "?page=2", "/cart", "/bx-38"), F.col("page_id") % 5))
+    args = (url, F.lit(""), "shop|store", r"\b[a-z]{2}-?\d{2,3}\b", ("item",), ("cart",))
+    return table(spark, sf_dir, "pages").select("page_id", urls.hint_score(*args).cast("long").alias("score"), F.array_join(urls.hint_reasons(*args), ",").alias("reasons"))
+
+
+D2 = r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)) || ['', '/item/7', ' ?page=2', '/cart', '/bx-38'][1 + page_id % 5] AS hay FROM pages), h AS (
+        SELECT page_id, regexp_matches(hay, 'shop|store') AS b, regexp_matches(hay, '\b[a-z]{2}-?[0-9]{2,3}\b') AS m, regexp_matches(hay, '/g/g|/product|/item|/goods|/p/') AS pp,
+               regexp_matches(hay, 'category|collection|search|catalog|c/c|page=|pageno=') AS lp, regexp_matches(hay, 'login|signin|account|cart|checkout|privacy|terms|contact|javascript:|mailto:') AS off, contains(hay, 'cart') AS ex, contains(hay, 'item') AS inc FROM p)
+    SELECT page_id, 45 * b::BIGINT + 45 * m::BIGINT + 20 * pp::BIGINT + 10 * lp::BIGINT - 100 * off::BIGINT - 100 * ex::BIGINT + 30 * inc::BIGINT AS score,
+        concat_ws(',', CASE WHEN b THEN 'brand' END, CASE WHEN m THEN 'model' END, CASE WHEN pp THEN 'product_path' END, CASE WHEN lp THEN 'listing_path' END, CASE WHEN ex THEN 'excluded' END, CASE WHEN inc THEN 'included' END) AS reasons FROM h"""
+
+
+def d6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feed(spark, sf_dir).withColumn("model", F.when(F.col("part") % 2 == 0, text.model_code(F.col("model_text"))))
+    said = F.when(F.col("source_id") % 3 == 0, "Used, spare parts")
+    found = classify.candidate_reasons(F.col("title"), F.col("model"), F.concat_ws(" ", "title", "brand"), F.col("availability_raw") != "", "widget|ring", "brand#1", said)
+    return rows.select("listing_id", F.array_join(found, ",").alias("reasons"))
+
+
+D6 = f"""WITH {FEED} SELECT listing_id, concat_ws(',', CASE WHEN part % 2 = 0 THEN 'model' END, CASE WHEN regexp_matches(title || ' ' || brand, '(?i)widget|ring') THEN 'words' END, CASE WHEN regexp_matches(brand, '(?i)brand#1') THEN 'maker' END,
+    CASE WHEN part % 4 <> 3 THEN 'structured' END, CASE WHEN source_id % 3 = 0 THEN 'excluded:used' END) AS reasons FROM feed"""
+
+
 def c9_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = one(("Discontinued item", "販売終了しました", "in stock", "已停售", "廃番"), F.col("part") % 5)
     return feed(spark, sf_dir).select("listing_id", classify.is_terminal(F.col("title"), said).alias("terminal"))
@@ -495,7 +531,7 @@ PAIRS = [
     (s8_sitemap_urls, S8), (s10_search_urls, S10), (n8_fetchable_urls, N8), (n16_listing_models, N16), (n20_tax_notes, N20), (n21_release_dates, N21),
     (n23_terms, "SELECT p_partkey, p_name || '|' || p_type || '|' || p_name || ' x' AS terms FROM part"),
     (c9_terminal, f"WITH {FEED} SELECT listing_id, part % 5 <> 2 AS terminal FROM feed"),
-    (e2_first_sights, E2), (f3_failed_scans, F3), (i1_known_offers, I1), (w9_backfill, W9), (w10_boost, W10), (a4_alert_outbox, A4), (a2_event_digests, A2), (k1_series_dates, K1), (k4_catalog_products, K4), (k6_official_details, K6), (i7_moved_events, I7), (i8_merged_facts, I8), (x1_approved_listings, X1), (m2_post_origins, M2), (k9_source_classes, K9), (k10_backfill, K10), (k11_unidentified, K11), (x4_term_decisions, X4),
+    (c7_signals, C7), (d2_hints, D2), (d6_reasons, D6), (e2_first_sights, E2), (f3_failed_scans, F3), (i1_known_offers, I1), (w9_backfill, W9), (w10_boost, W10), (a4_alert_outbox, A4), (a2_event_digests, A2), (k1_series_dates, K1), (k4_catalog_products, K4), (k6_official_details, K6), (i7_moved_events, I7), (i8_merged_facts, I8), (x1_approved_listings, X1), (m2_post_origins, M2), (k9_source_classes, K9), (k10_backfill, K10), (k11_unidentified, K11), (x4_term_decisions, X4),
     (m7_hidden_posts, M7), (m9_unexpired, M9), (q5_queue_counts, Q5), (q6_top_error_classes, Q6), (q7_all_limits, Q7), (f9_runs, F9),
 ]
 QUERIES = {f.__name__: f for f, _ in PAIRS}
