@@ -1,9 +1,9 @@
 """Watch rules: what of a product a rule may name, which rules can be tried, and which match.
 
-Rules and products first meet in an equi-join, on the rule's strongest criterion: barcode, model, catalog product or part,
-a whole folded value, the rarest three characters of a contained keyword, or three characters that every text must have that
-a regular expression fits. Only ids pass that join; pairs are then checked on all criteria. Expressions without such
-characters are tried on all products, in blocks of rules.
+Rules and products first meet in an equi-join, on the criterion of the rule that the fewest products meet: barcode, model,
+catalog product or part, a whole folded value, the rarest three characters of a contained keyword, or three characters that
+every text must have that a regular expression fits. Only ids pass that join; pairs are then checked on all criteria. Rules
+with nothing but expressions without such characters are tried on all products, in blocks of rules.
 """
 
 from __future__ import annotations
@@ -130,32 +130,45 @@ def valid_rules(rules: DataFrame) -> DataFrame:
     return rules.join(bad, "rule_id", "left").withColumn("valid", F.col("some") & F.col("bad").isNull()).drop("some", "bad")
 
 
+def product_keys(context: DataFrame) -> DataFrame:
+    """(product_id, kind, key): everything of a product that a rule may be looked up by."""
+    kinds = [("barcode", "barcodes"), ("model", "codes"), ("catalog", F.array("catalog_product_id")), ("part", "catalog_part_ids"), ("exact", "all_folded")]
+    kinds += [(f"contains{n}", grams(F.col("hay"), n)) for n in range(1, GRAM + 1)] + [("regex", grams(F.col("lower_text"), GRAM))]
+    rows = [context.select("product_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.col(values) if isinstance(values, str) else values).cast(TEXTS)).alias("key")) for kind, values in kinds]
+    return reduce(DataFrame.union, rows).where("key is not null")
+
+
+def rule_keys(rules: DataFrame) -> DataFrame:
+    """(rule_id, criterion, word, kind, key): for each criterion of a rule the keys that a product must have one of; for a
+    contained or required text (word) each of its grams, any of which will do."""
+    one = lambda criterion, keys: rules.where(F.size(keys) > 0).select("rule_id", F.lit(criterion).alias("criterion"), F.explode(keys.cast(TEXTS)).alias("key")).select("rule_id", "criterion", F.col("key").alias("word"), F.lit(criterion).alias("kind"), "key")
+    stated = lambda value: F.array_compact(F.array(value))
+    rows = [one("barcode", stated("barcode")), one("model", stated(F.nullif("code", F.lit("")))), one("catalog", stated("catalog_product_id")), one("part", stated("catalog_part_id"))]
+    rows.append(one("exact", F.when(F.col("mode") == "exact", F.col("words"))))
+    held = rules.where("mode = 'contains'").select("rule_id", F.explode("words").alias("word")).withColumn("n", F.least(F.lit(GRAM), F.length("word")))
+    gram = F.explode(F.when(F.col("n") == GRAM, grams(F.col("word"), GRAM)).otherwise(F.array("word")))
+    rows.append(held.select("rule_id", F.lit("contains").alias("criterion"), "word", F.concat(F.lit("contains"), "n").alias("kind"), gram.alias("key")))
+    return reduce(DataFrame.union, rows)
+
+
 def candidates(context: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pairs (rule_id, product_id) that agree in the rule's strongest criterion; both sides folded by match_rules."""
-    keyed = F.expr("case when barcode is not null then 'barcode' when code <> '' then 'model' when catalog_product_id is not null then 'catalog' when catalog_part_id is not null then 'part' else mode end")
-    rules = rules.withColumn("by", keyed)
-    pair = ("rule_id", "product_id")
-
-    def met(by: str, values: Column, keys: Column) -> DataFrame:
-        mine = rules.where(F.col("by") == by).select("rule_id", F.explode(keys).alias("key")).withColumn("key", F.col("key").cast("string"))
-        return context.select("product_id", F.explode(F.array_distinct(values)).alias("value")).select("product_id", F.col("value").cast("string").alias("key")).join(mine, "key").select(*pair)
-
-    found = [
-        met("barcode", F.col("barcodes"), F.array("barcode")),
-        met("model", F.col("codes"), F.array("code")),
-        met("catalog", F.array("catalog_product_id"), F.array("catalog_product_id")),
-        met("part", F.col("catalog_part_ids"), F.array("catalog_part_id")),
-        met("exact", F.col("all_folded"), F.col("words")),
-    ]
-    # a contained keyword is looked up by the rarest of its grams, a shorter one by itself
-    words = rules.where("by = 'contains'").select("rule_id", F.explode("words").alias("word"))
-    raw = rules.where("by = 'regex'").select("rule_id", F.explode("patterns").alias("pattern")).withColumn("word", required("pattern"))
-    for words_of, hay, size in [(words.where(F.length("word") == n), F.col("hay"), n) for n in range(1, GRAM)] + [(words.where(F.length("word") >= GRAM), F.col("hay"), GRAM), (raw.where("word is not null"), F.col("lower_text"), GRAM)]:
-        held = context.select("product_id", F.explode(grams(hay, size)).alias("gram"))
-        counts = held.groupBy("gram").count()
-        rarest = words_of.select("rule_id", "word", F.explode(grams(F.col("word"), size)).alias("gram")).join(counts, "gram").groupBy("rule_id", "word").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-        found.append(held.join(rarest.select("rule_id", "gram").distinct(), "gram").select(*pair))
-    loose = raw.where("word is null").select("rule_id", "pattern").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
+    """Pairs (rule_id, product_id) that agree in the criterion of the rule that the fewest products meet; both sides folded by
+    match_rules. A rule whose only criterion is an expression without required characters is tried on all products."""
+    raw = cut(rules.where("mode = 'regex'").select("rule_id", F.explode("patterns").alias("pattern")).withColumn("word", required("pattern")), "rule-patterns")
+    open_rules = raw.where("word is null").select("rule_id").distinct()
+    expressions = raw.join(open_rules, "rule_id", "left_anti").select("rule_id", F.lit("regex").alias("criterion"), "word", F.lit("regex").alias("kind"), F.explode(grams(F.col("word"), GRAM)).alias("key"))
+    keys = cut(rule_keys(rules).union(expressions), "rule-keys")
+    # only what some rule asks for is kept of the products' keys
+    held = cut(product_keys(context).join(keys.select("kind", "key").distinct(), ["kind", "key"], "left_semi"), "product-keys")
+    counts = held.groupBy("kind", "key").count()
+    counted = keys.join(counts, ["kind", "key"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    # the rarest gram of each word; then, of the criteria, the one whose words are rarest together
+    words = counted.groupBy("rule_id", "criterion", "word").agg(F.min(F.struct("count", "kind", "key")).alias("k"))
+    words = cut(words.select("rule_id", "criterion", "k.count", "k.kind", "k.key"), "rule-words")
+    chosen = words.groupBy("rule_id", "criterion").agg(F.sum("count").alias("all")).groupBy("rule_id").agg(F.min_by("criterion", F.struct("all", "criterion")).alias("criterion"))
+    found = [held.join(words.join(chosen, ["rule_id", "criterion"]).select("rule_id", "kind", "key"), ["kind", "key"]).select("rule_id", "product_id")]
+    loose = raw.join(words.select("rule_id").distinct(), "rule_id", "left_anti")
+    loose = loose.select("rule_id", "pattern").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
     blocks = loose.groupBy("block").agg(F.collect_list(F.struct("rule_id", "pattern")).alias("tried"))
 
     def search(batches):
