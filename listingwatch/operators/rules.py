@@ -130,12 +130,12 @@ def valid_rules(rules: DataFrame) -> DataFrame:
     return rules.join(bad, "rule_id", "left").withColumn("valid", F.col("some") & F.col("bad").isNull()).drop("some", "bad")
 
 
-def product_keys(context: DataFrame) -> DataFrame:
-    """(product_id, kind, key): everything of a product that a rule may be looked up by."""
+def product_keys(context: DataFrame, asked: set[str]) -> DataFrame:
+    """(product_id, kind, key): everything of a product that a rule may be looked up by, of the kinds that are asked for."""
     kinds = [("barcode", "barcodes"), ("model", "codes"), ("catalog", F.array("catalog_product_id")), ("part", "catalog_part_ids"), ("exact", "all_folded")]
     kinds += [(f"contains{n}", grams(F.col("hay"), n)) for n in range(1, GRAM + 1)] + [("regex", grams(F.col("lower_text"), GRAM))]
-    rows = [context.select("product_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.col(values) if isinstance(values, str) else values).cast(TEXTS)).alias("key")) for kind, values in kinds]
-    return reduce(DataFrame.union, rows).where("key is not null")
+    rows = [context.select("product_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.col(values) if isinstance(values, str) else values).cast(TEXTS)).alias("key")) for kind, values in kinds if kind in asked]
+    return reduce(DataFrame.union, rows, context.select("product_id", F.lit("").alias("kind"), F.lit("").alias("key")).limit(0)).where("key is not null")
 
 
 def rule_keys(rules: DataFrame) -> DataFrame:
@@ -159,7 +159,8 @@ def candidates(context: DataFrame, rules: DataFrame) -> DataFrame:
     expressions = raw.join(open_rules, "rule_id", "left_anti").select("rule_id", F.lit("regex").alias("criterion"), "word", F.lit("regex").alias("kind"), F.explode(grams(F.col("word"), GRAM)).alias("key"))
     keys = cut(rule_keys(rules).union(expressions), "rule-keys")
     # only what some rule asks for is kept of the products' keys
-    held = cut(product_keys(context).join(keys.select("kind", "key").distinct(), ["kind", "key"], "left_semi"), "product-keys")
+    asked = {r["kind"] for r in keys.select("kind").distinct().collect()}  # a handful of kinds by definition
+    held = cut(product_keys(context, asked).join(keys.select("kind", "key").distinct(), ["kind", "key"], "left_semi"), "product-keys")
     counts = held.groupBy("kind", "key").count()
     counted = keys.join(counts, ["kind", "key"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     # the rarest gram of each word; then, of the criteria, the one whose words are rarest together
@@ -213,7 +214,7 @@ def match_rules(context: DataFrame, rules: DataFrame) -> DataFrame:
     both = both.where(~F.exists("excluded", lambda x: F.contains(F.col("hay"), x))).where("locale is null or locale = 'any' or coalesce(locale = of_locale, false)")
     only = F.col("synonyms") == F.lit(False)
     hay, folded, text = (F.when(only, F.col(b)).otherwise(F.col(a)) for a, b in (("hay", "base_hay"), ("all_folded", "base_folded"), ("text", "base_text")))
-    both = both.withColumn("regex_hit", found_in(F.when(F.col("mode") == "regex", F.col("patterns")).otherwise(F.array().cast(TEXTS)), text))
+    both = both.withColumn("regex_hit", found_in(F.when(F.col("mode") == "regex", F.col("patterns")).otherwise(F.array().cast(TEXTS)), F.when(F.col("mode") == "regex", text).otherwise("")))
     spoken = F.when(F.col("mode") == "regex", F.col("regex_hit")).when(F.col("mode") == "contains", F.exists("words", lambda x: F.contains(hay, x))).otherwise(F.arrays_overlap(folded, F.col("words")))
     criteria = [
         (F.col("catalog_product_id").isNotNull(), F.col("catalog_product_id") == F.col("of_catalog"), F.lit("catalog_product_exact")),
