@@ -15,10 +15,6 @@ from ..functions.text import alias_form, squeeze
 GENERATION_X = ("BX", "UX", "CX")
 
 
-# Fixed value: the maker that official items are by if they don't say.
-MAKER = "Takara Tomy"
-
-
 def first_known(value: str, order: Column) -> Column:
     """The value of the first row, in this order, that has one."""
     return F.min_by(value, F.when(F.col(value).isNotNull(), order)).alias(value)
@@ -46,11 +42,11 @@ def aliases(listings: DataFrame) -> DataFrame:
     return rows.groupBy("model", "locale", "alias_key").agg(F.max_by("title", "seq").alias("alias"), F.bool_or("official").alias("verified"), F.count("*").alias("seen"))
 
 
-def official_items(items: DataFrame) -> DataFrame:
+def official_items(items: DataFrame, maker: str | None = None) -> DataFrame:
     """One row a code of an official feed: newest known values, the first barcode, and whether barcodes disagree.
 
     items: (seq, model, title, barcode, msrp), and brand, series, release_date, image, currency where there are such columns:
-    the newest known ones count, but a brand that the newest item doesn't state is MAKER. Rows without code or title are
+    the newest known ones count, but a brand that the newest item doesn't state is `maker`. Rows without code or title are
     not taken; see `review_items`.
     """
     order = F.col("seq")
@@ -59,7 +55,7 @@ def official_items(items: DataFrame) -> DataFrame:
     return rows.groupBy("model").agg(
         first_known("barcode", order), last_known("msrp", order), F.max_by("title", "seq").alias("title"), F.when(F.coalesce(differ, F.lit(False)), "conflict").otherwise("verified").alias("verification"),
         *[last_known(c, order) for c in ("series", "release_date", "image", "currency") if c in items.columns],
-        *([F.coalesce(F.max_by("brand", order), F.lit(MAKER)).alias("brand")] if "brand" in items.columns else []),
+        *([F.coalesce(F.max_by("brand", order), F.lit(maker)).alias("brand")] if "brand" in items.columns else []),
     )
 
 

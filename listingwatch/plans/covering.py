@@ -346,10 +346,10 @@ K4 = f"""WITH {FEED}, n AS (SELECT model, trim(regexp_replace(lower(title), '[^a
 def k6_official_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("seq")
     rows = watching.official(spark, sf_dir).withColumns({"brand": F.when(n % 4 > 0, F.col("brand")), "series": F.when(n % 3 == 0, F.concat(F.lit("S"), n % 11)), "release_date": F.when(n % 5 == 0, "2024-05-01"), "image": F.when(n % 2 == 0, F.concat(F.lit("i"), n % 13)), "currency": F.when(n % 6 == 0, "USD").when(n % 6 == 1, "JPY")})
-    return catalog.official_items(rows).select("model", "brand", "series", "release_date", "image", "currency", "verification")
+    return catalog.official_items(rows, "the maker").select("model", "brand", "series", "release_date", "image", "currency", "verification")
 
 
-K6 = f"""WITH {FEED} SELECT model, coalesce(arg_max_null(CASE WHEN listing_id % 4 > 0 THEN brand END, listing_id), 'Takara Tomy') AS brand, arg_max('S' || (listing_id % 11), listing_id) FILTER (listing_id % 3 = 0) AS series,
+K6 = f"""WITH {FEED} SELECT model, coalesce(arg_max_null(CASE WHEN listing_id % 4 > 0 THEN brand END, listing_id), 'the maker') AS brand, arg_max('S' || (listing_id % 11), listing_id) FILTER (listing_id % 3 = 0) AS series,
     max('2024-05-01') FILTER (listing_id % 5 = 0) AS release_date, arg_max('i' || (listing_id % 13), listing_id) FILTER (listing_id % 2 = 0) AS image, arg_max(CASE WHEN listing_id % 6 = 0 THEN 'USD' ELSE 'JPY' END, listing_id) FILTER (listing_id % 6 < 2) AS currency,
     CASE WHEN count(DISTINCT barcode) > 1 THEN 'conflict' ELSE 'verified' END AS verification FROM feed WHERE part % 11 <> 0 GROUP BY model"""
 

@@ -126,8 +126,8 @@ def test_official_items_and_feed(spark, tmp_path):
     items = tables.official_feed(spark, str(tmp_path))
     assert rows(items, "source", "seq", "title", "msrp") == [("m", 0, "A", 5.0), ("m", 1, "B", None)]
     more = spark.createDataFrame([(1, "BX-01", "A", "49", 5.0, "Own", "S", "JPY"), (2, "BX-01", "B", "50", None, None, None, None)], "seq int, model string, title string, barcode string, msrp double, brand string, series string, currency string")
-    out = catalog.official_items(more).first()
-    assert (out.brand, out.series, out.currency, out.msrp, out.title, out.barcode, out.verification) == (catalog.MAKER, "S", "JPY", 5.0, "B", "49", "conflict")
+    out = catalog.official_items(more, "own").first()
+    assert (out.brand, out.series, out.currency, out.msrp, out.title, out.barcode, out.verification) == ("own", "S", "JPY", 5.0, "B", "49", "conflict")
 
 
 def test_usable_and_links(spark):
