@@ -122,7 +122,7 @@ def official(spark, sf_dir):
 
 
 def k6_official_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.official_items(official(spark, sf_dir))
+    return catalog.official_items(official(spark, sf_dir)).select("model", "barcode", "msrp", "title", "verification")
 
 
 K6 = f"""WITH {FEED} SELECT model, arg_min(barcode, listing_id) FILTER (barcode IS NOT NULL) AS barcode, arg_max(price, listing_id) FILTER (source_id % 4 <> 0) AS msrp, arg_max(title, listing_id) AS title,
