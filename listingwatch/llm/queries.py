@@ -1,13 +1,14 @@
-"""The registered queries of the ten corpus operators, and SQL for those that SQL can express."""
+"""The registered queries of the thirteen corpus operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embedding_dedup, langid, mixing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
-from .sql import EMBEDDING_SQL, MIXING_SQL, SUFFIX_SQL, URL_SQL
+from . import bpe, embedding_dedup, fill_middle, html_text, langid, lexical_search, mixing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from .sql import EMBEDDING_SQL, FILL_SQL, MIXING_SQL, SEARCH_SQL, SUFFIX_SQL, URL_SQL
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -61,11 +62,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_embedding_dedup, op4_token_counts, op5_mixing, op6_url_filter, op7_language_id, op8_quality_rules, op9_suffix_dedup, op10_toxicity)}
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.fill_in_middle(read(spark, sf_dir, "documents")))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_embedding_dedup, op4_token_counts, op5_mixing, op6_url_filter, op7_language_id, op8_quality_rules, op9_suffix_dedup, op10_toxicity, op11_html_extraction, op12_lexical_search, op13_fill_in_middle)}
 
 ORACLE_SQL = {
     "op3_embedding_dedup": EMBEDDING_SQL,
     "op5_mixing": MIXING_SQL,
     "op6_url_filter": URL_SQL,
     "op9_suffix_dedup": SUFFIX_SQL,
+    "op12_lexical_search": SEARCH_SQL,
+    "op13_fill_in_middle": FILL_SQL,
 }
