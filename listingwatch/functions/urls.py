@@ -83,16 +83,27 @@ def registrable_domain(host: Column, overrides: dict[str, str] | None = None) ->
 
 
 def is_public(host: Column) -> Column:
-    """False for loopback, private, link-local, shared and multicast addresses and for local names."""
-    private = r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(22[4-9]|2[3-5]\d)\."
-    named = r"(^|\.)localhost$|\.local$|\.internal$|^\[?::1\]?$|^\[?f[cd]|^\[?fe80"
-    return ~(host.rlike(private) | host.rlike(named)) & (host != "")
+    """False for loopback, private, link-local, shared and multicast addresses and for local names. Only literal addresses are
+    read as such: four numbers, or a text with a colon (in brackets or not, with or without a zone); a name that looks like the
+    start of one is a name."""
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.trim(host)), r"\.$", ""), r"^\[|\]$|%.*$", "")
+    number = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
+    private = rf"^((0|10|127)\.{number}|169\.254|192\.168|172\.(1[6-9]|2\d|3[01])|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])|(22[4-9]|2[34]\d|25[0-5])\.{number})\.{number}\.{number}$"
+    inner = host.contains(":") & host.rlike(r"^(::1?$|fe80:|f[cd])")
+    named = host.rlike(r"(^|\.)localhost$|\.local$|\.internal$")
+    return ~(host.rlike(private) | inner | named) & (host != "")
+
+
+def decoded(text: Column) -> Column:
+    """Percent-encoded bytes as characters; a text that isn't well encoded stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
 
 
 def hints(url: Column, text: Column, brand: str, model: str, include: tuple = (), exclude: tuple = ()) -> list[tuple[Column, int, str]]:
-    """What a link's address and text say of where it leads, with points and a name."""
-    hay = F.lower(F.concat_ws(" ", piece(url, 3), F.when(piece(url, 4) != "", F.concat(F.lit("?"), piece(url, 4))).otherwise(""), text))
+    """What a link's address and text say of where it leads, with points and a name. The path counts as people read it: decoded."""
+    hay = F.lower(F.concat_ws(" ", decoded(piece(url, 3)), F.when(piece(url, 4) != "", F.concat(F.lit("?"), piece(url, 4))).otherwise(""), text))
     anyone = lambda ts: F.exists(F.array(*map(F.lit, ts)), lambda t: hay.contains(t)) if ts else F.lit(False)
+    # The path patterns and points.
     return [
         (hay.rlike(brand), 45, "brand"),
         (hay.rlike(model), 45, "model"),

@@ -144,15 +144,24 @@ def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     return sitemaps.select("sitemap_id", F.inline(F.concat(locs("url"), locs("sitemap"))))
 
 
+def robots_lines(robots: DataFrame) -> DataFrame:
+    """(host, nth, key, value) of the lines of robots files (host, body), without comments; keys in lower case."""
+    rows = robots.select("host", F.posexplode(F.split("body", "\r?\n")).alias("nth", "line"))
+    rows = rows.select("host", "nth", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line")).where(F.col("line").contains(":"))
+    return rows.select("host", "nth", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
+
+
+def robots_sitemaps(robots: DataFrame) -> DataFrame:
+    """Distinct (host, sitemap) that robots files (host, body) name; they hold for every agent."""
+    return robots_lines(robots).where("key = 'sitemap' and value <> ''").select("host", F.col("value").alias("sitemap")).distinct()
+
+
 def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     """(host, allow, pattern) that hold for the agent: its own groups if it has any, else those of `*`.
 
     robots: (host, body). Consecutive user-agent lines open one group.
     """
-    line = F.split(F.regexp_replace("body", "\r", ""), "\n")
-    rows = robots.select("host", F.posexplode(line).alias("nth", "line"))
-    rows = rows.select("host", "nth", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line"))
-    rows = rows.select("host", "nth", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace("line", "^[^:]*:?", "")).alias("value")).where("key in ('user-agent', 'allow', 'disallow')")
+    rows = robots_lines(robots).where("key in ('user-agent', 'allow', 'disallow')")
     w = Window.partitionBy("host").orderBy("nth")  # one file's lines, a few hundred by convention
     opens = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(w), F.lit("")) != "user-agent")
     grouped = rows.withColumn("group", F.sum(opens.cast("int")).over(w))
@@ -162,14 +171,31 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     return grouped.where("key <> 'user-agent' and value <> ''").join(used, ["host", "group"]).select("host", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
 
 
+def path_rules(rules: DataFrame) -> DataFrame:
+    """(host, prefix, rest, allow, length) of rules (host, allow, pattern): the literal text before the first wildcard, and for
+    a rule with wildcards or an anchor a regular expression of what has to follow it (else null). A rule is as long as its
+    pattern without `*` and `$`."""
+    literal = F.regexp_replace(F.regexp_extract("pattern", r"^([^*]*)", 1), r"\$$", "")
+    literal = F.when(F.col("pattern").contains("*"), F.regexp_extract("pattern", r"^([^*]*)", 1)).otherwise(literal)
+    left = F.substring("pattern", F.length(literal) + 1, F.length("pattern"))
+    escaped = F.regexp_replace(F.regexp_replace(left, r"([\\.\[\]{}()+?^|])", r"\\$1"), r"\*", ".*")
+    rest = F.when(left != "", F.concat(F.lit("^"), F.regexp_replace(escaped, r"\$(?!$)", r"\\\$")))
+    return rules.select("host", literal.alias("prefix"), rest.alias("rest"), "allow", F.length(F.regexp_replace("pattern", r"[*$]", "")).alias("length")).distinct()
+
+
 def robots_allowed(links: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds `allowed` to (url, …): the longest rule of the host that fits the path decides, allow wins ties."""
+    """Adds `allowed` to (url, …): the longest rule of the host that fits the path decides, allow wins ties.
+
+    Rules are a trie of literal prefixes: a path is looked up by its own beginnings, of the lengths that its host has rules
+    of, so it only meets rules whose prefix it has. The rest of a rule with wildcards is then searched in the rest of the path.
+    """
     path = F.concat(F.when(urls.piece(F.col("url"), 3) == "", "/").otherwise(urls.piece(F.col("url"), 3)), F.when(F.col("url").contains("?"), F.concat(F.lit("?"), urls.piece(F.col("url"), 4))).otherwise(""))
     asked = links.select("url").distinct().select("url", urls.bare_host(F.col("url")).alias("host"), path.alias("path"))
-    escaped = F.regexp_replace("pattern", r"([\\.\[\]{}()+?^|])", r"\\$1")
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(escaped, r"\*", ".*"), r"\$(?!$)", r"\\\$"))
-    rated = rules.select("host", "allow", F.length("pattern").alias("length"), regex.alias("regex")).distinct()
-    hits = asked.join(rated, "host").where(F.expr("path rlike regex"))
+    trie = path_rules(rules)
+    sizes = trie.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("sizes"))  # lengths, not rules: as many as the longest path has characters
+    begun = asked.join(sizes, "host").withColumn("size", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))))
+    begun = begun.withColumn("prefix", F.expr("substring(path, 1, size)"))
+    hits = begun.join(trie, ["host", "prefix"]).where(F.expr("rest is null or substring(path, size + 1, length(path)) rlike rest"))
     verdict = hits.groupBy("url").agg(F.max_by("allow", F.struct("length", "allow")).alias("allow"))
     return links.join(verdict, "url", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
 

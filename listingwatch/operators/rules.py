@@ -3,7 +3,7 @@
 Rules and products first meet in an equi-join, on the criterion of the rule that the fewest products meet: barcode, model,
 catalog product or part, a whole folded value, the rarest three characters of a contained keyword, or three characters that
 every text must have that a regular expression fits. Only ids pass that join; pairs are then checked on all criteria. Rules
-with nothing but expressions without such characters are tried on all products, in blocks of rules.
+with nothing but expressions without such characters are tried on all products, in alternations; there may be LOOSE of them.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from ..sources.tables import cut
 TEXTS = "array<string>"
 RULE_COLUMNS = {"keywords": TEXTS, "exclude_terms": TEXTS, "mode": "string", "synonyms": "boolean", "model": "string", "barcode": "string", "catalog_product_id": "long", "catalog_part_id": "long", "locale": "string"}
 CONTEXT_COLUMNS = {"base_values": TEXTS, "synonym_values": TEXTS, "models": TEXTS, "barcodes": TEXTS, "catalog_product_id": "long", "catalog_part_ids": "array<long>", "locale": "string", "raw_text": "string"}
-#: Longest regular expression of a rule, and how many without required characters a block holds.
-LONGEST, BLOCK = 120, 500
+#: Longest regular expression of a rule; how many without required characters there may be, and are put into one alternation.
+LONGEST, LOOSE, BLOCK = 120, 10_000, 100
 GRAM = 3
 SEPARATOR = "\x01"
 
@@ -97,22 +97,50 @@ def found_in(patterns: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([any((c := compiled(p)) is not None and c.search(t) is not None for p in ps) for ps, t in zip(patterns, text, strict=True)], dtype=bool)
 
 
-@F.pandas_udf(T.StringType())
-def required(pattern: pd.Series) -> pd.Series:
-    """The longest run of ASCII characters that every fitting text has, in lower case; null if that isn't plain."""
+def required_text(pattern: str | None) -> str | None:
+    """The longest run of plain ASCII characters that every text has in which the pattern is found, in lower case; null if
+    there is none of three characters, or if the pattern has anything whose end isn't plain to see here.
 
-    def run(p: str | None) -> str | None:
-        # what follows a quantifier, an escape, a set or a group ends a run; alternatives or flags leave nothing
-        if p is None or re.search(r"[|]|\(\?", p):
+    Only what stands outside of groups counts. Letters that have signs outside of ASCII as other case (k, s, i) end a run.
+    """
+    runs, run, at, depth = [], "", 0, 0
+    pattern = pattern or ""
+    while at < len(pattern):
+        c, step, kept = pattern[at], 1, False
+        if c == "\\":
+            after = pattern[at + 1 : at + 2]
+            if not after or (after.isalnum() and after not in "AbBdDsSwWZafnrtv") or not after.isascii():
+                return None
+            step = 2
+        elif c == "[":
+            end = at + 1 + (pattern[at + 1 : at + 2] == "^")
+            end += pattern[end : end + 1] == "]"  # a bracket that comes first stands for itself
+            while end < len(pattern) and pattern[end] != "]":
+                end += 2 if pattern[end] == "\\" else 1
+            step = end + 1 - at
+        elif c == "(":
+            if pattern[at + 1 : at + 2] == "?":
+                return None
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and depth == 0:
             return None
-        p = re.sub(r"\\.|\[\^?\]?[^\]]*\]|\(.*\)", SEPARATOR, p)
-        p = re.sub(r".(?:[*?]|\{[^}]*\})", SEPARATOR, p)
-        runs = [x.lower() for x in re.split(r"[^A-Za-z0-9 _-]+", p) if len(x) >= GRAM]
-        # letters that lose or change their case outside of ASCII (k, s and their signs) are no plain characters
-        runs = [y for x in runs for y in re.split("[ksi]", x) if len(y) >= GRAM]
-        return max(runs, key=len, default=None)
+        elif c in "*?{":
+            run = run[:-1]  # the character before may be absent
+            step = len(re.match(r"\{\d*,?\d*\}|.", pattern[at:], re.S)[0])
+        elif depth == 0 and re.match(r"[A-Za-z0-9 _-]", c) and c not in "KkSsIi":
+            run, kept = run + c.lower(), True
+        if not kept:
+            runs.append(run)
+            run = ""
+        at += step
+    return max((r for r in [*runs, run] if len(r) >= GRAM), key=len, default=None)
 
-    return pattern.map(run)
+
+@F.pandas_udf(T.StringType())
+def required(pattern: pd.Series) -> pd.Series:
+    return pattern.map(required_text)
 
 
 def valid_rules(rules: DataFrame) -> DataFrame:
@@ -168,20 +196,36 @@ def candidates(context: DataFrame, rules: DataFrame) -> DataFrame:
     words = cut(words.select("rule_id", "criterion", "k.count", "k.kind", "k.key"), "rule-words")
     chosen = words.groupBy("rule_id", "criterion").agg(F.sum("count").alias("all")).groupBy("rule_id").agg(F.min_by("criterion", F.struct("all", "criterion")).alias("criterion"))
     found = [held.join(words.join(chosen, ["rule_id", "criterion"]).select("rule_id", "kind", "key"), ["kind", "key"]).select("rule_id", "product_id")]
-    loose = raw.join(words.select("rule_id").distinct(), "rule_id", "left_anti")
-    loose = loose.select("rule_id", "pattern").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
-    blocks = loose.groupBy("block").agg(F.collect_list(F.struct("rule_id", "pattern")).alias("tried"))
+    loose = raw.join(words.select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "pattern")
+    tried = [(r["rule_id"], r["pattern"]) for r in loose.limit(LOOSE + 1).collect()]  # bounded in number, and each in length
+    if len(tried) > LOOSE:
+        raise ValueError(f"more than {LOOSE} expressions hold no {GRAM} characters that a text must have; give their rules another criterion")
+    if tried:
+        found.append(search_loose(context, tried))
+    return reduce(DataFrame.union, found).distinct()
+
+
+def search_loose(context: DataFrame, tried: list[tuple[int, str]]) -> DataFrame:
+    """(rule_id, product_id) of expressions that no key leads to: each text is read in its task, by alternations of BLOCK
+    expressions first, and by the single ones where an alternation is found."""
+    blocks = [tried[i : i + BLOCK] for i in range(0, len(tried), BLOCK)]
+
+    def alternation(block):
+        # numbered and named groups, references and flags don't stand being put together
+        free = all(not re.search(r"\\[1-9]|\(\?", p) for _, p in block)
+        return compiled("|".join(f"(?:{p})" for _, p in block)) if free else None
 
     def search(batches):
-        schema = pa.schema([("rule_id", pa.int64()), ("product_id", pa.int64())])
+        ready = [(alternation(block), block) for block in blocks]
         for batch in batches:
-            rows = batch.to_pydict()
-            hits = [(t["rule_id"], p) for p, text, tried in zip(rows["product_id"], rows["text"], rows["tried"], strict=True) for t in tried if (c := compiled(t["pattern"])) is not None and c.search(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1)], schema=schema)
-
-    if blocks.limit(1).count():
-        found.append(context.select("product_id", "text").join(blocks.select("tried")).mapInArrow(search, "rule_id long, product_id long"))
-    return reduce(DataFrame.union, found).distinct()
+            hits = []
+            for product_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for either, block in ready:
+                    if either is None or either.search(text):
+                        hits += [(rule_id, product_id) for rule_id, p in block if (c := compiled(p)) is not None and c.search(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1)], schema=pa.schema([("rule_id", pa.int64()), ("product_id", pa.int64())]))
+
+    return context.select("product_id", "text").mapInArrow(search, "rule_id long, product_id long")
 
 
 def match_rules(context: DataFrame, rules: DataFrame) -> DataFrame:

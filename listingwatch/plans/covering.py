@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ def one(values: tuple, n):
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return tables.new_folder(spark, name)
 
 
 # --- readers

@@ -24,13 +24,73 @@ def shared_folder(spark: SparkSession) -> str:
     return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for at in paths:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+class Scratch:
+    """The tables between steps of one piece of work.
+
+    `with Scratch(spark): result(...).write...` deletes on leaving what cut() and new_folder() have made inside, and nothing
+    that other work has made. Results that are still lazy must be written inside.
+    """
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.leave()
+        self.clear()
+
+    def leave(self) -> None:
+        """End the block, but keep its tables."""
+        Scratch._open.remove(self)
+
+    def clear(self, *but: DataFrame) -> None:
+        """Delete the tables so far, apart from those that `but` reads."""
+        read = {folder_name(f) for df in but for f in df.inputFiles()}
+        gone = [p for p in self.paths if p.rpartition("/")[2] not in read]
+        self.paths = [p for p in self.paths if p not in gone]
+        delete(self.spark, gone)
+
+
+def folder_name(file: str) -> str:
+    return file.rpartition("/")[0].rpartition("/")[2]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; it belongs to the innermost open Scratch."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if Scratch._open:
+        Scratch._open[-1].paths.append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: ends the lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a cut table that nothing reads any more."""
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    names = {f.rpartition("/")[2] for f in folders}
+    for scratch in Scratch._open:
+        scratch.paths = [p for p in scratch.paths if p.rpartition("/")[2] not in names]
+    delete(df.sparkSession, sorted(folders))
+
+
 def listing_frames(spark: SparkSession, path: str) -> DataFrame:
     """One listing a JSON line."""
     return spark.read.schema(LISTING).json(path)

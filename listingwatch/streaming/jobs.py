@@ -5,7 +5,6 @@ Each takes a streaming DataFrame and returns one; `drain` runs a stream over wha
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.community import content_fingerprint
-from ..sources.tables import shared_folder
+from ..sources.tables import new_folder
 
 EVENT = {"seq": "long", "offer_id": "long", "source_id": "long", "at": "long", "type": "string", "from_state": "string", "to_state": "string", "price": "double"}
 # stable, candidate and its count, last price (and whether there was one), last (at, seq), types with their last emission
@@ -154,7 +153,7 @@ def read_parquet(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
 def drain(stream: DataFrame, name: str, table: str | None = None, mode: str = "append") -> DataFrame:
     """Runs the stream over all that has arrived and returns its table. With the same `table` a later call goes on where
     this one ended."""
-    folder = table or f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    folder = table or new_folder(stream.sparkSession, name)
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/_checkpoint").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
