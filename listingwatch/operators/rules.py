@@ -1,7 +1,7 @@
 """Watch rules: what of a product a rule may name, which rules can be tried, and which match.
 
 Rules and products first meet in an equi-join, on the criterion of the rule that the fewest products meet: barcode, model,
-catalog product or part, a whole folded value, the rarest three characters of a contained keyword, or three characters that
+catalog product or part, a whole folded value, the rarest five characters of a contained keyword, or of a text that
 every text must have that a regular expression fits. Only ids pass that join; pairs are then checked on all criteria. Rules
 with nothing but expressions without such characters are tried on all products, in alternations; there may be LOOSE of them.
 """
@@ -25,7 +25,8 @@ RULE_COLUMNS = {"keywords": TEXTS, "exclude_terms": TEXTS, "mode": "string", "sy
 CONTEXT_COLUMNS = {"base_values": TEXTS, "synonym_values": TEXTS, "models": TEXTS, "barcodes": TEXTS, "catalog_product_id": "long", "catalog_part_ids": "array<long>", "locale": "string", "raw_text": "string"}
 #: Longest regular expression of a rule; how many without required characters there may be, and are put into one alternation.
 LONGEST, LOOSE, BLOCK = 120, 10_000, 100
-GRAM = 3
+#: Length of the runs of characters that products are looked up by, and the shortest of a regular expression.
+GRAM, LEAST_RUN = 5, 3
 SEPARATOR = "\x01"
 
 
@@ -135,7 +136,7 @@ def required_text(pattern: str | None) -> str | None:
             runs.append(run)
             run = ""
         at += step
-    return max((r for r in [*runs, run] if len(r) >= GRAM), key=len, default=None)
+    return max((r for r in [*runs, run] if len(r) >= LEAST_RUN), key=len, default=None)
 
 
 @F.pandas_udf(T.StringType())
@@ -161,7 +162,7 @@ def valid_rules(rules: DataFrame) -> DataFrame:
 def product_keys(context: DataFrame, asked: set[str]) -> DataFrame:
     """(product_id, kind, key): everything of a product that a rule may be looked up by, of the kinds that are asked for."""
     kinds = [("barcode", "barcodes"), ("model", "codes"), ("catalog", F.array("catalog_product_id")), ("part", "catalog_part_ids"), ("exact", "all_folded")]
-    kinds += [(f"contains{n}", grams(F.col("hay"), n)) for n in range(1, GRAM + 1)] + [("regex", grams(F.col("lower_text"), GRAM))]
+    kinds += [(f"contains{n}", grams(F.col("hay"), n)) for n in range(1, GRAM + 1)] + [(f"regex{n}", grams(F.col("lower_text"), n)) for n in range(LEAST_RUN, GRAM + 1)]
     rows = [context.select("product_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.col(values) if isinstance(values, str) else values).cast(TEXTS)).alias("key")) for kind, values in kinds if kind in asked]
     return reduce(DataFrame.union, rows, context.select("product_id", F.lit("").alias("kind"), F.lit("").alias("key")).limit(0)).where("key is not null")
 
@@ -184,7 +185,8 @@ def candidates(context: DataFrame, rules: DataFrame) -> DataFrame:
     match_rules. A rule whose only criterion is an expression without required characters is tried on all products."""
     raw = cut(rules.where("mode = 'regex'").select("rule_id", F.explode("patterns").alias("pattern")).withColumn("word", required("pattern")), "rule-patterns")
     open_rules = raw.where("word is null").select("rule_id").distinct()
-    expressions = raw.join(open_rules, "rule_id", "left_anti").select("rule_id", F.lit("regex").alias("criterion"), "word", F.lit("regex").alias("kind"), F.explode(grams(F.col("word"), GRAM)).alias("key"))
+    closed = raw.join(open_rules, "rule_id", "left_anti").withColumn("n", F.least(F.lit(GRAM), F.length("word")))
+    expressions = closed.select("rule_id", F.lit("regex").alias("criterion"), "word", F.concat(F.lit("regex"), "n").alias("kind"), F.explode(F.when(F.col("n") == GRAM, grams(F.col("word"), GRAM)).otherwise(F.array("word"))).alias("key"))
     keys = cut(rule_keys(rules).union(expressions), "rule-keys")
     # only what some rule asks for is kept of the products' keys
     asked = {r["kind"] for r in keys.select("kind").distinct().collect()}  # a handful of kinds by definition
@@ -199,7 +201,7 @@ def candidates(context: DataFrame, rules: DataFrame) -> DataFrame:
     loose = raw.join(words.select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "pattern")
     tried = [(r["rule_id"], r["pattern"]) for r in loose.limit(LOOSE + 1).collect()]  # bounded in number, and each in length
     if len(tried) > LOOSE:
-        raise ValueError(f"more than {LOOSE} expressions hold no {GRAM} characters that a text must have; give their rules another criterion")
+        raise ValueError(f"more than {LOOSE} expressions hold no {LEAST_RUN} characters that a text must have; give their rules another criterion")
     if tried:
         found.append(search_loose(context, tried))
     return reduce(DataFrame.union, found).distinct()
@@ -237,7 +239,9 @@ def match_rules(context: DataFrame, rules: DataFrame) -> DataFrame:
     regular expressions are searched, without case, in the text as it is. Synonyms count unless `synonyms` is false. A
     rule without any criterion but a locale matches nothing, an invalid one neither. Reasons stand in a fixed order.
     """
-    context = complete(context, CONTEXT_COLUMNS).select("product_id", *CONTEXT_COLUMNS).withColumns({c: no_nulls(F.col(c)) for c in ("base_values", "synonym_values", "models", "barcodes")})
+    # folding costs more than its bytes tell, and small tables would be folded in one task
+    spread = int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    context = complete(context, CONTEXT_COLUMNS).select("product_id", *CONTEXT_COLUMNS).repartition(spread, "product_id").withColumns({c: no_nulls(F.col(c)) for c in ("base_values", "synonym_values", "models", "barcodes")})
     join = lambda *values: F.array_join(F.concat(*map(F.col, values)), " ")
     context = context.withColumns(
         {
@@ -249,16 +253,19 @@ def match_rules(context: DataFrame, rules: DataFrame) -> DataFrame:
     context = context.withColumns({"base_hay": alias_form(F.col("base_text")), "hay": alias_form(F.col("text")), "lower_text": F.lower("text")})
     # both sides are read once for each criterion; folding goes through Python and is done once
     context = cut(context, "rule-context")
-    rules = valid_rules(rules).where("valid").select("rule_id", *RULE_COLUMNS).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("model", "barcode")})
+    rules = valid_rules(rules).where("valid").select("rule_id", *RULE_COLUMNS).repartition(spread, "rule_id").withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("model", "barcode")})
     rules = rules.withColumns({"patterns": no_nulls(F.col("keywords")), "words": fold_each(F.col("keywords")), "excluded": fold_each(F.col("exclude_terms")), "code": F.coalesce(alias_form(F.col("model")), F.lit(""))})
     rules = cut(rules, "rules")
-    pairs = candidates(context, rules)
+    # pairs are few bytes each and much work
+    pairs = candidates(context, rules).repartition(spread, "product_id")
     p = context.withColumnsRenamed({"catalog_product_id": "of_catalog", "locale": "of_locale"})
     both = pairs.join(p, "product_id").join(rules, "rule_id")
     both = both.where(~F.exists("excluded", lambda x: F.contains(F.col("hay"), x))).where("locale is null or locale = 'any' or coalesce(locale = of_locale, false)")
     only = F.col("synonyms") == F.lit(False)
     hay, folded, text = (F.when(only, F.col(b)).otherwise(F.col(a)) for a, b in (("hay", "base_hay"), ("all_folded", "base_folded"), ("text", "base_text")))
-    both = both.withColumn("regex_hit", found_in(F.when(F.col("mode") == "regex", F.col("patterns")).otherwise(F.array().cast(TEXTS)), F.when(F.col("mode") == "regex", text).otherwise("")))
+    hit = found_in("patterns", "asked_text")
+    regex = both.where("mode = 'regex'").withColumn("asked_text", text).withColumn("regex_hit", hit).drop("asked_text")
+    both = regex.unionByName(both.where("mode <> 'regex'").withColumn("regex_hit", F.lit(False)))
     spoken = F.when(F.col("mode") == "regex", F.col("regex_hit")).when(F.col("mode") == "contains", F.exists("words", lambda x: F.contains(hay, x))).otherwise(F.arrays_overlap(folded, F.col("words")))
     criteria = [
         (F.col("catalog_product_id").isNotNull(), F.col("catalog_product_id") == F.col("of_catalog"), F.lit("catalog_product_exact")),
