@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import upsert
-from .rules import valid_rules  # noqa: F401 (a watch operator that lives with the matching)
+from .rules import match_rules, valid_rules  # noqa: F401 (valid_rules: a watch operator that lives with the matching)
 
 
 def match_table(known: DataFrame, found: DataFrame, at: Column) -> DataFrame:
@@ -115,3 +115,24 @@ def alerts_listed(found: DataFrame, rules: DataFrame, n: int = 100) -> DataFrame
     """The newest n (500 at most) alerts with their rule's name. rules: (rule_id, rule_name). The names join after the top-k."""
     newest = found.orderBy(F.desc("event_id"), "dedup_key").limit(min(500, max(1, n)))
     return newest.join(rules.select("rule_id", "rule_name"), "rule_id")
+
+
+def changed_keys(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Keys of rows that are new, gone, or have another value in any column. One row a key on either side."""
+    digest = lambda df, name: df.select(key, F.xxhash64(F.to_json(F.struct(*sorted(c for c in df.columns if c != key)))).alias(name))
+    both = digest(before, "was").join(digest(after, "is"), key, "full")
+    return both.where(~F.col("was").eqNullSafe(F.col("is"))).select(key)
+
+
+def rematch(known: DataFrame, context: DataFrame, rules: DataFrame, products: DataFrame, changed: DataFrame) -> DataFrame:
+    """The matches after a change, from those before: changed rules meet all products, the other rules the changed products
+    only, and matches of what has changed or gone are given up.
+
+    known: match_rules' rows before; context and rules: the tables after; products: (product_id) and changed: (rule_id) that
+    are new, gone or different (changed_keys).
+    """
+    products, changed = products.select("product_id").distinct(), changed.select("rule_id").distinct()
+    stays = known.join(products, "product_id", "left_anti").join(changed, "rule_id", "left_anti")
+    by_rule = match_rules(context, rules.join(changed, "rule_id", "left_semi"))
+    by_product = match_rules(context.join(products, "product_id", "left_semi"), rules.join(changed, "rule_id", "left_anti"))
+    return stays.select(*by_rule.columns).unionByName(by_rule).unionByName(by_product)

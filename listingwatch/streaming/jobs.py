@@ -5,11 +5,14 @@ Each takes a streaming DataFrame and returns one; `drain` runs a stream over wha
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.community import content_fingerprint
@@ -157,3 +160,63 @@ def drain(stream: DataFrame, name: str, table: str | None = None, mode: str = "a
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/_checkpoint").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+KEPT = "fingerprint string, post_id long, at long, what string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Retention(StatefulProcessor):
+    """State of one content: the post that is kept for it, and until when; the timer of that time ends both."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", T.StructType([T.StructField("post_id", T.LongType()), T.StructField("until", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        kept = self.kept.get() if self.kept.exists() else None
+        before = kept
+        came = itertools.chain.from_iterable(frame[["ms", "post_id", "length"]].itertuples(index=False, name=None) for frame in rows)
+        for at, post_id, length in sorted((int(a), int(p), int(n)) for a, p, n in came):
+            if kept is not None and at >= kept[1]:
+                out.append((key[0], kept[0], kept[1], "deleted"))
+                kept = None
+            if kept is None:
+                kept = (post_id, at + length)
+                out.append((key[0], post_id, at, "kept"))
+        if kept != before:
+            if before is not None:
+                self.handle.deleteTimer(before[1])
+            self.kept.update(kept)
+            self.handle.registerTimer(kept[1])
+        yield pd.DataFrame(out, columns=["fingerprint", "post_id", "at", "what"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.kept.exists():
+            post_id, until = self.kept.get()
+            out.append((key[0], post_id, until, "deleted"))
+            self.kept.clear()
+        yield pd.DataFrame(out, columns=["fingerprint", "post_id", "at", "what"])
+
+    def close(self) -> None:
+        pass
+
+
+def retained_posts(posts: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """(fingerprint, post_id, at, what): posts as they are kept, and as their retention ends them (`deleted`).
+
+    posts: (post_id, posted_at, text, retention_days), retention being held between 7 and 365 days. Of posts with one content
+    the first is kept as long as its retention lasts; others within that time are dropped, a later one is kept anew. An event
+    timer deletes a post, and its state, once the watermark has passed its end (a life time by the clock, which the state store
+    offers too, wouldn't agree with the times of posts). Times are taken to the millisecond. Timers need RocksDB's state store,
+    which is set for the session.
+    """
+    spark = posts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    days = F.least(F.lit(365), F.greatest(F.lit(7), F.coalesce("retention_days", F.lit(7))))
+    rows = posts.where("post_id is not null and posted_at is not null").select(content_fingerprint(F.coalesce("text", F.lit(""))).alias("fingerprint"), F.col("post_id").cast("long"), F.col("posted_at").cast("timestamp").alias("seen"), (days.cast("long") * 86_400_000).alias("length"))
+    rows = rows.withWatermark("seen", delay).withColumn("ms", F.unix_millis("seen"))
+    found = rows.groupBy("fingerprint").transformWithStateInPandas(Retention(), T.StructType.fromDDL(KEPT), "Append", "EventTime")
+    return found.withColumn("at", F.timestamp_millis("at").cast("timestamp_ntz"))
