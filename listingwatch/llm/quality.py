@@ -34,11 +34,9 @@ ABSTAIN = 2
 #: What a rule is believed to say before any document is seen, (bad, good, nothing): of bad and of good documents. A bad
 #: document is blamed by some rules only; a good one hardly by any, as the bounds in RULES are set for that.
 BELIEF = ((0.15, 0.82, 0.03), (0.001, 0.979, 0.02))
-#: Share of good documents before any is seen; how many documents the belief is worth; and how many more, as a share of all,
-#: where it says what good documents look like.
-PRIOR_GOOD, PRIOR_WEIGHT, GOOD_SHARE = 0.9, 20.0, 0.1
-#: Without it, two rules that never agree could make EM call most documents bad and hold that the rules mostly miss it.
-LEAST_GOOD = 0.7
+#: Share of good documents before any is seen, and how many documents that is worth; how many bad and good ones BELIEF is worth.
+#: They don't grow with the table, so they decide a small one and fade from a large one.
+PRIOR_GOOD, PRIOR_SHARE, PRIOR_WEIGHT = 0.9, 20.0, (5.0, 120.0)
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -85,19 +83,19 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.nd
     """Posterior probability of `good` for each vote pattern (rows of 0, 1, ABSTAIN), by EM over pattern counts.
 
     What a rule says (bad, good or nothing) has a distribution for good and one for bad documents: its accuracies. EM
-    starts from BELIEF and estimates them from how the rules agree over all documents; BELIEF stays in as so many documents
-    of either kind as PRIOR_WEIGHT and GOOD_SHARE say, so that it decides a small table and much less a large one.
+    starts from BELIEF, which says which class is the good one, and estimates them from how the rules agree over all documents;
+    BELIEF stays in as PRIOR_WEIGHT documents of either kind.
     """
     said = np.stack([patterns == v for v in (0, 1, ABSTAIN)]).astype(float)  # vote, pattern, rule
     belief = np.repeat(np.array(BELIEF)[:, :, None], patterns.shape[1], 2)  # class, vote, rule
     chance, share = belief, PRIOR_GOOD
-    weight = PRIOR_WEIGHT + np.array([0, GOOD_SHARE * counts.sum()])[:, None, None]
+    weight = np.array(PRIOR_WEIGHT)[:, None, None]
     for _ in range(rounds):
         bad_log, good_log = (np.einsum("vpr,vr->p", said, np.log(c)) for c in chance)
         good = 1 / (1 + np.exp(np.clip(np.log(1 - share) + bad_log - np.log(share) - good_log, -500, 500)))
         votes = np.stack([np.einsum("p,vpr->vr", counts * w, said) for w in (1 - good, good)]) + weight * belief
         chance = votes / votes.sum(1, keepdims=True)
-        share = max(LEAST_GOOD, (counts @ good + PRIOR_WEIGHT * PRIOR_GOOD) / (counts.sum() + PRIOR_WEIGHT))
+        share = (counts @ good + PRIOR_SHARE * PRIOR_GOOD) / (counts.sum() + PRIOR_SHARE)
     return good
 
 
