@@ -171,27 +171,28 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     return grouped.where("key <> 'user-agent' and value <> ''").join(used, ["host", "group"]).select("host", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
 
 
-def path_rules(rules: DataFrame) -> DataFrame:
+def path_rules(rules: DataFrame, count_signs: bool = False) -> DataFrame:
     """(host, prefix, rest, allow, length) of rules (host, allow, pattern): the literal text before the first wildcard, and for
     a rule with wildcards or an anchor a regular expression of what has to follow it (else null). A rule is as long as its
-    pattern without `*` and `$`."""
+    pattern without `*` and `$`, or with them if count_signs."""
     literal = F.regexp_replace(F.regexp_extract("pattern", r"^([^*]*)", 1), r"\$$", "")
     literal = F.when(F.col("pattern").contains("*"), F.regexp_extract("pattern", r"^([^*]*)", 1)).otherwise(literal)
     left = F.substring("pattern", F.length(literal) + 1, F.length("pattern"))
     escaped = F.regexp_replace(F.regexp_replace(left, r"([\\.\[\]{}()+?^|])", r"\\$1"), r"\*", ".*")
     rest = F.when(left != "", F.concat(F.lit("^"), F.regexp_replace(escaped, r"\$(?!$)", r"\\\$")))
-    return rules.select("host", literal.alias("prefix"), rest.alias("rest"), "allow", F.length(F.regexp_replace("pattern", r"[*$]", "")).alias("length")).distinct()
+    return rules.select("host", literal.alias("prefix"), rest.alias("rest"), "allow", F.length("pattern" if count_signs else F.regexp_replace("pattern", r"[*$]", "")).alias("length")).distinct()
 
 
-def robots_allowed(links: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds `allowed` to (url, …): the longest rule of the host that fits the path decides, allow wins ties.
+def robots_allowed(links: DataFrame, rules: DataFrame, count_signs: bool = False) -> DataFrame:
+    """Adds `allowed` to (url, …): the longest rule of the host that fits the path decides, allow wins ties. With count_signs
+    wildcards and anchors count as length, as crawlers that follow RFC 9309 have it.
 
     Rules are a trie of literal prefixes: a path is looked up by its own beginnings, of the lengths that its host has rules
     of, so it only meets rules whose prefix it has. The rest of a rule with wildcards is then searched in the rest of the path.
     """
     path = F.concat(F.when(urls.piece(F.col("url"), 3) == "", "/").otherwise(urls.piece(F.col("url"), 3)), F.when(F.col("url").contains("?"), F.concat(F.lit("?"), urls.piece(F.col("url"), 4))).otherwise(""))
     asked = links.select("url").distinct().select("url", urls.bare_host(F.col("url")).alias("host"), path.alias("path"))
-    trie = path_rules(rules)
+    trie = path_rules(rules, count_signs)
     sizes = trie.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("sizes"))  # lengths, not rules: as many as the longest path has characters
     begun = asked.join(sizes, "host").withColumn("size", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))))
     begun = begun.withColumn("prefix", F.expr("substring(path, 1, size)"))

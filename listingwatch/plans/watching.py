@@ -293,7 +293,7 @@ ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/1\nAllo
 def d1_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages").select("page_id", "url")
     robots = found.select(urls.bare_host(F.col("url")).alias("host")).distinct().withColumn("body", F.lit(ROBOTS))
-    return pages.robots_allowed(found, pages.robots_rules(robots, "watcher")).select("page_id", "allowed")
+    return pages.robots_allowed(found, pages.robots_rules(robots, "watcher"), count_signs=True).select("page_id", "allowed")
 
 
 D1 = r"""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS path FROM pages)
