@@ -14,6 +14,11 @@ SUFFIXES = ("co.jp", "ne.jp", "or.jp", "com.tw", "net.tw", "org.tw", "co.uk", "o
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where value is computed once however often it is used; large expressions stay small to compile."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def piece(url: Column, i: int) -> Column:
     return F.regexp_extract(F.trim(url), URL, i)
 
@@ -137,3 +142,27 @@ def display_name(domain: Column) -> Column:
     """A domain's first label with a capital; the domain itself if that label is empty."""
     label = F.coalesce(F.nullif(F.substring_index(domain, ".", 1), F.lit("")), domain)
     return F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 2**31 - 1))
+
+
+def form_query(query: Column, dropped: tuple[str, ...]) -> Column:
+    """As query_without, with every name and value decoded and encoded again the way forms do it: a space is `+`, a name without
+    a value gets an empty one. Parameters of one name stay in their order."""
+    plain = lambda t: F.coalesce(F.try_url_decode(t), F.replace(t, F.lit("+"), F.lit(" ")))
+    pair = lambda p, i: F.struct(plain(F.substring_index(p, "=", 1)).alias("name"), i.alias("at"), plain(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("value"))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["name"]).isin(*dropped)))
+    text = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&")
+    return F.when(text == "", "").otherwise(F.concat(F.lit("?"), text))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without `.` and `..` segments, encoded or not: the second takes the segment before it along."""
+    dots = lambda s: F.regexp_replace(s, "(?i)%2e", ".")
+    step = lambda done, s: F.when(dots(s) == ".", done).when(dots(s) == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+
+    def folded(segments: Column) -> Column:
+        kept = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"), step)
+        # a dot at the end leaves its folder's slash
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, F.when(dots(F.element_at(segments, -1)).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/"))
+
+    return once(path, lambda p: F.when(p.rlike(r"(?i)/(\.|%2e)"), once(F.split(p, "/", -1), folded)).otherwise(p))

@@ -31,6 +31,12 @@ def links(text: Column) -> Column:
     return F.array_distinct(F.array_compact(found))
 
 
+def link_rows(posts: DataFrame) -> DataFrame:
+    """(post_id, url, kind) of the distinct links of posts (post_id, text): `store` if the address speaks of one, else `external`."""
+    rows = posts.select("post_id", F.explode(links(F.col("text"))).alias("url"))
+    return rows.withColumn("kind", F.when(F.col("url").rlike("(?i)shop|store|mall"), "store").otherwise("external"))
+
+
 def leads(text: Column, n_links: Column) -> Column:
     form = alias_form(text)
     kinds = []
@@ -125,3 +131,15 @@ def visible_posts(posts: DataFrame, matches: DataFrame, n: int = 100) -> DataFra
     shown = posts.where(~F.coalesce("hidden", F.lit(False))).orderBy(F.desc("posted_at"), F.desc("post_id")).limit(min(500, max(1, n)))
     rules = matches.join(F.broadcast(shown.select("post_id")), "post_id").groupBy("post_id").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))  # at most 500 ids
     return shown.join(rules, "post_id", "left").select("post_id", "posted_at", links(F.col("text")).alias("links"), F.coalesce("rules", F.array().cast("array<bigint>")).alias("rules"))
+
+
+def origins_listed(posts: DataFrame, origins: DataFrame, n: int = 100) -> DataFrame:
+    """(post_id, source_id, external_id) of the newest n (500 at most) visible posts: where each came from, itself first of all.
+
+    posts: (post_id, source_id, external_id, posted_at, hidden, muted), origins: `post_origins`' rows. A post may have any number of
+    origins, so they are rows, not a list.
+    """
+    seen = ~F.coalesce("hidden", F.lit(False)) & ~F.coalesce("muted", F.lit(False))
+    shown = cut(posts.where(seen).orderBy(F.desc("posted_at"), F.desc("post_id")).limit(min(500, max(1, n))), "shown")
+    others = origins.join(F.broadcast(shown.select(F.col("post_id").alias("first_id"))), "first_id")  # at most 500 ids
+    return shown.select("post_id", "source_id", "external_id").unionByName(others.select(F.col("first_id").alias("post_id"), "source_id", "external_id"))

@@ -155,3 +155,39 @@ def links_after_merge(links: DataFrame, targets: DataFrame) -> DataFrame:
     """Catalog links (product_id, model) after merges: a target keeps its own link, else it takes the one of its lowest source."""
     placed = links.join(targets.select(F.col("source").alias("product_id"), "target"), "product_id", "left")
     return placed.groupBy(F.coalesce("target", "product_id").alias("product_id")).agg(F.min_by("model", F.struct(F.col("target").isNotNull(), F.col("product_id"))).alias("model"))
+
+
+DETAILS = ("brand", "series", "model", "barcode", "sku", "variant", "release_date", "image")
+
+
+def product_rows(listings: DataFrame, resolved: DataFrame, products: DataFrame | None = None, details: tuple[str, ...] = DETAILS) -> DataFrame:
+    """(product_id, name, created, each detail and `<detail>_from`): the products after a batch was resolved.
+
+    listings: (listing_id, seq, title, and any of the details), resolved: (listing_id, product_id), products: (product_id, name,
+    details) of before. A product that isn't among those is made by its first listing, whose title, else model, else barcode is its
+    name. A detail that is null or empty takes the first listing that has one, by seq; `_from` is that listing, null where
+    the value was there before or there is none. A detail that a side lacks counts as null. Products that no listing met stay as
+    they are; listings without a product are left out. One aggregate, combined on the map side, so a product may have any
+    number of listings.
+    """
+    details = tuple(c for c in details if c in listings.columns or (products is not None and c in products.columns))
+    null = F.lit(None).cast("string")
+    filled = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    text = lambda c: filled(c) if c in listings.columns else null
+    read = listings.select("listing_id", "seq", F.coalesce(*[text(c) for c in ("title", "model", "barcode")], F.lit("Unknown product")).alias("name"), *[text(c).alias(c) for c in details])
+    found = resolved.where("product_id is not null").select("listing_id", "product_id").join(read, "listing_id")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("seq", "listing_id", F.col(c).alias("value")))).alias(f"n_{c}")
+    new = found.groupBy("product_id").agg(*[first(c) for c in ("name", *details)])
+    if products is None:
+        return new.select("product_id", F.col("n_name.value").alias("name"), F.lit(True).alias("created"), *[x for c in details for x in (F.col(f"n_{c}.value").alias(c), F.col(f"n_{c}.listing_id").alias(f"{c}_from"))])
+    old = products.select("product_id", F.col("name").cast("string").alias("o_name"), F.lit(True).alias("known"), *[(filled(c) if c in products.columns else null).alias(f"o_{c}") for c in details])
+    both = old.join(new, "product_id", "full")
+    columns = [x for c in details for x in (F.coalesce(f"o_{c}", f"n_{c}.value").alias(c), F.when(F.col(f"o_{c}").isNull(), F.col(f"n_{c}.listing_id")).alias(f"{c}_from"))]
+    return both.select("product_id", F.when(F.col("known"), F.col("o_name")).otherwise(F.col("n_name.value")).alias("name"), F.col("known").isNull().alias("created"), *columns)
+
+
+def audits_listed(splits: DataFrame, merges: DataFrame, n: int = 100) -> DataFrame:
+    """The newest n audits of both kinds. splits: (audit_id, product_id, new_product_id), merges: (audit_id, source, target_id)."""
+    kind = lambda df, action, a, b: df.select("audit_id", F.lit(action).alias("action"), F.col(a).alias("source_product_id"), F.col(b).alias("target_product_id"))
+    both = kind(splits, "split", "product_id", "new_product_id").unionByName(kind(merges, "merge", "source", "target_id"))
+    return both.orderBy(F.desc("audit_id"), "action", "source_product_id").limit(n)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 
 def match_products(listings: DataFrame, products: DataFrame) -> DataFrame:
     """Listings against a frozen product snapshot: barcode first, then SKU, then model with variant.
@@ -190,6 +192,30 @@ def newest(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def with_names(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """A report's rows with the columns of names, one row a key; null where there is none. Names are read for the rows' keys only,
+    so rows must be a top-k, which is broadcast."""
+    return rows.join(names.join(F.broadcast(rows.select(key).distinct()), key, "left_semi"), key, "left")
+
+
+def event_feed(events: DataFrame, products: DataFrame, sources: DataFrame, n: int = 200) -> DataFrame:
+    """The newest n events with the names of their product and source. events: (seq, product_id, source_id, type, …), products:
+    (product_id, product_name), sources: (source_id, source_name). An event whose product is unknown stays, without a name."""
+    top = cut(newest(events, n, F.desc("seq"), F.col("type")), "feed")
+    return with_names(with_names(top, products, "product_id"), sources, "source_id")
+
+
+def offer_board(offers: DataFrame, products: DataFrame, sources: DataFrame, n: int = 200) -> DataFrame:
+    """The first n offers of enabled sources with names: those not archived first, then fresh, purchasable, seen last.
+
+    offers: (offer_id, product_id, source_id, archived, freshness, purchasable, last_seen, …), products: (product_id, product_name,
+    product_model), sources: (source_id, source_name, source_class, enabled).
+    """
+    shown = offers.join(sources.where("enabled").drop("enabled"), "source_id")
+    order = (F.coalesce("archived", F.lit(False)), F.desc(F.coalesce(F.col("freshness") == "fresh", F.lit(False))), F.desc(F.coalesce("purchasable", F.lit(False))), F.desc("last_seen"), F.col("offer_id"))
+    return with_names(cut(newest(shown, n, *order), "board"), products, "product_id")
+
+
 def within_budget(pages: DataFrame, most_pages: int, most_bytes: int) -> DataFrame:
     """Pages of a site in the order of priority, until the page or the byte budget is spent.
 

@@ -102,6 +102,30 @@ def safe_diagnostics(ops: DataFrame, redact, n: int = 50) -> DataFrame:
     return failed.select("seq", "component", "source_key", "created_at", redact(F.col("detail")).alias("detail"))
 
 
+def table_counts(**tables: DataFrame) -> DataFrame:
+    """(name, rows) of each table, an empty one included."""
+    counted = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def safe_key(key: Column) -> Column:
+    """Whether a source's key can be shown: a short name, without words that speak of secrets."""
+    return key.rlike("^[A-Za-z0-9][A-Za-z0-9_.:-]{0,63}$") & ~key.rlike("(?i)^(https?|ftp):|token|secret|password|credential|api[_-]?key")
+
+
+def source_states(sources: DataFrame, health: DataFrame, redact) -> DataFrame:
+    """What diagnostics tell of sources: a key that could hold anything but a name is just `source`, free text is redacted.
+
+    sources: (source, connector, enabled), health: `source_health`'s rows. A source that never ran has no failures.
+    """
+    rows = sources.join(health.select("source", "failures", "last_success"), "source", "left")
+    safe = F.when(safe_key(F.col("source")), F.col("source")).otherwise("source")
+    return rows.select(safe.alias("source_key"), redact(F.col("connector")).alias("connector"), F.coalesce("enabled", F.lit(False)).alias("enabled"), F.greatest(F.lit(0), F.coalesce("failures", F.lit(0))).cast("long").alias("failures"), "last_success")
+
+
 # Parts of the system and what they do; outcomes; error labels that aren't derived from a text.
 ACTIONS = {
     "source": ("monitor", "crawl", "refresh"),
@@ -133,7 +157,7 @@ def operation_events(raw: DataFrame) -> DataFrame:
     operation = F.lit("other")
     for name, actions in ACTIONS.items():
         operation = F.when((component == name) & F.col("operation").isin(*actions), F.col("operation")).otherwise(operation)
-    opaque = F.col("source_key").rlike("^[A-Za-z0-9][A-Za-z0-9_.:-]{0,63}$") & ~F.col("source_key").rlike("(?i)^(https?|ftp):|token|secret|password|credential|api[_-]?key")
+    opaque = safe_key(F.col("source_key"))
     said = F.nullif("error", F.lit(""))
     label = F.when(said.isNull(), None).when(said.isin(*LABELS) | said.rlike(r"^http_\d{3}$"), said).otherwise(error_class(said))
     clamp = lambda c, most: F.least(F.lit(most), F.greatest(F.lit(0), F.col(c)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import urls
+from ..sources.tables import cut
 
 PRODUCT = ("title", "brand", "barcode", "sku", "release_date", "price", "currency", "availability_raw", "description")
 BLOCK = re.compile(r"<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>", re.I | re.S)
@@ -115,6 +116,26 @@ def resolve(href: Column, base: Column) -> Column:
     )
 
 
+def normalized_at(href: Column, base: Column) -> Column:
+    """urls.normalized of a link's address against its page's, without dot segments, and with parameters encoded anew. A text
+    that is no address is trimmed; an empty one or null stays so."""
+
+    def parts(url: Column) -> Column:
+        scheme, host, path = F.lower(urls.piece(url, 1)), F.lower(urls.piece(url, 2)), urls.piece(url, 3)
+        host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+        path = F.regexp_replace(urls.without_dots(F.when(path == "", "/").otherwise(path)), "(?<=.)/$", "")
+        return F.struct(scheme.alias("scheme"), F.concat(scheme, F.lit("://"), host, path, urls.form_query(urls.piece(url, 4), urls.TRACKING)).alias("url"))
+
+    own = F.trim(href)
+    url = F.when(own.startswith("#"), base).otherwise(F.coalesce(resolve(own, base), own))
+    return F.when((href == ""), own).otherwise(urls.once(urls.once(url, parts), lambda p: F.when(p["scheme"] == "", own).otherwise(p["url"])))
+
+
+def invalid_reason(url: Column, base: Column, usable: Column) -> Column:
+    """Why a listing can't be taken: `missing-url`, `no-product-fields`, or null. url may be relative to its source's base."""
+    return F.when(F.coalesce(normalized_at(url, base), F.lit("")) == "", "missing-url").when(~usable, "no-product-fields")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """Distinct (page_id, target) of a[href] that stay on the page's site, as identities. pages: (page_id, url, html)."""
     # quoted or bare; entities in an address stand for their characters
@@ -127,6 +148,34 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.where(F.col("target").isNotNull() & (site("target") == site("url"))).select("page_id", "target").distinct()
 
 
+def page_anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, url, href, text) of a[href], as often as they occur. A link's text goes up to its end tag or the next link,
+    with white space folded, and 200 characters at most. pages: (page_id, url, html)."""
+    piece = F.explode(F.filter(F.split("html", r"(?i)(?=<a\b)"), lambda p: p.rlike(r"(?i)^<a\b")))
+    rows = pages.select("page_id", "url", piece.alias("piece"))
+    href = F.regexp_extract("piece", r"(?i)^<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "(?i)&(amp|#38|#x26);", "&"), "(?i)&(quot|#34);", "\"")
+    text = F.regexp_replace(F.regexp_replace("piece", r"(?i)^<a\b[^>]*>?", ""), r"(?is)</a\b.*$", "")
+    text = F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ""), r"\s+", " ")), 1, 200)
+    return rows.where(href != "").select("page_id", "url", plain(F.regexp_replace(href, "^[\"']|[\"']$", "")).alias("href"), plain(text).alias("text"))
+
+
+def scored_links(pages: DataFrame, rules: DataFrame, brand: str, model: str, include: tuple = (), exclude: tuple = (), least: int = 10) -> DataFrame:
+    """(page_id, target, score, priority) of the links that a walk follows: on the page's site, allowed by robots rules, and with
+    hints of `least` points or more. A target that a page links to more than once takes its best score.
+
+    rules: `robots_rules`' rows. Robots and hints see the address as it would be fetched.
+    """
+    site = lambda c: urls.registrable_domain(urls.bare_host(c))
+    target = urls.once(resolve(F.col("href"), F.col("url")), urls.fetchable)
+    score = urls.once(F.struct(F.col("target"), F.col("text")), lambda s: urls.hint_score(s["target"], s["text"], brand, model, include, exclude))
+    found = page_anchors(pages).select("page_id", F.col("url").alias("base"), target.alias("target"), "text")
+    scored = found.select("page_id", F.col("target").alias("url"), F.when(urls.once(F.col("target"), site) == site(F.col("base")), score).alias("score")).where(F.col("score") >= least)
+    best = cut(scored.groupBy("page_id", "url").agg(F.max("score").alias("score")), "scored-links")  # read twice below
+    kept = robots_allowed(best, rules).where("allowed")
+    return kept.select("page_id", F.col("url").alias("target"), "score", F.least(F.lit(100), F.col("score") + 35).alias("priority"))
+
+
 def search_urls(pages: DataFrame, term: str) -> DataFrame:
     """(page_id, target) of GET forms with a search field, filled with the term."""
     form = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<form\b.*?</form>)")))

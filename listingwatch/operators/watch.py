@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matching import upsert
+from ..sources.tables import cut
+from .matching import upsert, with_names
 from .rules import match_rules, valid_rules  # noqa: F401 (valid_rules: a watch operator that lives with the matching)
 
 
@@ -18,6 +19,26 @@ def match_table(known: DataFrame, found: DataFrame, at: Column) -> DataFrame:
     return upsert(known, batch, ["rule_id", "product_id"], {"confidence": "greatest", "first_matched": "least", "last_matched": "greatest"})
 
 
+def identity_key(catalog_id: Column, product_id: Column) -> Column:
+    """What a match is kept under: the catalog's entry where there is one, so that an entry's products share it; else the product."""
+    return F.when(catalog_id.isNotNull(), F.concat(F.lit("catalog:"), catalog_id)).otherwise(F.concat(F.lit("product:"), product_id))
+
+
+def keyed_match_table(known: DataFrame, found: DataFrame, at: Column) -> DataFrame:
+    """As match_table, under (rule_id, identity_key): the last product, offer and reasons count, the first match type stays.
+
+    known: (rule_id, identity_key, product_id, offer_id, match_type, confidence, reasons, first_matched, last_matched), found:
+    (rule_id, catalog_product_id, product_id, offer_id, match_type, confidence, reasons, seq), in the order of seq, then product_id.
+    A batch's rows of one key are an aggregate; a match without a product or offer keeps those of before.
+    """
+    order = F.struct("seq", "product_id", "offer_id")
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("seq", "product_id", "offer_id", F.col(c).alias("value"))))["value"].alias(c)
+    rows = found.withColumn("identity_key", identity_key(F.col("catalog_product_id"), F.col("product_id")))
+    batch = rows.groupBy("rule_id", "identity_key").agg(last("product_id"), last("offer_id"), F.min_by("match_type", order).alias("match_type"), F.max("confidence").alias("confidence"), F.max_by("reasons", order).alias("reasons"))
+    rules = {"product_id": "coalesce_new", "offer_id": "coalesce_new", "match_type": "keep_old", "confidence": "greatest", "reasons": "overwrite", "first_matched": "least", "last_matched": "greatest"}
+    return upsert(known, batch.withColumns({"first_matched": at, "last_matched": at}), ["rule_id", "identity_key"], rules)
+
+
 def alert_type(event_type: Column, state: Column) -> Column:
     """What an event is to a watcher; null if it is nothing."""
     bought = F.when(state.isin("in_stock"), "in_stock").when(state == "preorder", "preorder_open")
@@ -117,6 +138,26 @@ def alerts_listed(found: DataFrame, rules: DataFrame, n: int = 100) -> DataFrame
     return newest.join(rules.select("rule_id", "rule_name"), "rule_id")
 
 
+def rules_named(rules: DataFrame, preferences: DataFrame, products: DataFrame, parts: DataFrame) -> DataFrame:
+    """As rules_listed, with the code of the catalog product and the name of the part that a rule has selected, or null.
+
+    products: (catalog_product_id, product_code), parts: (catalog_part_id, part_name), one row an id. Rules that have selected
+    nothing, as most do, take no part in the join.
+    """
+    rows = rules_listed(rules, preferences)
+    for names, key, name in ((products, "catalog_product_id", "product_code"), (parts, "catalog_part_id", "part_name")):
+        with_key = rows.where(F.col(key).isNotNull()).join(names.select(key, name), key, "left")
+        rows = with_key.unionByName(rows.where(F.col(key).isNull()).withColumn(name, F.lit(None).cast(names.schema[name].dataType)))
+    return rows.withColumnsRenamed({"product_code": "selected_product_code", "part_name": "selected_part_name"})
+
+
+def alerts_named(found: DataFrame, rules: DataFrame, products: DataFrame, n: int = 100) -> DataFrame:
+    """As alerts_listed, with the code of the alert's catalog product, or null. found: (…, catalog_product_id), products:
+    (catalog_product_id, product_code)."""
+    top = cut(found.orderBy(F.desc("event_id"), "dedup_key").limit(min(500, max(1, n))), "alerts")
+    return with_names(top.join(rules.select("rule_id", "rule_name"), "rule_id"), products, "catalog_product_id")
+
+
 def changed_keys(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Keys of rows that are new, gone, or have another value in any column. One row a key on either side."""
     digest = lambda df, name: df.select(key, F.xxhash64(F.to_json(F.struct(*sorted(c for c in df.columns if c != key)))).alias(name))
