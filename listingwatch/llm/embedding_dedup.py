@@ -6,7 +6,7 @@ all signs of a table are compared exactly. At cosine 0.98 two vectors agree in a
 
 Equal vectors are one class with a weight. A bucket returns, for each member, the weight of its links and one link of a
 spanning forest: a pair is counted only by the first table in which it meets, so no pairs leave a task. Buckets of
-more than BLOCK vectors are dealt out as pairs of blocks.
+more than BLOCK vectors are dealt out as pairs of blocks, and the largest are dealt where their entries lie.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, key_groups, map_rows, roots
+from .common import SHARE, components, cut, key_groups, map_rows, roots
 
 BITS, TABLES, SEED = 16, 24, 7
 BLOCK = 2_048
@@ -90,21 +90,25 @@ def compare(least: float):
 def near_duplicates(vectors: DataFrame, least: float = 0.98, bits: int = BITS, tables: int = TABLES, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label).
 
-    Vectors are compared within a label and a dimension. Null, empty or zero vectors, vectors with null or
+    Vectors are compared within a label and a dimension; labels of any atomic type are equal if their texts are. Null, empty or zero vectors, vectors with null or
     non-finite components and vectors without a label have no links. Repeated rows are vectors of their own, linked to
     each other. A null vec_id is kept as a row; its links count, but it is never a component_id of others. Other
     columns are not read.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("long"))
-    described = cut(map_rows(rows, describe(bits, tables, seed), "vec_id long, label long, dim int, digest binary, buckets array<int>, vector array<double>", 1024), "vectors")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("string"))
+    described = cut(map_rows(rows, describe(bits, tables, seed), "vec_id long, label string, dim int, digest binary, buckets array<int>, vector array<double>", 1024), "vectors")
     same = ["label", "dim", "digest"]
     classes = described.where("digest is not null").groupBy(*same).agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("buckets").alias("buckets"), F.first("vector").alias("vector"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
 
     where = ["label", "dim", "t", "bucket"]
     entries = classes.select("rep", "label", "dim", F.posexplode("buckets").alias("t", "bucket"))
-    shared = entries.groupBy(*where).count().where("count > 1")
-    dealt = entries.join(shared, where).withColumn("blocks", F.ceil(F.col("count") / block)).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    shared = cut(entries.groupBy(*where).count().where("count > 1"), "vector-buckets")
+    # the largest buckets, a share of all entries each and so never more than 1 / SHARE, are broadcast; no task gets one of them whole
+    large = max(block, int((shared.agg(F.sum("count")).first()[0] or 0) * SHARE))
+    hot = F.broadcast(shared.where(F.col("count") >= large))
+    rest = entries.join(hot.select(*where), where, "left_anti").join(shared.where(F.col("count") < large), where)
+    dealt = rest.unionByName(entries.join(hot, where)).withColumn("blocks", F.ceil(F.col("count") / block)).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     with_other = dealt.withColumn("other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
     # two blocks meet once, and a block meets itself once
     pairs = with_other.select("rep", *where, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))

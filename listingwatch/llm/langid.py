@@ -25,6 +25,8 @@ RIDGE = 1e-2
 #: The fit takes about this many different texts of each language, chosen by a hash of the text, and MOST_ROWS in all
 #: (4 kB each on the driver); where languages are so many that their share is less than one, one of each.
 FIT_ROWS, MOST_ROWS = 400, 20_000
+#: Languages whose weights a worker can hold (128 kB each).
+MOST_LANGUAGES = 2_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,19 +100,24 @@ def held_out(fold: int = 2, folds: int = 4):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def identify(docs: DataFrame, fit_rows: int = FIT_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
+def identify(docs: DataFrame, fit_rows: int = FIT_ROWS, most_rows: int = MOST_ROWS, most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang).
 
     Learns from rows that are not held out and have a text with a letter and a language: all languages, and of each about
     fit_rows different texts (less if they would be more than most_rows in all, but one at least). A null or empty text, or one
     without a letter, is `und` with score 0; so is every text if there is nothing to learn from. A null doc_id counts
-    as an empty one. Repeated rows are rows like any other and are learnt once; other columns are not read.
+    as an empty one. Repeated rows are rows like any other and are learnt once; other columns are not read. The model has a
+    column of weights a language and is broadcast; more than most_languages different values of lang, which no column of
+    languages has, are refused with a ValueError.
     """
     lettered = F.col("text").rlike(r"\p{L}")
     known = docs.where(~held_out() & F.col("lang").isNotNull() & lettered).select("text", "lang", F.xxhash64("text").alias("draw"))
     # a language's texts with the smallest hash: one is kept of each language, so none is lost
     counts = cut(known.groupBy("lang").agg(F.count("*").alias("count"), F.min("draw").alias("least")), "languages")
-    each = max(1, min(fit_rows, most_rows // max(1, counts.count())))
+    n_languages = counts.count()
+    if n_languages > most_languages:
+        raise ValueError(f"{n_languages} values of lang; more than {most_languages} are no languages")
+    each = max(1, min(fit_rows, most_rows // max(1, n_languages)))
     reach = F.least(F.lit(1.0), F.lit(float(each)) / F.col("count")) * float(2**64) - float(2**63)
     drawn = known.join(counts, "lang").where((F.col("draw") == F.col("least")) | (F.col("draw") < reach))
     drawn = drawn.select("lang", "draw", "text").dropDuplicates(["lang", "draw"])

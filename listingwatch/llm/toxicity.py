@@ -240,14 +240,17 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     """Fit on rows of docs that are not held out and have a label (0 or 1).
 
     Equal texts count once, so that copies do not make a word common; a text with both labels is left out. Without rows of
-    both labels, every score is the share of toxic rows (0 without any).
+    both labels, every score is the share of toxic rows (0 without any). At most fit_rows labels and at most fit_rows different
+    texts are used, whatever number of texts a repeated doc_id has: those of the smallest hashes.
     """
     marks = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     known = docs.where(~held_out() & F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(marks), "doc_id")
     known = known.withColumn("key", F.xxhash64("text"))
     one = known.groupBy("key").agg(F.first("text").alias("text"), F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
-    sample = cut(one.select("text", "toxic", F.pmod(F.xxhash64("key"), F.lit(2 * FOLDS)).alias("part")), "toxicity-fit")
+    sample = cut(one.select("key", "text", "toxic", F.pmod(F.xxhash64("key"), F.lit(2 * FOLDS)).alias("part")), "toxicity-fit")
+    if sample.count() > fit_rows:
+        sample = sample.join(F.broadcast(sample.select("key").orderBy("key").limit(fit_rows)), "key")
     prior = float(sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0])
     halves = [F.col("part") < FOLDS, F.col("part") >= FOLDS]
     # what a half's texts are measured by, the other half has taught

@@ -200,6 +200,13 @@ def test_embeddings_null_and_repeated_ids(spark):
     assert Counter(map(tuple, out)) == Counter([(None, 4, 7, False)] * 2 + [(7, 4, 7, True)] * 2 + [(9, 4, 7, False)] + [(None, 1, None, False)] * 2 + [(3, 0, 3, True)])
 
 
+def test_embeddings_labels_of_any_type(spark):
+    near = [[1.0, 0.0, 0.01 * i] for i in range(6)]
+    labels = ["a", "a", "b", "b", None, "1"]
+    out = collect(embedding_dedup.near_duplicates(spark.createDataFrame([(i, e, label) for i, (e, label) in enumerate(zip(near, labels, strict=True))], "vec_id long, embedding array<double>, label string")), "vec_id")
+    assert {i: (r.n_links, r.component_id) for i, r in out.items()} == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (0, 5)}
+
+
 # 4 -- token counts
 
 
@@ -459,6 +466,13 @@ def test_language_learns_every_language(spark):
     assert sum(out[d].lang_pred == lang for d, _, lang in rows) / len(rows) > 0.95
 
 
+def test_language_refuses_what_no_languages_are(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="no languages"):
+        langid.identify(docs, most_languages=9)
+    assert langid.identify(docs, most_languages=40).count() == 40
+
+
 def test_language_odd(spark):
     docs = odd_docs(spark)
     out = langid.identify(docs).collect()
@@ -671,6 +685,18 @@ def test_toxicity_odd(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_fits_on_a_bounded_number_of_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, f"you wretch {i}") for i in range(50)] + [(1, f"a calm day {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    fitted = []
+    fit = toxicity.Trees.fit
+    monkeypatch.setattr(toxicity.Trees, "fit", lambda self, x, y: fitted.append(len(x)) or fit(self, x, y))
+    toxicity.learn(docs, labels, fit_rows=20)
+    assert max(fitted) == 20
+    toxicity.learn(docs, labels)
+    assert max(fitted) == 100
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(2)
     x = rng.random(500)
