@@ -101,7 +101,11 @@ def s6_page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", pages.outcome(html, n % 3 == 0).alias("outcome"))
 
 
-S6 = "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ok' WHEN page_id % 4 = 0 THEN 'maintenance' ELSE 'empty' END AS outcome FROM pages"
+MAINTENANCE = pages.MAINTENANCE.replace("'", "''")
+S6 = f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '<h1>Site  maintenance</h1>' ELSE '<h1>Shop</h1>' END || html AS h FROM pages),
+    v AS (SELECT *, regexp_replace(regexp_replace(h, '<script\\b.*?</script>', ' ', 'gis'), '<style\\b.*?</style>', ' ', 'gis') AS bare FROM p),
+    t AS (SELECT *, trim(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)) || ' ' || regexp_extract(h, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1) || ' ' || substr(trim(regexp_replace(regexp_replace(bare, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 2000) AS head FROM v)
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ok' WHEN regexp_matches(head, '{MAINTENANCE}') THEN 'maintenance' ELSE 'empty' END AS outcome FROM t"""
 
 
 def s7_usable_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +167,8 @@ def n20_tax_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.tax_included(said).alias("included"))
 
 
-N20 = "SELECT l_orderkey, l_linenumber, [true, false, true, NULL, true, false, true][1 + l_linenumber % 7] AS included FROM lineitem"
+N20 = f"""WITH s AS (SELECT l_orderkey, l_linenumber, translate(['1,000円（税込）', 'Tax Excluded', 'Inc. VAT', 'x', 'ＴＡＸ　ＩＮＣＬＵＤＥＤ', '未稅', 'Inc VAT, tax excluded'][1 + l_linenumber % 7], 'ＡＣＤＥＩＬＮＴＵＸ　（）', 'ACDEILNTUX ()') AS said FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(said, '{text.TAX_IN}') THEN true WHEN regexp_matches(said, '{text.TAX_OUT}') THEN false END AS included FROM s"""
 
 
 def n21_release_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,22 +519,23 @@ def f9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = item.groupBy("source_id", "scan_id").agg(F.max("l_shipdate").alias("last"))
     status = F.when(month % 6 == 0, "running").when(month % 4 == 0, "failed").otherwise("success")
     scans = ended.select("source_id", "scan_id", status.alias("status"), F.when(month % 6 > 0, F.col("last").cast("timestamp_ntz")).alias("finished_at"), F.when((month % 4 == 0) & (month % 6 > 0), F.repeat(F.lit("x"), F.lit(600))).alias("error"))
-    found = operations.run_accounts(item.where("l_quantity > 10"), scans, watching.at("1999-01-01"))
+    found = operations.run_accounts(item, scans, watching.at("1999-01-01"))
     return found.withColumn("error", F.when(F.col("error") == "interrupted", F.col("error")).otherwise(F.length("error").cast("string")))
 
 
-F9 = """WITH s AS (SELECT l_suppkey AS source_id, strftime(l_shipdate, '%Y-%m') AS scan_id, max(l_shipdate) AS last, any_value(month(l_shipdate) + l_suppkey) AS m, count(*) FILTER (l_quantity > 10) AS seen, count(*) FILTER (l_quantity > 10 AND l_returnflag = 'R') AS excluded,
-        coalesce(CAST(sum(l_linenumber) FILTER (l_quantity > 10) AS BIGINT), 0) AS events FROM lineitem GROUP BY ALL)
+F9 = """WITH s AS (SELECT l_suppkey AS source_id, strftime(l_shipdate, '%Y-%m') AS scan_id, max(l_shipdate) AS last, any_value(month(l_shipdate) + l_suppkey) AS m, count(*) AS seen, count(*) FILTER (l_returnflag = 'R') AS excluded,
+        coalesce(CAST(sum(l_linenumber) AS BIGINT), 0) AS events FROM lineitem GROUP BY ALL)
     SELECT source_id, scan_id, CASE WHEN m % 6 = 0 OR m % 4 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN m % 6 = 0 THEN TIMESTAMP '1999-01-01' ELSE CAST(last AS TIMESTAMP) END AS finished_at,
         CASE WHEN m % 6 = 0 THEN 'interrupted' WHEN m % 4 = 0 THEN '500' END AS error, seen, excluded, events FROM s"""
 
 
 PAIRS = [
     (s1_listing_frames, S1), (s11_official_feed, S11), (s12_posts, S12), (s13_observation_days, S13), (s15_registry, S15), (s6_page_outcomes, S6),
-    (s7_usable_listings, f"WITH {FEED} SELECT listing_id, listing_id % 3 = 0 OR listing_id % 2 = 0 AS usable FROM feed"),
+    (s7_usable_listings, f"""WITH {FEED}, l AS (SELECT listing_id, CASE listing_id % 3 WHEN 0 THEN title WHEN 1 THEN '' END AS t, CASE listing_id % 4 WHEN 0 THEN '' WHEN 2 THEN '5' END AS p FROM feed)
+        SELECT listing_id, coalesce(t <> '', false) OR p IS NOT NULL AS usable FROM l"""),
     (s8_sitemap_urls, S8), (s10_search_urls, S10), (n8_fetchable_urls, N8), (n16_listing_models, N16), (n20_tax_notes, N20), (n21_release_dates, N21),
     (n23_terms, "SELECT p_partkey, p_name || '|' || p_type || '|' || p_name || ' x' AS terms FROM part"),
-    (c9_terminal, f"WITH {FEED} SELECT listing_id, part % 5 <> 2 AS terminal FROM feed"),
+    (c9_terminal, f"""WITH {FEED} SELECT listing_id, regexp_matches(title || ' ' || ['Discontinued item', '販売終了しました', 'in stock', '已停售', '廃番'][1 + part % 5], '{classify.TERMINAL}') AS terminal FROM feed"""),
     (c7_signals, C7), (d2_hints, D2), (d6_reasons, D6), (e2_first_sights, E2), (f3_failed_scans, F3), (i1_known_offers, I1), (w9_backfill, W9), (w10_boost, W10), (a4_alert_outbox, A4), (a2_event_digests, A2), (k1_series_dates, K1), (k4_catalog_products, K4), (k6_official_details, K6), (i7_moved_events, I7), (i8_merged_facts, I8), (x1_approved_listings, X1), (m2_post_origins, M2), (k9_source_classes, K9), (k10_backfill, K10), (k11_unidentified, K11), (x4_term_decisions, X4),
     (m7_hidden_posts, M7), (m9_unexpired, M9), (q5_queue_counts, Q5), (q6_top_error_classes, Q6), (q7_all_limits, Q7), (f9_runs, F9),
 ]

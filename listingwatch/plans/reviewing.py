@@ -60,7 +60,7 @@ def walks(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type").isin("purchase", "view"), "visited").when(F.col("event_type") == "error", "failed").otherwise("pending")
     visits = events.select(F.col("user_id").alias("run_id"), status.alias("status"), (F.col("event_id") % 1000 * 1000).alias("bytes"))
-    found = events.where("event_type = 'purchase' and event_id % 20 = 0").select(F.col("user_id").alias("run_id"), (F.col("user_id") % 10).alias("site"), (F.col("event_id") % 40).cast("string").alias("url"))
+    found = events.where("event_type = 'purchase'").select(F.col("user_id").alias("run_id"), (F.col("user_id") % 10).alias("site"), (F.col("event_id") % 40).cast("string").alias("url"))
     return discovery.run_summaries(visits, found, 20, 9_000_000)
 
 
@@ -69,7 +69,7 @@ def d9_run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 D9 = """WITH f AS (SELECT user_id AS run_id, count(*) FILTER (event_type IN ('purchase', 'view')) AS pages, CAST(coalesce(sum(event_id % 1000 * 1000) FILTER (event_type IN ('purchase', 'view')), 0) AS BIGINT) AS bytes,
-        count(*) FILTER (event_type IN ('click', 'signup')) AS pending, count(*) FILTER (event_type = 'error') AS failed, count(DISTINCT event_id % 40) FILTER (event_type = 'purchase' AND event_id % 20 = 0) AS candidates FROM events GROUP BY ALL),
+        count(*) FILTER (event_type IN ('click', 'signup')) AS pending, count(*) FILTER (event_type = 'error') AS failed, count(DISTINCT event_id % 40) FILTER (event_type = 'purchase') AS candidates FROM events GROUP BY ALL),
     r AS (SELECT *, CASE WHEN pages >= 20 THEN 'page_budget' WHEN bytes >= 9000000 THEN 'byte_budget' END AS stop_reason FROM f)
     SELECT *, CASE WHEN stop_reason IS NULL THEN 'success' ELSE 'budget_exhausted' END AS status, CASE WHEN candidates > 0 THEN 'active' ELSE 'needs_review' END AS recipe FROM r"""
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..sources import stored
 from ..sources.tables import new_folder
+from ..streaming import jobs
 from .oracle import OPS
 from .views import operations, table
 
 
-def s1_stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier's file holds its nation's customers' segments as frames, in one of four shapes; the frame asked for is the
-    supplier's number, so that most are clamped."""
+def frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's file holds the lowest and highest part of each line number as frames, in one of four shapes."""
     path = new_folder(spark, "frame-files")
     supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high"))
     listing = lambda c: F.concat(F.lit('{"title":"part '), c, F.lit('","price":"'), c, F.lit('.50","hasBuyButton":'), F.when(F.col(c) % 2 == 0, "true").otherwise("false"), F.lit("}"))
@@ -24,7 +24,12 @@ def s1_stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = row.groupBy("l_suppkey").agg(body.alias("b"), F.min(F.struct("l_linenumber", "frame"))["frame"].alias("one"))
     text = F.when(kind == 0, F.concat(F.lit('{"frames":['), "b", F.lit("]}"))).when(kind == 3, F.concat(F.lit('{"listings":'), "one", F.lit("}"))).otherwise(F.concat(F.lit("["), "b", F.lit("]")))
     files.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_suppkey").alias("supplier"), text.alias("value")).repartition("supplier").write.partitionBy("supplier").option("maxRecordsPerFile", 1).text(path)
-    found = stored.frames(spark, f"{path}/supplier=*").withColumn("supplier", F.regexp_extract("file", "supplier=([0-9]+)", 1).cast("long"))
+    return stored.frames(spark, f"{path}/supplier=*").withColumn("supplier", F.regexp_extract("file", "supplier=([0-9]+)", 1).cast("long"))
+
+
+def s1_stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame asked for goes by the supplier's number, so that some are clamped."""
+    found = frame_files(spark, sf_dir)
     return stored.at_frame(found, (F.col("supplier") % 9 - 1).cast("int")).select("supplier", "frame", "seq", "title", "price", "has_buy_button")
 
 
@@ -33,6 +38,21 @@ S1 = """WITH g AS (SELECT l_suppkey AS supplier, l_linenumber, min(l_partkey) AS
     w AS (SELECT *, CASE WHEN supplier % 4 = 3 THEN 0 ELSE greatest(0, least(last, supplier % 9 - 1)) END AS wanted FROM p), l AS (SELECT supplier, frame, unnest(CASE WHEN supplier % 4 = 2 THEN [{'seq': 0, 'n': low}] ELSE [{'seq': 0, 'n': low}, {'seq': 1, 'n': high}] END) AS x FROM w WHERE frame = wanted)
     SELECT supplier, CAST(frame AS INTEGER) AS frame, x.seq, 'part ' || x.n AS title, x.n || '.50' AS price, x.n % 2 = 0 AS has_buy_button FROM l"""
 
+
+def s1_replayed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files' frames as a stream from the fifth on, one a trigger; each of four runs goes on where the one before ended."""
+    stream = stored.replay(frame_files(spark, sf_dir), 4).select("supplier", "step", "frame", "seq", "title", "price")
+    table = new_folder(spark, "replayed")
+    for _ in range(4):
+        rows = jobs.drain(stream, "replayed", table)
+    return rows
+
+
+S1_REPLAYED = """WITH g AS (SELECT l_suppkey AS supplier, l_linenumber, min(l_partkey) AS low, max(l_partkey) AS high FROM lineitem GROUP BY ALL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY l_linenumber) - 1 AS frame, CASE WHEN supplier % 4 = 3 THEN 0 ELSE count(*) OVER (PARTITION BY supplier) - 1 END AS last FROM g),
+    l AS (SELECT supplier, step, frame, unnest(CASE WHEN supplier % 4 = 2 THEN [{'seq': 0, 'n': low}] ELSE [{'seq': 0, 'n': low}, {'seq': 1, 'n': high}] END) AS x FROM p, (SELECT unnest(range(4, 8)) AS step) WHERE frame = least(last, step))
+    SELECT supplier, step, CAST(frame AS INTEGER) AS frame, x.seq, 'part ' || x.n AS title, x.n || '.50' AS price FROM l"""
+
 PROFILE = "https://x.com/someone"
 
 
@@ -101,5 +121,5 @@ def t2_blanked_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 T2 = f"WITH {OPS} SELECT seq, created_at, CASE WHEN created_at >= TIMESTAMP '2024-01-10 12:00:00' THEN error_class END AS error_class FROM ops"
 
-QUERIES = {f.__name__: f for f in (s1_stored_frames, s12_quarantine, s8_nested_sitemaps, t1_newest_by_partitions, t2_blanked_partitions)}
-ORACLE_SQL = {"s1_stored_frames": S1, "s12_quarantine": S12, "s8_nested_sitemaps": S8, "t1_newest_by_partitions": T1, "t2_blanked_partitions": T2}
+QUERIES = {f.__name__: f for f in (s1_stored_frames, s1_replayed_frames, s12_quarantine, s8_nested_sitemaps, t1_newest_by_partitions, t2_blanked_partitions)}
+ORACLE_SQL = {"s1_stored_frames": S1, "s1_replayed_frames": S1_REPLAYED, "s12_quarantine": S12, "s8_nested_sitemaps": S8, "t1_newest_by_partitions": T1, "t2_blanked_partitions": T2}

@@ -21,7 +21,7 @@ LISTED = [c.strip().split(" ") for c in LISTING.split(",") if c.split()[0] not i
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:
-    """(file, frame, seq and a listing's columns) of JSON documents, one a file: {"frames": [frame, …]}, [frame, …] or
+    """(file, n_frames, frame, seq and a listing's columns) of JSON documents, one a file: {"frames": [frame, …]}, [frame, …] or
     {"listings": [listing, …]}, where a frame is a list of listings, and in a bare list may be a single one.
 
     A document of another shape, or one that isn't JSON, has no frames. Values of another type than the column's are null.
@@ -30,16 +30,31 @@ def frames(spark: SparkSession, path: str) -> DataFrame:
     of = lambda where, kind: F.try_variant_get("v", where, kind)
     listings = of("$.listings", "array<variant>")
     shape = F.coalesce(of("$.frames", "array<variant>"), F.when(listings.isNotNull(), F.array(of("$.listings", "variant"))), of("$", "array<variant>"))
-    rows = documents.select("file", F.posexplode(shape).alias("frame", "content"))
+    rows = documents.select("file", F.size(shape).alias("n_frames"), F.posexplode(shape).alias("frame", "content"))
     listed = F.coalesce(F.try_variant_get("content", "$", "array<variant>"), F.array("content"))
-    rows = rows.select("file", "frame", F.posexplode(listed).alias("seq", "listing"))
-    return rows.select("file", "frame", "seq", *[F.coalesce(*[F.try_variant_get("listing", f"$.{n}", t) for n in dict.fromkeys((FIELDS.get(c, c), c))]).alias(c) for c, t in LISTED])
+    rows = rows.select("file", "n_frames", "frame", F.posexplode(listed).alias("seq", "listing"))
+    return rows.select("file", "n_frames", "frame", "seq", *[F.coalesce(*[F.try_variant_get("listing", f"$.{n}", t) for n in dict.fromkeys((FIELDS.get(c, c), c))]).alias(c) for c, t in LISTED])
 
 
 def at_frame(found: DataFrame, index: Column) -> DataFrame:
-    """The rows of each file's frame of this number; a number beyond the frames is the nearest that there is."""
-    last = found.groupBy("file").agg(F.max("frame").alias("last"))
-    return found.join(last, "file").where(F.col("frame") == F.greatest(F.lit(0), F.least(F.col("last"), F.coalesce(index, F.lit(0))))).drop("last")
+    """The rows of each file's frame of this number; a number beyond the frames is the nearest that there is. A frame without
+    listings has no rows, but counts."""
+    return found.where(F.col("frame") == nearest(index))
+
+
+def nearest(index: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.col("n_frames") - 1, F.coalesce(index, F.lit(0))))
+
+
+def replay(found: DataFrame, start: int = 0) -> DataFrame:
+    """Stored frames as a stream: its k-th trigger brings the frame start + k of each file (column `step`), and after a file's
+    last frame that one again. A stream that goes on from its checkpoint goes on with the next step.
+
+    The steps are a stream of one row a trigger, which is broadcast; the frames stay where they are.
+    """
+    steps = found.sparkSession.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    steps = F.broadcast(steps.select((F.col("value") + start).alias("step")))
+    return found.join(steps, F.col("frame") == nearest(F.col("step")))
 
 
 def checked_posts(spark: SparkSession, path: str, profile: str, method: Column | None = None) -> tuple[DataFrame, DataFrame]:

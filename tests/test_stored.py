@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from listingwatch.sources import stored
+from listingwatch.streaming import jobs
 
 
 def written(folder, **files):
@@ -29,6 +30,22 @@ def test_frames_of_all_shapes(spark, tmp_path):
     assert titles(99) == {("a", "y"), ("a", None), ("b", "two"), ("b", "three"), ("c", "l")}
 
 
+def test_an_empty_frame_counts(spark, tmp_path):
+    found = stored.frames(spark, written(tmp_path / "f", a='[[{"title": "x"}], [{"title": "y"}], []]', b='{"listings": []}'))
+    at = lambda n: [r["title"] for r in stored.at_frame(found, F.lit(n)).collect()]
+    assert (at(0), at(1), at(2), at(9)) == (["x"], ["y"], [], [])
+
+
+def test_replay_goes_on_by_a_frame_a_run(spark, tmp_path):
+    path = written(tmp_path / "f", a='[[{"title": "x"}, {"title": "x2"}], [], [{"title": "y"}]]', b='{"listings": [{"title": "l"}]}', c="not json")
+    stream = stored.replay(stored.frames(spark, path)).select("step", "frame", "title")
+    table, seen = f"file://{tmp_path}/replayed", []
+    for _ in range(4):
+        seen.append(sorted(tuple(r) for r in jobs.drain(stream, "replayed", table).collect()))
+    new = [sorted(set(b) - set(a)) for a, b in zip([[], *seen], seen)]
+    assert new == [[(0, 0, "l"), (0, 0, "x"), (0, 0, "x2")], [(1, 0, "l")], [(2, 0, "l"), (2, 2, "y")], [(3, 0, "l"), (3, 2, "y")]]
+
+
 def test_every_refused_post_has_its_reason(spark, tmp_path):
     lines = {
         '{"id": "1", "text": "t", "url": "https://x.com/a/1"}': None, '{"id": " 2 ", "text": "t"}': None, '{"id": "3", "text": "t", "url": "http://mobile.twitter.com/3"}': "wrong_host", '{"id": "4", "text": "t", "url": "https://www.x.com/4"}': None,
