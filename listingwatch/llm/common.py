@@ -110,6 +110,22 @@ def with_lowest(links: DataFrame, low: DataFrame, n: int) -> DataFrame:
     return rest.unionByName(links.join(hubs, "u"))
 
 
+def long_lists(entries: DataFrame, counts: DataFrame, keys: list[str], n: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """entries of an index (n in all) -> (those of lists of at most `block` entries, those of longer lists with the list's count).
+
+    counts: (keys, count) of the lists longer than block. Lists that hold a share of all entries, never more than 1 / SHARE,
+    are broadcast, so that their entries stay where they are; a task of the shuffle for the others gets no list that large.
+    """
+    large = max(block + 1, int(n * SHARE))
+    hot = F.broadcast(counts.where(F.col("count") >= large))
+    rest, dealt = entries.join(hot.select(*keys), keys, "left_anti"), entries.join(hot, keys)
+    if large > block + 1:  # else every long list is one of the broadcast ones
+        others = counts.where(F.col("count") < large)
+        dealt = dealt.unionByName(rest.join(others, keys))
+        rest = rest.join(others.select(*keys), keys, "left_anti")
+    return rest, dealt
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """Connected components of links (u, v: long), distributed: rows (node, root) with root the smallest node.
 

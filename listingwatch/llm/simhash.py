@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, group_starts, key_groups, map_rows, roots
+from .common import components, cut, group_starts, key_groups, long_lists, map_rows, roots
 
 BLOCK = 4_096
 #: Positional bytes in a key of the index; up to the guaranteed minimum of shared bytes.
@@ -164,10 +164,10 @@ def link_fingerprints(distinct: DataFrame, most: int = 4, block: int = BLOCK, gr
     index = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in chosen])).alias("mask", "m")).select("mask", F.expr("fp & m").alias("key"), "fp")
     long = cut(index.groupBy("mask", "key").count().where(F.col("count") > block), "simhash-long")
     has_long = bool(long.limit(1).count())
-    short = index.join(long.select("mask", "key"), ["mask", "key"], "left_anti") if has_long else index
+    short, lists = long_lists(index, long, ["mask", "key"], distinct.count() * len(chosen), block) if has_long else (index, None)
     links = short.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(link_lists(most), "u long, v long")
     if has_long:
-        dealt = index.join(long, ["mask", "key"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+        dealt = lists.withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         pairs = ["mask", "key", "lo", "hi"]
         dealt = dealt.select("mask", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp")
