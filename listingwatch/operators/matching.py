@@ -8,32 +8,64 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut
 
 
+#: What stands in a key for a product's null, and for any value.
+ABSENT, ANY = "absent", "any"
+ASKED = ("barcode", "sku", "model", "brand", "variant")
+
+
+def stated(value: Column) -> Column:
+    """A value as a part of a key, in which null is a value of its own."""
+    return F.coalesce(F.concat(F.lit("="), value), F.lit(ABSENT))
+
+
+def lookups(name: str) -> Column:
+    """The keys of the products that agree with a listing's value: equal ones and those without one; all, if the listing has none."""
+    return F.when(F.col(name).isNull(), F.array(F.lit(ANY))).otherwise(F.array(stated(F.lower(name)), F.lit(ABSENT)))
+
+
+def counted(products: DataFrame, same: dict[str, Column], optional: tuple[str, str]) -> DataFrame:
+    """(the names of same, a, b, n, first): how many products have these values, and the first; the two optional values stand
+    under their own key and under ANY."""
+    row = [c.alias(name) for name, c in same.items()] + [stated(F.lower(c)).alias(x) for c, x in zip(optional, "ab", strict=True)]
+    found = products.groupBy(*row).agg(F.count("*").alias("n"), F.min("product_id").alias("first"))
+    for x in "ab":
+        found = found.withColumn(x, F.explode(F.array(x, F.lit(ANY))))
+    return found.groupBy(*same, "a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def match_products(listings: DataFrame, products: DataFrame) -> DataFrame:
     """Listings against a frozen product snapshot: barcode first, then SKU, then model with variant.
 
     listings: (listing_id, barcode, sku, model, brand, variant), products: the same with product_id. A barcode takes the
-    first product; SKU and model need exactly one candidate. Each key is an equi-join of its own, with products that agree in
-    all that is compared counted beforehand, so that a common key doesn't multiply listings by products.
+    first product; SKU and model need exactly one candidate. Listings that ask the same are resolved once. What may be absent
+    on either side is written into the keys: products are counted under their values and under ANY, and whoever asks looks up
+    six keys at most. So each join is on whole keys, with one row a key, and a common SKU or model multiplies nothing.
     """
-    columns = ("sku", "model", "brand", "variant")
-    p = products.select(*[F.col(c).alias(f"p_{c}") for c in ("barcode", *columns)], "product_id").withColumn("p_brand", F.lower("p_brand"))
-    agrees = lambda c: F.col(c).isNull() | F.col(f"p_{c}").isNull() | (F.lower(c) == F.lower(f"p_{c}"))
-
-    def counted(*names: str) -> DataFrame:
-        return p.where(F.col(f"p_{names[0]}").isNotNull()).groupBy(*[f"p_{c}" for c in names]).agg(F.count("*").alias("n"), F.min("product_id").alias("first"))
-
-    barcode = listings.join(p.groupBy("p_barcode").agg(F.min("product_id").alias("by_barcode")), F.col("barcode") == F.col("p_barcode"))
-    barcode = barcode.select("listing_id", "by_barcode")
-    sku = listings.join(counted("sku", "model", "brand"), F.col("sku") == F.col("p_sku")).where(agrees("model") & agrees("brand"))
-    sku = sku.groupBy("listing_id").agg(F.sum("n").alias("n"), F.min("first").alias("by_sku")).where("n = 1").drop("n")
-    same = (F.col("model") == F.col("p_model")) & F.col("variant").eqNullSafe(F.col("p_variant"))
-    candidates = listings.join(counted("model", "variant", "sku", "brand"), same).where(agrees("sku"))
-    fits = agrees("brand")
-    model = candidates.groupBy("listing_id").agg(F.sum("n").alias("n"), F.sum(F.when(fits, F.col("n"))).alias("n_fit"), F.min(F.when(fits, F.col("first"))).alias("by_model"), F.max("brand").alias("brand"))
-    model = model.where("n_fit = 1 and (n = 1 or brand is not null)").select("listing_id", "by_model")
-    joined = listings.select("listing_id").join(barcode, "listing_id", "left").join(sku, "listing_id", "left").join(model, "listing_id", "left")
+    asked = cut(listings.select(*ASKED).distinct(), "asked")
+    barcode = asked.join(products.where("barcode is not null").groupBy("barcode").agg(F.min("product_id").alias("by_barcode")), "barcode").select(*ASKED, "by_barcode")
+    by = lambda rows, kinds, value: rows.groupBy(*ASKED).agg(*kinds).where(value)
+    keys = asked.where("sku is not null").withColumn("a", F.explode(lookups("model"))).withColumn("b", F.explode(lookups("brand")))
+    sku = keys.join(counted(products.where("sku is not null"), {"sku": F.col("sku")}, ("model", "brand")), ["sku", "a", "b"])
+    sku = by(sku, [F.sum("n").alias("n"), F.min("first").alias("by_sku")], "n = 1").drop("n")
+    # an absent variant is equal to an absent one only; under ANY stand all candidates, and a listing without a brand agrees with those
+    keys = asked.where("model is not null").withColumn("same_variant", stated(F.col("variant"))).withColumn("a", F.explode(lookups("sku")))
+    keys = keys.withColumn("b", F.explode(F.array_distinct(F.concat(F.array(F.lit(ANY)), lookups("brand")))))
+    model = keys.join(counted(products.where("model is not null"), {"model": F.col("model"), "same_variant": stated(F.col("variant"))}, ("sku", "brand")), ["model", "same_variant", "a", "b"])
+    every, fits = F.col("b") == ANY, (F.col("b") != ANY) | F.col("brand").isNull()
+    counts = [F.sum(F.when(every, F.col("n"))).alias("n"), F.sum(F.when(fits, F.col("n"))).alias("n_fit"), F.min(F.when(fits, F.col("first"))).alias("by_model")]
+    model = by(model, counts, (F.col("n_fit") == 1) & ((F.col("n") == 1) | F.col("brand").isNotNull())).drop("n", "n_fit")
+    of = asked
+    for found in (barcode, sku, model):
+        of = joined_same(of, found)
     how = F.when(F.col("by_barcode").isNotNull(), "barcode").when(F.col("by_sku").isNotNull(), "sku").when(F.col("by_model").isNotNull(), "model")
-    return joined.select("listing_id", F.coalesce("by_barcode", "by_sku", "by_model").alias("product_id"), how.alias("matched_by"))
+    of = cut(of.select(*ASKED, F.coalesce("by_barcode", "by_sku", "by_model").alias("product_id"), how.alias("matched_by")).where("matched_by is not null"), "resolved")
+    return joined_same(listings.select("listing_id", *ASKED), of).select("listing_id", "product_id", "matched_by")
+
+
+def joined_same(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with found's other columns where all of ASKED are the same, absent ones included."""
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ASKED]
+    return rows.alias("l").join(found.alias("r"), same, "left").select("l.*", *[f"r.{c}" for c in found.columns if c not in ASKED])
 
 
 def resolve_known(listings: DataFrame, offers: DataFrame, products: DataFrame) -> DataFrame:

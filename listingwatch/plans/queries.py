@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import classify, community, matching, rules, timeline
+from ..sources.tables import cut
 from . import oracle
 from .views import feed, observations, operations, table
 
@@ -92,9 +93,8 @@ def n6_page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n15_listing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed(spark, sf_dir).select(
-        "listing_id", text.model_code(F.col("model_text")).alias("model"), text.variant_key(F.col("title")).alias("variant"), text.barcode(F.col("barcode")).alias("barcode"), text.sku(F.col("sku")).alias("sku"), text.alias_form(F.col("title")).alias("alias")
-    )
+    fields = {"model": text.model_code(F.col("model_text")), "variant": text.variant_key(F.col("title")), "sku_key": text.sku(F.col("sku")), "alias": text.alias_form(F.col("title"))}
+    return feed(spark, sf_dir, **fields).select("listing_id", "model", "variant", text.barcode(F.col("barcode")).alias("barcode"), F.col("sku_key").alias("sku"), "alias")
 
 
 def n14_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +110,22 @@ def c7_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("listing_id", "a.state", "a.confidence", "a.locale", "excluded")
 
 
+def keyed_listings(spark, sf_dir):
+    """The feed with the keys that listings are resolved by. They depend on the part, but for the barcode, and so are made once a part."""
+    keys = {"sku_key": text.sku(F.col("sku")), "model": text.model_code(F.col("model_text")), "variant": text.variant_key(F.col("title"))}
+    found = feed(spark, sf_dir, **keys)
+    return found.select("listing_id", "source_id", "part", text.barcode(F.col("barcode")).alias("barcode"), F.col("sku_key").alias("sku"), "model", "brand", "variant")
+
+
 def i3_product_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = feed(spark, sf_dir).select(
-        "listing_id", "source_id", "part", text.barcode(F.col("barcode")).alias("barcode"), text.sku(F.col("sku")).alias("sku"), text.model_code(F.col("model_text")).alias("model"), "brand", text.variant_key(F.col("title")).alias("variant")
-    )
-    known = found.withColumn("row", F.struct("listing_id", "barcode", "sku", "model", "brand", "variant"))
-    products = known.groupBy("part").agg(F.min("row").alias("row")).select(F.col("part").alias("product_id"), "row.barcode", "row.sku", "row.model", "row.brand", "row.variant")
-    return matching.match_products(found, products)
+    found = cut(keyed_listings(spark, sf_dir), "listings")
+    return matching.match_products(found, first_products(found))
+
+
+def first_products(found: DataFrame) -> DataFrame:
+    """Each part as a product with the keys of its first listing."""
+    first = found.groupBy("part").agg(F.min(F.struct("listing_id", "barcode", "sku", "model", "brand", "variant")).alias("row"))
+    return first.select(F.col("part").alias("product_id"), "row.barcode", "row.sku", "row.model", "row.brand", "row.variant")
 
 
 def watched_context(spark, sf_dir):
