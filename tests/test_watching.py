@@ -206,3 +206,14 @@ def test_catalog_backfill(spark):
     assert rows(catalog.source_classes(sources, spark.createDataFrame([("a.com", "official")], "site string, source_class string")), "site", "source_class") == [("a.com", "official"), ("b.com", "retailer"), (None, "retailer")]
     listings = spark.createDataFrame([(1, None, "Ring  thing", "en"), (2, None, "ring thing", "en"), (3, "BX-01", "ring", "en"), (4, None, "other", "en")], "seq int, model string, title string, locale string")
     assert rows(catalog.term_queue(catalog.unidentified(listings, "ring")), "kind", "term", "occurrences") == [("catalog_identity", "ring thing", 2)]
+
+
+def test_pairs_of_alerts_meet_without_repeats(spark):
+    """What is told under one id of two subjects is still told once; all others need no pass over the pairs."""
+    events = spark.createDataFrame([(1, 5, "price_change", None), (1, 5, "price_change", None), (1, 6, "price_change", None), (2, 6, "price_change", None)], "event_id int, product_id int, type string, to_state string")
+    matches = spark.createDataFrame([(9, 5), (9, 6), (8, 6)], "rule_id int, product_id int")
+    wanted = spark.createDataFrame([(9, "price_anomaly"), (8, "price_anomaly")], "rule_id int, alert_type string")
+    none = spark.createDataFrame([], "dedup_key string")
+    assert [r.dedup_key for r in watch.alerts(events, matches, wanted, none).orderBy("dedup_key").collect()] == [f"watch:{r}:event:{e}:price_anomaly" for r, e in ((8, 1), (8, 2), (9, 1), (9, 2))]
+    plan = watch.alerts(events.where("event_id = 2"), matches, wanted, none)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [dedup_key" not in plan
