@@ -144,13 +144,18 @@ def fresh_posts(posts: DataFrame, delay: str) -> DataFrame:
     return rows.withWatermark("posted_at", delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def read_parquet(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
-    """A folder of Parquet files, or one file, as a stream of micro-batches of so many files.
+def read_parquet(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A folder of Parquet files, or one file, as a stream: one micro-batch of all that is there, or micro-batches of so many files.
 
-    The path is written as a pattern that fits only itself: Spark takes a plain path for a folder.
+    A table's files are in no order of time: cut into micro-batches, rows of a later one are late for the watermark that an
+    earlier one has left. `files` is for folders whose files came one after the other. The path is written as a pattern that
+    fits only itself: Spark takes a plain path for a folder.
     """
     path = path.rstrip("/")
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, name: str, table: str | None = None, mode: str = "append") -> DataFrame:
@@ -167,7 +172,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Retention(StatefulProcessor):
-    """State of one content: the post that is kept for it, and until when; the timer of that time ends both."""
+    """State of one content: the post that is kept for it, and until when; a timer of the next millisecond ends both, as timers
+    go off when the watermark has come to their time, and a post ends when it has passed."""
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -187,9 +193,9 @@ class Retention(StatefulProcessor):
                 out.append((key[0], post_id, at, "kept"))
         if kept != before:
             if before is not None:
-                self.handle.deleteTimer(before[1])
+                self.handle.deleteTimer(before[1] + 1)
             self.kept.update(kept)
-            self.handle.registerTimer(kept[1])
+            self.handle.registerTimer(kept[1] + 1)
         yield pd.DataFrame(out, columns=["fingerprint", "post_id", "at", "what"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -164,5 +164,29 @@ def test_retention_goes_on_over_restarts(spark, tmp_path):
     assert got == [(1, "deleted", 7), (1, "kept", 0), (3, "kept", 1), (5, "deleted", 15), (5, "kept", 8), (6, "deleted", 16), (6, "kept", 9), (7, "kept", 40)]
 
 
+def test_retention_of_a_table_in_many_files_without_order(spark, tmp_path):
+    rng = random.Random(8)
+    start = datetime.datetime(2024, 1, 1)
+    posts = [(i, start + datetime.timedelta(hours=rng.randrange(720)), f"text {i % 3}", 7) for i in range(70)]
+    ends = datetime.timedelta(days=7)
+    posts += [(70, start + datetime.timedelta(days=40) - ends, "ends with the watermark", 7), (71, start + datetime.timedelta(days=40, hours=1), "newest", 7)]
+    path = f"file://{tmp_path}/posts"
+    for part in range(2):
+        spark.createDataFrame(posts[part::2], "post_id long, posted_at timestamp, text string, retention_days int").repartition(36, "post_id").write.option("maxRecordsPerFile", 1).mode("append").parquet(path)
+    assert spark.read.parquet(path).select("_metadata.file_name").distinct().count() > 64
+    out = jobs.drain(jobs.retained_posts(jobs.read_parquet(spark, path)), "kept", str(tmp_path / "kept"))
+    expected, kept = set(), {}
+    for i, at, text, _ in sorted(posts, key=lambda p: (p[1], p[0])):
+        if text in kept and at < kept[text][1] + ends:
+            continue
+        if text in kept:
+            expected.add((kept[text][0], kept[text][1] + ends, "deleted"))
+        kept[text] = (i, at)
+        expected.add((i, at, "kept"))
+    watermark = max(p[1] for p in posts) - datetime.timedelta(hours=1)
+    expected |= {(i, at + ends, "deleted") for i, at in kept.values() if at + ends < watermark}
+    assert {(r["post_id"], r["at"], r["what"]) for r in out.collect()} == expected
+
+
 def test_registered_names():
     assert set(carrying.ORACLE_SQL) == set(carrying.QUERIES)
