@@ -7,7 +7,8 @@ import json
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,10 +71,26 @@ def product_of(html: str | None) -> tuple:
     return (None,) * len(PRODUCT)
 
 
-@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in PRODUCT]))
-def structured_product(html: pd.Series) -> pd.DataFrame:
+def read_once(read, names: list[str], *columns: pa.Array) -> pa.Array:
+    """Structs of what `read` gives, as texts under the names, for the rows of a batch; equal rows are read once."""
+    coded = [column.dictionary_encode(null_encoding="encode") for column in columns]
+    key = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in coded:
+        key = key * len(c.dictionary) + c.indices.to_numpy()
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    found = [read(*row) for row in zip(*[column.take(pa.array(first)).to_pylist() for column in columns])]
+    fields = zip(*found) if found else [()] * len(names)
+    return pa.StructArray.from_arrays([pa.array(field, pa.string()) for field in fields], names).take(pa.array(which))
+
+
+def texts(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in names])
+
+
+@F.arrow_udf(texts(*PRODUCT))
+def structured_product(html: pa.Array) -> pa.Array:
     """The page's first Product of JSON-LD; every field null where there is none."""
-    return pd.DataFrame([product_of(h) for h in html], columns=list(PRODUCT))
+    return read_once(product_of, list(PRODUCT), html)
 
 
 def title_of(html: Column) -> Column:
@@ -284,9 +301,10 @@ class Selected(HTMLParser):
     def chosen(self, paths: list) -> bool:
         """Whether the innermost open element ends a path whose other steps fit elements around it, in order."""
         for path in paths:
-            *outer, last = path
+            if not fits(path[-1], *self.open[-1]):
+                continue
             around = iter(self.open[:-1])
-            if fits(last, *self.open[-1]) and all(any(fits(step, *e) for e in around) for step in outer):
+            if all(any(fits(step, *e) for e in around) for step in path[:-1]):
                 return True
         return False
 
@@ -331,10 +349,27 @@ def selected(html: str | None, recipe: str | None) -> tuple:
     return (*[(reader.found.get(n) or "").strip() or None for n in SELECTED[:-1]], button)
 
 
-@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in SELECTED]))
-def selected_fields(html: pd.Series, recipe: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(texts(*SELECTED))
+def selected_fields(html: pa.Array, recipe: pa.Array) -> pa.Array:
     """What a recipe (JSON of field to selector) finds on a page: steps of `fits`, descendants by spaces, choices by commas."""
-    return pd.DataFrame([selected(h, r) for h, r in zip(html, recipe)], columns=list(SELECTED))
+    return read_once(selected, list(SELECTED), html, recipe)
+
+
+def parsed(html: str | None, recipe: str | None) -> tuple:
+    """The fields of the page's structured data, then those that the recipe finds. It is asked only where there is no product
+    or it lacks title, price or availability."""
+    product = product_of(html)
+    title, price, raw = (product[PRODUCT.index(name)] for name in ("title", "price", "availability_raw"))
+    return product + selected(html if title is None or price is None or not raw else None, recipe)
+
+
+PARSED = [f"p_{name}" for name in PRODUCT] + [f"c_{name}" for name in SELECTED]
+
+
+@F.arrow_udf(texts(*PARSED))
+def parsed_fields(html: pa.Array, recipe: pa.Array) -> pa.Array:
+    """`parsed` of pages and their recipes (JSON of field to selector)."""
+    return read_once(parsed, PARSED, html, recipe)
 
 
 def parsed_pages(pages: DataFrame, recipes: DataFrame) -> DataFrame:
@@ -342,16 +377,18 @@ def parsed_pages(pages: DataFrame, recipes: DataFrame) -> DataFrame:
 
     pages: (page_id, source_id, html), recipes: (source_id, recipe). The recipe is asked only where there is no product or it
     lacks title, price or availability; it fills blanks, but its availability text and button are always taken. raw_text is
-    the product's title and the beginning of its description, without a product the page's title.
+    the product's title and the beginning of its description, without a product the page's title. Recipes, one a source, go to
+    the pages, which are wide and stay in their partitions: equal ones of a partition are brought together and read once a batch.
     """
-    joined = pages.join(recipes.select("source_id", "recipe"), "source_id", "left").withColumn("p", structured_product("html"))
-    lacking = F.col("p.title").isNull() | F.col("p.price").isNull() | F.coalesce(F.col("p.availability_raw") == "", F.lit(True))
-    rows = joined.withColumn("c", selected_fields(F.when(lacking, F.col("html")), F.col("recipe")))
-    filled = lambda c: F.coalesce(F.nullif(F.col(f"p.{c}"), F.lit("")), F.col(f"c.{c}")).alias(c)
-    is_product = F.coalesce(*[F.col(f"p.{c}") for c in PRODUCT]).isNotNull()
-    title = F.coalesce(F.nullif("p.title", F.lit("")), "c.title")
-    about = F.trim(F.concat_ws(" ", title, F.substring("p.description", 1, 300)))
+    # Spark drops an order that pages came with at the join
+    joined = pages.join(F.broadcast(recipes.select("source_id", "recipe")), "source_id", "left").sortWithinPartitions(F.xxhash64("html"))
+    rows = joined.withColumn("f", parsed_fields("html", "recipe"))
+    filled = lambda c: F.coalesce(F.nullif(F.col(f"f.p_{c}"), F.lit("")), F.col(f"f.c_{c}")).alias(c)
+    is_product = F.coalesce(*[F.col(f"f.p_{c}") for c in PRODUCT]).isNotNull()
+    title = F.coalesce(F.nullif("f.p_title", F.lit("")), "f.c_title")
+    about = F.trim(F.concat_ws(" ", title, F.substring("f.p_description", 1, 300)))
+    own = lambda c: F.col(f"f.p_{c}").alias(c)
     return rows.select(
-        "page_id", "source_id", filled("title"), F.coalesce("p.price", "c.price").alias("price"), filled("currency"), F.col("p.availability_raw").alias("availability_raw"), F.col("c.availability_text").alias("availability_text"),
-        F.col("c.buy_button").cast("boolean").alias("has_buy_button"), "p.brand", "p.barcode", "p.sku", F.when(is_product, about).otherwise(title_of(F.col("html"))).alias("raw_text"),
+        "page_id", "source_id", filled("title"), F.coalesce("f.p_price", "f.c_price").alias("price"), filled("currency"), own("availability_raw"), F.col("f.c_availability_text").alias("availability_text"),
+        F.col("f.c_buy_button").cast("boolean").alias("has_buy_button"), own("brand"), own("barcode"), own("sku"), F.when(is_product, about).otherwise(title_of(F.col("html"))).alias("raw_text"),
     )

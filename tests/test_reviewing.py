@@ -3,10 +3,12 @@
 import uuid
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from listingwatch.functions import text, urls
 from listingwatch.operators import catalog, classify, community, discovery, frontier, identity, operations, pages, watch
+from listingwatch.plans import views
 from listingwatch.streaming import jobs
 
 
@@ -151,3 +153,20 @@ def test_expiry_timer(spark, tmp_path):
         seen.append(rows(jobs.drain(jobs.freshness_changes(stream, 600, "1 minute"), "f", table), "offer_id", "freshness", F.minute("at")))
     assert seen[0] == sorted([(1, "fresh", 0), (1, "stale", 11), (2, "fresh", 0), (2, "stale", 10), (2, "fresh", 20)], key=repr)
     assert seen[1] == sorted([*seen[0], (2, "stale", 30), (2, "fresh", 50), (4, "fresh", 50)], key=repr)
+def test_equal_pages_of_a_batch_are_read_once():
+    read = []
+    rows = [(h, r) for h in ("<b>1</b>", "<b>2</b>", None) for r in ('{"title": "b"}', None)] * 50
+    columns = [pa.array(column, pa.string()) for column in zip(*rows)]
+    found = pages.read_once(lambda html, recipe: read.append((html, recipe)) or pages.parsed(html, recipe), pages.PARSED, *columns)
+    assert found.field("c_title").to_pylist() == ["1", None, "2", None, None, None] * 50
+    assert sorted(read, key=repr) == sorted(set(rows), key=repr)
+    assert len(pages.read_once(pages.parsed, pages.PARSED, *[c.slice(0, 0) for c in columns])) == 0
+
+
+def test_listings_of_a_part_follow_each_other(spark):
+    rows = lambda together: views.feed(spark, "/root/testdata/sf0.001", together)
+    parts = rows(True).select(F.spark_partition_id().alias("at"), "part").collect()
+    assert sum(a != b for a, b in zip(parts, parts[1:])) + 1 == len({r["part"] for r in parts})
+    assert sorted(map(tuple, rows(True).collect()), key=str) == sorted(map(tuple, rows(False).collect()), key=str)
+
+
