@@ -106,7 +106,7 @@ def n14_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c7_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     found = classify.availability(F.col("availability_raw"), F.col("availability_text"), F.col("title"), none, F.col("has_buy_button"), F.col("price"))
-    rows = feed(spark, sf_dir).select("listing_id", found.alias("a"), classify.exclusion_reason(F.col("title"), F.col("availability_text")).alias("excluded"))
+    rows = feed(spark, sf_dir, of_stated={"a": found, "excluded": classify.exclusion_reason(F.col("title"), F.col("availability_text"))})
     return rows.select("listing_id", "a.state", "a.confidence", "a.locale", "excluded")
 
 

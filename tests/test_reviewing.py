@@ -163,6 +163,13 @@ def test_equal_pages_of_a_batch_are_read_once():
     assert len(pages.read_once(pages.parsed, pages.PARSED, *[c.slice(0, 0) for c in columns])) == 0
 
 
+def test_what_depends_on_a_stated_text_is_made_once_a_text(spark):
+    made, sf_dir = F.concat_ws(":", "part", F.coalesce("availability_text", F.lit("none"))), "/root/testdata/sf0.001"
+    got = views.feed(spark, sf_dir, of_stated={"made": made})
+    expected = views.feed(spark, sf_dir).withColumn("made", made)
+    assert sorted(map(tuple, got.select(*expected.columns).collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+
+
 def test_listings_of_a_part_follow_each_other(spark):
     rows = lambda together: views.feed(spark, "/root/testdata/sf0.001", together)
     parts = rows(True).select(F.spark_partition_id().alias("at"), "part").collect()
