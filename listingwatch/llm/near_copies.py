@@ -1,12 +1,14 @@
-"""The pipeline's near-dedup: operator 2's SimHash over sets of five-word shingles, verified by Jaccard similarity.
-
-At similarity 0.8 a fingerprint's bits differ with probability acos(8 / 9) / pi = 0.15 at most, more than one in a byte, so
-that no number of equal bytes is certain and operator 2's guarantee can't be had. Here a fingerprint has 64 byte positions, and
-the index an entry for each: the position, its byte, and the smallest of the text's shingles under three orders of its own.
-Two texts of similarity s share a byte with probability 0.27 (at 0.8) and the three smallest shingles with s ** 3, so an entry
-with 0.14; one of the 64 at least with 0.9999. Texts that have no shingle in common never meet, so that entries don't fill up
-as the corpus grows, as those of bytes alone would. Pairs that meet and differ in at most MOST of the first 256 bits (3.4
-standard deviations at 0.8; MOST_SHORT where both texts have less than SHORT shingles, whose bits vary more) are candidates.
+"""The pipeline's near-dedup: operator 2's method over sets of five-word shingles, verified by Jaccard similarity.
+
+SimHash, a byte-position inverted index, count filtering, and a check on the bits. At similarity 0.8 a fingerprint's bits differ
+with probability acos(8 / 9) / pi = 0.15 at most, more than one in a byte, so that no number of equal bytes is certain and
+operator 2's guarantee can't be had; numbers are chosen so that a pair at 0.8 is missed about once in two thousand. A fingerprint has
+128 positional bytes. As in operator 2 a list of the index goes by more than one of them: by two neighbours in a ring, for
+the 128 pairs of neighbours, and for short texts, whose bits vary more, by further pairs. A byte is shared with
+probability 0.27 at 0.8, so one of the 128 lists at least is with 0.9996. In each list the shared ones of the first 32 bytes are
+tallied, pairs that reach SHARED are retained, and those that differ in at most MOST of these 256 bits (4.4 standard
+deviations at 0.8; MOST_SHORT where both texts have less than SHORT shingles) are candidates. A list is sorted by the number of
+shingles, and only texts whose numbers allow the similarity are compared.
 
 Candidates are not listed, as a crowd of similar texts has any number of them. An entry returns a spanning forest of its
 candidates; the forests' components are clusters. Within a cluster all whole shingle sets are compared where they lie, so
@@ -28,14 +30,19 @@ from .simhash import _BITS, SMALL, _thin, forest
 
 SHINGLE = 5
 LEAST = 0.8
-MOST, MOST_SHORT, SHORT = 58, 72, 64
+MOST, MOST_SHORT, SHORT = 64, 80, 64
+#: The least number of shared bytes among the first 32: at 0.8 none is shared once in 20,000 pairs, of two that don't belong together in 88 of 100.
+SHARED = 1
 BLOCK = 2_048
 #: Shingles of a cluster that one task compares.
 SET_BLOCK = 600_000
-POSITIONS = 64
+POSITIONS = 128
 NODE = ["node", "n", "f0", "f1", "f2", "f3"]
-#: Odd multipliers: each orders the shingles' hashes anew. A position takes three of the smallest; neighbours share one.
-ORDERS = np.random.default_rng(2).integers(0, 2**63, 2 * POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Pairs of byte positions that a list goes by: of all texts, and of those with up to VERY_SHORT shingles besides.
+PAIRS = np.array([(p, (p + 1) % POSITIONS) for p in range(POSITIONS)])
+MORE_PAIRS = np.array([(p, (p + d) % POSITIONS) for d in (5, 19) for p in range(POSITIONS)])
+VERY_SHORT = 16
+
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -58,7 +65,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(found: np.ndarray) -> np.ndarray:
-    """512 bits as bytes: a bit is the majority of the shingles' bits."""
+    """1,024 bits as bytes: a bit is the majority of the shingles' bits."""
     counts = np.zeros((POSITIONS, 256), np.int64)
     for at in range(0, len(found), 8_192):
         x = _mix(found[at : at + 8_192, None] + np.arange(1, POSITIONS // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -66,33 +73,26 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
     return np.packbits((counts.astype(np.float64) @ _BITS.astype(np.float64)).ravel() * 2 > len(found), bitorder="little")
 
 
-def index_keys(found: np.ndarray, octets: np.ndarray) -> np.ndarray:
-    """A position's key: its number, its byte and three smallest shingles, hashed."""
-    low = np.full(len(ORDERS), 2**64 - 1, np.uint64)
-    for at in range(0, len(found), 8_192):
-        np.minimum(low, (found[at : at + 8_192, None] * ORDERS).min(0), out=low)
-    own = np.stack([low[0::2], low[1::2], np.roll(low[0::2], -1), octets.astype(np.uint64), np.arange(POSITIONS, dtype=np.uint64)])
-    key = np.zeros(POSITIONS, np.uint64)
-    for part in own:
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + part)
-    return key.view(np.int64)
+def index_keys(octets: np.ndarray, pairs: np.ndarray, first: int = 0) -> np.ndarray:
+    """The lists of fingerprints (a row of bytes each): a pair of positions by its number, and the two bytes there."""
+    number = np.arange(first, first + len(pairs), dtype=np.int64)
+    return (number << 16) | (octets[:, pairs[:, 0]].astype(np.int64) << 8) | octets[:, pairs[:, 1]]
 
 
 def prints(b: dict) -> dict:
-    """node: a hash of the shingle set, n: its size, wide: the first 256 bits and the keys of the index."""
+    """node: a hash of the shingle set, n: its size, wide: the fingerprint."""
     sets = [shingles(t) for t in b["text"]]
-    wide = []
-    for s in sets:
-        octets = fingerprint(s)
-        wide.append(octets[:32].tobytes() + index_keys(s, octets).tobytes())
     node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-    return {"node": node, "n": [len(s) for s in sets], "wide": wide}
+    return {"node": node, "n": [len(s) for s in sets], "wide": [fingerprint(s).tobytes() for s in sets]}
 
 
-def _split(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Bits (four words a row) and keys of the column wide."""
-    words = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.int64).reshape(-1, 4 + POSITIONS)
-    return words[:, :4], words[:, 4:]
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, rows, bits): which lists the rows of a batch are in, and the first 256 bits of each row as four words."""
+    octets = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+    short = np.flatnonzero(batch.column("n").to_numpy() <= VERY_SHORT)
+    keys = np.concatenate([index_keys(octets, PAIRS).ravel(), index_keys(octets[short], MORE_PAIRS, len(PAIRS)).ravel()])
+    rows = np.concatenate([np.repeat(np.arange(len(octets)), len(PAIRS)), np.repeat(short, len(MORE_PAIRS))])
+    return keys, rows, np.ascontiguousarray(octets[:, :32]).view(np.int64)
 
 
 def _entries(batches):
@@ -100,33 +100,40 @@ def _entries(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 1_024):
             part = batch.slice(at, 1_024)
-            bits, keys = _split(part)
+            keys, rows, bits = _lists(part)
             columns = [part.column(c).to_numpy() for c in NODE[:2]] + [bits[:, i] for i in range(4)]
-            columns = [pa.array(keys.ravel())] + [pa.array(np.repeat(c, POSITIONS)) for c in columns]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(c[rows]) for c in columns]], schema=schema)
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which rows of x and y (broadcast; columns as NODE) are candidates: sizes that allow LEAST, and few differing bits."""
-    bits = np.bitwise_count((x[..., 2:] ^ y[..., 2:]).view(np.uint64)).sum(-1, dtype=np.int64)
-    more = np.maximum(x[..., 1], y[..., 1])
-    return (bits <= np.where(more < SHORT, MOST_SHORT, MOST)) & (np.minimum(x[..., 1], y[..., 1]) >= LEAST * more)
+    """Which rows of x and y (columns as NODE) are candidates: sizes that allow LEAST, enough shared bytes, and few differing bits."""
+    more, less = np.maximum(x[:, 1], y[:, 1]), np.minimum(x[:, 1], y[:, 1])
+    hit = np.flatnonzero(less >= LEAST * more)
+    short = more[hit] < SHORT
+    apart = np.ascontiguousarray(x[hit, 2:] ^ y[hit, 2:])
+    shared = (apart.view(np.uint8) == 0).sum(1) >= SHARED
+    hit, short, apart = hit[shared], short[shared], apart[shared]
+    found = np.zeros(len(x), bool)
+    found[hit] = np.bitwise_count(apart.view(np.uint64)).sum(1, dtype=np.int64) <= np.where(short, MOST_SHORT, MOST)
+    return found
 
 
 def _within(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the candidates among rows."""
+    """A spanning forest of the candidates among rows sorted by n: no row is compared with one too large for LEAST."""
     found = [(np.empty(0, np.int64),) * 2]
     for at in range(0, len(x), 128):
-        a, b = np.nonzero(_near(x[at : at + 128, None], x[None, at:]))
-        keep = a < b
-        found.append((a[keep] + at, b[keep] + at))
+        end = np.searchsorted(x[:, 1], x[min(at + 127, len(x) - 1), 1] / LEAST, "right")
+        a, b = np.triu_indices(min(128, end - at), 1, end - at)
+        a, b = a + at, b + at
+        keep = _near(x[a], x[b])
+        found.append((a[keep], b[keep]))
         if len(found) > 16:
             found = [_thin(len(x), found)]
     return _thin(len(x), found)
 
 
 def _link_entries(keys: list[str]):
-    """Entries sorted by keys -> links (u, v) between candidates, a spanning forest of each entry's."""
+    """Entries sorted by keys and n -> links (u, v) between candidates, a spanning forest of each list's."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
@@ -156,24 +163,24 @@ def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     pairs of blocks."""
     types = ", ".join(f"{c} long" for c in ["key", *NODE])
     entries = nodes.select(*NODE[:2], "wide").mapInArrow(_entries, types)
-    keys = nodes.select("wide").mapInArrow(_keys, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+    keys = nodes.select("n", "wide").mapInArrow(_keys, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
     long = cut(keys.where(F.col("count") > block), "near-long")
     has_long = bool(long.limit(1).count())
-    short, lists = long_lists(entries, long, ["key"], nodes.count() * POSITIONS, block) if has_long else (entries, None)
-    links = short.repartition("key").sortWithinPartitions("key").mapInArrow(_link_entries(["key"]), "u long, v long")
+    short, lists = long_lists(entries, long, ["key"], nodes.count() * len(PAIRS), block) if has_long else (entries, None)
+    links = short.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_link_entries(["key"]), "u long, v long")
     if has_long:
         dealt = lists.withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *NODE)
         pairs = ["key", "lo", "hi"]
-        links = links.union(dealt.repartition(*pairs).sortWithinPartitions(*pairs).mapInArrow(_link_entries(pairs), "u long, v long"))
+        links = links.union(dealt.repartition(*pairs).sortWithinPartitions(*pairs, "n").mapInArrow(_link_entries(pairs), "u long, v long"))
     return links.distinct()
 
 
 def _keys(batches):
     """How often each key of the index occurs in a batch."""
     for batch in batches:
-        key, count = np.unique(_split(batch)[1], return_counts=True)
+        key, count = np.unique(_lists(batch)[0], return_counts=True)
         yield pa.RecordBatch.from_pydict({"key": key, "count": count}, schema=pa.schema([("key", pa.int64()), ("count", pa.int64())]))
 
 

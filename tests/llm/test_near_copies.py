@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from listingwatch.llm import common, near_copies
@@ -65,3 +67,23 @@ def test_rows_that_share_a_doc_id(spark):
     rows = [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (3, b + " stop"), (None, a), (None, b)]
     out = near_copies.drop_copies(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in out) == sorted([(1, a), (2, b), (0, a), (0, b)])
+
+
+def test_index_lists_go_by_bytes_of_the_fingerprint():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 2**40, n)) for n in (9, 300)]
+    found = near_copies.prints({"text": texts})
+    batch = pa.RecordBatch.from_pydict({"node": found["node"], "n": pa.array(found["n"], pa.int64()), "wide": found["wide"]})
+    entries = pa.Table.from_batches(near_copies._entries([batch])).to_pylist()
+    pairs = np.concatenate([near_copies.PAIRS, near_copies.MORE_PAIRS]).tolist()
+    for node, octets, lists in zip(found["node"].tolist(), found["wide"], (len(pairs), len(near_copies.PAIRS)), strict=True):
+        own = {(a, b): (octets[a], octets[b]) for a, b in pairs[:lists]}
+        assert {tuple(pairs[e["key"] >> 16]): (e["key"] >> 8 & 255, e["key"] & 255) for e in entries if e["node"] == node} == own
+
+
+def test_pairs_below_the_least_shared_bytes_are_no_candidates():
+    rows = np.array([[0, 100, 0, 0, 0, 0]])
+    spread, gathered = rows.copy(), rows.copy()
+    spread[0, 2:] = 0x0101010101010101  # 32 bits, one in each byte
+    gathered[0, 2:4] = 0x0101010101010101, 0x0303030303030303  # 24 bits, 16 bytes shared
+    assert near_copies._near(rows, spread).tolist() == [False] and near_copies._near(rows, gathered).tolist() == [True]
