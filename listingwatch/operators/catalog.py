@@ -1,7 +1,8 @@
 """Catalog of models: links from listings, official items with barcode conflicts, review queues, decisions.
 
 All of it aggregates by model code or term with map-side combining, so a code that a third of all rows carry is one
-row a partition before anything is shuffled.
+row a partition before anything is shuffled. Listings repeat what they state: equal statements are counted by hash first, so
+that only different ones are sorted for the aggregates whose values are texts.
 """
 
 from __future__ import annotations
@@ -24,22 +25,28 @@ def last_known(value: str, order: Column) -> Column:
     return F.max_by(value, F.when(F.col(value).isNotNull(), order)).alias(value)
 
 
+def stated(rows: DataFrame, *keys: str) -> DataFrame:
+    """Equal statements as one row, with seq of the first and last time, how often, and whether any was official."""
+    official = [F.bool_or("official").alias("official")] if "official" in rows.columns else []
+    return rows.groupBy(*keys).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("seq"), F.count("*").alias("times"), *official)
+
+
 def link_listings(listings: DataFrame) -> DataFrame:
     """One catalog row a model code: what was known first stays. listings: (seq, model, brand, barcode, official), and series and
     release_date where there are such columns."""
     system = F.substring_index("model", "-", 1)
-    order = F.col("seq")
-    out = listings.where("model is not null").groupBy("model").agg(
-        first_known("brand", order), first_known("barcode", order), F.when(F.bool_or("official"), "verified").otherwise("pending").alias("verification"), F.count("*").alias("listings"),
-        *[first_known(c, order) for c in ("series", "release_date") if c in listings.columns],
+    order, more = F.col("first_seq"), [c for c in ("series", "release_date") if c in listings.columns]
+    out = stated(listings.where("model is not null"), "model", "brand", "barcode", *more).groupBy("model").agg(
+        first_known("brand", order), first_known("barcode", order), F.when(F.bool_or("official"), "verified").otherwise("pending").alias("verification"), F.sum("times").alias("listings"),
+        *[first_known(c, order) for c in more],
     )
     return out.withColumns({"system": system, "generation": F.when(system.isin(*GENERATION_X), "X")})
 
 
 def aliases(listings: DataFrame) -> DataFrame:
     """One row a model, locale and folded alias: its newest spelling. listings: (seq, model, locale, title, official)."""
-    rows = listings.where("model is not null and title is not null").withColumn("alias_key", alias_form(F.col("title")))
-    return rows.groupBy("model", "locale", "alias_key").agg(F.max_by("title", "seq").alias("alias"), F.bool_or("official").alias("verified"), F.count("*").alias("seen"))
+    rows = stated(listings.where("model is not null and title is not null"), "model", "locale", "title").withColumn("alias_key", alias_form(F.col("title")))
+    return rows.groupBy("model", "locale", "alias_key").agg(F.max_by("title", "seq").alias("alias"), F.bool_or("official").alias("verified"), F.sum("times").alias("seen"))
 
 
 def official_items(items: DataFrame, maker: str | None = None) -> DataFrame:
@@ -124,7 +131,8 @@ def evidence(rows: DataFrame) -> DataFrame:
     rows: (seq, model, url, source_class, locale, verification).
     """
     sure = F.when(F.col("source_class") == "official_store", MAKER_CONFIDENCE).otherwise(SHOP_CONFIDENCE)
-    return rows.where("model is not null and url is not null").groupBy("model", "url").agg(
+    rows = stated(rows.where("model is not null and url is not null"), "model", "url", "source_class", "locale", "verification")
+    return rows.groupBy("model", "url").agg(
         F.max_by("source_class", "seq").alias("source_class"), F.max_by("locale", "seq").alias("locale"), F.max(sure).alias("confidence"), sticky_verified("verification")
     )
 
