@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
 from . import timeline
 
 CARRIED = "offer_id long, source_id long, stable string, candidate string, candidate_count long, price double, observed_at timestamp_ntz, seq long, emitted map<string, timestamp_ntz>"
@@ -41,13 +42,13 @@ def advance(carried: DataFrame, observations: DataFrame, confirmations: int = 2,
     newer = F.coalesce(F.struct(*PLACE) > F.col("place"), F.lit(True))
     late, fresh = placed.where(~newer).select(*OBSERVED), placed.where(newer).select(*OBSERVED)
     touched = carried.join(fresh.select("offer_id").distinct(), "offer_id", "left_semi")
-    states = timeline.stable_states(fresh.unionByName(restated(touched)), confirmations)
+    states = cut(timeline.stable_states(fresh.unionByName(restated(touched)), confirmations), "carried-states")  # for events and the last state
     found = timeline.events(states, threshold).join(before, "offer_id", "left").where(newer).drop("place")
     # a restated emission has no seq; it opens its cooldown and goes
     emitted = touched.select("offer_id", F.explode("emitted").alias("type", "observed_at"))
     none = {"seq": "long", "source_id": "long", "from_state": "string", "to_state": "string", "price": "double"}
     emitted = emitted.select("offer_id", "type", "observed_at", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    kept = timeline.cooled(found.unionByName(emitted), cooldown_hours)
+    kept = cut(timeline.cooled(found.unionByName(emitted), cooldown_hours), "carried-kept")  # events, and the times that are carried on
     times = kept.groupBy("offer_id", "type").agg(F.max("observed_at").alias("at")).groupBy("offer_id").agg(F.map_from_entries(F.collect_list(F.struct("type", "at"))).alias("emitted"))  # an offer's types: seven at most
     last = states.groupBy("offer_id").agg(F.max_by(F.struct("source_id", "stable", "candidate", F.col("candidate_count").cast("long").alias("candidate_count"), "price", "observed_at", "seq"), F.struct(*PLACE)).alias("s"))
     after = last.select("offer_id", "s.*").join(times, "offer_id", "left").withColumn("emitted", F.coalesce("emitted", F.create_map().cast("map<string, timestamp_ntz>")))
