@@ -16,6 +16,11 @@ from pyspark.sql import types as T
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
 SPACES = r"[\s   -     　﻿]+"
+#: Runs of white space that are anything else than one plain space, runs with hyphens to close, and runs of other signs: what
+#: replacing by one space (or hyphen) changes. Most runs of a text are one plain space and are passed over.
+ODD_SPACES = SPACES[:-1] + "{2,}|" + SPACES[:-2] + "&&[^ ]]"
+HYPHENS = " +- *|- +"
+SIGNS = r"[^\p{L}\p{N} -][^\p{L}\p{N}-]*| [^\p{L}\p{N}-]+"
 BEFORE, AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
 # Currency signs and codes.
@@ -69,13 +74,13 @@ def to_half_width(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """NFKC and half width, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(to_half_width(normalize_unicode(text)), SPACES, " "))
+    return F.trim(F.regexp_replace(to_half_width(normalize_unicode(text)), ODD_SPACES, " "))
 
 
 def fold(text: Column) -> Column:
     """Lower case without spaces around hyphens; all but letters, digits and hyphens becomes a space."""
-    joined = F.regexp_replace(F.lower(F.regexp_replace(text, SPACES, " ")), " *- *", "-")
-    return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}-]+", " "))
+    joined = F.regexp_replace(F.lower(F.regexp_replace(text, ODD_SPACES, " ")), HYPHENS, "-")
+    return F.trim(F.regexp_replace(joined, SIGNS, " "))
 
 
 def alias_form(text: Column) -> Column:

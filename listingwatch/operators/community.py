@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,17 @@ LINK = r"https?://[^\s<>\"']+"
 
 def content_fingerprint(text: Column) -> Column:
     """Hash of the text without links, repost marks and hashtags."""
+    return F.sha2(alias_form(bare_text(text)), 256)
+
+
+def bare_text(text: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(text, LINK, " "), r"^\s*RT\s+@[^:\s]+:\s*", "")
-    return F.sha2(alias_form(F.regexp_replace(bare, r"#[^\s#]+", " ")), 256)
+    return F.regexp_replace(bare, r"#[^\s#]+", " ")
+
+
+def fingerprinted(posts: DataFrame) -> DataFrame:
+    """Posts with the content_fingerprint of their text. The bare text is a column first: folding reads it more than once."""
+    return posts.withColumn("fingerprint", bare_text(F.col("text"))).withColumn("fingerprint", F.sha2(alias_form(F.col("fingerprint")), 256))
 
 
 def links(text: Column) -> Column:
@@ -63,7 +74,7 @@ def first_posts(posts: DataFrame) -> DataFrame:
     An aggregate, not a window: a text that a third of all posts repeat is counted on the map side.
     """
     order = F.struct("posted_at", "post_id")
-    return posts.withColumn("fingerprint", content_fingerprint(F.col("text"))).groupBy("fingerprint").agg(F.min_by("post_id", order).alias("post_id"), (F.count("*") - 1).alias("duplicate_count"))
+    return fingerprinted(posts).groupBy("fingerprint").agg(F.min_by("post_id", order).alias("post_id"), (F.count("*") - 1).alias("duplicate_count"))
 
 
 def post_origins(posts: DataFrame) -> DataFrame:
@@ -75,7 +86,7 @@ def post_origins(posts: DataFrame) -> DataFrame:
     """
     order = F.struct("posted_at", "post_id")
     same = posts.groupBy("source_id", "external_id").agg(F.min(F.struct("posted_at", "post_id", "text")).alias("p")).select("source_id", "external_id", "p.*")
-    marked = cut(same.select("post_id", "source_id", "external_id", "posted_at", content_fingerprint(F.col("text")).alias("fingerprint")), "posts")
+    marked = cut(fingerprinted(same).drop("text").select("post_id", "source_id", "external_id", "posted_at", "fingerprint"), "posts")
     first = cut(marked.groupBy("fingerprint").agg(F.min_by("post_id", order).alias("first_id")), "first-posts")
     return marked.join(first, "fingerprint").where("post_id <> first_id").select("first_id", "post_id", "source_id", "external_id")
 
@@ -123,12 +134,16 @@ def source_counts(sources: DataFrame, posts: DataFrame) -> DataFrame:
     return sources.join(counts, "source_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("posts", "hidden_posts")})
 
 
-def visible_posts(posts: DataFrame, matches: DataFrame, n: int = 100) -> DataFrame:
+def visible_posts(posts: DataFrame, matches: DataFrame | Callable[[DataFrame], DataFrame], n: int = 100) -> DataFrame:
     """The newest n (500 at most) posts that aren't hidden, with links and the rules they match, sorted.
 
-    posts: (post_id, posted_at, text, hidden), matches: (rule_id, post_id). Only the rows of the report meet the matches.
+    posts: (post_id, posted_at, text, hidden), matches: (rule_id, post_id), or what makes them of the report's posts (post_id), so
+    that no others need be matched. Only the rows of the report meet the matches.
     """
     shown = posts.where(~F.coalesce("hidden", F.lit(False))).orderBy(F.desc("posted_at"), F.desc("post_id")).limit(min(500, max(1, n)))
+    if callable(matches):
+        shown = cut(shown, "shown")
+        matches = matches(shown.select("post_id"))
     rules = matches.join(F.broadcast(shown.select("post_id")), "post_id").groupBy("post_id").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))  # at most 500 ids
     return shown.join(rules, "post_id", "left").select("post_id", "posted_at", links(F.col("text")).alias("links"), F.coalesce("rules", F.array().cast("array<bigint>")).alias("rules"))
 

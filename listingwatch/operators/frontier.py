@@ -186,6 +186,7 @@ def best_first(walks: DataFrame, pages: DataFrame, links: DataFrame, window: int
     frontier: (walk_id, url, kind, priority, depth, seq, status, place, found_on), place being the number of the visit.
     summary: (walk_id, pages, bytes, seconds, candidates, pending, stop_reason, status, recipe).
     """
+    pages, links = cut(pages, "walk-pages"), cut(links, "walk-links")  # every round reads them
     limits = ["max_pages", "max_depth", "max_bytes", "max_seconds", "min_interval", "active_recipe"]
     frontier = cut(first_items(walks).select("walk_id", "url", "kind", "priority", "depth", "seq", F.lit("pending").alias("status"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("found_on")), "walk-frontier")
     begun = [F.lit(0).alias("pages"), F.lit(0).cast("long").alias("bytes"), F.lit(0.0).alias("seconds"), F.lit(3).cast("long").alias("next_seq"), F.lit(0).alias("candidates"), F.lit(None).cast("string").alias("stop_reason")]
