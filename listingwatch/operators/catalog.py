@@ -15,6 +15,9 @@ from ..functions.text import alias_form, squeeze
 # Model prefixes of the newest generation.
 GENERATION_X = ("BX", "UX", "CX")
 
+# What an official item must have.
+TOLD = "model is not null and trim(title) <> ''"
+
 
 def first_known(value: str, order: Column) -> Column:
     """The value of the first row, in this order, that has one."""
@@ -57,7 +60,7 @@ def official_items(items: DataFrame, maker: str | None = None) -> DataFrame:
     not taken; see `review_items`.
     """
     order = F.col("seq")
-    rows = items.where("model is not null and trim(title) <> ''")
+    rows = items.where(TOLD)
     differ = F.min("barcode") != F.max("barcode")
     return rows.groupBy("model").agg(
         first_known("barcode", order), last_known("msrp", order), F.max_by("title", "seq").alias("title"), F.when(F.coalesce(differ, F.lit(False)), "conflict").otherwise("verified").alias("verification"),
@@ -155,15 +158,18 @@ def product_parts(links: DataFrame) -> DataFrame:
     return newest.select("model", "part_id", F.greatest(F.lit(1), F.coalesce("l.quantity", F.lit(1))).alias("quantity"), "l.position")
 
 
-def announcements(items: DataFrame) -> DataFrame:
+def announcements(items: DataFrame, *said: str) -> DataFrame:
     """One row a (source_id, url, event_type) of official items with a code: as last told, but published when first told.
 
     items: (seq, source_id, url, model, title, event_type, published_at, msrp). An item without a type is `announced`.
+    said: the columns that hold what was told last; by themselves model, title and msrp. With texts among them all items are
+    sorted; with a number alone, by which the caller looks the rest up afterwards, they are aggregated by hash.
     """
-    rows = items.where("model is not null and trim(title) <> ''").withColumn("event_type", F.coalesce("event_type", F.lit("announced")))
-    last = F.max_by(F.struct("model", "title", "msrp"), "seq").alias("last")
-    found = rows.groupBy("source_id", "url", "event_type").agg(F.min("seq").alias("announcement_id"), last, F.min_by("published_at", "seq").alias("published_at"))
-    return found.select("announcement_id", "source_id", "url", "event_type", "last.*", "published_at")
+    said = said or ("model", "title", "msrp")
+    rows = items.where(TOLD).withColumn("event_type", F.coalesce("event_type", F.lit("announced")))
+    last = [F.max_by(c, "seq").alias(c) for c in said]
+    found = rows.groupBy("source_id", "url", "event_type").agg(F.min("seq").alias("announcement_id"), *last, F.min_by("published_at", "seq").alias("published_at"))
+    return found.select("announcement_id", "source_id", "url", "event_type", *said, "published_at")
 
 
 def exclusions_listed(log: DataFrame, decisions: DataFrame, sources: DataFrame, status: str | None = None, n: int = 200) -> DataFrame:

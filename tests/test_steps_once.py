@@ -1,10 +1,12 @@
 """What several steps read is made once, and equal rows are brought together before texts are sorted."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from listingwatch.operators import carried, catalog, community, frontier
-from listingwatch.plans import covering, storing, watching
+from listingwatch.plans import covering, reviewing, storing, watching
 from listingwatch.sources import stored
 from listingwatch.sources.tables import cut
 
@@ -68,3 +70,24 @@ def test_only_posts_of_the_report_are_matched(spark):
     asked = []
     found = community.visible_posts(posts, lambda shown: asked.extend(r[0] for r in shown.collect()) or shown.select(F.lit(7).alias("rule_id"), "post_id"), 3)
     assert sorted(asked) == [6, 7, 8] and sorted((r["post_id"], r["rules"]) for r in found.collect()) == [(i, [7]) for i in (6, 7, 8)]
+
+
+def test_announcements_are_aggregated_by_hash_without_texts(spark):
+    physical = reviewing.k7_announcements(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    over = [line for line in physical.split("\n") if "Aggregate(" in line and "event_type" in line]
+    assert over and all("HashAggregate" in line and "title" not in line for line in over)
+
+
+def test_tasks_of_announcements_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(reviewing, "LINES_A_TASK", 1000)
+    physical = reviewing.k7_announcements(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(l_partkey#\d+L, (\d+)\)", physical) == [str(spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1000)]
+
+
+def test_announcements_of_repeated_and_blank_lines(spark, tmp_path):
+    line = [(3, 1), (3, 1), (53, 1), (103, 1), (11, 1), (4, 1), (7, 1), (None, 1), (3, None)]
+    part = [(3, "a", "T", 10.0), (53, "b", "T", 20.0), (53, None, "T", 30.0), (103, None, "T", 1.0), (11, "c", "T", 1.0), (4, " ", " ", 1.0)]
+    spark.createDataFrame(line, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string, p_retailprice double").selectExpr("*", "'B' as p_brand", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    found = sorted(map(tuple, reviewing.k7_announcements(spark, str(tmp_path)).collect()), key=repr)
+    assert found == [(300001, 1, "https://maker.example/3", "preorder", "CX-153", "b T", 20.0, 1), (None, None, "https://maker.example/3", "announced", None, None, None, None)]
