@@ -46,7 +46,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS
         before += count
     starts = spark.createDataFrame(offsets, "part int, before long")
     rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % n + 1).cast("int"))
+    # a weight times the tokens of all sources doesn't fit an int beyond some hundred million tokens
+    whole = "long" if all(isinstance(w, int) for w in weights) else "double"
+    weight = F.element_at(F.array(*[F.lit(w).cast(whole) for w in weights]), (F.col("place") % n + 1).cast("int"))
     placed = ordered.join(F.broadcast(starts), "part").withColumn("place", F.col("before") + rank).select("source", "source_size", "place", weight.alias("weight"))
     placed = cut(placed, "sources")
     total = placed.agg(F.sum("source_size")).first()[0] or 0

@@ -268,6 +268,13 @@ def test_mixing(spark):
     assert Counter(map(tuple, mixing.mix(docs).collect())) == Counter(map(tuple, out))
 
 
+def test_mixing_targets_of_many_tokens(spark):
+    """A weight times all tokens is more than an int holds, and so is a capped source's size times the weights."""
+    of = lambda *sizes: [r.target for r in mixing.source_targets(spark.createDataFrame(list(zip("abc", sizes, strict=True)), "source string, source_size long")).orderBy("source").collect()]
+    assert of(500_000_000, 500_000_000, 500_000_000) == [937_500_000, 375_000_000, 187_500_000]
+    assert of(200_000_000, 800_000_000, 900_000_000) == [600_000_000, 1_300_000_000 * 2 / 3, 1_300_000_000 / 3]
+
+
 def test_mixing_positions_follow_schedules(spark):
     rows = [(i, " ".join(["w"] * 10), s) for i, s in enumerate(["a", "b", "c"] * 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
