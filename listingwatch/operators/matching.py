@@ -11,6 +11,9 @@ from ..sources.tables import cut
 #: What stands in a key for a product's null, and for any value.
 ABSENT, ANY = "absent", "any"
 ASKED = ("barcode", "sku", "model", "brand", "variant")
+#: Tables between steps are a tenth of their rows' size, and keys grow sixfold after them: by the files' size Spark would broadcast
+#: more than a driver can build.
+BY_SORT = "shuffle_merge"
 
 
 def stated(value: Column) -> Column:
@@ -42,15 +45,15 @@ def match_products(listings: DataFrame, products: DataFrame) -> DataFrame:
     six keys at most. So each join is on whole keys, with one row a key, and a common SKU or model multiplies nothing.
     """
     asked = cut(listings.select(*ASKED).distinct(), "asked")
-    barcode = asked.join(products.where("barcode is not null").groupBy("barcode").agg(F.min("product_id").alias("by_barcode")), "barcode").select(*ASKED, "by_barcode")
+    barcode = asked.join(products.where("barcode is not null").groupBy("barcode").agg(F.min("product_id").alias("by_barcode")).hint(BY_SORT), "barcode").select(*ASKED, "by_barcode")
     by = lambda rows, kinds, value: rows.groupBy(*ASKED).agg(*kinds).where(value)
     keys = asked.where("sku is not null").withColumn("a", F.explode(lookups("model"))).withColumn("b", F.explode(lookups("brand")))
-    sku = keys.join(counted(products.where("sku is not null"), {"sku": F.col("sku")}, ("model", "brand")), ["sku", "a", "b"])
+    sku = keys.join(counted(products.where("sku is not null"), {"sku": F.col("sku")}, ("model", "brand")).hint(BY_SORT), ["sku", "a", "b"])
     sku = by(sku, [F.sum("n").alias("n"), F.min("first").alias("by_sku")], "n = 1").drop("n")
     # an absent variant is equal to an absent one only; under ANY stand all candidates, and a listing without a brand agrees with those
     keys = asked.where("model is not null").withColumn("same_variant", stated(F.col("variant"))).withColumn("a", F.explode(lookups("sku")))
     keys = keys.withColumn("b", F.explode(F.array_distinct(F.concat(F.array(F.lit(ANY)), lookups("brand")))))
-    model = keys.join(counted(products.where("model is not null"), {"model": F.col("model"), "same_variant": stated(F.col("variant"))}, ("sku", "brand")), ["model", "same_variant", "a", "b"])
+    model = keys.join(counted(products.where("model is not null"), {"model": F.col("model"), "same_variant": stated(F.col("variant"))}, ("sku", "brand")).hint(BY_SORT), ["model", "same_variant", "a", "b"])
     every, fits = F.col("b") == ANY, (F.col("b") != ANY) | F.col("brand").isNull()
     counts = [F.sum(F.when(every, F.col("n"))).alias("n"), F.sum(F.when(fits, F.col("n"))).alias("n_fit"), F.min(F.when(fits, F.col("first"))).alias("by_model")]
     model = by(model, counts, (F.col("n_fit") == 1) & ((F.col("n") == 1) | F.col("brand").isNotNull())).drop("n", "n_fit")
@@ -65,7 +68,7 @@ def match_products(listings: DataFrame, products: DataFrame) -> DataFrame:
 def joined_same(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with found's other columns where all of ASKED are the same, absent ones included."""
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ASKED]
-    return rows.alias("l").join(found.alias("r"), same, "left").select("l.*", *[f"r.{c}" for c in found.columns if c not in ASKED])
+    return rows.alias("l").join(found.alias("r").hint(BY_SORT), same, "left").select("l.*", *[f"r.{c}" for c in found.columns if c not in ASKED])
 
 
 def resolve_known(listings: DataFrame, offers: DataFrame, products: DataFrame) -> DataFrame:
@@ -74,8 +77,8 @@ def resolve_known(listings: DataFrame, offers: DataFrame, products: DataFrame) -
 
     listings: as in match_products, with (source_id, url); offers: (source_id, url, product_id), one row an offer.
     """
-    known = listings.select("listing_id", "source_id", "url").join(offers.select("source_id", "url", F.col("product_id").alias("by_offer")), ["source_id", "url"])
-    rest = listings.join(known.select("listing_id"), "listing_id", "left_anti")
+    known = listings.select("listing_id", "source_id", "url").join(offers.select("source_id", "url", F.col("product_id").alias("by_offer")).hint(BY_SORT), ["source_id", "url"])
+    rest = listings.join(known.select("listing_id").hint(BY_SORT), "listing_id", "left_anti")
     return known.select("listing_id", F.col("by_offer").alias("product_id"), F.lit("offer").alias("matched_by")).unionByName(match_products(rest, products))
 
 

@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from listingwatch.operators import carried, catalog, community, frontier
-from listingwatch.plans import covering, reviewing, storing, watching
+from listingwatch.operators import carried, catalog, community, frontier, matching
+from listingwatch.plans import covering, reviewing, storing, views, watching
 from listingwatch.sources import stored
 from listingwatch.sources.tables import cut
 
@@ -91,3 +91,14 @@ def test_announcements_of_repeated_and_blank_lines(spark, tmp_path):
     spark.createDataFrame(part, "p_partkey long, p_name string, p_type string, p_retailprice double").selectExpr("*", "'B' as p_brand", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
     found = sorted(map(tuple, reviewing.k7_announcements(spark, str(tmp_path)).collect()), key=repr)
     assert found == [(300001, 1, "https://maker.example/3", "preorder", "CX-153", "b T", 20.0, 1), (None, None, "https://maker.example/3", "announced", None, None, None, None)]
+
+
+def test_listings_of_any_number_are_joined_by_sort(spark):
+    """By the size of their files Spark would broadcast parts with their texts, and listings with their keys."""
+    texts = views.feed(spark, SF, of_stated={"made": F.upper("availability_text")})
+    rows = cut(texts.select("listing_id", "source_id", F.col("listing_id").cast("string").alias("url"), "barcode", "sku", F.lit("m").alias("model"), "brand", F.lit("v").alias("variant"), "part"), "rows")
+    offers = rows.where("listing_id % 3 = 0").select("source_id", "url", F.col("part").alias("product_id"))
+    products = rows.select(F.col("listing_id").alias("product_id"), *matching.ASKED)
+    for made in (texts, matching.match_products(rows, products), matching.resolve_known(rows, offers, products)):
+        physical = made._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in physical and "Broadcast" not in physical
