@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,40 +40,68 @@ def linked_listings(listings: DataFrame) -> DataFrame:
     return listings.alias("l").join(placed.alias("n"), same).select("l.*", "component")
 
 
+def only(by_brand: dict, brand: str | None, other: str | None) -> int | None:
+    """The one product that agrees in brand and in another detail, where an absent value agrees with any; none if there are several.
+
+    by_brand: brand -> other detail -> products. No more than two products are looked at.
+    """
+    found = None
+    for by_other in by_brand.values() if brand is None else (by_brand.get(brand), by_brand.get(None)):
+        if by_other is None:
+            continue
+        for products in by_other.values() if other is None else (by_other.get(other), by_other.get(None)):
+            for product in products or ():
+                if found is not None:
+                    return None
+                found = product
+    return found
+
+
 class Products:
-    """The products of one component so far, by key."""
+    """The products of one component so far, by key. Those of one SKU, or of one model and variant, lie by what a listing has to
+    agree in besides, so a key of any number of products is not searched."""
 
     def __init__(self):
-        self.fields: dict[int, dict] = {}
-        self.by: dict[tuple, list[int]] = {}
-
-    def known(self, kind: str, key) -> list[int]:
-        return self.by.get((kind, key), []) if key is not None else []
-
-    def agrees(self, product: int, field: str, value) -> bool:
-        have = self.fields[product][field]
-        return have is None or value is None or have == value or (field == "brand" and have.lower() == value.lower())
-
-    def find(self, row: dict) -> tuple[int | None, str | None]:
-        for product in self.known("barcode", row["barcode"]):
-            return product, "barcode"
-        fits = [p for p in self.known("sku", row["sku"]) if self.agrees(p, "model", row["model"]) and self.agrees(p, "brand", row["brand"])]
-        if len(fits) == 1:
-            return fits[0], "sku"
-        fits = [p for p in self.known("model", row["model"]) if self.fields[p]["variant"] == row["variant"] and self.agrees(p, "sku", row["sku"])]
-        branded = [p for p in fits if self.agrees(p, "brand", row["brand"])]
-        if len(branded) == 1 and (len(fits) == 1 or row["brand"] is not None):
-            return branded[0], "model"
+        self.fields: dict[int, list] = {}
+        self.by_barcode: dict[str, int] = {}
+        self.by_sku: dict[str, dict] = {}
+        self.by_model: dict[tuple, dict] = {}
+
+    def find(self, barcode, sku, model, brand, variant) -> tuple[int | None, str | None]:
+        brand = brand and brand.lower()
+        if barcode is not None and barcode in self.by_barcode:
+            return self.by_barcode[barcode], "barcode"
+        if sku is not None and (product := only(self.by_sku.get(sku, {}), brand, model)) is not None:
+            return product, "sku"
+        if model is not None and (product := only(self.by_model.get((model, variant), {}), brand, sku)) is not None:
+            return product, "model"
         return None, None
 
-    def learn(self, product: int, row: dict) -> None:
-        """A new product, or the empty fields of a known one."""
-        have = self.fields.setdefault(product, dict.fromkeys(FIELDS))
-        for field in FIELDS:
-            if have[field] is None and row[field] is not None:
-                have[field] = row[field]
-                if field in ("barcode", "sku", "model"):
-                    self.by.setdefault((field, row[field]), []).append(product)
+    def places(self, fields: list) -> list[tuple[dict, object, object, object]]:
+        """Where a product of these fields lies: index, key, brand and the other detail."""
+        _, sku, model, brand, variant = fields
+        brand = brand and brand.lower()
+        found = [(self.by_sku, sku, brand, model)] if sku is not None else []
+        return found + ([(self.by_model, (model, variant), brand, sku)] if model is not None else [])
+
+    def learn(self, product: int, row: tuple) -> None:
+        """A new product, or the empty fields of a known one. row: FIELDS."""
+        have = self.fields.get(product)
+        if have is None:
+            have = [None] * len(FIELDS)
+        elif all(new is None or old is not None for old, new in zip(have, row, strict=True)):
+            return
+        fields = [new if old is None else old for old, new in zip(have, row, strict=True)]
+        for index, key, brand, other in self.places(have):
+            of_brand = index[key][brand]
+            del of_brand[other][product]
+            if not of_brand[other]:
+                del of_brand[other]
+        for index, key, brand, other in self.places(fields):
+            index.setdefault(key, {}).setdefault(brand, {}).setdefault(other, {})[product] = None
+        if have[0] is None and fields[0] is not None:
+            self.by_barcode.setdefault(fields[0], product)
+        self.fields[product] = fields
 
 
 def resolve_batch(listings: DataFrame) -> DataFrame:
@@ -89,21 +117,22 @@ def resolve_batch(listings: DataFrame) -> DataFrame:
     linked = linked_listings(listings.where(has_key).select("listing_id", "seq", *FIELDS))
     ordered = linked.repartition("component").sortWithinPartitions("component", "seq", "listing_id")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, products = None, Products()
         for batch in batches:
-            out = []
-            rows = batch.astype(object).where(batch.notna(), None)
-            for row in rows.to_dict("records"):
-                if row["component"] != current:
-                    current, products = row["component"], Products()
-                product, how = products.find(row)
-                product = row["listing_id"] if product is None else product
+            ids, components, *fields = (batch.column(c).to_pylist() for c in ("listing_id", "component", *FIELDS))
+            places, hows = [], []
+            for listing_id, component, row in zip(ids, components, zip(*fields, strict=True), strict=True):
+                if component != current:
+                    current, products = component, Products()
+                product, how = products.find(*row)
+                product = listing_id if product is None else product
                 products.learn(product, row)
-                out.append((row["listing_id"], product, how))
-            yield pd.DataFrame(out, columns=["listing_id", "product_id", "matched_by"])
+                places.append(product)
+                hows.append(how)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(hows, pa.string())], names=["listing_id", "product_id", "matched_by"])
 
-    return ordered.mapInPandas(fold, RESOLVED).unionByName(alone)
+    return ordered.mapInArrow(fold, RESOLVED).unionByName(alone)
 
 
 def split_products(offers: DataFrame, splits: DataFrame) -> DataFrame:

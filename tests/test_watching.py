@@ -1,6 +1,7 @@
 """Watching, catalog, pages, frontier and operations on hand-made rows."""
 
 import random
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -234,3 +235,28 @@ def test_known_keys_are_taken_out_of_what_some_were_told(spark):
     found = watch.alerts(events, matches, wanted, earlier)
     assert told(found) == [(r, e) for r in (7, 8, 9) for e in (2, 3)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # who wants what, and the pairs; none with known keys
+
+
+def test_a_key_of_many_products_is_not_searched():
+    """Listings that fit several products of a model are products of their own, and none of them is held against all others."""
+    products = identity.Products()
+    for i in range(2):
+        products.learn(i, (None, f"s{i}", "M-1", "b", "v"))
+    began = time.monotonic()
+    for i in range(2, 40_000):
+        row = (None, None, "M-1", "b", "v")
+        assert products.find(*row) == (None, None)
+        products.learn(i, row)
+    assert time.monotonic() - began < 20
+
+
+def test_products_move_when_they_learn():
+    products = identity.Products()
+    products.learn(1, (None, None, "M-1", None, None))
+    products.learn(1, (None, "s", None, "Ring", None))
+    assert products.find(None, "s", "M-2", None, None) == (None, None) and products.find(None, "s", None, "RING", "v") == (1, "sku")
+    products.learn(1, ("code", None, None, None, "v"))
+    products.learn(2, ("code", None, "M-1", "Other", None))
+    assert products.find("code", "t", "M-3", "x", None) == (1, "barcode")
+    assert products.find(None, None, "M-1", None, "v") == (1, "model") and products.find(None, None, "M-1", None, None) == (2, "model")
+    assert products.find(None, None, "M-1", "ring", None) == (None, None) and products.find(None, "t", "M-1", "other", None) == (2, "model")
