@@ -260,3 +260,17 @@ def test_products_move_when_they_learn():
     assert products.find("code", "t", "M-3", "x", None) == (1, "barcode")
     assert products.find(None, None, "M-1", None, "v") == (1, "model") and products.find(None, None, "M-1", None, None) == (2, "model")
     assert products.find(None, None, "M-1", "ring", None) == (None, None) and products.find(None, "t", "M-1", "other", None) == (2, "model")
+
+
+def test_backfill_matches_only_what_can_be_told(spark, monkeypatch):
+    met = []
+    matched = watch.match_rules
+    monkeypatch.setattr(watch, "match_rules", lambda context, rules: met.append((rows(context, "product_id"), rows(rules, "rule_id"))) or matched(context, rules))
+    offers = spark.createDataFrame([(1, 5, "in_stock", "fresh", 1), (2, 5, "in_stock", "archived", 2), (3, 6, "in_stock", "fresh", 1), (4, 6, "in_stock", "stale", 2), (5, 7, "out_of_stock", "fresh", 1)], "offer_id int, product_id int, state string, freshness string, last_seen int")
+    context = spark.createDataFrame([(i, ["ring"]) for i in (5, 6, 7, 8)], "product_id int, base_values array<string>")
+    asked = spark.createDataFrame([(1, ["ring"]), (2, ["ring"]), (3, ["bolt"])], "rule_id int, keywords array<string>")
+    new = spark.createDataFrame([(2,), (3,), (3,)], "rule_id int")
+    found = watch.backfill_new(new, context, asked, offers)
+    assert rows(found, "rule_id", "product_id", "offer_id", "state") == [(2, 5, 1, "in_stock")]
+    assert met == [([(5,)], [(2,), (3,)])]
+    assert rows(found, *found.columns) == rows(watch.backfill(new, offers, matched(context, asked)), *found.columns)
